@@ -127,8 +127,8 @@ def convert_labs(labs: DataFrame, lab_units: DataFrame, factors: DataFrame,
                     F.col("to_unit_").alias("to_unit"),
                     F.when(v.isNotNull(), conv).alias("value_converted"),
                     (rule & v.isNotNull()).alias("converted"),
-                    ~F.coalesce(F.lower(F.col("from_unit_")) == F.lower(F.col("to_unit_")),
-                                F.col("from_unit_").isNull() & F.col("to_unit_").isNull())
+                    (~F.coalesce(F.lower(F.col("from_unit_")) == F.lower(F.col("to_unit_")),
+                                 F.col("from_unit_").isNull() & F.col("to_unit_").isNull()))
                     .alias("unit_changed"))
 
 

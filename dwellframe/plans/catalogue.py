@@ -1,3 +1,4 @@
 """Imports every plan module so that all queries register themselves."""
 
 from . import q_clinical  # noqa: F401
+from . import q_intake  # noqa: F401
