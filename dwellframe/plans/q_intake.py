@@ -21,7 +21,7 @@ SHIFT_CTES = [
   coalesce(s.bag_no is not null and b.osm is not null and isfinite(b.osm) and s.volume_l > 0 and s.cycles > 0, false) as ok
   from shifts s left join bags_num b on s.bag_no = b.bag_no"""),
     ("sagg", """select patient_id, sum(case when ok then osm * vol end) as weighted_osm,
-  sum(case when ok then vol end) as total_volume_l, count_if(ok) as n_valid_shifts, count(*) as n_shifts
+  sum(case when ok then vol end) as total_volume_l, count(case when ok then 1 end) as n_valid_shifts, count(*) as n_shifts
   from sj group by patient_id"""),
 ]
 OSM_CTES = SHIFT_CTES + [
@@ -111,8 +111,8 @@ def complete_case(spark, sf):
 
 @query("row_counts", covers=("D7",), sql=cte("cohort") + """
 select modality, count(*) as n_ingested,
-  count_if(age is not null and weight_kg is not null and ktv is not null and assessment_date is not null) as n_kept,
-  count_if(not (age is not null and weight_kg is not null and ktv is not null and assessment_date is not null)) as n_dropped
+  count(case when age is not null and weight_kg is not null and ktv is not null and assessment_date is not null then 1 end) as n_kept,
+  count(case when not (age is not null and weight_kg is not null and ktv is not null and assessment_date is not null) then 1 end) as n_dropped
 from cohort group by modality""")
 def row_counts(spark, sf):
     return Q.row_counts(v(spark, sf, "cohort"), ["age", "weight_kg", "ktv", "assessment_date"], by=["modality"])
@@ -123,9 +123,9 @@ _MISS_COLS = ("age", "gender", "weight_kg", "height_cm", "malignancy", "esrd_cau
 
 
 @query("missingness", covers=("D15",), sql=cte("cohort") + " union all ".join(
-    f"select '{c}' as \"column\", count_if({c} is null) as n_missing, count(*) as n_rows, "
-    f"round(count_if({c} is null) / count(*), 6) + 0e0 as missing_share, "
-    f"round(1e0 - count_if({c} is null) / count(*), 6) + 0e0 as completeness from cohort "
+    f"select '{c}' as \"column\", count(case when {c} is null then 1 end) as n_missing, count(*) as n_rows, "
+    f"round(count(case when {c} is null then 1 end) / count(*), 6) + 0e0 as missing_share, "
+    f"round(1e0 - count(case when {c} is null then 1 end) / count(*), 6) + 0e0 as completeness from cohort "
     for c in _MISS_COLS))
 def missingness(spark, sf):
     return r6(Q.missingness(v(spark, sf, "cohort"), _MISS_COLS))
@@ -143,8 +143,8 @@ def chronology_violations(spark, sf):
 select target, model,
   coalesce(bool_and(coalesce(case when target = 'ktv' then y_pred >= 0.5e0 and y_pred <= 4e0
                                    when target = 'pet' then y_pred >= 0.1e0 and y_pred <= 1e0 end, false)), true) as all_in_range,
-  count_if(not coalesce(case when target = 'ktv' then y_pred >= 0.5e0 and y_pred <= 4e0
-                             when target = 'pet' then y_pred >= 0.1e0 and y_pred <= 1e0 end, false)) as n_outside,
+  count(case when not coalesce(case when target = 'ktv' then y_pred >= 0.5e0 and y_pred <= 4e0
+                             when target = 'pet' then y_pred >= 0.1e0 and y_pred <= 1e0 end, false) then 1 end) as n_outside,
   count(*) as n
 from predictions group by target, model""")
 def plausibility(spark, sf):

@@ -24,6 +24,10 @@ from dwellframe.session import local_session  # noqa: E402
 from dwellframe.sources.tables import TABLES  # noqa: E402
 
 
+_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+          "boolean": "BOOLEAN", "date": "DATE", "timestamp": "TIMESTAMP"}
+
+
 def _norm(v):
     if v is None:
         return None
@@ -81,6 +85,11 @@ def main(argv):
             bad += 1
             print(f"FAIL  {name}: columns spark={scols} duck={dcols}")
             continue
+        stypes = dict(sdf.dtypes)
+        dtypes = {d[0]: str(d[1]) for d in rel.description}
+        tmis = [(c, stypes[c], dtypes[c]) for c in scols if _TYPES.get(stypes[c], stypes[c]) != dtypes[c]]
+        if tmis:
+            print(f"TYPE  {name}: {tmis}")
         a, b = _rows(srows, scols), _rows(drows, scols)
         if len(srows) != len(drows) or a != b:
             bad += 1
