@@ -99,7 +99,7 @@ def fit_prep(df: DataFrame, *, targets: Sequence[str] = ("ktv", "pet"), numeric:
     model = PrepModel([], list(categorical), list(targets), [], imputation, scaling, encoding,
                       list(log_features), derive)
     base = _transform_base(df, model, check_log=check_log)
-    num = list(numeric) if numeric else numeric_columns(base, exclude=[key, *targets, *categorical])
+    num = list(numeric) if numeric is not None else numeric_columns(base, exclude=[key, *targets, *categorical])
     num = [c for c in num if c in base.columns]
     model.numeric = num
     x = base.select(*[C.nan_to_null(F.col(c).cast("double")).alias(c) for c in num],
@@ -208,3 +208,71 @@ def apply_prep(df: DataFrame, model: PrepModel, *, key: str = "patient_id", keep
     if keep_targets:
         out += [F.col(t) for t in model.targets if t in base.columns]
     return base.select(*out)
+
+
+# ----------------------------------------------------------- statistics tables
+def _long(row: dict, cols: Sequence[str], stats: Sequence[str], spark: SparkSession, schema: str) -> DataFrame:
+    return spark.createDataFrame([(c, *[row[f"{c}__{s}"] for s in stats]) for c in cols], schema)
+
+
+def impute_statistics(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Long (column, mean, median, mode): one aggregate job; mode keeps the lowest value on ties."""
+    x = df.select(*[C.nan_to_null(F.col(c).cast("double")).alias(c) for c in cols])
+    aggs = []
+    for c in cols:
+        aggs += [F.avg(c).alias(f"{c}__mean"), F.median(c).alias(f"{c}__median"),
+                 F.mode(F.col(c), deterministic=True).alias(f"{c}__mode")]
+    wide = x.agg(*aggs)
+    return _unpivot_stats(wide, cols, ["mean", "median", "mode"])
+
+
+def _unpivot_stats(wide: DataFrame, cols: Sequence[str], stats: Sequence[str]) -> DataFrame:
+    """Wide one-row statistics -> long table, staying in Spark (array of structs + inline)."""
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{c}__{s}").cast("double").alias(s)
+                                                           for s in stats]) for c in cols])
+    return wide.select(F.inline(rows))
+
+
+def scaler_statistics(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Long (column, mean, std_pop, scale, min, max, range): population std, zero std -> scale 1."""
+    x = df.select(*[C.nan_to_null(F.col(c).cast("double")).alias(c) for c in cols])
+    aggs = []
+    for c in cols:
+        sd = F.stddev_pop(c)
+        aggs += [F.avg(c).alias(f"{c}__mean"), sd.alias(f"{c}__std_pop"),
+                 F.coalesce(F.nullif(sd, F.lit(0.0)), F.lit(1.0)).alias(f"{c}__scale"),
+                 F.min(c).alias(f"{c}__min"), F.max(c).alias(f"{c}__max"),
+                 F.nullif(F.max(c) - F.min(c), F.lit(0.0)).alias(f"{c}__range")]
+    return _unpivot_stats(x.agg(*aggs), cols, ["mean", "std_pop", "scale", "min", "max", "range"])
+
+
+def vocabulary(df: DataFrame, cols: Sequence[str], max_categories: int = 256) -> DataFrame:
+    """Long (column, category, ordinal): sorted distinct per column, NULL -> "missing".
+
+    Stays distributed; the ordinal is a window partitioned by column over the
+    distinct categories, whose number is checked against ``max_categories``.
+    """
+    parts = None
+    for c in cols:
+        d = df.select(F.lit(c).alias("column"),
+                      F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias("category")).distinct()
+        parts = d if parts is None else parts.unionByName(d)
+    too_many = parts.groupBy("column").count().filter(F.col("count") > max_categories).limit(1).collect()
+    if too_many:
+        raise ValueError(f"categorical column {too_many[0]['column']!r} exceeds {max_categories} categories")
+    from pyspark.sql import Window
+    w = Window.partitionBy("column").orderBy("category")
+    return parts.withColumn("ordinal", (F.dense_rank().over(w) - 1).cast("int"))
+
+
+def distribution_profile(df: DataFrame, cols: Sequence[str], skew_threshold: float = 1.0) -> DataFrame:
+    """Long (column, n, mean, variance, skewness, median, log_recommended) in one aggregate."""
+    x = df.select(*[C.nan_to_null(F.col(c).cast("double")).alias(c) for c in cols])
+    aggs = []
+    for c in cols:
+        aggs += [F.count(c).alias(f"{c}__n"), F.avg(c).alias(f"{c}__mean"),
+                 F.var_samp(c).alias(f"{c}__variance"), F.skewness(c).alias(f"{c}__skewness"),
+                 F.median(c).alias(f"{c}__median")]
+    long = _unpivot_stats(x.agg(*aggs), cols, ["n", "mean", "variance", "skewness", "median"])
+    return long.select("column", F.col("n").cast("bigint").alias("n"), "mean", "variance", "skewness", "median",
+                       F.coalesce(F.abs("skewness") > skew_threshold, F.lit(False)).alias("log_recommended"))
