@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from ..functions import clinical as C
 from . import cohort as cohort_ops
+from . import ranking as R
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
                  T.DecimalType)
@@ -106,11 +107,17 @@ def fit_prep(df: DataFrame, *, targets: Sequence[str] = ("ktv", "pet"), numeric:
                     *[F.col(c) for c in categorical if c in base.columns])
     # (a) imputation statistics: one aggregate job for all columns
     impute: dict[str, float | None] = {c: None for c in num}
-    if imputation != "none" and num:
-        fn = {"mean": F.avg, "median": F.median,
-              "most_frequent": lambda c: F.mode(c, deterministic=True)}[imputation]
-        row = x.agg(*[fn(F.col(c)).alias(c) for c in num]).first()
+    if imputation == "mean" and num:
+        row = x.agg(*[F.avg(F.col(c)).alias(c) for c in num]).first()
         impute = {c: (None if row[c] is None else float(row[c])) for c in num}
+    elif imputation in ("median", "most_frequent") and num:
+        long = x.select(*num).unpivot([], num, "column", "value")
+        if imputation == "median":
+            st = R.exact_percentiles(long, "value", [0.5], ["column"], names=["stat"])
+        else:
+            st = R.column_modes(long).withColumnRenamed("mode", "stat")
+        got = {r["column"]: r["stat"] for r in st.collect()}  # one row per feature
+        impute = {c: (None if got.get(c) is None else float(got[c])) for c in num}
     # (b) scaler statistics after imputation: one aggregate job
     filled = {c: (F.coalesce(F.col(c), F.lit(impute[c])) if impute[c] is not None else F.col(c)) for c in num}
     stats = {}
@@ -217,13 +224,17 @@ def _long(row: dict, cols: Sequence[str], stats: Sequence[str], spark: SparkSess
 
 def impute_statistics(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Long (column, mean, median, mode): one aggregate job; mode keeps the lowest value on ties."""
+    long = _long_values(df, cols)
+    means = long.groupBy("column").agg(F.avg("value").alias("mean"))
+    med = R.exact_percentiles(long, "value", [0.5], ["column"], names=["median"])
+    modes = R.column_modes(long)
+    # three tables with one row per column: joins of bounded size
+    return means.join(med, "column", "left").join(modes, "column", "left").select("column", "mean", "median", "mode")
+
+
+def _long_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     x = df.select(*[C.nan_to_null(F.col(c).cast("double")).alias(c) for c in cols])
-    aggs = []
-    for c in cols:
-        aggs += [F.avg(c).alias(f"{c}__mean"), F.median(c).alias(f"{c}__median"),
-                 F.mode(F.col(c), deterministic=True).alias(f"{c}__mode")]
-    wide = x.agg(*aggs)
-    return _unpivot_stats(wide, cols, ["mean", "median", "mode"])
+    return x.unpivot([], list(cols), "column", "value")
 
 
 def _unpivot_stats(wide: DataFrame, cols: Sequence[str], stats: Sequence[str]) -> DataFrame:
@@ -265,14 +276,15 @@ def vocabulary(df: DataFrame, cols: Sequence[str], max_categories: int = 256) ->
     return parts.withColumn("ordinal", (F.dense_rank().over(w) - 1).cast("int"))
 
 
-def distribution_profile(df: DataFrame, cols: Sequence[str], skew_threshold: float = 1.0) -> DataFrame:
+def distribution_profile(df: DataFrame, cols: Sequence[str], skew_threshold: float = 0.5) -> DataFrame:
     """Long (column, n, mean, variance, skewness, median, log_recommended) in one aggregate."""
     x = df.select(*[C.nan_to_null(F.col(c).cast("double")).alias(c) for c in cols])
     aggs = []
     for c in cols:
         aggs += [F.count(c).alias(f"{c}__n"), F.avg(c).alias(f"{c}__mean"),
-                 F.var_samp(c).alias(f"{c}__variance"), F.skewness(c).alias(f"{c}__skewness"),
-                 F.median(c).alias(f"{c}__median")]
-    long = _unpivot_stats(x.agg(*aggs), cols, ["n", "mean", "variance", "skewness", "median"])
+                 F.var_samp(c).alias(f"{c}__variance"), F.skewness(c).alias(f"{c}__skewness")]
+    long = _unpivot_stats(x.agg(*aggs), cols, ["n", "mean", "variance", "skewness"])
+    med = R.exact_percentiles(_long_values(df, cols), "value", [0.5], ["column"], names=["median"])
+    long = long.join(med, "column", "left")
     return long.select("column", F.col("n").cast("bigint").alias("n"), "mean", "variance", "skewness", "median",
                        F.coalesce(F.abs("skewness") > skew_threshold, F.lit(False)).alias("log_recommended"))

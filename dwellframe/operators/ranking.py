@@ -122,3 +122,80 @@ def lex_le(cols: Sequence[str], values: Sequence) -> Column:
     if len(cols) == 1:
         return c0 <= v0
     return (c0 < v0) | ((c0 == v0) & lex_le(cols[1:], values[1:]))
+
+
+# ------------------------------------------------------------- grouped ranks
+GKEY = "__gk"
+
+
+def grouped_rank(df: DataFrame, group_cols: Sequence[str], num_col: str, tie_cols: Sequence[str] = (),
+                 out: str = "rank", size_out: str = "group_n", n_buckets: int = 64,
+                 max_groups: int = 10_000) -> DataFrame:
+    """Exact 1-based rank by (num_col, *tie_cols) within each group, plus the group size.
+
+    Per-group bucket edges come from one ``percentile_approx`` aggregate; the
+    edge table (groups x n_buckets doubles) is broadcast after its size is
+    checked (``max_groups``).  Rows then shuffle by (group, bucket), so a large
+    group is spread over ``n_buckets`` tasks instead of one.  Offsets come from
+    the per-bucket counts.  ``num_col`` must be non-null.
+    """
+    g = list(group_cols) or [GKEY]
+    d = df if group_cols else df.withColumn(GKEY, F.lit(0))
+    probs = [i / n_buckets for i in range(1, n_buckets)]
+    edges = d.groupBy(*g).agg(F.percentile_approx(F.col(num_col).cast("double"), probs, 10_000).alias("__edges"),
+                              F.count(F.lit(1)).alias(size_out))
+    n_groups = edges.count()
+    if n_groups > max_groups:
+        raise ValueError(f"{n_groups} groups exceed max_groups={max_groups}; rank by a window instead")
+    b = d.join(F.broadcast(edges), g).withColumn(
+        BUCKET, F.size(F.filter("__edges", lambda e: e < F.col(num_col).cast("double"))))
+    counts = b.groupBy(*g, BUCKET).agg(F.count(F.lit(1)).alias("__cnt"))
+    offs = counts.select(*g, BUCKET, (F.sum("__cnt").over(Window.partitionBy(*g).orderBy(BUCKET))
+                                      - F.col("__cnt")).alias("__off"))
+    w = Window.partitionBy(*g, BUCKET).orderBy(*[F.col(c) for c in (num_col, *tie_cols)])
+    res = (b.drop("__edges").join(F.broadcast(offs), [*g, BUCKET])
+           .withColumn(out, F.row_number().over(w) + F.col("__off"))
+           .drop("__off", BUCKET))
+    return res if group_cols else res.drop(GKEY)
+
+
+def grouped_ntile(df: DataFrame, group_cols: Sequence[str], num_col: str, k: int, tie_cols: Sequence[str] = (),
+                  out: str = "ntile") -> DataFrame:
+    """SQL ``ntile(k) over (partition by group order by num_col, ties)`` without a per-group task."""
+    r = grouped_rank(df, group_cols, num_col, tie_cols, out="__r", size_out="__n")
+    return r.withColumn(out, ntile_from_rank("__r", F.col("__n"), k)).drop("__r", "__n")
+
+
+def exact_percentiles(df: DataFrame, value_col: str, probs: Sequence[float],
+                      group_cols: Sequence[str] = (), names: Sequence[str] | None = None) -> DataFrame:
+    """Exact linear-interpolation percentiles (numpy/``percentile``/``quantile_cont``) per group.
+
+    Built on :func:`grouped_rank`; only the two rows around each requested
+    position per group are aggregated, so no group is collected into one task.
+    """
+    names = list(names or [f"p{int(round(p * 100))}" for p in probs])
+    d = df.filter(F.col(value_col).isNotNull() & ~F.isnan(F.col(value_col).cast("double")))
+    r = grouped_rank(d, group_cols, value_col, out="__r", size_out="__n")
+    conds = []
+    aggs = []
+    for p, nm in zip(probs, names):
+        h = (F.col("__n") - 1) * F.lit(float(p))
+        lo, hi = F.floor(h) + 1, F.ceil(h) + 1
+        conds += [F.col("__r") == lo, F.col("__r") == hi]
+        aggs += [F.max(F.when(F.col("__r") == lo, F.col(value_col))).alias(f"{nm}__lo"),
+                 F.max(F.when(F.col("__r") == hi, F.col(value_col))).alias(f"{nm}__hi"),
+                 F.max(h - F.floor(h)).alias(f"{nm}__f")]
+    keep = conds[0]
+    for c in conds[1:]:
+        keep = keep | c
+    grouped = r.filter(keep).groupBy(*group_cols) if group_cols else r.filter(keep).groupBy()
+    a = grouped.agg(*aggs)
+    return a.select(*group_cols, *[(F.col(f"{nm}__lo") + F.col(f"{nm}__f") * (F.col(f"{nm}__hi") - F.col(f"{nm}__lo")))
+                                   .cast("double").alias(nm) for nm in names])
+
+
+def column_modes(long_df: DataFrame, group_col: str = "column", value_col: str = "value") -> DataFrame:
+    """Most frequent value per group, lowest value on ties (distributed: count per value, then max)."""
+    cnt = long_df.filter(F.col(value_col).isNotNull()).groupBy(group_col, value_col).agg(F.count(F.lit(1)).alias("c"))
+    best = cnt.groupBy(group_col).agg(F.max(F.struct(F.col("c"), (-F.col(value_col)).alias("neg"))).alias("m"))
+    return best.select(group_col, (-F.col("m.neg")).alias("mode"))

@@ -4,3 +4,5 @@ from . import q_clinical  # noqa: F401
 from . import q_intake  # noqa: F401
 from . import q_split  # noqa: F401
 from . import q_prep  # noqa: F401
+from . import q_eval  # noqa: F401
+from . import q_text  # noqa: F401

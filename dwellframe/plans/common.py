@@ -17,11 +17,23 @@ def v(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return views.view(spark, sf, name)
 
 
+def round_binary(c, digits: int = DIGITS):
+    """Round half away from zero on the binary value: sign(x) * floor(|x| * 10^d + 0.5) / 10^d.
+
+    This is how the DuckDB oracle rounds doubles (``round(x, d)``); Spark's own
+    ``round`` rounds the shortest decimal text instead, so the two disagree on
+    values such as 2.0440875.  Magnitudes beyond 1e12 are left as they are.
+    """
+    x = F.col(c) if isinstance(c, str) else c
+    m = float(10 ** digits)
+    r = F.signum(x) * F.floor(F.abs(x) * m + 0.5).cast("double") / m
+    return F.when(F.abs(x) < 1e12, r).otherwise(x) + F.lit(0.0)
+
+
 def r6(df: DataFrame, cols: Iterable[str] | None = None, digits: int = DIGITS) -> DataFrame:
     """Round double columns for engine-independent comparison (``+ 0.0`` folds -0.0)."""
     names = set(cols) if cols is not None else {c for c, t in df.dtypes if t in ("double", "float")}
-    return df.select(*[(F.round(F.col(c), digits) + F.lit(0.0)).alias(c) if c in names else F.col(c)
-                       for c in df.columns])
+    return df.select(*[round_binary(c, digits).alias(c) if c in names else F.col(c) for c in df.columns])
 
 
 def values_sql(rows: Sequence[Sequence], cols: Sequence[str]) -> str:

@@ -58,7 +58,7 @@ def _dist_sql(c):
     return (f"select '{c}' as \"column\", count({c}) as n, {_r(f'avg({c})')} as mean, {_r(f'var_samp({c})')} as variance, "
             f"{_r(f'avg(power({c} - mu, 3)) / power(avg(power({c} - mu, 2)), 1.5e0)')} as skewness, "
             f"{_r(f'median({c})')} as median, "
-            f"coalesce(abs(avg(power({c} - mu, 3)) / power(avg(power({c} - mu, 2)), 1.5e0)) > 1e0, false) as log_recommended "
+            f"coalesce(abs(avg(power({c} - mu, 3)) / power(avg(power({c} - mu, 2)), 1.5e0)) > 0.5e0, false) as log_recommended "
             f"from (select cast({c} as double) as {c}, mu from (select *, {S.DERIVED} from cohort) b, "
             f"(select avg(cast({c} as double)) as mu from (select *, {S.DERIVED} from cohort) b2) m) t")
 

@@ -103,6 +103,12 @@ select patient_id, 'ktv' as target, m.model as model, gender, ktv as y_true,
 from cohort cross join (select 'linear' as model, 0.15e0 as bias, 50e0 as noise
   union all select 'forest', 0.05e0, 80e0 union all select 'boosted', 0.2e0, 120e0) m
 where ktv is not null
+""",
+    "quantile_preds": """
+select patient_id, target, model, 0.1e0 as quantile, 0 as q_pos, y_true, y_pred - 0.16e0 as y_pred from predictions
+union all select patient_id, target, model, 0.45e0, 1, y_true, y_pred - 0.02e0 from predictions
+union all select patient_id, target, model, 0.55e0, 2, y_true, y_pred + 0.02e0 from predictions
+union all select patient_id, target, model, 0.9e0, 3, y_true, y_pred + 0.16e0 from predictions
 """,
     "pet_scores": """
 select o_orderkey as patient_id, o_orderkey % 4 as y_class,
@@ -124,6 +130,7 @@ VIEW_DEPS: dict[str, tuple[str, ...]] = {
     "raw_text": ("lineitem",),
     "predictions": ("cohort",),
     "pet_scores": ("orders",),
+    "quantile_preds": ("predictions",),
 }
 
 
