@@ -8,3 +8,4 @@ from . import q_eval  # noqa: F401
 from . import q_text  # noqa: F401
 from . import q_select  # noqa: F401
 from . import q_models  # noqa: F401
+from . import q_scores  # noqa: F401
