@@ -9,3 +9,4 @@ from . import q_text  # noqa: F401
 from . import q_select  # noqa: F401
 from . import q_models  # noqa: F401
 from . import q_scores  # noqa: F401
+from . import q_stream  # noqa: F401

@@ -60,8 +60,8 @@ union all select 3, 347e0 union all select 4, 398e0
 """,
     "times": """
 select o_orderkey as patient_id,
-  concat(lpad(cast(o_orderkey % 25 as varchar(4)), 2, '0'), ':', lpad(cast(o_orderkey % 60 as varchar(4)), 2, '0')) as inflow,
-  concat(lpad(cast(o_custkey % 24 as varchar(4)), 2, '0'), ':', lpad(cast(o_custkey % 60 as varchar(4)), 2, '0')) as outflow
+  {inflow} as inflow,
+  {outflow} as outflow
 from orders
 """,
     "regimen": """
@@ -118,6 +118,22 @@ from orders
 """,
 }
 
+TIMES_EXPR = {
+    "inflow": "concat(lpad(cast({p}o_orderkey % 25 as varchar(4)), 2, '0'), ':', "
+              "lpad(cast({p}o_orderkey % 60 as varchar(4)), 2, '0'))",
+    "outflow": "concat(lpad(cast({p}o_custkey % 24 as varchar(4)), 2, '0'), ':', "
+               "lpad(cast({p}o_custkey % 60 as varchar(4)), 2, '0'))",
+}
+VIEW_SQL["times"] = VIEW_SQL["times"].format(inflow=TIMES_EXPR["inflow"].format(p=""),
+                                             outflow=TIMES_EXPR["outflow"].format(p=""))
+
+
+def record_stream_sql() -> str:
+    """Cohort shaping plus the dwell times of the same order row (one projection, no second stream)."""
+    extra = ",\n  ".join(f"{e.format(p='o.')} as {n}" for n, e in TIMES_EXPR.items())
+    return VIEW_SQL["cohort"].replace("\nfrom orders o join customer c", f",\n  {extra}\nfrom orders o join customer c")
+
+
 # view -> views/tables it reads
 VIEW_DEPS: dict[str, tuple[str, ...]] = {
     "cohort": ("orders", "customer"),
