@@ -10,3 +10,4 @@ from . import q_select  # noqa: F401
 from . import q_models  # noqa: F401
 from . import q_scores  # noqa: F401
 from . import q_stream  # noqa: F401
+from . import q_crf  # noqa: F401
