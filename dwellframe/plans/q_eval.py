@@ -169,3 +169,20 @@ from (select patient_id, case when pet is null then null when pet < {PET_CUTS[0]
 def pet_class(spark, sf):
     df = v(spark, sf, "cohort").select("patient_id", EV.pet_class("pet", PET_CUTS).alias("pet_class"))
     return df.withColumn("pet_label", TX.class_label(F.col("pet_class")))
+
+
+@query("class_label", covers=("H23",), sql=cte("pet_scores") + """
+select patient_id, cast(y_class + p_class as integer) as idx,
+  case y_class + p_class when 0 then 'Low' when 1 then 'Low Average' when 2 then 'High Average' when 3 then 'High'
+    else 'Class ' || cast(y_class + p_class as varchar) end as label
+from pet_scores""")
+def class_label(spark, sf):
+    p = v(spark, sf, "pet_scores").select("patient_id", (F.col("y_class") + F.col("p_class")).cast("int").alias("idx"))
+    return p.withColumn("label", TX.class_label(F.col("idx")))
+
+
+@query("bootstrap_interval", covers=("D21",))
+def bootstrap_interval(spark, sf):
+    """Poisson-bootstrap 95% intervals of MAE per model: replicate weights from a seeded key hash,
+    all replicates summed in one aggregate (no row duplication)."""
+    return EV.poisson_bootstrap_mae(v(spark, sf, "predictions"), n_boot=100, seed=42)

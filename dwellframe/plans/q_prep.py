@@ -117,3 +117,74 @@ def label_encode(spark, sf):
     s = SP.seeded_split(v(spark, sf, "cohort"), "patient_id", TEST_SIZE, SEED)
     model = PR.fit_prep(s.train, numeric=[], categorical=CATS, encoding="label", derive=False)
     return PR.apply_prep(s.test, model, keep_targets=False).select("patient_id", *CATS)
+
+
+_AL_NUMS = ("age", "weight_kg", "residual_rf", "charlson_index")
+
+
+def _align_sql():
+    stats = ", ".join(f"avg(cast({c} as double)) as {c}__m, stddev_pop(cast({c} as double)) as {c}__s" for c in _AL_NUMS)
+    feats = []
+    for c in _AL_NUMS:
+        if c == "weight_kg":
+            feats.append(f"cast(null as double) as {c}")
+        else:
+            feats.append(f"{_r(f'(cast(t.{c} as double) - s.{c}__m) / coalesce(nullif(s.{c}__s, 0e0), 1e0)')} as {c}")
+    onehot = ", ".join(f"cast(coalesce(coalesce(t.modality, 'missing') = '{k}', false) as double) as modality_{k}"
+                       for k in VOCAB["modality"])
+    extra = RANKED + [
+        ("base", f"select c.* replace (case when c.residual_rf > -1 then ln(1 + c.residual_rf) end as residual_rf), "
+                 f"{S.DERIVED} from cohort c"),
+        ("train", f"select b.* from base b join ranked r on b.patient_id = r.patient_id where not ({IS_TEST})"),
+        ("test", f"select b.* from base b join ranked r on b.patient_id = r.patient_id where {IS_TEST}"),
+        ("s", f"select {stats} from train")]
+    return cte("cohort", extra=extra) + f"select t.patient_id, {', '.join(feats)}, {onehot} from test t, s"
+
+
+@query("align_columns", covers=("B6", "B7", "B16", "C9", "I7"), sql=_align_sql())
+def align_columns(spark, sf):
+    """Fitted preparation applied to new rows that lack a fitted input (weight) and carry extra columns:
+    the missing numeric input is NULL before scaling, extra columns are dropped, fitted order kept."""
+    s = SP.seeded_split(v(spark, sf, "cohort"), "patient_id", TEST_SIZE, SEED)
+    model = PR.fit_prep(s.train, numeric=_AL_NUMS, categorical=["modality"], imputation="none",
+                        log_features=["residual_rf"])
+    new_rows = s.test.drop("weight_kg").withColumn("unexpected_column", F.lit("x"))
+    return r6(PR.apply_prep(new_rows, model, keep_targets=False))
+
+
+@query("row_alignment", covers=("C5",), sql=cte("cohort", extra=RANKED) + f"""
+select c.patient_id, c.pet from cohort c join ranked r on c.patient_id = r.patient_id
+where {IS_TEST} and c.pet is not null and c.ktv is not null""")
+def row_alignment(spark, sf):
+    """Feature rows aligned to the rows that have both targets (left semi join on the key)."""
+    s = SP.seeded_split(v(spark, sf, "cohort"), "patient_id", TEST_SIZE, SEED)
+    model = PR.fit_prep(s.train, numeric=["age"], categorical=[], imputation="mean")
+    x = PR.apply_prep(s.test, model, keep_targets=False)
+    y = s.test.filter(F.col("pet").isNotNull() & F.col("ktv").isNotNull()).select("patient_id", "pet")
+    return x.join(y, "patient_id", "left_semi").join(y, "patient_id").select("patient_id", "pet")
+
+
+_MM = ("age", "weight_kg", "bmi", "charlson_index", "mi")
+
+
+def _minmax_sql():
+    stats = ", ".join(f"min(cast({c} as double)) as {c}__lo, max(cast({c} as double)) as {c}__hi" for c in _MM)
+    feats = ", ".join(
+        f"{_r(f'case when s.{c}__hi - s.{c}__lo = 0 then case when t.{c} is not null then -1e0 end else (cast(t.{c} as double) - s.{c}__lo) / (s.{c}__hi - s.{c}__lo) * 2e0 + -1e0 end')} as {c}"
+        for c in _MM)
+    extra = RANKED + [
+        ("base", f"select c.*, {S.DERIVED} from cohort c"),
+        ("train", f"select b.* from base b join ranked r on b.patient_id = r.patient_id where not ({IS_TEST}) and b.mi = 0"),
+        ("test", f"select b.* from base b join ranked r on b.patient_id = r.patient_id where {IS_TEST}"),
+        ("s", f"select {stats} from train")]
+    return cte("cohort", extra=extra) + f"select t.patient_id, {feats} from test t, s"
+
+
+@query("minmax_scale", covers=("D3", "I4"), sql=_minmax_sql())
+def minmax_scale(spark, sf):
+    """Min-max to [-1, 1] fitted on train rows (constant column ``mi`` there -> lower bound), applied to test."""
+    s = SP.seeded_split(v(spark, sf, "cohort"), "patient_id", TEST_SIZE, SEED)
+    train = s.train.filter(F.col("mi") == 0)
+    model = PR.fit_prep(train, numeric=_MM, categorical=[], imputation="none", scaling="minmax",
+                        minmax_range=(-1.0, 1.0))
+    return r6(PR.apply_prep(s.test, model, keep_targets=False))
