@@ -47,13 +47,13 @@ def valid_shifts(shifts: DataFrame, bags: DataFrame) -> DataFrame:
     return j.filter(shift_is_valid(j))
 
 
-def shift_osmolarity(shifts: DataFrame, bags: DataFrame, key: str = "patient_id") -> DataFrame:
+def shift_osmolarity(shifts: DataFrame, bags: DataFrame, key: str = "patient_id", on: str = "bag_no") -> DataFrame:
     """Per patient: volume-weighted mean osmolarity sum(osm*v*n)/sum(v*n) over valid shifts.
 
     Zero valid volume -> NULL.  One aggregate with partial (map-side) combine.
     """
-    j = bag_lookup(shifts, bags)
-    ok = shift_is_valid(j)
+    j = bag_lookup(shifts, bags, on)
+    ok = shift_is_valid(j, bag=on)
     vol = _as_double(j, "volume_l", P.number_prefix) * F.col("cycles").cast("double")
     return (j.groupBy(key)
             .agg(F.sum(F.when(ok, F.col("osm") * vol)).alias("weighted_osm"),
@@ -67,14 +67,14 @@ def shift_osmolarity(shifts: DataFrame, bags: DataFrame, key: str = "patient_id"
 
 def osmolarity(regimen: DataFrame, shifts: DataFrame, bags: DataFrame, key: str = "patient_id",
                modality: str = "modality", capd_bag: str = "capd_bag_no",
-               day_bag: str = "ccpd_day_bag_no") -> DataFrame:
+               day_bag: str = "ccpd_day_bag_no", on: str = "bag_no") -> DataFrame:
     """Modality dispatch (upper-cased): CAPD -> its bag; NIPD -> shifts; CCPD -> day bag if set,
     else night shifts; other -> NULL.  Adds ``pdf_osmolarity`` and ``osm_reason``."""
-    agg = shift_osmolarity(shifts, bags, key).select(key, "shift_osmolarity", "total_volume_l")
-    b = F.broadcast(bags.select("bag_no", "osm"))
-    r = (regimen.join(b.withColumnRenamed("bag_no", capd_bag).withColumnRenamed("osm", "capd_osm"),
+    agg = shift_osmolarity(shifts, bags, key, on).select(key, "shift_osmolarity", "total_volume_l")
+    b = F.broadcast(bags.select(on, "osm"))
+    r = (regimen.join(b.withColumnRenamed(on, capd_bag).withColumnRenamed("osm", "capd_osm"),
                       capd_bag, "left")
-         .join(b.withColumnRenamed("bag_no", day_bag).withColumnRenamed("osm", "day_osm"), day_bag, "left")
+         .join(b.withColumnRenamed(on, day_bag).withColumnRenamed("osm", "day_osm"), day_bag, "left")
          .join(agg, key, "left"))
     m = F.upper(F.col(modality))
     capd_val = F.when(C.is_finite(F.col("capd_osm")), F.col("capd_osm"))
