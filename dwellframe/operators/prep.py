@@ -74,15 +74,16 @@ def log1p_violations(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
 
 
 def _transform_base(df: DataFrame, model: PrepModel, *, check_log: bool = True) -> DataFrame:
+    """Derivations, then log1p.  With ``check_log`` a value < -1 fails the job that reads it
+    (``raise_error`` inside the projection: no separate validation pass); without it (streams)
+    such a value becomes NULL."""
     if model.derive:
         df = cohort_ops.derive_features(df)
     logs = [c for c in model.log_features if c in df.columns]
-    if logs and check_log:
-        bad = {c: n for c, n in log1p_violations(df, logs).items() if n}
-        if bad:
-            raise ValueError(f"Cannot apply log1p to columns with values < -1: {bad}")
     if logs:
-        df = df.withColumns({c: C.log1p_guarded(F.col(c).cast("double")) for c in logs})
+        fn = (lambda c: C.log1p_checked(F.col(c).cast("double"), c)) if check_log else \
+            (lambda c: C.log1p_guarded(F.col(c).cast("double")))
+        df = df.withColumns({c: fn(c) for c in logs})
     return df
 
 
@@ -137,17 +138,15 @@ def fit_prep(df: DataFrame, *, targets: Sequence[str] = ("ktv", "pet"), numeric:
             centre, scale = mn, (rng if rng not in (None, 0.0) else None)
         model.params.append({"feature": c, "kind": "numeric", "impute_value": impute[c], "centre": centre,
                              "scale": scale, "lo": lo, "hi": hi, "source": c})
-    # vocabulary: bounded distinct per categorical column (NULL -> "missing")
-    for c in categorical:
-        if c not in base.columns:
-            continue
-        vals = [r[0] for r in base.select(F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias(c))
-                .distinct().limit(max_categories + 1).collect()]
-        if len(vals) > max_categories:
-            raise ValueError(f"categorical column {c!r} has more than {max_categories} categories")
-        for i, cat in enumerate(sorted(vals)):
-            model.params.append({"feature": f"{c}_{cat}" if encoding == "one_hot" else c,
-                                 "kind": encoding, "category": cat, "ordinal": i, "source": c})
+    # vocabulary: one distributed job for all categorical columns, bounded by max_categories each
+    cats = [c for c in categorical if c in base.columns]
+    if cats:
+        vocab = vocabulary(base, cats, max_categories).collect()  # <= len(cats) * max_categories rows
+        for c in cats:
+            for r in sorted((r for r in vocab if r["column"] == c), key=lambda r: r["ordinal"]):
+                model.params.append({"feature": f"{c}_{r['category']}" if encoding == "one_hot" else c,
+                                     "kind": encoding, "category": r["category"], "ordinal": r["ordinal"],
+                                     "source": c})
     model.feature_columns = feature_columns(model)
     return model
 
