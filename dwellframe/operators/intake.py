@@ -152,3 +152,94 @@ def derived_record(cohort: DataFrame, regimen: DataFrame, shifts: DataFrame, tim
             .join(osm.select(key, "pdf_osmolarity"), key, "left")
             .join(dwell, key, "left")
             .join(labs, key, "left"))
+
+
+# ------------------------------------------------------------ nested records
+INTAKE_SCHEMA = (
+    "record_id string, "
+    "patient struct<age:string,heightValue:string,heightUnit:string,weightValue:string,weightUnit:string>, "
+    "comorbidities map<string,boolean>, "
+    "regimen struct<modality:string,capdBagId:string,capdVolumeL:string,"
+    "nipdShifts:array<struct<bagId:string,volumeL:string,count:string>>,ccpdDayBagId:string,"
+    "ccpdNightShifts:array<struct<bagId:string,volumeL:string,count:string>>>, "
+    "times struct<inflow:string,outflow:string>, "
+    "labs map<string,struct<value:string,unit:string>>"
+)
+
+
+def _literal_map(pairs) -> Column:
+    items = [x for k, v in pairs for x in (F.lit(k), F.lit(v))]
+    return F.create_map(*items) if items else F.create_map()
+
+
+def derive_nested(records: DataFrame, bags: DataFrame, lab_units: DataFrame, factors: DataFrame,
+                  default_height_unit: str = "cm", default_weight_unit: str = "kg") -> DataFrame:
+    """Intake form records (nested, as in ``INTAKE_SCHEMA``) -> one wide derived row each.
+
+    Shifts and labs are short arrays/maps inside one record, so they are
+    handled with higher-order functions (``filter``/``aggregate``/map lookups)
+    — no explode, no shuffle.  The dictionaries (fixed size) become map
+    literals.
+    """
+    bag_osm = _literal_map((r["bag_id"], float(r["osm"])) for r in bags.select("bag_id", "osm").collect())
+    expected = _literal_map((r["analyte"], r["expected"]) for r in lab_units.collect())
+    fac = F.create_map(*[x for r in factors.collect() for x in (
+        F.lit(f"{r['analyte']}:{r['from_unit']}->{r['to_unit']}"),
+        F.struct(F.lit(float(r["factor"])).alias("factor"), F.lit(r["op"]).alias("op")))])
+
+    pt = F.col("patient")
+    age = P.to_number(pt["age"])
+    h_unit = F.coalesce(F.nullif(pt["heightUnit"], F.lit("")), F.lit(default_height_unit))
+    w_unit = F.coalesce(F.nullif(pt["weightUnit"], F.lit("")), F.lit(default_weight_unit))
+    height = C.normalize_height(P.to_number(pt["heightValue"]), h_unit)
+    weight = C.normalize_weight(P.to_number(pt["weightValue"]), w_unit)
+    bmi = F.when(C.is_finite(weight) & C.is_finite(height) & (height > 0), weight / F.pow(height / 100.0, 2))
+
+    com = F.col("comorbidities")
+    w = C.CCI_BASE_WEIGHTS
+    cci = F.lit(0)
+    for flag, code in C.CALCULATOR_FLAG_CODES.items():
+        cci = cci + F.when(F.coalesce(com[flag], F.lit(False)), F.lit(w.get(code, 0))).otherwise(F.lit(0))
+    cci = (cci + F.lit(w[C.RENAL_CODE]) + F.coalesce(F.when(C.is_finite(age), C.age_points(age)), F.lit(0))).cast("int")
+
+    def shifts_mean(arr):
+        def vol(s):
+            return P.number_prefix(s["volumeL"])
+
+        def cnt(s):
+            return P.int_prefix(s["count"])
+
+        ok = F.filter(F.coalesce(arr, F.array().cast(arr_type)), lambda s: F.coalesce(
+            (F.coalesce(s["bagId"], F.lit("")) != "") & bag_osm[s["bagId"]].isNotNull() & (vol(s) > 0) & (cnt(s) > 0),
+            F.lit(False)))
+        tot = F.aggregate(ok, F.lit(0.0), lambda a, s: a + vol(s) * cnt(s))
+        wsum = F.aggregate(ok, F.lit(0.0), lambda a, s: a + bag_osm[s["bagId"]] * vol(s) * cnt(s))
+        return F.when(tot > 0, wsum / tot)
+
+    arr_type = "array<struct<bagId:string,volumeL:string,count:string>>"
+    rg = F.col("regimen")
+    m = F.upper(rg["modality"])
+    has = lambda c: F.coalesce(c != "", F.lit(False))
+    osm = (F.when(m == "CAPD", F.when(has(rg["capdBagId"]), bag_osm[rg["capdBagId"]]))
+           .when(m == "NIPD", shifts_mean(rg["nipdShifts"]))
+           .when(m == "CCPD", F.when(has(rg["ccpdDayBagId"]), bag_osm[rg["ccpdDayBagId"]])
+                 .otherwise(shifts_mean(rg["ccpdNightShifts"]))))
+
+    tm = F.col("times")
+    dwell = F.when(has(tm["inflow"]) & has(tm["outflow"]), P.dwell_minutes(tm["inflow"], tm["outflow"]))
+
+    labs = {}
+    for field in D.LAB_FIELDS:
+        payload = F.col("labs")[field]
+        to_u = F.trim(F.coalesce(F.nullif(expected[field], F.lit("")), F.nullif(payload["unit"], F.lit("")), F.lit("")))
+        from_u = F.trim(F.coalesce(F.nullif(payload["unit"], F.lit("")), to_u))
+        v = P.to_number(payload["value"])
+        rule = fac[F.concat(F.lit(field + ":"), F.lower(from_u), F.lit("->"), F.lower(to_u))]
+        same = F.lower(from_u) == F.lower(to_u)
+        conv = (F.when((from_u == "") | (to_u == "") | same | rule.isNull(), v)
+                .when(rule["op"] == "mul", v * rule["factor"]).otherwise(v / rule["factor"]))
+        labs[field] = F.when(payload.isNotNull() & v.isNotNull(), conv)
+
+    return records.select("record_id", age.alias("age"), height.alias("height_cm"), weight.alias("weight_kg"),
+                          bmi.alias("bmi"), cci.alias("charlson_index"), osm.alias("pdf_osmolarity"),
+                          dwell.alias("dwell_time_minutes"), *[c.alias(k) for k, c in labs.items()])

@@ -97,10 +97,74 @@ def means_and_scales(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[floa
     return {c: (row[f"{c}__m"] or 0.0, row[f"{c}__s"] or 0.0) for c in cols}
 
 
+WIDE_P = 40
+
+
+def gram_arrow(df: DataFrame, features: Sequence[str], target: str, fold: str,
+               shift: dict[str, float]) -> DataFrame:
+    """Wide-p Gram: per-partition numpy cross products (Arrow batches), summed by a ``groupBy``.
+
+    Emits (fold, idx, value) with idx over [n, Σy, Σy², Σx (p), Σxy (p), Σxxᵀ upper triangle];
+    each partition contributes k x O(p²) rows, combined map-side before the shuffle.
+    Rows must be free of NULLs in features and target (callers drop them).
+    """
+    import numpy as np
+    import pandas as pd
+
+    p = len(features)
+    xs = np.array([shift.get(c, 0.0) for c in features])
+    ys = shift.get(target, 0.0)
+    iu = np.triu_indices(p)
+
+    def part(batches):
+        acc: dict = {}
+        for pdf in batches:
+            for f, g in pdf.groupby(fold, sort=False):
+                X = g[list(features)].to_numpy(dtype="float64") - xs
+                y = g[target].to_numpy(dtype="float64") - ys
+                vec = np.concatenate([[len(y), y.sum(), y @ y], X.sum(0), X.T @ y, (X.T @ X)[iu]])
+                acc[f] = acc[f] + vec if f in acc else vec
+        for f, vec in acc.items():
+            yield pd.DataFrame({fold: f, "idx": np.arange(len(vec), dtype="int32"), "value": vec})
+
+    sel = df.select(F.col(fold), *[F.col(c).cast("double") for c in features], F.col(target).cast("double"))
+    schema = f"{fold} {dict(df.dtypes)[fold]}, idx int, value double"
+    return sel.mapInPandas(part, schema).groupBy(fold, "idx").agg(F.sum("value").alias("value"))
+
+
+def _collect_gram_arrow(df, features, target, fold, shift) -> GramStats:
+    p = len(features)
+    iu = np.triu_indices(p)
+    rows = gram_arrow(df, features, target, fold, shift).collect()  # k x O(p²) numbers
+    folds = sorted({r[fold] for r in rows})
+    size = 3 + 2 * p + len(iu[0])
+    vec = {f: np.zeros(size) for f in folds}
+    for r in rows:
+        vec[r[fold]][r["idx"]] = r["value"]
+    k = len(folds)
+    n, sy, syy = np.zeros(k), np.zeros(k), np.zeros(k)
+    sx, sxy, sxx = np.zeros((k, p)), np.zeros((k, p)), np.zeros((k, p, p))
+    for i, f in enumerate(folds):
+        v = vec[f]
+        n[i], sy[i], syy[i] = v[0], v[1], v[2]
+        sx[i], sxy[i] = v[3:3 + p], v[3 + p:3 + 2 * p]
+        m = np.zeros((p, p))
+        m[iu] = v[3 + 2 * p:]
+        sxx[i] = m + m.T - np.diag(np.diag(m))
+    return GramStats(list(features), folds, n, sx, sy, sxx, sxy, syy,
+                     np.array([shift.get(c, 0.0) for c in features]), shift.get(target, 0.0))
+
+
 def collect_gram(df: DataFrame, features: Sequence[str], target: str, fold: str,
-                 shift: dict[str, float]) -> GramStats:
-    """Run the Gram aggregate; only k rows of O(p²) numbers come back."""
+                 shift: dict[str, float], method: str = "auto") -> GramStats:
+    """Run the Gram aggregate; only k rows of O(p²) numbers come back.
+
+    ``method``: 'sql' (one aggregate of p² sums, codegen), 'arrow' (numpy per
+    partition), or 'auto' (arrow beyond ``WIDE_P`` features).
+    """
     p = len(features)
+    if method == "arrow" or (method == "auto" and p > WIDE_P):
+        return _collect_gram_arrow(df, features, target, fold, shift)
     rows = sorted(gram_frame(df, features, target, fold, shift).collect(), key=lambda r: r[fold])
     k = len(rows)
     n, sy, syy = np.zeros(k), np.zeros(k), np.zeros(k)

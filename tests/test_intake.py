@@ -95,3 +95,41 @@ def test_range_violations_fail_mode(spark):
     assert Q.range_violations(df, {"ktv": (0.5, 4.0), "absent": (0, 1)}).count() == 1
     with pytest.raises(ValueError):
         Q.range_violations(df, {"ktv": (0.5, 4.0)}, mode="fail")
+
+
+def test_nested_record_matches_reference_case(spark):
+    flags = {k: k in ("chf", "dm_cx") for k in C.CALCULATOR_FLAG_CODES}
+    rec = ("r1", ("57", "168", "cm", "70", "kg"), flags,
+           ("NIPD", "", "", [("bag_a", "2", "3"), ("bag_b", "2", "2")], "", []),
+           ("20:00", "08:00"),
+           {"pdf_urea": ("10.2", "mmol/L"), "pdf_creatinine": ("0.9", "mg/dL"), "pdf_protein": ("0.15", "g/dL"),
+            "urine_protein_creatinine": ("12", "mg/mg"), "blood_urea": ("25", "mg/dL"),
+            "blood_creatinine": ("7.2", "mg/dL"), "blood_albumin": ("3.6", "g/dL"), "blood_protein": ("6.5", "g/dL")})
+    df = spark.createDataFrame([rec], I.INTAKE_SCHEMA)
+    bags = spark.createDataFrame([("bag_a", 346.0), ("bag_b", 396.0)], "bag_id string, osm double")
+    r = I.derive_nested(df, bags, D.lab_units(spark), D.unit_factors(spark)).first()
+    assert abs(r.bmi - 24.8) < 0.05 and r.charlson_index == 6
+    assert abs(r.pdf_osmolarity - 366) < 0.2 and r.dwell_time_minutes == 720
+    assert abs(r.pdf_creatinine - 79.56) < 0.01 and abs(r.pdf_protein - 1.5) < 0.01
+    assert abs(r.urine_protein_creatinine - 1357.44) < 0.5 and abs(r.blood_urea - 4.1625) < 0.01
+    assert abs(r.blood_creatinine - 636.48) < 0.05 and abs(r.blood_albumin - 36) < 0.01
+    assert abs(r.blood_protein - 65) < 0.1 and r.pdf_urea == 10.2
+
+
+def test_nested_equals_long_form(spark):
+    """Same shifts through the nested (higher-order functions) and long (explode-free join + groupBy) paths."""
+    bags = D.bags(spark)
+    ids = [r.bag_id for r in bags.orderBy("bag_no").collect()]
+    shifts = [[(ids[0], "2", "3"), (ids[1], "1.5L", "2")], [(ids[2], "2", "0"), ("unknown", "2", "1")],
+              [(ids[3], "2.5", "1"), (ids[4], "1", "4"), (ids[0], "0", "2")]]
+    recs = [(f"r{i}", ("60", "170", "cm", "70", "kg"), {}, ("NIPD", None, None, s, None, None), ("10:00", "12:00"), {})
+            for i, s in enumerate(shifts)]
+    nested = {r.record_id: r.pdf_osmolarity for r in
+              I.derive_nested(spark.createDataFrame(recs, I.INTAKE_SCHEMA), bags, D.lab_units(spark),
+                              D.unit_factors(spark)).collect()}
+    long = spark.createDataFrame([(f"r{i}", b, v, c) for i, s in enumerate(shifts) for b, v, c in s],
+                                 "patient_id string, bag_id string, volume_l string, cycles string")
+    agg = {r.patient_id: r.shift_osmolarity for r in I.shift_osmolarity(long, bags, on="bag_id").collect()}
+    assert set(nested) == set(agg)
+    for k in nested:
+        assert (nested[k] is None and agg[k] is None) or abs(nested[k] - agg[k]) < 1e-9

@@ -69,3 +69,15 @@ def test_top_coefficients_rule(spark):
 def test_selected_union(spark):
     sel = spark.createDataFrame([("ktv", "a"), ("ktv", "b"), ("pet", "b")], "target string, feature string")
     assert [r.feature for r in SL.selected_union(sel).collect()] == ["a", "b"]
+
+
+def test_gram_arrow_matches_sql(spark):
+    df, _ = _synthetic(spark)
+    feats = ["signal_one", "signal_two", "noise"]
+    shift = {"signal_one": 0.1, "noise": -0.2, "ktv": 0.5}
+    a = SL.collect_gram(df.repartition(3), feats, "ktv", "fold", shift, method="sql")
+    b = SL.collect_gram(df.repartition(5), feats, "ktv", "fold", shift, method="arrow")
+    assert a.folds == b.folds
+    for x, y in zip(a.total(), b.total()):
+        assert np.allclose(x, y)
+    assert np.allclose(a.sxx, b.sxx) and np.allclose(a.n, b.n)
