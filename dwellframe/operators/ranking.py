@@ -109,8 +109,16 @@ def kth_smallest(df: DataFrame, num_col: str, tie_cols: Sequence[str], k: int,
             acc += c
         k -= acc
         cur = b.filter(F.col(BUCKET) == bid).drop(BUCKET)
-        if c <= max_rows_in_task or len(counts) == 1:
+        if c <= max_rows_in_task:
             break
+        if len(counts) == 1:
+            # the bucket cannot be split on num_col: if every row has the same order key,
+            # any of them is the k-th; never rank an unbounded bucket in one task
+            lo = cur.agg(*[F.min(x).alias(x) for x in cols]).first()
+            hi = cur.agg(*[F.max(x).alias(x) for x in cols]).first()
+            if all(lo[x] == hi[x] for x in cols):
+                return lo
+            raise ValueError("order key too concentrated to split; add a more selective tie column")
     w = Window.orderBy(*[F.col(c) for c in cols])
     row = cur.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") == k).select(*cols).first()
     return row

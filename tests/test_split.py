@@ -50,3 +50,13 @@ def test_no_leakage(spark):
     s = SP.seeded_split(_df(spark, 50), "patient_id", 0.2, 3)
     assert SP.leakage_count(s.train, s.test) == 0
     assert SP.heldout_anti(_df(spark, 50), s.test).count() == 40
+
+
+def test_kth_smallest_small_task_bound(spark):
+    from dwellframe.operators import ranking as R
+    df = spark.createDataFrame([(float(i % 50), i) for i in range(2000)], "v double, k int")
+    row = R.kth_smallest(df, "v", ["k"], 777, n_buckets=8, max_rows_in_task=100)
+    want = sorted((r.v, r.k) for r in df.collect())[776]
+    assert (row.v, row.k) == want
+    same = spark.createDataFrame([(1.0, 5)] * 500, "v double, k int")
+    assert R.kth_smallest(same, "v", ["k"], 300, n_buckets=4, max_rows_in_task=10).v == 1.0
