@@ -211,14 +211,17 @@ def _poisson1_cdf(kmax: int = 11) -> list[float]:
     return out
 
 
-def poisson_weight(key, replicate: int, seed: int) -> Column:
+def poisson_weight(key, replicate, seed: int) -> Column:
     """Poisson(1) draw by inverse CDF of a uniform taken from xxhash64(key, replicate, seed)."""
-    h = F.xxhash64(F.col(key) if isinstance(key, str) else key, F.lit(replicate), F.lit(seed))
+    k = F.col(key) if isinstance(key, str) else key
+    r = F.col(replicate) if isinstance(replicate, str) else F.lit(replicate)
+    h = F.xxhash64(k, r, F.lit(seed))
     u = (F.pmod(h, F.lit(1 << 53)).cast("double") + 0.5) / float(1 << 53)
+    cdf = _poisson1_cdf()
     expr = None
-    for k, c in enumerate(_poisson1_cdf()):
-        expr = F.when(u <= c, F.lit(k)) if expr is None else expr.when(u <= c, F.lit(k))
-    return expr.otherwise(F.lit(len(_poisson1_cdf()))).cast("double")
+    for n, c in enumerate(cdf):
+        expr = F.when(u <= c, F.lit(n)) if expr is None else expr.when(u <= c, F.lit(n))
+    return expr.otherwise(F.lit(len(cdf))).cast("double")
 
 
 def poisson_bootstrap_mae(pred: DataFrame, n_boot: int = 100, seed: int = 42, by: Sequence[str] = GROUP,
@@ -226,18 +229,20 @@ def poisson_bootstrap_mae(pred: DataFrame, n_boot: int = 100, seed: int = 42, by
                           coverage: float = 0.95) -> DataFrame:
     """Point MAE and a percentile interval over ``n_boot`` Poisson-weighted replicates.
 
-    One aggregate holds 2·n_boot weighted sums per group; the replicate table
-    (groups x n_boot values) is small and its quantiles are exact.
+    Each row meets every replicate id (``explode(sequence)``) inside the map
+    task and is folded at once by the partial aggregate of
+    ``groupBy(group, replicate)``: a task emits groups x n_boot partial sums,
+    never n_boot copies of its rows.  The replicate table then has exactly
+    ``n_boot`` values per group, so its exact percentiles are bounded.
     """
-    d = pred.filter(F.col(y).isNotNull() & F.col(p).isNotNull())
-    ae = F.abs(_err(y, p))
-    aggs = [F.avg(ae).alias("mae")]
-    for b in range(n_boot):
-        w = poisson_weight(key, b, seed)
-        aggs += [F.sum(w * ae).alias(f"s{b}"), F.sum(w).alias(f"w{b}")]
-    wide = d.groupBy(*by).agg(*aggs)
-    reps = wide.select(*by, "mae", F.explode(F.array(*[F.col(f"s{b}") / F.col(f"w{b}") for b in range(n_boot)]))
-                       .alias("rep"))
+    d = pred.filter(F.col(y).isNotNull() & F.col(p).isNotNull()).select(
+        *by, key, F.abs(_err(y, p)).alias("__ae"))
+    point = d.groupBy(*by).agg(F.avg("__ae").alias("mae"))
+    x = d.select(*by, key, "__ae", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("__b"))
+    w = poisson_weight(key, "__b", seed)
+    reps = x.groupBy(*by, "__b").agg((F.sum(w * F.col("__ae")) / F.sum(w)).alias("rep"))
     a = (1 - coverage) / 2
-    q = R.exact_percentiles(reps, "rep", [a, 1 - a], [*by], names=["lo", "hi"])
-    return wide.select(*by, "mae").join(q, list(by)).withColumn("n_boot", F.lit(n_boot))
+    q = reps.groupBy(*by).agg(F.percentile("rep", F.array(F.lit(a), F.lit(1 - a))).alias("__q"))
+    return (point.join(q, list(by))
+            .select(*by, "mae", F.col("__q")[0].alias("lo"), F.col("__q")[1].alias("hi"))
+            .withColumn("n_boot", F.lit(n_boot)))

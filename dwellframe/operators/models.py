@@ -41,6 +41,17 @@ from . import select as SL
 VEC = "features_vec"
 
 
+def parallel_map(fn, items, parallelism: int = 4) -> list:
+    """Run independent fits concurrently from driver threads (Spark schedules their jobs together),
+    as ``CrossValidator(parallelism=...)`` does; results keep the input order."""
+    from concurrent.futures import ThreadPoolExecutor
+    items = list(items)
+    if parallelism <= 1 or len(items) <= 1:
+        return [fn(x) for x in items]
+    with ThreadPoolExecutor(max_workers=min(parallelism, len(items))) as pool:
+        return list(pool.map(fn, items))
+
+
 def assemble(df: DataFrame, features: Sequence[str], out: str = VEC) -> DataFrame:
     """Vector column at the model edge only; NULLs must be imputed before (``handleInvalid='error'``)."""
     d = df.withColumns({c: F.col(c).cast("double") for c in features})
@@ -358,25 +369,31 @@ class StackedModel:
 
 
 def fit_stacking(df: DataFrame, features: Sequence[str], target: str, base_fits: Sequence, fold: str = "fold",
-                 meta_alpha: float = 1.0) -> tuple[StackedModel, DataFrame]:
+                 meta_alpha: float = 1.0, parallelism: int = 4) -> tuple[StackedModel, DataFrame]:
     """K-fold out-of-fold predictions per base model, ridge meta-learner on them.
 
     ``base_fits`` are callables ``fit(df, features, target) -> model``.  Returns
     the stacked model (bases refit on all rows) and the out-of-fold frame
     (one row per training row: its count equals n).
     """
-    d = df.filter(F.col(target).isNotNull()).na.drop(subset=list(features))
+    d = df.filter(F.col(target).isNotNull()).na.drop(subset=list(features)).persist()
     folds = sorted(r[fold] for r in d.select(fold).distinct().collect())  # k values
-    oof = None
-    for f in folds:
+
+    def fold_scores(f):
         train, hold = d.filter(F.col(fold) != f), d.filter(F.col(fold) == f)
         cur = hold
         for i, fit in enumerate(base_fits):
             cur = fit(train, features, target).predict(cur, out=f"__base{i}")
-        oof = cur if oof is None else oof.unionByName(cur)
+        return cur
+
+    parts = parallel_map(fold_scores, folds, parallelism)
+    oof = parts[0]
+    for part in parts[1:]:
+        oof = oof.unionByName(part)
     oof = cut_lineage(oof)
     meta = fit_ridge(oof, [f"__base{i}" for i in range(len(base_fits))], target, meta_alpha)
-    bases = [fit(d, features, target) for fit in base_fits]
+    bases = parallel_map(lambda fit: fit(d, features, target), base_fits, parallelism)
+    d.unpersist()
     return StackedModel(list(features), bases, meta), oof
 
 

@@ -30,7 +30,8 @@ def _matrix(spark, sf, folds: bool = False):
     te = PR.apply_prep(s.test, model)
     if folds:  # cross-validation folds within the training rows
         tr = SP.assign_folds(tr, K, "patient_id", SEED + 1)
-    return tr, te
+    # the matrices are reused by every fit: keep them (memory and disk) instead of recomputing
+    return tr.persist(), te.persist()
 
 
 def _report(spark, test, fitted: dict, target: str = "ktv"):
@@ -81,9 +82,11 @@ def quantile_boosting(spark, sf):
     """One pinball-loss booster per quantile; reports held-out pinball loss and coverage per quantile."""
     tr, te = _matrix(spark, sf)
     t = te.filter(F.col("ktv").isNotNull())
+    qs = (0.1, 0.5, 0.9)
+    models = M.parallel_map(lambda q: M.fit_quantile_boosting(tr, FEATS, "ktv", quantile=q, n_estimators=15,
+                                                              max_depth=3), qs, parallelism=3)
     rows = []
-    for q in (0.1, 0.5, 0.9):
-        m = M.fit_quantile_boosting(tr, FEATS, "ktv", quantile=q, n_estimators=15, max_depth=3)
+    for q, m in zip(qs, models):
         p = m.predict(t)
         stats = p.agg(F.avg(F.greatest(q * (F.col("ktv") - F.col("y_pred")), (q - 1) * (F.col("ktv") - F.col("y_pred"))))
                       .alias("pinball"), F.avg((F.col("ktv") <= F.col("y_pred")).cast("double")).alias("coverage"),
@@ -96,11 +99,13 @@ def quantile_boosting(spark, sf):
 @query("distribution_boosting", covers=("J10",))
 def distribution_boosting(spark, sf):
     tr, te = _matrix(spark, sf)
-    rows = []
-    for dist in ("lognormal", "normal"):
+
+    def fit(dist):
         m0 = M.fit_distribution_boosting(tr, FEATS, "ktv", dist=dist, n_estimators=0)
         m = M.fit_distribution_boosting(tr, FEATS, "ktv", dist=dist, n_estimators=20, learning_rate=0.1)
-        rows.append((dist, float(M.mean_nll(m0, te, "ktv")), float(M.mean_nll(m, te, "ktv"))))
+        return dist, float(M.mean_nll(m0, te, "ktv")), float(M.mean_nll(m, te, "ktv"))
+
+    rows = M.parallel_map(fit, ("lognormal", "normal"), parallelism=2)
     return spark.createDataFrame(rows, "distribution string, nll_start double, nll_end double")
 
 
