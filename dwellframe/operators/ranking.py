@@ -136,6 +136,31 @@ def lex_le(cols: Sequence[str], values: Sequence) -> Column:
 GKEY = "__gk"
 
 
+def _grouped_buckets(df: DataFrame, group_cols: Sequence[str], num_col: str, n_buckets: int, max_groups: int,
+                     size_out: str):
+    """Per-group edges (one ``percentile_approx`` pass, persisted: groups x n_buckets doubles, size
+    checked) and the rows tagged with their bucket (count of edges below the value)."""
+    g = list(group_cols) or [GKEY]
+    d = df if group_cols else df.withColumn(GKEY, F.lit(0))
+    probs = [i / n_buckets for i in range(1, n_buckets)]
+    edges = d.groupBy(*g).agg(F.percentile_approx(F.col(num_col).cast("double"), probs, 10_000).alias("__edges"),
+                              F.count(F.lit(1)).alias(size_out)).persist()
+    n_groups = edges.count()
+    if n_groups > max_groups:
+        edges.unpersist()
+        raise ValueError(f"{n_groups} groups exceed max_groups={max_groups}; rank by a window instead")
+    b = d.join(F.broadcast(edges), g).withColumn(
+        BUCKET, F.size(F.filter("__edges", lambda e: e < F.col(num_col).cast("double")))).drop("__edges")
+    return g, b, edges
+
+
+def _bucket_offsets(b: DataFrame, g: Sequence[str]) -> DataFrame:
+    """(group, bucket, __cnt, __off): rows in the bucket and rows in earlier buckets of the group."""
+    counts = b.groupBy(*g, BUCKET).agg(F.count(F.lit(1)).alias("__cnt"))
+    return counts.select(*g, BUCKET, "__cnt", (F.sum("__cnt").over(Window.partitionBy(*g).orderBy(BUCKET))
+                                               - F.col("__cnt")).alias("__off"))
+
+
 def grouped_rank(df: DataFrame, group_cols: Sequence[str], num_col: str, tie_cols: Sequence[str] = (),
                  out: str = "rank", size_out: str = "group_n", n_buckets: int = 64,
                  max_groups: int = 10_000) -> DataFrame:
@@ -147,21 +172,10 @@ def grouped_rank(df: DataFrame, group_cols: Sequence[str], num_col: str, tie_col
     group is spread over ``n_buckets`` tasks instead of one.  Offsets come from
     the per-bucket counts.  ``num_col`` must be non-null.
     """
-    g = list(group_cols) or [GKEY]
-    d = df if group_cols else df.withColumn(GKEY, F.lit(0))
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    edges = d.groupBy(*g).agg(F.percentile_approx(F.col(num_col).cast("double"), probs, 10_000).alias("__edges"),
-                              F.count(F.lit(1)).alias(size_out))
-    n_groups = edges.count()
-    if n_groups > max_groups:
-        raise ValueError(f"{n_groups} groups exceed max_groups={max_groups}; rank by a window instead")
-    b = d.join(F.broadcast(edges), g).withColumn(
-        BUCKET, F.size(F.filter("__edges", lambda e: e < F.col(num_col).cast("double"))))
-    counts = b.groupBy(*g, BUCKET).agg(F.count(F.lit(1)).alias("__cnt"))
-    offs = counts.select(*g, BUCKET, (F.sum("__cnt").over(Window.partitionBy(*g).orderBy(BUCKET))
-                                      - F.col("__cnt")).alias("__off"))
+    g, b, _ = _grouped_buckets(df, group_cols, num_col, n_buckets, max_groups, size_out)
+    offs = _bucket_offsets(b, g).drop("__cnt")
     w = Window.partitionBy(*g, BUCKET).orderBy(*[F.col(c) for c in (num_col, *tie_cols)])
-    res = (b.drop("__edges").join(F.broadcast(offs), [*g, BUCKET])
+    res = (b.join(F.broadcast(offs), [*g, BUCKET])
            .withColumn(out, F.row_number().over(w) + F.col("__off"))
            .drop("__off", BUCKET))
     return res if group_cols else res.drop(GKEY)
@@ -175,31 +189,39 @@ def grouped_ntile(df: DataFrame, group_cols: Sequence[str], num_col: str, k: int
 
 
 def exact_percentiles(df: DataFrame, value_col: str, probs: Sequence[float],
-                      group_cols: Sequence[str] = (), names: Sequence[str] | None = None) -> DataFrame:
+                      group_cols: Sequence[str] = (), names: Sequence[str] | None = None,
+                      n_buckets: int = 64, max_groups: int = 10_000) -> DataFrame:
     """Exact linear-interpolation percentiles (numpy/``percentile``/``quantile_cont``) per group.
 
-    Built on :func:`grouped_rank`; only the two rows around each requested
-    position per group are aggregated, so no group is collected into one task.
+    Only the buckets that hold a wanted rank are ranked: per-bucket counts say
+    where ranks ⌊h⌋+1 and ⌈h⌉+1 (h = (n − 1)·p) fall, those buckets' rows are
+    kept by a broadcast semi-join (a small fraction of the data), ranked, and
+    the two neighbours interpolated.  No group is collected into one task.
     """
     names = list(names or [f"p{int(round(p * 100))}" for p in probs])
     d = df.filter(F.col(value_col).isNotNull() & ~F.isnan(F.col(value_col).cast("double")))
-    r = grouped_rank(d, group_cols, value_col, out="__r", size_out="__n")
-    conds = []
-    aggs = []
-    for p, nm in zip(probs, names):
-        h = (F.col("__n") - 1) * F.lit(float(p))
-        lo, hi = F.floor(h) + 1, F.ceil(h) + 1
-        conds += [F.col("__r") == lo, F.col("__r") == hi]
-        aggs += [F.max(F.when(F.col("__r") == lo, F.col(value_col))).alias(f"{nm}__lo"),
-                 F.max(F.when(F.col("__r") == hi, F.col(value_col))).alias(f"{nm}__hi"),
-                 F.max(h - F.floor(h)).alias(f"{nm}__f")]
-    keep = conds[0]
-    for c in conds[1:]:
-        keep = keep | c
-    grouped = r.filter(keep).groupBy(*group_cols) if group_cols else r.filter(keep).groupBy()
-    a = grouped.agg(*aggs)
-    return a.select(*group_cols, *[(F.col(f"{nm}__lo") + F.col(f"{nm}__f") * (F.col(f"{nm}__hi") - F.col(f"{nm}__lo")))
-                                   .cast("double").alias(nm) for nm in names])
+    g, b, edges = _grouped_buckets(d, group_cols, value_col, n_buckets, max_groups, "__n")
+    offs = _bucket_offsets(b, g)
+    want = edges.select(*g, "__n", F.explode(F.array(*[
+        F.struct(F.lit(nm).alias("__p"), F.lit(float(p)).alias("__q")) for p, nm in zip(probs, names)])).alias("t"))
+    h = (F.col("__n") - 1) * F.col("t.__q")
+    want = want.select(*g, F.col("t.__p").alias("__p"), (h - F.floor(h)).alias("__f"),
+                       F.explode(F.array((F.floor(h) + 1).cast("long"), (F.ceil(h) + 1).cast("long"))).alias("__rk"))
+    # which bucket holds each wanted rank (groups x probs x 2 rows against groups x buckets rows)
+    loc = want.join(offs, g).filter((F.col("__rk") > F.col("__off")) & (F.col("__rk") <= F.col("__off") + F.col("__cnt")))
+    loc = loc.select(*g, BUCKET, "__p", "__f", "__rk", (F.col("__rk") - F.col("__off")).alias("__local"))
+    need = loc.select(*g, BUCKET).distinct()
+    rows = b.join(F.broadcast(need), [*g, BUCKET], "left_semi")
+    w = Window.partitionBy(*g, BUCKET).orderBy(F.col("__v"))
+    ranked = rows.select(*g, BUCKET, F.col(value_col).cast("double").alias("__v")).withColumn(
+        "__local", F.row_number().over(w))
+    hit = loc.join(ranked, [*g, BUCKET, "__local"])
+    per = hit.groupBy(*g, "__p").agg(F.min_by("__v", "__rk").alias("__lo"), F.max_by("__v", "__rk").alias("__hi"),
+                                     F.first("__f").alias("__f"))
+    val = (F.col("__lo") + F.col("__f") * (F.col("__hi") - F.col("__lo"))).cast("double")
+    wide = per.groupBy(*g).pivot("__p", names).agg(F.first(val))
+    out = wide.select(*g, *names)
+    return out if group_cols else out.drop(GKEY)
 
 
 def column_modes(long_df: DataFrame, group_col: str = "column", value_col: str = "value") -> DataFrame:
