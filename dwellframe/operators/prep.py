@@ -223,12 +223,15 @@ def _long(row: dict, cols: Sequence[str], stats: Sequence[str], spark: SparkSess
 
 def impute_statistics(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Long (column, mean, median, mode): one aggregate job; mode keeps the lowest value on ties."""
-    long = _long_values(df, cols)
+    long = _long_values(df, cols).persist()  # read the input once for the three statistics
     means = long.groupBy("column").agg(F.avg("value").alias("mean"))
     med = R.exact_percentiles(long, "value", [0.5], ["column"], names=["median"])
     modes = R.column_modes(long)
-    # three tables with one row per column: joins of bounded size
-    return means.join(med, "column", "left").join(modes, "column", "left").select("column", "mean", "median", "mode")
+    # three tables with one row per column: joins of bounded size, materialised before unpersisting
+    res = means.join(med, "column", "left").join(modes, "column", "left").select("column", "mean", "median", "mode")
+    rows = res.collect()
+    long.unpersist()
+    return df.sparkSession.createDataFrame(rows, "column string, mean double, median double, mode double")
 
 
 def _long_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -282,8 +285,12 @@ def distribution_profile(df: DataFrame, cols: Sequence[str], skew_threshold: flo
     for c in cols:
         aggs += [F.count(c).alias(f"{c}__n"), F.avg(c).alias(f"{c}__mean"),
                  F.var_samp(c).alias(f"{c}__variance"), F.skewness(c).alias(f"{c}__skewness")]
+    vals = _long_values(df, cols).persist()
     long = _unpivot_stats(x.agg(*aggs), cols, ["n", "mean", "variance", "skewness"])
-    med = R.exact_percentiles(_long_values(df, cols), "value", [0.5], ["column"], names=["median"])
-    long = long.join(med, "column", "left")
+    med = R.exact_percentiles(vals, "value", [0.5], ["column"], names=["median"])
+    rows = long.join(med, "column", "left").collect()  # one row per column
+    vals.unpersist()
+    long = df.sparkSession.createDataFrame(
+        rows, "column string, n double, mean double, variance double, skewness double, median double")
     return long.select("column", F.col("n").cast("bigint").alias("n"), "mean", "variance", "skewness", "median",
                        F.coalesce(F.abs("skewness") > skew_threshold, F.lit(False)).alias("log_recommended"))

@@ -83,23 +83,27 @@ def ntile_from_rank(rank, n, k: int) -> Column:
         .otherwise(rem + F.floor((r - big - 1) / F.greatest(q, F.lit(1))) + 1).cast("int")
 
 
-def kth_smallest(df: DataFrame, num_col: str, tie_cols: Sequence[str], k: int,
+def kth_smallest(df: DataFrame, num_col: str, tie_cols: Sequence[str], k,
                  n_buckets: int | None = None, max_rows_in_task: int = 1_000_000):
     """The k-th (1-based) row by (num_col, *tie_cols) as a ``Row`` of those columns.
 
-    Narrows to the bucket holding the k-th row until it has at most
-    ``max_rows_in_task`` rows, then ranks that bucket alone.  Only bucket counts
-    and the final row reach the driver.
+    ``k`` may be a function of the row count (evaluated on the first bucket
+    counts, so no separate ``count()`` pass is needed).  Narrows to the bucket
+    holding the k-th row until it has at most ``max_rows_in_task`` rows, then
+    ranks that bucket alone.  Only bucket counts and the final row reach the
+    driver.
     """
     cols = [num_col, *tie_cols]
     cur = df.select(*cols)
     nb = n_buckets or default_buckets(df)
     total = None
-    for _ in range(32):
+    for it in range(32):
         b = bucketize(cur, num_col, nb)
         counts = sorted((int(r[BUCKET]), int(r["c"])) for r in
                         b.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("c")).collect())
         total = sum(c for _, c in counts)
+        if it == 0 and callable(k):
+            k = k(total)
         if k < 1 or k > total:
             raise ValueError(f"k={k} outside 1..{total}")
         acc = 0

@@ -49,16 +49,23 @@ def seeded_split(df: DataFrame, key: str = "patient_id", test_size: float = 0.2,
     """Exact-size deterministic split; ``shuffle=False`` takes the last rows by ``order_col``."""
     if not shuffle:
         return tail_split(df, order_col or key, test_size, key)
-    n = df.count()
-    k = test_count(n, test_size)
+    test_count(1, test_size)  # validates the fraction before any job
     hd = with_hash_order(df, key, seed)
-    if k == 0:
-        return SplitResult(df, df.limit(0), n, 0)
-    cut = R.kth_smallest(hd, HNUM, [HASH, key], k)
+    seen = {}
+
+    def k_of(n):
+        seen["n"], seen["k"] = n, test_count(n, test_size)
+        return max(seen["k"], 1)
+
+    if df.limit(1).count() == 0:
+        return SplitResult(df, df, 0, 0)
+    cut = R.kth_smallest(hd, HNUM, [HASH, key], k_of)
     is_test = R.lex_le([HNUM, HASH, key], [cut[HNUM], cut[HASH], cut[key]])
+    if seen["k"] == 0:
+        is_test = F.lit(False)
     test = hd.filter(is_test).drop(HASH, HNUM)
     train = hd.filter(~is_test).drop(HASH, HNUM)
-    return SplitResult(train, test, n, k)
+    return SplitResult(train, test, seen["n"], seen["k"])
 
 
 def tail_split(df: DataFrame, order_col: str, test_size: float, key: str | None = None) -> SplitResult:
