@@ -129,7 +129,17 @@ def convert_labs(labs: DataFrame, lab_units: DataFrame, factors: DataFrame,
                     (rule & v.isNotNull()).alias("converted"),
                     (~F.coalesce(F.lower(F.col("from_unit_")) == F.lower(F.col("to_unit_")),
                                  F.col("from_unit_").isNull() & F.col("to_unit_").isNull()))
-                    .alias("unit_changed"))
+                    .alias("unit_changed"),
+                    conversion_note(v, F.col("from_unit_"), F.when(v.isNotNull(), conv), F.col("to_unit_")).alias("note"))
+
+
+def conversion_note(value, from_unit, converted, to_unit) -> Column:
+    """"<v> <from> → <converted> <to>" when the units differ (ignoring case), even without a rule; else NULL."""
+    from ..functions import text as TX
+    differ = ~F.coalesce(F.lower(from_unit) == F.lower(to_unit), from_unit.isNull() & to_unit.isNull())
+    return F.when(differ & value.isNotNull(), F.concat_ws(
+        " ", TX.adaptive_number(value), F.coalesce(from_unit, F.lit("")), F.lit("→"),
+        TX.adaptive_number(converted), F.coalesce(to_unit, F.lit(""))))
 
 
 def labs_wide(converted: DataFrame, key: str = "patient_id", fields: Sequence[str] = D.LAB_FIELDS,
@@ -142,16 +152,27 @@ def labs_wide(converted: DataFrame, key: str = "patient_id", fields: Sequence[st
 # ------------------------------------------------------------------ record
 def derived_record(cohort: DataFrame, regimen: DataFrame, shifts: DataFrame, times: DataFrame,
                    labs_long: DataFrame, bags: DataFrame, lab_units: DataFrame, factors: DataFrame,
-                   key: str = "patient_id") -> DataFrame:
-    """One wide row per patient: demographics, body metrics, CCI, osmolarity, dwell, labs."""
+                   key: str = "patient_id", with_meta: bool = False) -> DataFrame:
+    """One wide row per patient: demographics, body metrics, CCI, osmolarity, dwell, labs.
+
+    ``with_meta`` adds ``_meta`` struct<comorbidity_codes, osm_reason, dwell_source>.
+    """
+    from ..functions import text as TX
     base = cohort_ops.derive_features(cohort)
     osm = osmolarity(regimen, shifts, bags, key)
-    dwell = times.select(key, P.dwell_minutes(F.col("inflow"), F.col("outflow")).alias("dwell_time_minutes"))
+    dwell = times.select(key, P.dwell_minutes(F.col("inflow"), F.col("outflow")).alias("dwell_time_minutes"),
+                         TX.dwell_text("inflow", "outflow").alias("__dwell_src"))
     labs = labs_wide(convert_labs(labs_long, lab_units, factors), key)
-    return (base.select(key, "age", "height_cm", "weight_kg", "bmi", "charlson_index")
-            .join(osm.select(key, "pdf_osmolarity"), key, "left")
-            .join(dwell, key, "left")
-            .join(labs, key, "left"))
+    codes = C.charlson_code_list(cohort_ops.flag_codes_for(cohort))
+    out = (base.select(key, "age", "height_cm", "weight_kg", "bmi", "charlson_index", codes.alias("__codes"))
+           .join(osm.select(key, "pdf_osmolarity", F.col("osm_reason").alias("__osm_reason")), key, "left")
+           .join(dwell, key, "left")
+           .join(labs, key, "left"))
+    if with_meta:
+        out = out.withColumn("_meta", F.struct(F.col("__codes").alias("comorbidity_codes"),
+                                               F.col("__osm_reason").alias("osm_reason"),
+                                               F.col("__dwell_src").alias("dwell_source")))
+    return out.drop("__codes", "__osm_reason", "__dwell_src")
 
 
 # ------------------------------------------------------------ nested records

@@ -221,11 +221,16 @@ def _long(row: dict, cols: Sequence[str], stats: Sequence[str], spark: SparkSess
     return spark.createDataFrame([(c, *[row[f"{c}__{s}"] for s in stats]) for c in cols], schema)
 
 
-def impute_statistics(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Long (column, mean, median, mode): one aggregate job; mode keeps the lowest value on ties."""
+def impute_statistics(df: DataFrame, cols: Sequence[str], approx: bool = False, accuracy: int = 10_000) -> DataFrame:
+    """Long (column, mean, median, mode); mode keeps the lowest value on ties.
+
+    The median is exact (distributed order statistic) unless ``approx``, which
+    uses ``percentile_approx`` (one pass, bounded sketch, rank error <= n/accuracy).
+    """
     long = _long_values(df, cols).persist()  # read the input once for the three statistics
     means = long.groupBy("column").agg(F.avg("value").alias("mean"))
-    med = R.exact_percentiles(long, "value", [0.5], ["column"], names=["median"])
+    med = (long.groupBy("column").agg(F.percentile_approx("value", 0.5, accuracy).cast("double").alias("median"))
+           if approx else R.exact_percentiles(long, "value", [0.5], ["column"], names=["median"]))
     modes = R.column_modes(long)
     # three tables with one row per column: joins of bounded size, materialised before unpersisting
     res = means.join(med, "column", "left").join(modes, "column", "left").select("column", "mean", "median", "mode")

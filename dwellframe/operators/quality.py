@@ -180,6 +180,18 @@ def plausibility(predictions: DataFrame, target_col: str = "target", value_col:
                  F.count_if(~ok).alias("n_outside"), F.count(F.lit(1)).alias("n")))
 
 
+def validate_prediction_ranges(predictions: DataFrame, target: str, value_col: str = "y_pred") -> bool:
+    """True when every prediction lies in the target's inclusive clinical range (one aggregate).
+
+    NULL/NaN count as outside; an empty frame is valid; an unknown target raises ``ValueError``.
+    """
+    if target not in C.PREDICTION_RANGES:
+        raise ValueError(f"Unknown target '{target}' provided for validation.")
+    lo, hi = C.PREDICTION_RANGES[target]
+    row = predictions.agg(F.coalesce(F.bool_and(C.in_range(F.col(value_col), lo, hi)), F.lit(True)).alias("ok")).first()
+    return bool(row["ok"])
+
+
 def missingness(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One pass: per column NULL count, share missing, and a completeness score (long table)."""
     cols = list(columns or df.columns)

@@ -193,7 +193,8 @@ select patient_id, analyte, value, from_unit, to_unit, round(value_converted, 6)
   converted, unit_changed from conv""")
 def lab_conversion(spark, sf):
     out = I.convert_labs(v(spark, sf, "labs_long"), D.lab_units(spark), D.unit_factors(spark))
-    return r6(out, ["value_converted"])
+    return r6(out.select("patient_id", "analyte", "value", "from_unit", "to_unit", "value_converted",
+                         "converted", "unit_changed"), ["value_converted"])
 
 
 @query("labs_wide", covers=("H12",), sql=cte("labs_long", extra=LW_CTES) + "select patient_id, " + ", ".join(

@@ -133,3 +133,20 @@ def test_nested_equals_long_form(spark):
     assert set(nested) == set(agg)
     for k in nested:
         assert (nested[k] is None and agg[k] is None) or abs(nested[k] - agg[k]) < 1e-9
+
+
+def test_prediction_range_check(spark):
+    import pytest
+    ok = spark.createDataFrame([(1.2,), (2.5,), (3.8,)], "y_pred double")
+    bad = spark.createDataFrame([(0.05,), (0.9,)], "y_pred double")
+    assert Q.validate_prediction_ranges(ok, "ktv") and not Q.validate_prediction_ranges(bad, "pet")
+    with pytest.raises(ValueError):
+        Q.validate_prediction_ranges(ok, "urea")
+
+
+def test_conversion_note(spark):
+    labs = spark.createDataFrame([(1, "pdf_creatinine", 0.9, "mg/dL"), (1, "pdf_urea", 10.2, "MMOL/l")],
+                                 "patient_id int, analyte string, value double, unit string")
+    rows = {r.analyte: r for r in I.convert_labs(labs, D.lab_units(spark), D.unit_factors(spark)).collect()}
+    assert rows["pdf_creatinine"].note == "0.900 mg/dL → 79.56 umol/L"
+    assert rows["pdf_urea"].note is None
