@@ -25,12 +25,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -412,7 +411,6 @@ def random_search(df: DataFrame, features: Sequence[str], target: str, estimator
     combos = list(itertools.product(*[grid[k] for k in keys]))
     rnd = random.Random(seed)
     picked = combos if len(combos) <= n_iter else rnd.sample(combos, n_iter)
-    builder = ParamGridBuilder()
     maps = []
     for combo in picked:
         maps.append({estimator.getParam(k): v for k, v in zip(keys, combo)})
@@ -420,7 +418,6 @@ def random_search(df: DataFrame, features: Sequence[str], target: str, estimator
     k = d.agg(F.max(fold)).first()[0] + 1
     cv = CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=ev, foldCol=fold, numFolds=k,
                         parallelism=parallelism, collectSubModels=False, seed=seed)
-    _ = builder
     fitted = cv.fit(d)
     rows = [({k.name: v for k, v in pm.items()}, float(s)) for pm, s in zip(maps, fitted.avgMetrics)]
     return fitted.bestModel, rows
@@ -431,5 +428,3 @@ def regression_metrics_row(pred: DataFrame, y: str, p: str = "y_pred") -> dict:
     r = EV.regression_metrics(pred.withColumn("target", F.lit("t")).withColumn("model", F.lit("m")), y=y, p=p).first()
     return {"n": r["n"], "r2": r["r2"], "mae": r["mae"], "mse": r["mse"]}
 
-
-_ = Pipeline

@@ -75,7 +75,6 @@ def gram_frame(df: DataFrame, features: Sequence[str], target: str, fold: str |
 
 def gram_long(wide: DataFrame, features: Sequence[str], fold: str | None = None) -> DataFrame:
     """Wide Gram rows -> long (fold, row_name, col_name, value), staying in Spark."""
-    names = ["__one", *features, "__y"]
     items = [("__one", "__one", "n"), ("__one", "__y", "sy"), ("__y", "__y", "syy")]
     for i, a in enumerate(features):
         items += [("__one", a, f"sx__{i}"), (a, "__y", f"sxy__{i}")]
@@ -84,7 +83,6 @@ def gram_long(wide: DataFrame, features: Sequence[str], fold: str | None = None)
     arr = F.array(*[F.struct(F.lit(r).alias("row_name"), F.lit(c).alias("col_name"),
                              F.col(v).cast("double").alias("value")) for r, c, v in items])
     keep = [fold] if fold else []
-    _ = names
     return wide.select(*keep, "n", F.inline(arr))
 
 

@@ -18,7 +18,6 @@ from __future__ import annotations
 import json
 import math
 from collections import defaultdict
-from collections.abc import Sequence
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -206,7 +205,6 @@ def raw_score_sql(ens: Ensemble) -> list[str]:
 
 
 def load_json(text: str) -> dict:
+    """Parse model JSON text on the driver (model-sized)."""
     return json.loads(text)
 
-
-_ = Sequence

@@ -46,7 +46,6 @@ def _toy(spark):
 
 
 def _tree_sql():
-    from ..session import local_session  # noqa: F401  (only for typing clarity)
     import json
     doc = json.loads(TR.toy_model_text())["learner"]
     ens = TR.Ensemble(doc["feature_names"], int(doc["learner_model_param"]["num_class"]),

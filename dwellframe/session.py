@@ -63,3 +63,24 @@ def cut_lineage(df, spark: SparkSession | None = None):
     spark = spark or df.sparkSession
     ensure_checkpoint_dir(spark)
     return df.checkpoint(eager=True)
+
+
+def cluster_settings(total_input_bytes: int, executor_cores: int = 4, executors: int = 1000,
+                     target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Suggested settings for a large cluster (the caller applies them; nothing is set here).
+
+    Shuffle partitions are sized so a partition holds ~``target_partition_bytes``
+    of input and there are at least two waves of tasks; AQE coalesces small
+    partitions and splits skewed ones at runtime.
+    """
+    slots = executor_cores * executors
+    parts = max(2 * slots, total_input_bytes // target_partition_bytes)
+    return {
+        "spark.sql.shuffle.partitions": str(int(parts)),
+        "spark.sql.files.maxPartitionBytes": str(128 << 20),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.autoBroadcastJoinThreshold": str(32 << 20),
+    }
