@@ -128,8 +128,16 @@ def expected_calibration_error(scores: DataFrame, n_bins: int = 10, y: str = "y_
                     F.sum("n").alias("n"))
 
 
-def paired_comparison(pred: DataFrame, models: Sequence[str], key: str = "patient_id", target: str = "target",
-                      y: str = "y_true", p: str = "y_pred") -> DataFrame:
+def model_names(pred: DataFrame, col: str = "model", max_models: int = 1000) -> list[str]:
+    """Distinct model names (bounded and checked): the pivot values of the comparison tables."""
+    names = [r[0] for r in pred.select(col).distinct().limit(max_models + 1).collect()]
+    if len(names) > max_models:
+        raise ValueError(f"more than {max_models} models to compare")
+    return sorted(n for n in names if n is not None)
+
+
+def paired_comparison(pred: DataFrame, models: Sequence[str] | None = None, key: str = "patient_id",
+                      target: str = "target", y: str = "y_true", p: str = "y_pred") -> DataFrame:
     """Paired difference of absolute errors between models on the same rows (t statistic).
 
     One pivot by (target, key) over the fixed model list puts each patient's
@@ -137,7 +145,8 @@ def paired_comparison(pred: DataFrame, models: Sequence[str], key: str = "patien
     of rows are emitted.
     """
     d = pred.filter(F.col(y).isNotNull() & F.col(p).isNotNull())
-    wide = d.groupBy(target, key).pivot("model", list(models)).agg(F.first(F.abs(_err(y, p))))
+    models = list(models) if models is not None else model_names(d)
+    wide = d.groupBy(target, key).pivot("model", models).agg(F.first(F.abs(_err(y, p))))
     out = None
     for i, a in enumerate(models):
         for b in models[i + 1:]:
@@ -150,9 +159,11 @@ def paired_comparison(pred: DataFrame, models: Sequence[str], key: str = "patien
     return out
 
 
-def comparison_pivot(metrics: DataFrame, metric: str, models: Sequence[str], target: str = "target") -> DataFrame:
-    """One metric with the models side by side (fixed model list: one aggregation)."""
-    return metrics.groupBy(target).pivot("model", list(models)).agg(F.first(metric))
+def comparison_pivot(metrics: DataFrame, metric: str, models: Sequence[str] | None = None,
+                     target: str = "target") -> DataFrame:
+    """One metric with the models side by side (model list given or read from the metrics table)."""
+    models = list(models) if models is not None else model_names(metrics)
+    return metrics.groupBy(target).pivot("model", models).agg(F.first(metric))
 
 
 LOWER_IS_BETTER = {"mae", "mse", "rmse"}

@@ -101,8 +101,9 @@ def ece(spark, sf):
 
 def _pairs_sql():
     parts = []
-    for i, a in enumerate(MODELS):
-        for b in MODELS[i + 1:]:
+    names = sorted(MODELS)  # pairs (a, b) with a < b, as the operator orders discovered models
+    for i, a in enumerate(names):
+        for b in names[i + 1:]:
             d = f"({a} - {b})"
             parts.append(f"""select target, '{a}' as model_a, '{b}' as model_b, count(*) as n,
   {_r(f'avg({d})')} as mean_diff, {_r(f'stddev_samp({d})')} as sd_diff,
@@ -115,7 +116,7 @@ def _pairs_sql():
 select target, patient_id, """ + ", ".join(f"max(case when model = '{m}' then abs({E}) end) as {m}" for m in MODELS)
     + f" from predictions where {PRED_OK} group by target, patient_id")]) + _pairs_sql())
 def paired_comparison(spark, sf):
-    return r6(EV.paired_comparison(v(spark, sf, "predictions"), MODELS))
+    return r6(EV.paired_comparison(v(spark, sf, "predictions")))
 
 
 @query("comparison_pivot", covers=("D22",), sql=cte("predictions") + "select target, " + ", ".join(
@@ -123,7 +124,7 @@ def paired_comparison(spark, sf):
     + f" from (select target, model, {_r(R2_SQL)} as r2 from predictions where {PRED_OK} group by target, model) t"
     + " group by target")
 def comparison_pivot(spark, sf):
-    return EV.comparison_pivot(r6(_metrics(spark, sf)), "r2", MODELS)
+    return EV.comparison_pivot(r6(_metrics(spark, sf)), "r2")
 
 
 @query("champion", covers=("E4",), sql=cte("predictions") + f"""

@@ -32,11 +32,24 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files_per_trig
             .option("maxFilesPerTrigger", max_files_per_trigger).parquet(sf_dir))
 
 
+def _private_views(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Register the order stream and the static customers under names private to this stream,
+    so the batch ``orders`` / ``customer`` views of the session are never shadowed."""
+    tag = uuid.uuid4().hex[:12]
+    o, c = f"__stream_orders_{tag}", f"__static_customer_{tag}"
+    table_stream(spark, sf_dir, "orders").createOrReplaceTempView(o)
+    tables.table(spark, sf_dir, "customer").createOrReplaceTempView(c)
+    return o, c
+
+
+def _on(sql: str, o: str, c: str) -> str:
+    return sql.replace("from orders o join customer c", f"from {o} o join {c} c")
+
+
 def cohort_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streaming patient records: the cohort shaping over a stream of orders joined to static customers."""
-    table_stream(spark, sf_dir, "orders").createOrReplaceTempView("orders")
-    tables.register(spark, sf_dir, "customer")
-    return spark.sql(VIEW_SQL["cohort"])
+    o, c = _private_views(spark, sf_dir)
+    return spark.sql(_on(VIEW_SQL["cohort"], o, c))
 
 
 def derive_and_validate(records: DataFrame, osm: DataFrame, labs: DataFrame, key: str = "patient_id") -> DataFrame:
@@ -63,9 +76,8 @@ def static_aggregates(spark: SparkSession, sf_dir: str):
 def intake_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streaming patient records with their dwell times: orders stream joined to static customers."""
     from ..sources.views import record_stream_sql
-    table_stream(spark, sf_dir, "orders").createOrReplaceTempView("orders")
-    tables.register(spark, sf_dir, "customer")
-    return spark.sql(record_stream_sql())
+    o, c = _private_views(spark, sf_dir)
+    return spark.sql(_on(record_stream_sql(), o, c))
 
 
 def run_to_files(df: DataFrame, name: str, fmt: str = "parquet", partition_by: list[str] | None = None,
