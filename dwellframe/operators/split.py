@@ -33,9 +33,13 @@ class SplitResult:
         return self.test.select(F.col(key).cast("string").alias(key))
 
 
+MIN_TEST_SIZE, MAX_TEST_SIZE = 0.05, 0.5  # allowed test fraction
+
+
 def test_count(n: int, test_size: float) -> int:
-    if not 0.0 < test_size < 1.0:
-        raise ValueError("test_size must be in (0, 1)")
+    """Held-out rows: ceil(n * test_size); the fraction must lie in [0.05, 0.5]."""
+    if not MIN_TEST_SIZE <= test_size <= MAX_TEST_SIZE:
+        raise ValueError(f"test_size must be between {MIN_TEST_SIZE} and {MAX_TEST_SIZE}")
     return int(math.ceil(n * test_size))
 
 
