@@ -428,3 +428,48 @@ def regression_metrics_row(pred: DataFrame, y: str, p: str = "y_pred") -> dict:
     r = EV.regression_metrics(pred.withColumn("target", F.lit("t")).withColumn("model", F.lit("m")), y=y, p=p).first()
     return {"n": r["n"], "r2": r["r2"], "mae": r["mae"], "mse": r["mse"]}
 
+
+
+# ------------------------------------------------------- permutation importance
+def permutation_importance(model, df: DataFrame, features: Sequence[str], target: str, key: str = "patient_id",
+                           seed: int = 42) -> DataFrame:
+    """MSE increase when one feature's values are permuted across rows, for every feature.
+
+    One seeded permutation pairs row r with the row ranked r in a second hash
+    order (two exact global ranks, one 1:1 join on the rank), so every
+    feature's permuted copy comes from the same join.  Linear models score all
+    permuted variants in one projection; other models add one scored column
+    per feature.  One aggregate returns all MSEs.
+    """
+    from . import ranking as RK
+    d = df.filter(F.col(target).isNotNull()).na.drop(subset=list(features))
+    h1 = RK.hex_prefix_number(RK.hash_order(key, seed))
+    h2 = RK.hex_prefix_number(RK.hash_order(key, seed + 7919))
+    a = RK.global_rank(d.withColumn("__h", h1), "__h", [key], out="__r").drop("__h")
+    b = RK.global_rank(d.select(key, *features).withColumn("__h", h2), "__h", [key], out="__r") \
+        .select("__r", *[F.col(f).alias(f"__perm_{f}") for f in features])
+    j = a.join(b, "__r")
+    if isinstance(model, LinearModel):
+        base = model.predict(j, out="__p")
+        coef = dict(zip(model.features, model.coef))
+        cols = {f: F.col("__p") + F.lit(float(coef.get(f, 0.0))) * (F.col(f"__perm_{f}") - F.col(f).cast("double"))
+                for f in features}
+        scored = base.withColumns({f"__p_{f}": c for f, c in cols.items()})
+    else:
+        scored = model.predict(j, out="__p")
+        for f in features:
+            scored = _with_prediction(model, scored, f)
+    y = F.col(target).cast("double")
+    aggs = [F.avg(F.pow(y - F.col("__p"), 2)).alias("__base")] + \
+        [F.avg(F.pow(y - F.col(f"__p_{f}"), 2)).alias(f) for f in features]
+    row = scored.agg(*aggs)
+    arr = F.array(*[F.struct(F.lit(f).alias("feature"), F.col("__base").alias("mse_base"),
+                             F.col(f).alias("mse_permuted")) for f in features])
+    return row.select(F.inline(arr)).withColumn("importance", F.col("mse_permuted") - F.col("mse_base"))
+
+
+def _with_prediction(model, df: DataFrame, f: str) -> DataFrame:
+    """Score ``df`` with feature ``f`` replaced by its permuted copy, keeping the original column."""
+    keep = f"__orig_{f}"
+    swapped = df.withColumn(keep, F.col(f)).withColumn(f, F.col(f"__perm_{f}"))
+    return model.predict(swapped, out=f"__p_{f}").withColumn(f, F.col(keep)).drop(keep)

@@ -193,3 +193,11 @@ def model_persist(spark, sf):
     b = back.predict(te, "b").select("patient_id", "b")
     return a.join(b, "patient_id").agg(F.count(F.lit(1)).alias("n"),
                                        F.count_if(F.abs(F.col("a") - F.col("b")) > 1e-12).alias("n_different"))
+
+
+@query("permutation_importance", covers=("D23",))
+def permutation_importance(spark, sf):
+    """Held-out MSE increase per permuted feature for the linear Kt/V model."""
+    tr, te = _matrix(spark, sf)
+    m = M.fit_ols(tr, FEATS, "ktv")
+    return M.permutation_importance(m, te, FEATS, "ktv", seed=SEED)

@@ -73,3 +73,13 @@ def test_distribution_boosting_nll_falls(spark):
     m0 = M.fit_distribution_boosting(df, ["x1", "x2"], "ktv", dist="normal", n_estimators=0)
     m = M.fit_distribution_boosting(df, ["x1", "x2"], "ktv", dist="normal", n_estimators=6, learning_rate=0.2)
     assert M.mean_nll(m, df, "ktv") < M.mean_nll(m0, df, "ktv")
+
+
+def test_permutation_importance_ranks_signal(spark):
+    df, _ = _data(spark, 400, 9)
+    m = M.fit_ols(df, ["x1", "x2"], "ktv")
+    imp = {r.feature: r.importance for r in M.permutation_importance(m, df, ["x1", "x2"], "ktv").collect()}
+    assert imp["x1"] > imp["x2"] > 0
+    rf = M.fit_random_forest(df, ["x1", "x2"], "ktv", num_trees=5, max_depth=4)
+    imp2 = {r.feature: r.importance for r in M.permutation_importance(rf, df, ["x1", "x2"], "ktv").collect()}
+    assert imp2["x1"] > imp2["x2"]
