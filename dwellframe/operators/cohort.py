@@ -48,7 +48,8 @@ def derive_features(df: DataFrame, *, weight="weight_kg", height="height_cm", ag
         missing = [v for v in dmap.values() if v not in df.columns]
         if missing:
             raise KeyError(f"Missing columns for time feature derivation: {missing}")
-        cols.update(C.time_intervals(**dmap))
+        types = dict(df.dtypes)
+        cols.update(C.time_intervals(**dmap, kinds={c: C.time_kind(types[c]) for c in dmap.values()}))
     codes = flag_codes_for(df, flags)
     cols["charlson_index"] = C.charlson_index(
         codes, F.col(age) if age in df.columns else None, weights=cci_weights,

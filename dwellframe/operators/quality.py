@@ -154,12 +154,14 @@ def chronology_violations(df: DataFrame, pairs: Sequence[tuple[str, str]] = DEFA
                           key: str = "patient_id") -> DataFrame:
     """(key, first_field, second_field, first_date, second_date, days) where first > second."""
     items = []
+    types = dict(df.dtypes)
     for a, b in pairs:
         if a in df.columns and b in df.columns:
+            kind = C.time_kind(types[a]) if types[a] == types[b] else "timestamp"
             items.append(F.when(F.col(a) > F.col(b), F.struct(
                 F.lit(a).alias("first_field"), F.lit(b).alias("second_field"),
                 F.col(a).cast("date").alias("first_date"), F.col(b).cast("date").alias("second_date"),
-                C.days_between(F.col(a), F.col(b)).alias("days"))))
+                C.days_between(F.col(a), F.col(b), kind).alias("days"))))
     return (df.select(key, F.explode(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("v"))
             .select(key, "v.*"))
 

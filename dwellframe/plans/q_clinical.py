@@ -110,7 +110,8 @@ select patient_id, {S.FAILURE} as failure_period_days, {S.WAITING} as waiting_pe
   {S.PD_PERIOD} as pd_period_days from cohort""")
 def time_intervals(spark, sf):
     df = v(spark, sf, "cohort")
-    return df.select("patient_id", *[c.alias(n) for n, c in C.time_intervals().items()])
+    kinds = {c: C.time_kind(t) for c, t in df.dtypes}
+    return df.select("patient_id", *[c.alias(n) for n, c in C.time_intervals(kinds=kinds).items()])
 
 
 @query("log1p", covers=("H8",), sql=cte("cohort") + """

@@ -85,3 +85,17 @@ def test_derive_features_columns(spark):
     for c in ("bmi", "bsa", "charlson_index", "failure_period_days", "waiting_period_days", "pd_period_days"):
         assert c in out.columns
     assert out.first().charlson_index == 1 + 2 + 2
+
+
+def test_day_intervals_ignore_daylight_saving(spark):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.createDataFrame([(dt.date(2023, 3, 11), dt.date(2023, 3, 13),
+                                     dt.datetime(2023, 3, 11, 12), dt.datetime(2023, 3, 13, 11))],
+                                   "s date, e date, sn timestamp_ntz, en timestamp_ntz")
+        r = df.select(C.days_between("s", "e", "date").alias("d"),
+                      C.days_between("sn", "en", "timestamp_ntz").alias("n")).first()
+        assert r.d == 2.0 and r.n == 1.0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
