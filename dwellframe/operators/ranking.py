@@ -56,12 +56,16 @@ def bucketize(df: DataFrame, num_col: str, n_buckets: int) -> DataFrame:
 
 
 def global_rank(df: DataFrame, num_col: str, tie_cols: Sequence[str] = (), out: str = "rank",
-                n_buckets: int | None = None) -> DataFrame:
+                n_buckets: int | None = None, n_rows: int | None = None) -> DataFrame:
     """Exact 1-based rank by (num_col, *tie_cols) ascending; ``num_col`` must be a non-null double.
 
-    One quantile pass, one tiny count aggregate, one shuffle by bucket.
+    One quantile pass, one tiny count aggregate, one shuffle by bucket.  With
+    ``n_rows`` known the bucket count gives ~2M rows per bucket (at least
+    twice the shuffle partitions).
     """
     nb = n_buckets or default_buckets(df)
+    if n_buckets is None and n_rows:
+        nb = int(min(50_000, max(nb, math.ceil(n_rows / 2_000_000))))
     b = bucketize(df, num_col, nb)
     counts = b.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("__cnt"))
     # n_buckets rows: an unpartitioned window over them is bounded by n_buckets
@@ -140,14 +144,36 @@ def lex_le(cols: Sequence[str], values: Sequence) -> Column:
 GKEY = "__gk"
 
 
-def _grouped_buckets(df: DataFrame, group_cols: Sequence[str], num_col: str, n_buckets: int, max_groups: int,
-                     size_out: str):
+ROWS_PER_BUCKET = 2_000_000
+MAX_BUCKETS = 50_000
+
+
+def _bucket_count(d: DataFrame, g: Sequence[str], max_groups: int) -> int:
+    """Buckets per group so the largest group gets ~ROWS_PER_BUCKET rows per bucket (>= 64).
+
+    One cheap count per group (bounded by ``max_groups`` rows) decides it.
+    """
+    sizes = d.groupBy(*g).agg(F.count(F.lit(1)).alias("n")).limit(max_groups + 1).collect()
+    if len(sizes) > max_groups:
+        raise ValueError(f"more than max_groups={max_groups} groups; rank by a window instead")
+    biggest = max((r["n"] for r in sizes), default=0)
+    return int(min(MAX_BUCKETS, max(64, math.ceil(biggest / ROWS_PER_BUCKET))))
+
+
+def _grouped_buckets(df: DataFrame, group_cols: Sequence[str], num_col: str, n_buckets: int | None,
+                     max_groups: int, size_out: str):
     """Per-group edges (one ``percentile_approx`` pass, persisted: groups x n_buckets doubles, size
-    checked) and the rows tagged with their bucket (count of edges below the value)."""
+    checked) and the rows tagged with their bucket (count of edges below the value).
+
+    ``n_buckets=None`` sizes the buckets from the largest group; the sketch
+    accuracy grows with the bucket count so bucket sizes stay balanced.
+    """
     g = list(group_cols) or [GKEY]
     d = df if group_cols else df.withColumn(GKEY, F.lit(0))
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    edges = d.groupBy(*g).agg(F.percentile_approx(F.col(num_col).cast("double"), probs, 10_000).alias("__edges"),
+    nb = n_buckets or _bucket_count(d, g, max_groups)
+    probs = [i / nb for i in range(1, nb)]
+    accuracy = max(10_000, 20 * nb)
+    edges = d.groupBy(*g).agg(F.percentile_approx(F.col(num_col).cast("double"), probs, accuracy).alias("__edges"),
                               F.count(F.lit(1)).alias(size_out)).persist()
     n_groups = edges.count()
     if n_groups > max_groups:
@@ -166,15 +192,16 @@ def _bucket_offsets(b: DataFrame, g: Sequence[str]) -> DataFrame:
 
 
 def grouped_rank(df: DataFrame, group_cols: Sequence[str], num_col: str, tie_cols: Sequence[str] = (),
-                 out: str = "rank", size_out: str = "group_n", n_buckets: int = 64,
+                 out: str = "rank", size_out: str = "group_n", n_buckets: int | None = None,
                  max_groups: int = 10_000) -> DataFrame:
     """Exact 1-based rank by (num_col, *tie_cols) within each group, plus the group size.
 
     Per-group bucket edges come from one ``percentile_approx`` aggregate; the
     edge table (groups x n_buckets doubles) is broadcast after its size is
     checked (``max_groups``).  Rows then shuffle by (group, bucket), so a large
-    group is spread over ``n_buckets`` tasks instead of one.  Offsets come from
-    the per-bucket counts.  ``num_col`` must be non-null.
+    group is spread over ``n_buckets`` tasks instead of one (by default enough
+    buckets for ~2M rows each).  Offsets come from the per-bucket counts.
+    ``num_col`` must be non-null.
     """
     g, b, _ = _grouped_buckets(df, group_cols, num_col, n_buckets, max_groups, size_out)
     offs = _bucket_offsets(b, g).drop("__cnt")
@@ -194,7 +221,7 @@ def grouped_ntile(df: DataFrame, group_cols: Sequence[str], num_col: str, k: int
 
 def exact_percentiles(df: DataFrame, value_col: str, probs: Sequence[float],
                       group_cols: Sequence[str] = (), names: Sequence[str] | None = None,
-                      n_buckets: int = 64, max_groups: int = 10_000) -> DataFrame:
+                      n_buckets: int | None = None, max_groups: int = 10_000) -> DataFrame:
     """Exact linear-interpolation percentiles (numpy/``percentile``/``quantile_cont``) per group.
 
     Only the buckets that hold a wanted rank are ranked: per-bucket counts say

@@ -91,7 +91,7 @@ def assign_folds(df: DataFrame, k: int = 5, key: str = "patient_id", seed: int =
     """Contiguous folds over the seeded order (0-based); the first n mod k folds get one more row."""
     n = df.count()
     hd = with_hash_order(df, key, seed)
-    ranked = R.global_rank(hd, HNUM, [HASH, key], out="__rank")
+    ranked = R.global_rank(hd, HNUM, [HASH, key], out="__rank", n_rows=n)
     return ranked.withColumn(out, R.ntile_from_rank("__rank", n, k) - 1).drop("__rank", HASH, HNUM)
 
 
