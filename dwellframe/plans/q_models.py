@@ -201,3 +201,23 @@ def permutation_importance(spark, sf):
     tr, te = _matrix(spark, sf)
     m = M.fit_ols(tr, FEATS, "ktv")
     return M.permutation_importance(m, te, FEATS, "ktv", seed=SEED)
+
+
+@query("train_evaluate", covers=("I1", "J1", "J2", "B13", "J13", "J15", "D8", "C6"))
+def train_evaluate(spark, sf):
+    """End to end: split -> fit preparation on train -> LASSO selection per target (per-fold Gram)
+    -> linear, elastic-net and forest models on each target's own selected features -> held-out metrics."""
+    from ..operators import select as SL
+    tr, te = _matrix(spark, sf)
+    prep_features = [c for c in tr.columns if c not in ("patient_id", "ktv", "pet")]
+    tr_f = SP.assign_folds(tr, K, "patient_id", SEED + 2)
+    out = None
+    for target in ("ktv", "pet"):
+        sel = SL.fit_lasso_selection(tr_f, prep_features, target, alpha=0.01, min_features=5).selected
+        d = tr.filter(F.col(target).isNotNull())
+        models = {"linear_regression": M.fit_ols(d, sel, target),
+                  "elastic_net": M.fit_elastic_net(d, sel, target, alpha=0.01, l1_ratio=0.5),
+                  "random_forest": M.fit_random_forest(d, sel, target, num_trees=20, max_depth=6)}
+        rep = _report(spark, te, models, target).withColumn("n_features", F.lit(len(sel)))
+        out = rep if out is None else out.unionByName(rep)
+    return out
