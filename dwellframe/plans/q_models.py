@@ -134,18 +134,12 @@ def random_search(spark, sf):
 @query("train_per_target", covers=("J13", "B5", "C5"))
 def train_per_target(spark, sf):
     """Each target x model on its training rows (targets with no values are skipped)."""
+    from ..operators import training as TRN
     tr, _ = _matrix(spark, sf)
-    out = None
-    for target in ("ktv", "pet"):
-        d = tr.filter(F.col(target).isNotNull())
-        if d.limit(1).count() == 0:
-            continue
-        for name, m in {"linear_regression": M.fit_ols(d, FEATS, target),
-                        "elastic_net": M.fit_elastic_net(d, FEATS, target, alpha=0.01, l1_ratio=0.5)}.items():
-            p = m.predict(d).select("patient_id", F.lit(target).alias("target"), F.lit(name).alias("model"),
-                                    F.col(target).alias("y_true"), "y_pred")
-            out = p if out is None else out.unionByName(p)
-    return EV.regression_metrics(out)
+    defs = [TRN.ModelDefinition("linear_regression"),
+            TRN.ModelDefinition("elastic_net", {"alpha": 0.01, "l1_ratio": 0.5})]
+    _, metrics = TRN.train_models(tr, FEATS, {"ktv": defs, "pet": defs})
+    return metrics
 
 
 @query("pet_classifier", covers=("J18",))

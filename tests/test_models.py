@@ -1,5 +1,6 @@
 """Model operators (reference training/evaluation tests) and properties."""
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from dwellframe.operators import evaluate as EV
@@ -83,3 +84,32 @@ def test_permutation_importance_ranks_signal(spark):
     rf = M.fit_random_forest(df, ["x1", "x2"], "ktv", num_trees=5, max_depth=4)
     imp2 = {r.feature: r.importance for r in M.permutation_importance(rf, df, ["x1", "x2"], "ktv").collect()}
     assert imp2["x1"] > imp2["x2"]
+
+
+def test_declarative_training_reference_case(spark):
+    from dwellframe.operators import training as TRN
+    df = _toy(spark)
+    defs = [TRN.ModelDefinition("elastic_net", {"alpha": 0.1, "l1_ratio": 0.5}),
+            TRN.ModelDefinition("xgboost", {"n_estimators": 10, "max_depth": 3})]
+    fitted, metrics = TRN.train_models(df, ["signal", "noise"], {"ktv": defs, "absent": defs})
+    assert set(fitted) == {"ktv"} and set(fitted["ktv"]) == {"elastic_net", "xgboost"}
+    assert all(r.r2 >= 0.0 for r in metrics.collect())
+
+
+def test_declarative_evaluation_exact(spark):
+    from dwellframe.operators import training as TRN
+    fitted, _ = TRN.train_models(_toy(spark), {"ktv": ["signal"]}, {"ktv": [TRN.ModelDefinition("linear_regression")]})
+    test = spark.createDataFrame([(10, 4.0, 8.0), (11, 5.0, 10.0)], "patient_id int, signal double, ktv double")
+    r = TRN.evaluate_models(fitted, test).first()
+    assert abs(r.r2 - 1.0) < 1e-9 and r.mae < 1e-9
+
+
+def test_random_search_picks_best(spark):
+    from dwellframe.operators import training as TRN
+    df, _ = _data(spark, 200, 2)
+    df = SP.assign_folds(df, 3, "patient_id", 5)
+    defn = TRN.ModelDefinition("elastic_net", {"l1_ratio": 1.0}, search_space={"alpha": [0.001, 5.0]})
+    model, best, score, scores = TRN.random_search_cv(df, ["x1", "x2"], "ktv", defn, "fold", parallelism=2)
+    assert best == {"alpha": 0.001} and len(scores) == 2 and score > 0.8
+    with pytest.raises(ValueError):
+        TRN.ModelDefinition("svm")
