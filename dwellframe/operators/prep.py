@@ -90,14 +90,23 @@ def _transform_base(df: DataFrame, model: PrepModel, *, check_log: bool = True)
 def fit_prep(df: DataFrame, *, targets: Sequence[str] = ("ktv", "pet"), numeric: Sequence[str] | None = None,
              categorical: Sequence[str] = (), imputation: str = "none", scaling: str = "standard",
              minmax_range: tuple[float, float] = (0.0, 1.0), encoding: str = "one_hot",
-             log_features: Sequence[str] = (), key: str = "patient_id", derive: bool = True,
-             max_categories: int = 256, check_log: bool = True) -> PrepModel:
-    """Fit imputation, scaling and encoding on ``df`` (the training rows)."""
+             log_features: Sequence[str] | str = (), key: str = "patient_id", derive: bool = True,
+             max_categories: int = 256, check_log: bool = True, auto_log_skew: float = 0.5) -> PrepModel:
+    """Fit imputation, scaling and encoding on ``df`` (the training rows).
+
+    ``log_features='auto'`` chooses log1p columns from the skewness profile
+    (|skewness| > ``auto_log_skew``); the choice is stored in the model.
+    """
     if imputation not in ("none", "mean", "median", "most_frequent"):
         raise ValueError(f"unknown imputation {imputation!r}")
     missing_t = [t for t in targets if t not in df.columns]
     if missing_t:
         raise KeyError(f"target columns missing: {missing_t}")
+    if log_features == "auto":  # I9: log1p for numeric columns whose |skewness| exceeds the threshold
+        pre = cohort_ops.derive_features(df) if derive else df
+        cand = list(numeric) if numeric is not None else numeric_columns(pre, exclude=[key, *targets, *categorical])
+        prof = distribution_profile(pre, cand, skew_threshold=auto_log_skew).filter("log_recommended").collect()
+        log_features = [r["column"] for r in prof]
     model = PrepModel([], list(categorical), list(targets), [], imputation, scaling, encoding,
                       list(log_features), derive)
     base = _transform_base(df, model, check_log=check_log)

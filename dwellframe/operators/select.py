@@ -366,3 +366,19 @@ def ols_from_gram(stats: GramStats) -> tuple[np.ndarray, float]:
     b0 = my - mx @ b
     # undo the shift: y - ys = b0 + (x - xs)b  ->  intercept in original units
     return b, float(b0 + stats.y_shift - stats.x_shift @ b)
+
+
+def training_input(features: DataFrame, selections: dict[str, Sequence[str]], key: str = "patient_id",
+                   targets: Sequence[str] = ("ktv", "pet"), always_keep: Sequence[str] = ()):
+    """Project the sorted union of features selected for any target (plus always-kept names).
+
+    Returns (frame, union, absent): selected names missing from the frame are
+    reported (and skipped); no selection at all keeps every column.
+    """
+    if not selections:
+        return features, [c for c in features.columns if c not in (key, *targets)], []
+    union = sorted({f for fs in selections.values() for f in fs} | set(always_keep))
+    absent = [f for f in union if f not in features.columns]
+    keep = [f for f in union if f in features.columns]
+    cols = ([key] if key in features.columns else []) + keep + [t for t in targets if t in features.columns]
+    return features.select(*cols), keep, absent

@@ -81,3 +81,21 @@ def test_gram_arrow_matches_sql(spark):
     for x, y in zip(a.total(), b.total()):
         assert np.allclose(x, y)
     assert np.allclose(a.sxx, b.sxx) and np.allclose(a.n, b.n)
+
+
+def test_training_input_union(spark):
+    f = spark.createDataFrame([(1, 1.0, 0.5, 3.0, 1.1, 0.8)], "patient_id int, a double, b double, c double, ktv double, pet double")
+    frame, union, absent = SL.training_input(f, {"ktv": ["a", "b"], "pet": ["b", "zz"]})
+    assert union == ["a", "b"] and absent == ["zz"]
+    assert frame.columns == ["patient_id", "a", "b", "ktv", "pet"]
+    frame2, union2, _ = SL.training_input(f, {})
+    assert union2 == ["a", "b", "c"]
+
+
+def test_auto_log_choice(spark):
+    from dwellframe.operators import prep as PR
+    rng = np.random.default_rng(3)
+    rows = [(i, float(rng.lognormal(0, 1.0)), float(rng.normal()), 1.0) for i in range(400)]
+    df = spark.createDataFrame(rows, "patient_id int, skewed double, sym double, ktv double")
+    m = PR.fit_prep(df, targets=["ktv"], numeric=["skewed", "sym"], log_features="auto", derive=False)
+    assert m.log_features == ["skewed"]
