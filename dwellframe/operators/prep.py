@@ -1,8 +1,9 @@
 """Fit/apply feature preparation with a reusable parameter table.
 
-``fit_prep`` runs at most two aggregate jobs over the training rows, (a)
-imputation statistics, (b) scaler statistics after imputation, plus one
-bounded ``distinct`` per categorical column for the vocabulary.  All
+``fit_prep`` runs one aggregate job over the training rows for no or mean
+imputation (mean imputation changes only the variance, by n_nonnull / n), or
+two for median / most-frequent imputation (statistics, then scaler statistics
+after imputation), plus one bounded ``distinct`` job for all vocabularies.  All
 statistics come back as a parameter table with one row per feature or
 category.  That table is small, writable and joinable.
 
@@ -117,9 +118,23 @@ def fit_prep(df: DataFrame, *, targets: Sequence[str] = ("ktv", "pet"), numeric:
                     *[F.col(c) for c in categorical if c in base.columns])
     # (a) imputation statistics: one aggregate job for all columns
     impute: dict[str, float | None] = {c: None for c in num}
-    if imputation == "mean" and num:
-        row = x.agg(*[F.avg(F.col(c)).alias(c) for c in num]).first()
-        impute = {c: (None if row[c] is None else float(row[c])) for c in num}
+    stats = {}
+    if imputation in ("none", "mean") and num:
+        # one pass: mean imputation keeps mean, min and max, and turns the population variance
+        # into var * n_nonnull / n (imputed points add no squared deviation)
+        aggs = [F.count(F.lit(1)).alias("__n")]
+        for c in num:
+            aggs += [F.avg(c).alias(f"{c}__mu"), F.var_pop(c).alias(f"{c}__var"), F.count(c).alias(f"{c}__cnt"),
+                     F.min(c).alias(f"{c}__min"), F.max(c).alias(f"{c}__max")]
+        row = x.agg(*aggs).first().asDict()
+        for c in num:
+            var, cnt = row[f"{c}__var"], row[f"{c}__cnt"]
+            if imputation == "mean":
+                impute[c] = None if row[f"{c}__mu"] is None else float(row[f"{c}__mu"])
+                var = None if var is None else var * cnt / row["__n"]
+            stats[f"{c}__mu"] = row[f"{c}__mu"]
+            stats[f"{c}__sd"] = None if var is None else max(var, 0.0) ** 0.5
+            stats[f"{c}__min"], stats[f"{c}__max"] = row[f"{c}__min"], row[f"{c}__max"]
     elif imputation in ("median", "most_frequent") and num:
         long = x.select(*num).unpivot([], num, "column", "value")
         if imputation == "median":
@@ -128,10 +143,9 @@ def fit_prep(df: DataFrame, *, targets: Sequence[str] = ("ktv", "pet"), numeric:
             st = R.column_modes(long).withColumnRenamed("mode", "stat")
         got = {r["column"]: r["stat"] for r in st.collect()}  # one row per feature
         impute = {c: (None if got.get(c) is None else float(got[c])) for c in num}
-    # (b) scaler statistics after imputation: one aggregate job
+    # (b) scaler statistics after imputation: one aggregate job (median / mode imputation only)
     filled = {c: (F.coalesce(F.col(c), F.lit(impute[c])) if impute[c] is not None else F.col(c)) for c in num}
-    stats = {}
-    if num:
+    if num and not stats:
         aggs = []
         for c in num:
             aggs += [F.avg(filled[c]).alias(f"{c}__mu"), F.stddev_pop(filled[c]).alias(f"{c}__sd"),

@@ -23,7 +23,7 @@ FEATS = [*NUMS, "modality_CAPD", "modality_CCPD", "modality_NIPD"]
 
 
 def _matrix(spark, sf, folds: bool = False):
-    coh = v(spark, sf, "cohort")
+    coh = v(spark, sf, "cohort").persist()  # the split and the fit read it several times
     s = SP.seeded_split(coh, "patient_id", TEST_SIZE, SEED)
     model = PR.fit_prep(s.train, numeric=NUMS, categorical=CATS, imputation="mean", log_features=["residual_rf"])
     tr = PR.apply_prep(s.train, model)
