@@ -148,37 +148,36 @@ ROWS_PER_BUCKET = 2_000_000
 MAX_BUCKETS = 50_000
 
 
-def _bucket_count(d: DataFrame, g: Sequence[str], max_groups: int) -> int:
-    """Buckets per group so the largest group gets ~ROWS_PER_BUCKET rows per bucket (>= 64).
-
-    One cheap count per group (bounded by ``max_groups`` rows) decides it.
-    """
-    sizes = d.groupBy(*g).agg(F.count(F.lit(1)).alias("n")).limit(max_groups + 1).collect()
-    if len(sizes) > max_groups:
-        raise ValueError(f"more than max_groups={max_groups} groups; rank by a window instead")
-    biggest = max((r["n"] for r in sizes), default=0)
-    return int(min(MAX_BUCKETS, max(64, math.ceil(biggest / ROWS_PER_BUCKET))))
-
-
 def _grouped_buckets(df: DataFrame, group_cols: Sequence[str], num_col: str, n_buckets: int | None,
                      max_groups: int, size_out: str):
     """Per-group edges (one ``percentile_approx`` pass, persisted: groups x n_buckets doubles, size
     checked) and the rows tagged with their bucket (count of edges below the value).
 
-    ``n_buckets=None`` sizes the buckets from the largest group; the sketch
-    accuracy grows with the bucket count so bucket sizes stay balanced.
+    ``n_buckets=None`` starts with 64 buckets and, only when the largest group
+    (known from the same pass) exceeds 64 x ``ROWS_PER_BUCKET`` rows, redoes
+    the edges with enough buckets; the sketch accuracy grows with the bucket
+    count so bucket sizes stay balanced.
     """
     g = list(group_cols) or [GKEY]
     d = df if group_cols else df.withColumn(GKEY, F.lit(0))
-    nb = n_buckets or _bucket_count(d, g, max_groups)
-    probs = [i / nb for i in range(1, nb)]
-    accuracy = max(10_000, 20 * nb)
-    edges = d.groupBy(*g).agg(F.percentile_approx(F.col(num_col).cast("double"), probs, accuracy).alias("__edges"),
+
+    def edges_for(nb):
+        probs = [i / nb for i in range(1, nb)]
+        accuracy = max(10_000, 20 * nb)
+        e = d.groupBy(*g).agg(F.percentile_approx(F.col(num_col).cast("double"), probs, accuracy).alias("__edges"),
                               F.count(F.lit(1)).alias(size_out)).persist()
-    n_groups = edges.count()
-    if n_groups > max_groups:
+        sizes = e.select(size_out).limit(max_groups + 1).collect()
+        if len(sizes) > max_groups:
+            e.unpersist()
+            raise ValueError(f"more than max_groups={max_groups} groups; rank by a window instead")
+        return e, max((r[0] for r in sizes), default=0)
+
+    nb = n_buckets or 64
+    edges, biggest = edges_for(nb)
+    if n_buckets is None and biggest > nb * ROWS_PER_BUCKET:
+        # a very large group: redo the edges with enough buckets (~ROWS_PER_BUCKET rows each)
         edges.unpersist()
-        raise ValueError(f"{n_groups} groups exceed max_groups={max_groups}; rank by a window instead")
+        edges, _ = edges_for(int(min(MAX_BUCKETS, math.ceil(biggest / ROWS_PER_BUCKET))))
     b = d.join(F.broadcast(edges), g).withColumn(
         BUCKET, F.size(F.filter("__edges", lambda e: e < F.col(num_col).cast("double")))).drop("__edges")
     return g, b, edges

@@ -46,3 +46,13 @@ def test_metrics_skip_missing_rows(spark):
                                 (4, "t", "m", 3.0, 2.5)], "patient_id int, target string, model string, y_true double, y_pred double")
     r = EV.regression_metrics(df).first()
     assert r.n == 2 and math.isclose(r.mae, 0.5)
+
+
+def test_large_group_path_rebuckets(spark, monkeypatch):
+    monkeypatch.setattr(R, "ROWS_PER_BUCKET", 5)       # forces the "very large group" branch
+    vals = [float((i * 7919) % 1009) for i in range(1200)]
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(vals)], "v double, k int")
+    got = R.exact_percentiles(df, "v", [0.25, 0.5]).first()
+    assert abs(got.p25 - float(np.percentile(vals, 25))) < 1e-12 and abs(got.p50 - float(np.percentile(vals, 50))) < 1e-12
+    ranks = sorted(r.rank for r in R.grouped_rank(df, [], "v", ["k"]).collect())
+    assert ranks == list(range(1, 1201))
