@@ -199,11 +199,12 @@ def _numeric_expr(p: dict, col: Column, scaling: str) -> Column:
 
 
 def apply_prep(df: DataFrame, model: PrepModel, *, key: str = "patient_id", keep_targets: bool = True,
-               on_unseen: str = "null", check_log: bool = True) -> DataFrame:
+               on_unseen: str = "null", check_log: bool = True, passthrough: Sequence[str] = ()) -> DataFrame:
     """Apply fitted parameters; output ``key``, features in fitted order, then targets.
 
     Missing numeric inputs are NULL before impute/scale; a fitted feature that
-    cannot be produced is 0.0; extra columns are dropped.
+    cannot be produced is 0.0; extra columns are dropped unless named in
+    ``passthrough`` (carried unchanged after the targets).
     """
     base = _transform_base(df, model, check_log=check_log)
     out: list[Column] = [F.col(key)] if key in base.columns else []
@@ -236,6 +237,7 @@ def apply_prep(df: DataFrame, model: PrepModel, *, key: str = "patient_id", keep
             out.append(F.lit(0.0).alias(fcol))
     if keep_targets:
         out += [F.col(t) for t in model.targets if t in base.columns]
+    out += [F.col(c) for c in passthrough if c in base.columns]
     return base.select(*out)
 
 

@@ -40,8 +40,9 @@ def _fitted(spark, sf):
 @query("stream_scoring", covers=("K2", "A8", "I7"))
 def stream_scoring(spark, sf):
     """Arriving records scored with state fitted in batch; audit JSON written per version by the stream."""
+    from ..operators import trees as TR
     prep, ktv = _fitted(spark, sf)  # state fitted in batch; the stream only applies it (pure projections)
-    audit = SS.score_stream(SI.intake_records(spark, sf), prep, ktv, VERSION)
+    audit = SS.score_stream(SI.intake_records(spark, sf), prep, ktv, VERSION, pet_ensemble=TR.Ensemble.load(spark))
     path = SI.run_to_files(audit, "scoring", fmt="json", partition_by=["version"])
     return spark.read.json(path)
 

@@ -10,14 +10,23 @@ from ..operators import prep as PR
 from ..sources import sinks
 
 
-def score_stream(records: DataFrame, prep_model, ktv_model, version: str, key: str = "patient_id") -> DataFrame:
-    """Valid records -> fitted preparation (pure select) -> linear Kt/V model -> audit rows.
+def score_stream(records: DataFrame, prep_model, ktv_model, version: str, key: str = "patient_id",
+                 pet_ensemble=None) -> DataFrame:
+    """Records -> fitted preparation (pure select) -> linear Kt/V model [+ tree-ensemble PET class] -> audit rows.
 
     ``records`` may be streaming: the preparation skips its aggregate log1p
-    guard (values <= -1 become NULL instead of failing the stream).
+    guard (values below -1 become NULL instead of failing the stream).  The
+    PET ensemble scores the derived (unscaled) features in the same
+    projection: probabilities, class and top-2.
     """
-    x = PR.apply_prep(records, prep_model, key=key, check_log=False, keep_targets=False)
+    from ..operators import cohort as cohort_ops
+    carry = []
+    if pet_ensemble is not None:
+        records = pet_ensemble.score(cohort_ops.derive_features(records), prefix="pet_")
+        carry = ["pet_probs", "pet_pred_class", "pet_top2"]
+    x = PR.apply_prep(records, prep_model, key=key, check_log=False, keep_targets=False, passthrough=carry)
     scored = ktv_model.predict(x, out="prediction")
     iv = SC.interval(F.col("prediction"), *SC.KTV_INTERVAL)
     scored = scored.withColumn("pi_95", iv).withColumn("model", F.lit(ktv_model.kind))
-    return sinks.audit_records(scored, version, [key, *prep_model.feature_columns], ["model", "prediction", "pi_95"], key)
+    return sinks.audit_records(scored, version, [key, *prep_model.feature_columns], ["model", "prediction", "pi_95", *carry],
+                               key)
