@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import parse as P
-from ..operators import cohort as cohort_ops
 from ..operators import intake as I
 from ..operators import quality as Q
 from ..sources import dictionaries as D

@@ -1,6 +1,5 @@
 """Evaluation tables against direct numpy / SQL computations."""
 import numpy as np
-from pyspark.sql import functions as F
 
 from dwellframe.operators import evaluate as EV
 

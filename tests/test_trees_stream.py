@@ -2,7 +2,6 @@
 import json
 import math
 
-from pyspark.sql import functions as F
 
 from dwellframe.operators import trees as TR
 from dwellframe.streaming import intake as SI
