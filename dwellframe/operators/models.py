@@ -445,8 +445,9 @@ def permutation_importance(model, df: DataFrame, features: Sequence[str], target
     d = df.filter(F.col(target).isNotNull()).na.drop(subset=list(features))
     h1 = RK.hex_prefix_number(RK.hash_order(key, seed))
     h2 = RK.hex_prefix_number(RK.hash_order(key, seed + 7919))
-    a = RK.global_rank(d.withColumn("__h", h1), "__h", [key], out="__r").drop("__h")
-    b = RK.global_rank(d.select(key, *features).withColumn("__h", h2), "__h", [key], out="__r") \
+    a = RK.global_rank(d.withColumn("__h", h1), "__h", [key], out="__r", uniform_range=RK.HASH_RANGE).drop("__h")
+    b = RK.global_rank(d.select(key, *features).withColumn("__h", h2), "__h", [key], out="__r",
+                       uniform_range=RK.HASH_RANGE) \
         .select("__r", *[F.col(f).alias(f"__perm_{f}") for f in features])
     j = a.join(b, "__r")
     if isinstance(model, LinearModel):

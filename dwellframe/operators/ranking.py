@@ -48,15 +48,28 @@ def _splits(df: DataFrame, num_col: str, n_buckets: int) -> list[float]:
     return [-math.inf, *inner, math.inf]
 
 
-def bucketize(df: DataFrame, num_col: str, n_buckets: int) -> DataFrame:
-    """Add ``__bucket``: contiguous, monotone ranges of ``num_col`` (double)."""
+HASH_RANGE = (0.0, float(1 << 60))  # hex_prefix_number of an md5 is uniform on this range
+
+
+def bucketize(df: DataFrame, num_col: str, n_buckets: int, uniform_range: tuple[float, float] | None = None) -> DataFrame:
+    """Add ``__bucket``: contiguous, monotone ranges of ``num_col`` (double).
+
+    With ``uniform_range`` (values known to be spread evenly, e.g. a hash)
+    the buckets are equal-width and no quantile pass is needed.
+    """
+    if uniform_range is not None:
+        lo, hi = uniform_range
+        w = (hi - lo) / n_buckets
+        b = F.floor((F.col(num_col) - F.lit(lo)) / F.lit(w))
+        return df.withColumn(BUCKET, F.least(F.greatest(b, F.lit(0)), F.lit(n_buckets - 1)).cast("double"))
     splits = _splits(df, num_col, n_buckets)
     return Bucketizer(splits=splits, inputCol=num_col, outputCol=BUCKET,
                       handleInvalid="keep").transform(df)
 
 
 def global_rank(df: DataFrame, num_col: str, tie_cols: Sequence[str] = (), out: str = "rank",
-                n_buckets: int | None = None, n_rows: int | None = None) -> DataFrame:
+                n_buckets: int | None = None, n_rows: int | None = None,
+                uniform_range: tuple[float, float] | None = None) -> DataFrame:
     """Exact 1-based rank by (num_col, *tie_cols) ascending; ``num_col`` must be a non-null double.
 
     One quantile pass, one tiny count aggregate, one shuffle by bucket.  With
@@ -66,7 +79,7 @@ def global_rank(df: DataFrame, num_col: str, tie_cols: Sequence[str] = (), out:
     nb = n_buckets or default_buckets(df)
     if n_buckets is None and n_rows:
         nb = int(min(50_000, max(nb, math.ceil(n_rows / 2_000_000))))
-    b = bucketize(df, num_col, nb)
+    b = bucketize(df, num_col, nb, uniform_range)
     counts = b.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("__cnt"))
     # n_buckets rows: an unpartitioned window over them is bounded by n_buckets
     offs = counts.select(BUCKET, (F.sum("__cnt").over(Window.orderBy(BUCKET)) - F.col("__cnt")).alias("__off"))
@@ -88,11 +101,14 @@ def ntile_from_rank(rank, n, k: int) -> Column:
 
 
 def kth_smallest(df: DataFrame, num_col: str, tie_cols: Sequence[str], k,
-                 n_buckets: int | None = None, max_rows_in_task: int = 1_000_000):
+                 n_buckets: int | None = None, max_rows_in_task: int = 1_000_000,
+                 uniform_range: tuple[float, float] | None = None):
     """The k-th (1-based) row by (num_col, *tie_cols) as a ``Row`` of those columns.
 
     ``k`` may be a function of the row count (evaluated on the first bucket
-    counts, so no separate ``count()`` pass is needed).  Narrows to the bucket
+    counts, so no separate ``count()`` pass is needed).  With ``uniform_range``
+    (an evenly spread key such as a hash) buckets are equal-width, so each
+    narrowing step is a single counting pass with no quantile pass.  Narrows to the bucket
     holding the k-th row until it has at most ``max_rows_in_task`` rows, then
     ranks that bucket alone.  Only bucket counts and the final row reach the
     driver.
@@ -101,8 +117,9 @@ def kth_smallest(df: DataFrame, num_col: str, tie_cols: Sequence[str], k,
     cur = df.select(*cols)
     nb = n_buckets or default_buckets(df)
     total = None
+    rng = uniform_range
     for it in range(32):
-        b = bucketize(cur, num_col, nb)
+        b = bucketize(cur, num_col, nb, rng)
         counts = sorted((int(r[BUCKET]), int(r["c"])) for r in
                         b.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("c")).collect())
         total = sum(c for _, c in counts)
@@ -117,6 +134,9 @@ def kth_smallest(df: DataFrame, num_col: str, tie_cols: Sequence[str], k,
             acc += c
         k -= acc
         cur = b.filter(F.col(BUCKET) == bid).drop(BUCKET)
+        if rng is not None:  # narrow the equal-width range to the chosen bucket
+            w = (rng[1] - rng[0]) / nb
+            rng = (rng[0] + bid * w, rng[0] + (bid + 1) * w)
         if c <= max_rows_in_task:
             break
         if len(counts) == 1:

@@ -63,7 +63,7 @@ def seeded_split(df: DataFrame, key: str = "patient_id", test_size: float = 0.2,
 
     if df.limit(1).count() == 0:
         return SplitResult(df, df, 0, 0)
-    cut = R.kth_smallest(hd, HNUM, [HASH, key], k_of)
+    cut = R.kth_smallest(hd, HNUM, [HASH, key], k_of, uniform_range=R.HASH_RANGE)
     is_test = R.lex_le([HNUM, HASH, key], [cut[HNUM], cut[HASH], cut[key]])
     if seen["k"] == 0:
         is_test = F.lit(False)
@@ -91,7 +91,7 @@ def assign_folds(df: DataFrame, k: int = 5, key: str = "patient_id", seed: int =
     """Contiguous folds over the seeded order (0-based); the first n mod k folds get one more row."""
     n = df.count()
     hd = with_hash_order(df, key, seed)
-    ranked = R.global_rank(hd, HNUM, [HASH, key], out="__rank", n_rows=n)
+    ranked = R.global_rank(hd, HNUM, [HASH, key], out="__rank", n_rows=n, uniform_range=R.HASH_RANGE)
     return ranked.withColumn(out, R.ntile_from_rank("__rank", n, k) - 1).drop("__rank", HASH, HNUM)
 
 
