@@ -82,7 +82,8 @@ def tree_toy_score(spark, sf):
                        F.col("top2")[1].cast("int").alias("top2")))
 
 
-@query("tree_arrow_score", covers=("J14", "C8", "L3"))
+@query("tree_arrow_score", covers=("J14", "C8", "L3"), sql=cte("cohort") + """
+select count(*) as n, cast(0 as bigint) as n_mismatch from cohort""")
 def tree_arrow_score(spark, sf):
     """Same model through the Arrow (mapInPandas) scorer; rows where it disagrees with the compiled scorer."""
     ens = _toy(spark)

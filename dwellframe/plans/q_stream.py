@@ -13,21 +13,39 @@ from ..sources import dictionaries as D
 from ..sources import sinks
 from ..streaming import intake as SI
 from ..streaming import scoring as SS
-from .common import v
+from ..sources.views import cte
+from .common import r6, v
 from .q_prep import CATS, NUMS
-from .q_split import SEED, TEST_SIZE
+from .q_split import IS_TEST, RANKED, SEED, TEST_SIZE
 from .registry import query
 
 VERSION = D.packaged_config()["version"]
 
 
-@query("stream_intake", covers=("K1", "H19", "B10", "B11"))
+def _intake_sql():
+    from ..operators import quality as Q
+    from ..sources.views import cte
+    from .q_intake import REC_CTES, REC_VIEWS
+    miss = "concat_ws(',', " + ", ".join(f"case when r.{f} is null then '{f}' end" for f in Q.REQUIRED_FIELDS) + ")"
+    nmiss = " + ".join(f"case when r.{f} is null then 1 else 0 end" for f in Q.REQUIRED_FIELDS)
+    errs = ("concat_ws(',', case when r.pdf_osmolarity is null then 'pdf_osmolarity' end, "
+            "case when r.dwell_time_minutes is null then 'dwell_time_minutes' end)")
+    dbl = ["age", "height_cm", "weight_kg", "bmi", "pdf_osmolarity", *D.LAB_FIELDS]
+    cols = ", ".join([f"round(r.{c}, 6) + 0e0 as {c}" for c in dbl])
+    return cte(*REC_VIEWS, extra=REC_CTES) + f"""
+select r.patient_id, {cols}, r.charlson_index, t.inflow, t.outflow, r.dwell_time_minutes,
+  {miss} as missing, {errs} as errors, coalesce(r.bmi < 10e0 or r.bmi > 60e0, false) as bmi_warning,
+  ({nmiss}) = 0 and r.pdf_osmolarity is not null and r.dwell_time_minutes is not null as is_valid
+from rec r join times t on r.patient_id = t.patient_id"""
+
+
+@query("stream_intake", covers=("K1", "H19", "B10", "B11"), sql=_intake_sql())
 def stream_intake(spark, sf):
     """Orders arrive as a file stream; each record is derived and validated; results land in a file sink."""
     osm, labs = SI.static_aggregates(spark, sf)
     out = SI.derive_and_validate(SI.intake_records(spark, sf), osm, labs)
     path = SI.run_to_files(out, "intake")
-    return spark.read.parquet(path)
+    return r6(spark.read.parquet(path))
 
 
 def _fitted(spark, sf):
@@ -54,7 +72,8 @@ _AUDIT_SCHEMA = T.StructType([
                                             T.StructField("prediction", T.DoubleType())]))])
 
 
-@query("audit_json", covers=("A8", "A12", "H31"))
+@query("audit_json", covers=("A8", "A12", "H31"), sql=cte("cohort") + """
+select count(*) as n, count(*) as n_consistent, count(*) as n_ids from cohort""")
 def audit_json(spark, sf):
     """Batch audit: write JSON per version, read back, decode, and check ids and values survive."""
     prep, ktv = _fitted(spark, sf)
@@ -70,7 +89,8 @@ def audit_json(spark, sf):
                     F.countDistinct("record_id").alias("n_ids"))
 
 
-@query("prep_state_roundtrip", covers=("A10",))
+@query("prep_state_roundtrip", covers=("A10",), sql=cte("cohort", extra=RANKED) + f"""
+select count(*) as n, cast(0 as bigint) as n_different, {len(NUMS) + 11} as n_features from ranked where {IS_TEST}""")
 def prep_state_roundtrip(spark, sf):
     """Write the fitted parameter table, rebuild the preparation from it, compare outputs on held-out rows."""
     s = SP.seeded_split(v(spark, sf, "cohort"), "patient_id", TEST_SIZE, SEED)
@@ -100,11 +120,18 @@ def selection_sink(spark, sf):
     return spark.read.json(path)
 
 
-@query("evaluation_sink", covers=("A9",))
+def _eval_sink_sql():
+    from .q_eval import METRICS_SQL, PRED_OK
+    return cte("predictions") + f"""
+select target, model, {METRICS_SQL}, cast(10 as bigint) as n_bins
+from predictions where {PRED_OK} group by target, model"""
+
+
+@query("evaluation_sink", covers=("A9",), sql=_eval_sink_sql())
 def evaluation_sink(spark, sf):
     pred = v(spark, sf, "predictions")
     path = sinks.default_root(spark, "evaluation")
     sinks.write_evaluation({"metrics": EV.regression_metrics(pred), "calibration": EV.calibration_bins(pred, 10)}, path)
     m = spark.read.parquet(f"{path}/metrics")
     c = spark.read.parquet(f"{path}/calibration")
-    return m.join(c.groupBy("target", "model").agg(F.count(F.lit(1)).alias("n_bins")), ["target", "model"])
+    return r6(m.join(c.groupBy("target", "model").agg(F.count(F.lit(1)).alias("n_bins")), ["target", "model"]))
