@@ -57,7 +57,8 @@ def _fitted(spark, sf):
 
 @query("stream_scoring", covers=("K2", "A8", "I7"))
 def stream_scoring(spark, sf):
-    """Arriving records scored with state fitted in batch; audit JSON written per version by the stream."""
+    """Arriving records are scored with state fitted in batch (preparation + linear Kt/V model) and the
+    tree-ensemble PET classifier; the stream writes one audit JSON document per record, partitioned by version."""
     from ..operators import trees as TR
     prep, ktv = _fitted(spark, sf)  # state fitted in batch; the stream only applies it (pure projections)
     audit = SS.score_stream(SI.intake_records(spark, sf), prep, ktv, VERSION, pet_ensemble=TR.Ensemble.load(spark))
