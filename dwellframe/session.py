@@ -13,15 +13,18 @@ from pyspark.sql import SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int | None = None,
-                  app: str = "dwellframe") -> SparkSession:
+                  app: str = "dwellframe", extra_conf: dict[str, str] | None = None) -> SparkSession:
     """A local session with the settings used by tests and ``bench.py``.
 
     AQE is on (coalesces small shuffles, splits skewed join partitions), the
     UI is off, timestamps are UTC so results compare with DuckDB.
     """
     parts = shuffle_partitions or (os.cpu_count() if cores == "*" else int(cores))
+    builder = SparkSession.builder
+    for k, v in (extra_conf or {}).items():
+        builder = builder.config(k, v)
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

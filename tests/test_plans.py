@@ -32,3 +32,11 @@ def test_column_pruning(spark):
     plan = _plan(df)
     scans = [l for l in plan.split("\n") if "FileScan parquet" in l and "orders" in l]
     assert scans and all("o_orderpriority" not in l and "o_orderstatus" not in l for l in scans)
+
+
+def test_cluster_settings():
+    from dwellframe.session import cluster_settings
+    s = cluster_settings(100 << 40, executor_cores=4, executors=1000)
+    assert int(s["spark.sql.shuffle.partitions"]) >= 2 * 4 * 1000
+    assert int(s["spark.sql.shuffle.partitions"]) == (100 << 40) // (256 << 20)
+    assert s["spark.sql.adaptive.skewJoin.enabled"] == "true"
