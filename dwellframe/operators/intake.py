@@ -144,9 +144,14 @@ def conversion_note(value, from_unit, converted, to_unit) -> Column:
 
 def labs_wide(converted: DataFrame, key: str = "patient_id", fields: Sequence[str] = D.LAB_FIELDS,
               value: str = "value_converted") -> DataFrame:
-    """Average per (patient, analyte), pivoted to one column per analyte (fixed value list:
-    a single aggregation, no extra job to discover pivot values)."""
-    return converted.groupBy(key).pivot("analyte", list(fields)).agg(F.avg(value))
+    """Average per (patient, analyte) as one column per analyte.
+
+    The analyte list is fixed by configuration, so this is one conditional
+    aggregation (one shuffle on the key, partial aggregation map-side) rather
+    than ``pivot``'s two-level aggregation.
+    """
+    return converted.groupBy(key).agg(*[F.avg(F.when(F.col("analyte") == f, F.col(value))).alias(f)
+                                        for f in fields])
 
 
 # ------------------------------------------------------------------ record
