@@ -140,13 +140,15 @@ def paired_comparison(pred: DataFrame, models: Sequence[str] | None = None, key:
                       target: str = "target", y: str = "y_true", p: str = "y_pred") -> DataFrame:
     """Paired difference of absolute errors between models on the same rows (t statistic).
 
-    One pivot by (target, key) over the fixed model list puts each patient's
-    errors side by side; model pairs become columns.  No self-join, no pairs
-    of rows are emitted.
+    One conditional aggregation by (target, key) over the model list puts each
+    patient's errors side by side; model pairs become columns.  No self-join,
+    no pairs of rows are emitted.
     """
     d = pred.filter(F.col(y).isNotNull() & F.col(p).isNotNull())
     models = list(models) if models is not None else model_names(d)
-    wide = d.groupBy(target, key).pivot("model", models).agg(F.first(F.abs(_err(y, p))))
+    ae = F.abs(_err(y, p))
+    # one conditional aggregation per (target, key): one shuffle, partial aggregation map-side
+    wide = d.groupBy(target, key).agg(*[F.max(F.when(F.col("model") == m, ae)).alias(m) for m in models])
     out = None
     for i, a in enumerate(models):
         for b in models[i + 1:]:
