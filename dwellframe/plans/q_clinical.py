@@ -76,20 +76,20 @@ def charlson(spark, sf):
 @query("cci_long", covers=("C4", "D6"), sql=cte("cohort") + f"""
 select patient_id, cast({S.CCI} as integer) as charlson_index from cohort""")
 def cci_long(spark, sf):
-    """Long form: unpivot flags, join the (broadcast) weight table, sum per patient."""
+    """Long form: unpivot every flag, join the (broadcast) code and weight tables, sum the weights
+    of the true flags per patient (one shuffle; every patient keeps its rows, so no join back)."""
     df = v(spark, sf, "cohort")
     codes = cohort_ops.flag_codes_for(df, cohort_ops.COHORT_FLAGS)
     fmap = spark.createDataFrame(list(codes.items()), "flag string, code string")
     weights = D.cci_weights(spark)
-    long = (df.select("patient_id", *[F.col(c).cast("double").alias(c) for c in codes])
-            .unpivot("patient_id", list(codes), "flag", "flag_value")
-            .filter(C.flag_true(F.col("flag_value")))
+    long = (df.select("patient_id", "age", *[F.col(c).cast("double").alias(c) for c in codes])
+            .unpivot(["patient_id", "age"], list(codes), "flag", "flag_value")
             .join(F.broadcast(fmap), "flag").join(F.broadcast(weights), "code", "left"))
-    per = long.groupBy("patient_id").agg(F.sum(F.coalesce("weight", F.lit(0))).alias("w"))
+    w = F.when(C.flag_true(F.col("flag_value")), F.coalesce(F.col("weight"), F.lit(0))).otherwise(F.lit(0))
+    per = long.groupBy("patient_id", "age").agg(F.sum(w).alias("w"))
     renal = C.CCI_BASE_WEIGHTS[C.RENAL_CODE]
-    return (df.select("patient_id", "age").join(per, "patient_id", "left")
-            .select("patient_id", (F.coalesce("w", F.lit(0)) + F.lit(renal)
-                                   + F.coalesce(C.age_points("age"), F.lit(0))).cast("int").alias("charlson_index")))
+    return per.select("patient_id", (F.col("w") + F.lit(renal)
+                                     + F.coalesce(C.age_points("age"), F.lit(0))).cast("int").alias("charlson_index"))
 
 
 @query("code_list", covers=("H17",), sql=cte("cohort") + """

@@ -161,7 +161,7 @@ def row_alignment(spark, sf):
     model = PR.fit_prep(s.train, numeric=["age"], categorical=[], imputation="mean")
     x = PR.apply_prep(s.test, model, keep_targets=False)
     y = s.test.filter(F.col("pet").isNotNull() & F.col("ktv").isNotNull()).select("patient_id", "pet")
-    return x.join(y, "patient_id", "left_semi").join(y, "patient_id").select("patient_id", "pet")
+    return x.join(y, "patient_id").select("patient_id", "pet")  # keys are unique: the join aligns rows
 
 
 _MM = ("age", "weight_kg", "bmi", "charlson_index", "mi")
