@@ -156,7 +156,7 @@ def align_columns(spark, sf):
 select c.patient_id, c.pet from cohort c join ranked r on c.patient_id = r.patient_id
 where {IS_TEST} and c.pet is not null and c.ktv is not null""")
 def row_alignment(spark, sf):
-    """Feature rows aligned to the rows that have both targets (left semi join on the key)."""
+    """Feature rows aligned to the rows that have both targets (equi-join on the unique key)."""
     s = SP.seeded_split(v(spark, sf, "cohort"), "patient_id", TEST_SIZE, SEED)
     model = PR.fit_prep(s.train, numeric=["age"], categorical=[], imputation="mean")
     x = PR.apply_prep(s.test, model, keep_targets=False)
