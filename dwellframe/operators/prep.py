@@ -295,11 +295,9 @@ def vocabulary(df: DataFrame, cols: Sequence[str], max_categories: int = 256) ->
     Stays distributed; the ordinal is a window partitioned by column over the
     distinct categories, whose number is checked against ``max_categories``.
     """
-    parts = None
-    for c in cols:
-        d = df.select(F.lit(c).alias("column"),
-                      F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias("category")).distinct()
-        parts = d if parts is None else parts.unionByName(d)
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"),
+                               F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias("category")) for c in cols])
+    parts = df.select(F.inline(pairs)).distinct()  # one shuffle for all columns (partial distinct map-side)
     too_many = parts.groupBy("column").count().filter(F.col("count") > max_categories).limit(1).collect()
     if too_many:
         raise ValueError(f"categorical column {too_many[0]['column']!r} exceeds {max_categories} categories")
