@@ -15,6 +15,14 @@ from dwellframe.session import ensure_checkpoint_dir
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Bytes of lower-cased text: what is neither alphanumeric ASCII nor part of a longer character stands for a space.
+_CLEAN = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """Lower-cased words between white space and ASCII punctuation."""
+    return (text or "").lower().encode().translate(_CLEAN).split()
+
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder named by ``spark.checkpoint.dir``."""

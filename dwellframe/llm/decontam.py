@@ -31,18 +31,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import others, text_udf
+from .common import others, text_udf, words_of
 
 SHINGLE = 5
 RADIUS = 22
 BLOCKS = 8
 _NEAR = [[v for v in range(256) if (v ^ x).bit_count() <= RADIUS // BLOCKS] for x in range(256)]
 _MUL = np.uint64(0x9E3779B97F4A7C15)
-_CLEAN = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
-
-
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode().translate(_CLEAN).split()
 
 
 def _hashes(words: list[bytes], size: int) -> np.ndarray:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dwellframe.sources.tables import table
 
-from . import decontam, langid, mixing, simhash, tokens
+from . import chat, cws, decontam, langid, mixing, pii, simhash, tokens, toxicity
 from .common import crc_fold
 
 
@@ -23,6 +23,19 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, and how alike these and the next documents' are."""
+    return cws.compare_edited(table(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; documents of fold 0 of 5 are held out of training."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(crc_fold("doc_id", 5) != 0))
+    rows = docs.select("doc_id", "text", F.coalesce(crc_fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"))
+    return toxicity.predict(rows, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; documents of fold 2 of 4 are held out of training."""
     docs = table(spark, sf_dir, "documents")
@@ -31,11 +44,24 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text", F.coalesce(fold == 2, F.lit(False)).alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Format all conversations and one that says control strings; digests of what reading back gives."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.digests(turns.unionByName(extra))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document: three-word shingles, at most three differing bits."""
     return simhash.fingerprint_table(table(spark, sf_dir, "documents"), shingle=3, radius=3)
 
 
+def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal values replaced by pseudonyms."""
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key="example key")
+
+
 def op9_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode, pack, write and read back all documents."""
     return tokens.write_and_read(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -69,12 +95,32 @@ select d.doc_id, d.size, t.source_size, t.target,
 from d join t on d.source is not distinct from t.source
 """
 
+OP6_SQL = r"""
+with r as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]'
+  union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e as (
+  select *, length(regexp_replace(role, '([<\[\\])', '\1.', 'g')) as role_chars, length(regexp_replace(text, '([<\[\\])', '\1.', 'g')) as text_chars,
+         coalesce(lag(role) over (partition by conv_id order by turn nulls first, role, text) = role, false) as merged from r)
+select conv_id, count(*)::bigint as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+       sum(case when role = 'assistant' then length(text) else 0 end)::bigint as loss_chars,
+       sha256(string_agg(case when role = 'assistant' then text else '' end, '' order by turn nulls first, role, text)) as loss_sha256,
+       (3 + sum(text_chars + case when merged then 8 else 8 + role_chars + 8 + 4 end))::bigint as formatted_chars
+from e group by conv_id
+"""
+
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
+    "op2_document_fingerprints": op2_document_fingerprints,
+    "op4_toxicity": op4_toxicity,
     "op5_language_id": op5_language_id,
+    "op6_chat_formatting": op6_chat_formatting,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_pii_pseudonyms": op8_pii_pseudonyms,
     "op9_token_blocks": op9_token_blocks,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
-SQL = {"op1_source_mixing": OP1_SQL}
+SQL = {"op1_source_mixing": OP1_SQL, "op6_chat_formatting": OP6_SQL}
