@@ -117,8 +117,8 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(m.weights[0] + x @ m.weights[1:], -40, 40))))
 
 
-def fit(texts: list[str], labels: list[int]) -> ToxicModel:
-    """A model of labelled texts."""
+def fit(texts: list[str], labels: list[int], odds: float | None = None) -> ToxicModel:
+    """A model of labelled texts; ``odds`` of toxic to ordinary rows where the sample was drawn (the sample's own if None)."""
     y = np.array(labels, int)
     n = np.array([(y == 0).sum(), (y == 1).sum()])
     if not n.all():
@@ -153,11 +153,12 @@ def fit(texts: list[str], labels: list[int]) -> ToxicModel:
     for _ in range(30):  # Newton steps of ridge-penalised logistic regression
         p = 1 / (1 + np.exp(-np.clip(a @ weights, -40, 40)))
         weights += np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.eye(len(weights)), a.T @ (y - p) - weights)
+    weights[0] += np.log(odds * n[0] / n[1]) if odds else 0.0  # classes are sampled at different rates
     model.weights = weights
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", max_rows: int = 3000, max_chars: int = 15_000_000) -> ToxicModel:
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", max_rows: int = 3000, max_chars: int = 8_000_000) -> ToxicModel:
     """Fit on a bounded sample of the rows of ``labels`` and their texts."""
     marked = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg((F.max(label) > 0).cast("int").alias("y"))
     n = {r.y: r.n for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -173,7 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         return fit([], [])
     other = F.pmod(F.xxhash64(F.concat(F.lit("c"), F.col("k").cast("string"))), F.lit(1 << 20))
     found = rows.where(other < cut[F.col("y")] * (1 << 20)).orderBy("k").toArrow()
-    return fit(found.column("t").to_pylist(), found.column("y").to_pylist())
+    return fit(found.column("t").to_pylist(), found.column("y").to_pylist(), n[1] / n[0] if n.get(0) and n.get(1) else None)
 
 
 def predict(docs: DataFrame, model: ToxicModel, text: str = "text") -> DataFrame:
