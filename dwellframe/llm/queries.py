@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dwellframe.sources.tables import table
 
-from . import chat, cws, decontam, langid, mixing, pii, simhash, tokens, toxicity
+from . import chat, cws, decontam, langid, mixing, pii, quality, simhash, tokens, toxicity
 from .common import crc_fold
 
 
@@ -28,6 +28,11 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cws.compare_edited(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document under the model of its language, and whether its language's threshold keeps it."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; documents of fold 0 of 5 are held out of training."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -114,6 +119,7 @@ from e group by conv_id
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op2_document_fingerprints": op2_document_fingerprints,
+    "op3_quality_perplexity": op3_quality_perplexity,
     "op4_toxicity": op4_toxicity,
     "op5_language_id": op5_language_id,
     "op6_chat_formatting": op6_chat_formatting,
