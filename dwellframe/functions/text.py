@@ -60,7 +60,7 @@ def title_case(c) -> Column:
     """Lower-case, then upper-case the first letter of every space-separated word."""
     s = F.lower(_c(c))
     words = F.split(s, " ")
-    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 20))), " ")
+    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 2**31 - 1))), " ")
 
 
 def feature_label(c) -> Column:

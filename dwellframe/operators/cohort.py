@@ -47,7 +47,7 @@ def derive_features(df: DataFrame, *, weight="weight_kg", height="height_cm", ag
     if dmap:
         missing = [v for v in dmap.values() if v not in df.columns]
         if missing:
-            raise KeyError(f"Missing columns for time feature derivation: {missing}")
+            raise KeyError(f"time intervals need columns {missing}")
         types = dict(df.dtypes)
         cols.update(C.time_intervals(**dmap, kinds={c: C.time_kind(types[c]) for c in dmap.values()}))
     codes = flag_codes_for(df, flags)

@@ -68,8 +68,9 @@ def icc_2_1(pred: DataFrame, by: Sequence[str] = GROUP, y: str = "y_true", p: st
     msr = 2 * F.col("v_row")
     msc = F.col("n") * F.pow(F.col("my") - F.col("mp"), 2) / 2
     sst = F.col("ss") - 2 * F.col("n") * F.pow((F.col("my") + F.col("mp")) / 2, 2)
-    mse = (sst - msr * (F.col("n") - 1) - msc) / (F.col("n") - 1)
-    icc = (msr - mse) / (msr + mse + 2 * (msc - mse) / F.col("n"))
+    # one row or constant data leave no variance: the result is NULL
+    mse = F.try_divide(sst - msr * (F.col("n") - 1) - msc, F.col("n") - 1)
+    icc = F.try_divide(msr - mse, msr + mse + 2 * (msc - mse) / F.col("n"))
     return agg.select(*by, F.col("n").cast("bigint").alias("n"), icc.alias("icc"))
 
 
@@ -113,52 +114,46 @@ def quadratic_kappa(scores: DataFrame, y: str = "y_class", p: str = "p_class") -
     a = d.agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("y").alias("sy"), F.sum("p").alias("sp"),
               F.sum(F.col("y") * F.col("y")).alias("syy"), F.sum(F.col("p") * F.col("p")).alias("spp"),
               F.sum(F.pow(F.col("y") - F.col("p"), 2)).alias("obs"))
-    exp = F.col("syy") + F.col("spp") - 2 * F.col("sy") * F.col("sp") / F.col("n")
-    return a.select(F.col("n").cast("bigint").alias("n"), (F.lit(1.0) - F.col("obs") / exp).alias("kappa"))
+    exp = F.col("syy") + F.col("spp") - F.try_divide(2 * F.col("sy") * F.col("sp"), F.col("n"))  # zero (NULL kappa) if all rows share one class
+    return a.select(F.col("n").cast("bigint").alias("n"), (F.lit(1.0) - F.try_divide("obs", exp)).alias("kappa"))
 
 
 def expected_calibration_error(scores: DataFrame, n_bins: int = 10, y: str = "y_class", p: str = "p_class",
                                conf: str = "top_prob") -> DataFrame:
-    """ECE of the top-class probability: bins floor(conf·n_bins), Σ n·|acc − conf| / N."""
+    """ECE of the top-class probability: bins floor(conf·n_bins) (1.0 in the last one), Σ n·|acc − conf| / N."""
     d = scores.filter(F.col(conf).isNotNull())
-    bins = d.groupBy(F.floor(F.col(conf) * n_bins).alias("bin")).agg(
+    bins = d.groupBy(F.least(F.floor(F.col(conf) * n_bins), F.lit(n_bins - 1)).alias("bin")).agg(
         F.count(F.lit(1)).alias("n"), F.avg((F.col(y) == F.col(p)).cast("double")).alias("acc"),
         F.avg(conf).alias("conf"))
-    return bins.agg((F.sum(F.col("n") * F.abs(F.col("acc") - F.col("conf"))) / F.sum("n")).alias("ece"),
+    return bins.agg(F.try_divide(F.sum(F.col("n") * F.abs(F.col("acc") - F.col("conf"))), F.sum("n")).alias("ece"),
                     F.sum("n").alias("n"))
 
 
-def model_names(pred: DataFrame, col: str = "model", max_models: int = 1000) -> list[str]:
-    """Distinct model names (bounded and checked): the pivot values of the comparison tables."""
-    names = [r[0] for r in pred.select(col).distinct().limit(max_models + 1).collect()]
-    if len(names) > max_models:
-        raise ValueError(f"more than {max_models} models to compare")
-    return sorted(n for n in names if n is not None)
+def model_names(pred: DataFrame, col: str = "model") -> list[str]:
+    """Distinct model names: the columns of the comparison tables (one small name for each fitted model)."""
+    return sorted(r[0] for r in pred.select(col).distinct().collect() if r[0] is not None)
 
 
 def paired_comparison(pred: DataFrame, models: Sequence[str] | None = None, key: str = "patient_id",
                       target: str = "target", y: str = "y_true", p: str = "y_pred") -> DataFrame:
     """Paired difference of absolute errors between models on the same rows (t statistic).
 
-    One conditional aggregation by (target, key) over the model list puts each
-    patient's errors side by side; model pairs become columns.  No self-join,
-    no pairs of rows are emitted.
+    One aggregation by (target, key) puts each patient's errors side by side;
+    the sums of all model pairs are columns of one second aggregate, unfolded at
+    the end.  No self-join, no pairs of rows, two shuffles for any number of
+    models.  Models that differ by a constant have a NULL statistic.
     """
     d = pred.filter(F.col(y).isNotNull() & F.col(p).isNotNull())
     models = list(models) if models is not None else model_names(d)
     ae = F.abs(_err(y, p))
     # one conditional aggregation per (target, key): one shuffle, partial aggregation map-side
     wide = d.groupBy(target, key).agg(*[F.max(F.when(F.col("model") == m, ae)).alias(m) for m in models])
-    out = None
-    for i, a in enumerate(models):
-        for b in models[i + 1:]:
-            diff = F.col(a) - F.col(b)
-            one = wide.filter(diff.isNotNull()).groupBy(target).agg(
-                F.count(F.lit(1)).alias("n"), F.avg(diff).alias("mean_diff"), F.stddev_samp(diff).alias("sd_diff"))
-            one = one.select(target, F.lit(a).alias("model_a"), F.lit(b).alias("model_b"), "n", "mean_diff", "sd_diff",
-                             (F.col("mean_diff") / (F.col("sd_diff") / F.sqrt(F.col("n")))).alias("t_stat"))
-            out = one if out is None else out.unionByName(one)
-    return out
+    pairs = [(a, b, F.col(f"`{a}`") - F.col(f"`{b}`")) for i, a in enumerate(models) for b in models[i + 1:]]
+    each = [F.struct(F.lit(a).alias("model_a"), F.lit(b).alias("model_b"), F.count(diff).alias("n"), F.avg(diff).alias("mean_diff"),
+                     F.stddev_samp(diff).alias("sd_diff")) for a, b, diff in pairs]
+    none = F.expr("cast(array() as array<struct<model_a:string,model_b:string,n:bigint,mean_diff:double,sd_diff:double>>)")
+    flat = wide.groupBy(target).agg((F.array(*each) if each else none).alias("__all")).select(target, F.inline("__all")).filter("n > 0")
+    return flat.withColumn("t_stat", F.try_divide("mean_diff", F.col("sd_diff") / F.sqrt(F.col("n"))))
 
 
 def comparison_pivot(metrics: DataFrame, metric: str, models: Sequence[str] | None = None,
@@ -185,12 +180,12 @@ def median_quantile(qpred: DataFrame, by: Sequence[str] = GROUP, q: str = "quant
     """Keep, per (target, model), the quantile nearest 0.5 (tie -> first in list order).
 
     The choice is made on the distinct (group, quantile) list, bounded by the
-    number of fitted quantiles, then broadcast back onto the predictions.
+    number of fitted quantiles, then joined back onto the predictions.
     """
     qs = qpred.select(*by, q, pos).distinct()
     w = Window.partitionBy(*by).orderBy(F.abs(F.col(q) - 0.5), F.col(pos))
     pick = qs.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").select(*by, q)
-    return qpred.join(F.broadcast(pick), [*by, q], "left_semi")
+    return qpred.join(pick, [*by, q], "left_semi")
 
 
 def residual_interval(pred: DataFrame, coverage: float = 0.95, by: Sequence[str] = GROUP, y: str = "y_true",
@@ -199,7 +194,7 @@ def residual_interval(pred: DataFrame, coverage: float = 0.95, by: Sequence[str]
     d = pred.filter(F.col(y).isNotNull() & F.col(p).isNotNull()).withColumn("__res", _err(y, p))
     a = (1.0 - coverage) / 2
     qs = R.exact_percentiles(d, "__res", [a, 1 - a], list(by), names=["res_lo", "res_hi"])
-    return pred.join(F.broadcast(qs), list(by), "left").select(
+    return pred.join(qs, list(by), "left").select(
         *pred.columns, (F.col(p) + F.col("res_lo")).alias("pi_lo"), (F.col(p) + F.col("res_hi")).alias("pi_hi"))
 
 
@@ -214,7 +209,7 @@ def pet_class(value, cuts: Sequence[float]) -> Column:
     return expr.otherwise(F.lit(len(cuts)))
 
 
-# Cumulative Poisson(1) probabilities P(K <= k), k = 0..11 (e^-1 · Σ 1/i!).
+# Cumulative Poisson(1) probabilities P(K <= k), e^-1 · Σ 1/i!; a draw above 11 (probability 6e-11) counts as 12.
 def _poisson1_cdf(kmax: int = 11) -> list[float]:
     out, term, acc = [], math.exp(-1.0), 0.0
     for k in range(kmax + 1):
@@ -253,9 +248,10 @@ def poisson_bootstrap_mae(pred: DataFrame, n_boot: int = 100, seed: int = 42, by
     point = d.groupBy(*by).agg(F.avg("__ae").alias("mae"))
     x = d.select(*by, key, "__ae", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("__b"))
     w = poisson_weight(key, "__b", seed)
-    reps = x.groupBy(*by, "__b").agg((F.sum(w * F.col("__ae")) / F.sum(w)).alias("rep"))
+    # a replicate that draws no row has no value and is left out of the percentiles
+    reps = x.groupBy(*by, "__b").agg(F.try_divide(F.sum(w * F.col("__ae")), F.sum(w)).alias("rep")).filter("rep is not null")
     a = (1 - coverage) / 2
     q = reps.groupBy(*by).agg(F.percentile("rep", F.array(F.lit(a), F.lit(1 - a))).alias("__q"))
-    return (point.join(q, list(by))
+    return (point.join(q, list(by), "left")
             .select(*by, "mae", F.col("__q")[0].alias("lo"), F.col("__q")[1].alias("hi"))
             .withColumn("n_boot", F.lit(n_boot)))

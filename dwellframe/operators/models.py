@@ -132,8 +132,14 @@ class MLModel:
 
 def fit_random_forest(df: DataFrame, features: Sequence[str], target: str, num_trees: int = 100,
                       max_depth: int = 12, seed: int = 42, **kw) -> MLModel:
-    """Bootstrap forest; every split considers all features (the reference's default)."""
-    rf = RandomForestRegressor(featuresCol=VEC, labelCol=target, numTrees=num_trees, maxDepth=min(max_depth, 30),
+    """Bootstrap forest; every split considers all features.
+
+    The depth is 12 unless given; MLlib grows trees to depth 30 at most, so a
+    deeper one is refused.
+    """
+    if max_depth > 30:
+        raise ValueError(f"max_depth={max_depth}: MLlib's trees end at depth 30")
+    rf = RandomForestRegressor(featuresCol=VEC, labelCol=target, numTrees=num_trees, maxDepth=max_depth,
                                featureSubsetStrategy=kw.pop("featureSubsetStrategy", "all"), seed=seed, **kw)
     d = assemble(df.filter(F.col(target).isNotNull()), features)
     return MLModel(list(features), rf.fit(d), "random_forest")
@@ -220,7 +226,11 @@ class _Rounds:
 
     def step(self, df: DataFrame) -> DataFrame:
         self.i += 1
-        df = cut_lineage(df) if self.i % self.every == 0 else df.persist()
+        if self.i % self.every == 0:
+            df = cut_lineage(df)
+        else:
+            df = df.persist()
+            df.count()  # filled from the generation before, which goes only then
         if self.prev is not None:
             self.prev.unpersist()
         self.prev = df
@@ -232,7 +242,7 @@ class _Rounds:
 
 
 def fit_quantile_boosting(df: DataFrame, features: Sequence[str], target: str, quantile: float = 0.5,
-                          n_estimators: int = 50, max_depth: int = 3, learning_rate: float = 0.1,
+                          n_estimators: int = 500, max_depth: int = 3, learning_rate: float = 0.1,
                           checkpoint_every: int = 10, seed: int = 42) -> BoostedTrees:
     """Gradient boosting for the pinball loss.
 
@@ -302,7 +312,7 @@ def _nll(z, mu, ls):
 
 
 def fit_distribution_boosting(df: DataFrame, features: Sequence[str], target: str, dist: str = "lognormal",
-                              n_estimators: int = 100, max_depth: int = 3, learning_rate: float = 0.01,
+                              n_estimators: int = 500, max_depth: int = 3, learning_rate: float = 0.01,
                               checkpoint_every: int = 10, seed: int = 42) -> DistributionBoosting:
     """Natural-gradient boosting of a normal (or lognormal: normal on log y) distribution.
 
@@ -313,9 +323,9 @@ def fit_distribution_boosting(df: DataFrame, features: Sequence[str], target: st
     if dist not in ("normal", "lognormal"):
         dist = "lognormal"
     d0 = df.filter(F.col(target).isNotNull()).na.drop(subset=list(features))
-    z = F.log(F.col(target)) if dist == "lognormal" else F.col(target).cast("double")
-    if dist == "lognormal":
-        d0 = d0.filter(F.col(target) > 0)
+    y = F.col(target).cast("double")
+    refused = F.raise_error(F.concat(F.lit(f"lognormal needs positive {target}, not "), y.cast("string")))
+    z = F.when(y > 0, F.log(y)).otherwise(refused.cast("double")) if dist == "lognormal" else y
     st = d0.agg(F.avg(z).alias("m"), F.stddev_pop(z).alias("s")).first()
     model = DistributionBoosting(list(features), dist, float(st["m"]), float(math.log(max(st["s"] or 1e-6, 1e-6))),
                                  learning_rate=learning_rate)

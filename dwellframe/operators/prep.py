@@ -92,7 +92,7 @@ def fit_prep(df: DataFrame, *, targets: Sequence[str] = ("ktv", "pet"), numeric:
              categorical: Sequence[str] = (), imputation: str = "none", scaling: str = "standard",
              minmax_range: tuple[float, float] = (0.0, 1.0), encoding: str = "one_hot",
              log_features: Sequence[str] | str = (), key: str = "patient_id", derive: bool = True,
-             max_categories: int = 256, check_log: bool = True, auto_log_skew: float = 0.5) -> PrepModel:
+             check_log: bool = True, auto_log_skew: float = 0.5) -> PrepModel:
     """Fit imputation, scaling and encoding on ``df`` (the training rows).
 
     ``log_features='auto'`` chooses log1p columns from the skewness profile
@@ -161,10 +161,10 @@ def fit_prep(df: DataFrame, *, targets: Sequence[str] = ("ktv", "pet"), numeric:
             centre, scale = mn, (rng if rng not in (None, 0.0) else None)
         model.params.append({"feature": c, "kind": "numeric", "impute_value": impute[c], "centre": centre,
                              "scale": scale, "lo": lo, "hi": hi, "source": c})
-    # vocabulary: one distributed job for all categorical columns, bounded by max_categories each
+    # vocabulary: one distributed job for all categorical columns; the fitted state holds every category
     cats = [c for c in categorical if c in base.columns]
     if cats:
-        vocab = vocabulary(base, cats, max_categories).collect()  # <= len(cats) * max_categories rows
+        vocab = vocabulary(base, cats).collect()
         for c in cats:
             for r in sorted((r for r in vocab if r["column"] == c), key=lambda r: r["ordinal"]):
                 model.params.append({"feature": f"{c}_{r['category']}" if encoding == "one_hot" else c,
@@ -199,12 +199,13 @@ def _numeric_expr(p: dict, col: Column, scaling: str) -> Column:
 
 
 def apply_prep(df: DataFrame, model: PrepModel, *, key: str = "patient_id", keep_targets: bool = True,
-               on_unseen: str = "null", check_log: bool = True, passthrough: Sequence[str] = ()) -> DataFrame:
+               on_unseen: str = "error", check_log: bool = True, passthrough: Sequence[str] = ()) -> DataFrame:
     """Apply fitted parameters; output ``key``, features in fitted order, then targets.
 
     Missing numeric inputs are NULL before impute/scale; a fitted feature that
     cannot be produced is 0.0; extra columns are dropped unless named in
-    ``passthrough`` (carried unchanged after the targets).
+    ``passthrough`` (carried unchanged after the targets).  A category that label
+    encoding has not seen fails the job, or is NULL with ``on_unseen="null"``.
     """
     base = _transform_base(df, model, check_log=check_log)
     out: list[Column] = [F.col(key)] if key in base.columns else []
@@ -289,18 +290,15 @@ def scaler_statistics(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return _unpivot_stats(x.agg(*aggs), cols, ["mean", "std_pop", "scale", "min", "max", "range"])
 
 
-def vocabulary(df: DataFrame, cols: Sequence[str], max_categories: int = 256) -> DataFrame:
+def vocabulary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Long (column, category, ordinal): sorted distinct per column, NULL -> "missing".
 
-    Stays distributed; the ordinal is a window partitioned by column over the
-    distinct categories, whose number is checked against ``max_categories``.
+    The ordinal is a window partitioned by column over the distinct categories
+    (one row each, however many rows hold them).
     """
     pairs = F.array(*[F.struct(F.lit(c).alias("column"),
                                F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias("category")) for c in cols])
     parts = df.select(F.inline(pairs)).distinct()  # one shuffle for all columns (partial distinct map-side)
-    too_many = parts.groupBy("column").count().filter(F.col("count") > max_categories).limit(1).collect()
-    if too_many:
-        raise ValueError(f"categorical column {too_many[0]['column']!r} exceeds {max_categories} categories")
     from pyspark.sql import Window
     w = Window.partitionBy("column").orderBy("category")
     return parts.withColumn("ordinal", (F.dense_rank().over(w) - 1).cast("int"))

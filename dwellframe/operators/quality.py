@@ -7,12 +7,14 @@ come back as long tables (one row per offending value) that stay distributed.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clinical as C
+from ..session import ensure_checkpoint_dir
 
 # The 14 fields the calculator requires, and its BMI warning band.
 REQUIRED_FIELDS: tuple[str, ...] = (
@@ -34,13 +36,13 @@ def _num(c: str) -> Column:
 
 
 def range_violations(df: DataFrame, rules: Mapping[str, tuple[float, float]], key: str = "patient_id",
-                     mode: str = "flag", max_report: int = 20) -> DataFrame:
+                     mode: str = "flag") -> DataFrame:
     """Values outside inclusive ``[min, max]`` as (key, field, value, min, max).
 
     Absent columns are skipped; NULL/NaN never violate; the column itself is
-    not changed.  ``mode='fail'`` raises ``ValueError`` listing up to
-    ``max_report`` offending values (one bounded ``take``), ``'flag'``
-    returns the violations frame.
+    not changed.  ``mode='flag'`` returns the violations frame. ``'fail'`` writes
+    it whole to the shared checkpoint folder and raises ``ValueError`` with the
+    exact count of each field and that path; without violations it returns ``df``.
     """
     items = []
     for field, (lo, hi) in rules.items():
@@ -56,12 +58,13 @@ def range_violations(df: DataFrame, rules: Mapping[str, tuple[float, float]], ke
     out = (df.select(key, F.explode(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("v"))
            .select(key, "v.field", "v.value", "v.min", "v.max"))
     if mode == "fail":
-        bad = out.take(max_report)
+        spark = df.sparkSession
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/range-violations-{uuid.uuid4().hex}"
+        out.write.parquet(path)
+        bad = spark.read.parquet(path).groupBy("field", "min", "max").agg(F.count(F.lit(1)).alias("n")).orderBy("field").collect()
         if bad:
-            first = bad[0]
-            vals = [r["value"] for r in bad if r["field"] == first["field"]]
-            raise ValueError(f"Column '{first['field']}' contains values outside range "
-                             f"[{first['min']}, {first['max']}]: {vals}")
+            said = "; ".join(f"{r['field']}: {r['n']} outside [{r['min']}, {r['max']}]" for r in bad)
+            raise ValueError(f"out of range ({said}); all violations are in {path}")
         return df
     return out
 
@@ -76,7 +79,7 @@ def complete_case(df: DataFrame, required: Sequence[str]) -> DataFrame:
 
 def target_present(df: DataFrame, target: str) -> DataFrame:
     if target not in df.columns:
-        raise KeyError(f"Target column '{target}' not found in dataset.")
+        raise KeyError(f"there is no column {target!r} to select targets by")
     return df.filter(F.col(target).isNotNull() & ~F.isnan(F.col(target)))
 
 
@@ -188,14 +191,14 @@ def validate_prediction_ranges(predictions: DataFrame, target: str, value_col: s
     NULL/NaN count as outside; an empty frame is valid; an unknown target raises ``ValueError``.
     """
     if target not in C.PREDICTION_RANGES:
-        raise ValueError(f"Unknown target '{target}' provided for validation.")
+        raise ValueError(f"no clinical range is known for {target!r}")
     lo, hi = C.PREDICTION_RANGES[target]
     row = predictions.agg(F.coalesce(F.bool_and(C.in_range(F.col(value_col), lo, hi)), F.lit(True)).alias("ok")).first()
     return bool(row["ok"])
 
 
 def missingness(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """One pass: per column NULL count, share missing, and a completeness score (long table)."""
+    """One pass: per column NULL count, share missing, and a completeness score (long table; shares are NULL without rows)."""
     cols = list(columns or df.columns)
     aggs = [F.count(F.lit(1)).alias("__n")]
     for c in cols:
@@ -208,8 +211,8 @@ def missingness(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     long = wide.unpivot("__n", cols, "column", "n_missing")
     return long.select("column", F.col("n_missing").cast("bigint").alias("n_missing"),
                        F.col("__n").alias("n_rows"),
-                       (F.col("n_missing") / F.col("__n")).alias("missing_share"),
-                       (F.lit(1.0) - F.col("n_missing") / F.col("__n")).alias("completeness"))
+                       F.try_divide("n_missing", "__n").alias("missing_share"),
+                       (F.lit(1.0) - F.try_divide("n_missing", "__n")).alias("completeness"))
 
 
 def row_counts(df: DataFrame, required: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

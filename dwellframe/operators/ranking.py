@@ -26,9 +26,9 @@ BUCKET = "__bucket"
 
 
 def hash_order(key, seed: int) -> Column:
-    """Seeded pseudo-random order key: md5 of "<key>:<seed>" (hex text, engine independent)."""
+    """Seeded pseudo-random order key: md5 of "<key>:<seed>" (hex text, engine independent; a NULL key counts as empty text)."""
     k = F.col(key) if isinstance(key, str) else key
-    return F.md5(F.concat(k.cast("string"), F.lit(f":{seed}")))
+    return F.md5(F.concat(F.coalesce(k.cast("string"), F.lit("")), F.lit(f":{seed}")))
 
 
 def hex_prefix_number(h) -> Column:
@@ -44,7 +44,7 @@ def default_buckets(df: DataFrame) -> int:
 def _splits(df: DataFrame, num_col: str, n_buckets: int) -> list[float]:
     probs = [i / n_buckets for i in range(1, n_buckets)]
     qs = df.approxQuantile(num_col, probs, 1.0 / (4 * n_buckets)) if probs else []
-    inner = sorted({float(q) for q in qs if q is not None and not math.isnan(q)})
+    inner = sorted({float(q) for q in qs if q is not None and math.isfinite(q)})
     return [-math.inf, *inner, math.inf]
 
 
@@ -78,13 +78,13 @@ def global_rank(df: DataFrame, num_col: str, tie_cols: Sequence[str] = (), out:
     """
     nb = n_buckets or default_buckets(df)
     if n_buckets is None and n_rows:
-        nb = int(min(50_000, max(nb, math.ceil(n_rows / 2_000_000))))
+        nb = max(nb, math.ceil(n_rows / 2_000_000))
     b = bucketize(df, num_col, nb, uniform_range)
     counts = b.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("__cnt"))
     # n_buckets rows: an unpartitioned window over them is bounded by n_buckets
     offs = counts.select(BUCKET, (F.sum("__cnt").over(Window.orderBy(BUCKET)) - F.col("__cnt")).alias("__off"))
     w = Window.partitionBy(BUCKET).orderBy(*[F.col(c) for c in (num_col, *tie_cols)])
-    return (b.join(F.broadcast(offs), BUCKET)
+    return (b.join(offs, BUCKET)
             .withColumn(out, F.row_number().over(w) + F.col("__off"))
             .drop("__off", BUCKET))
 
@@ -111,15 +111,18 @@ def kth_smallest(df: DataFrame, num_col: str, tie_cols: Sequence[str], k,
     narrowing step is a single counting pass with no quantile pass.  Narrows to the bucket
     holding the k-th row until it has at most ``max_rows_in_task`` rows, then
     ranks that bucket alone.  Only bucket counts and the final row reach the
-    driver.
+    driver.  A bucket whose rows all share one value is narrowed by the tie
+    columns in turn (numbers by value, text by its first six bytes).
     """
     cols = [num_col, *tie_cols]
     cur = df.select(*cols)
     nb = n_buckets or default_buckets(df)
     total = None
     rng = uniform_range
-    for it in range(32):
-        b = bucketize(cur, num_col, nb, rng)
+    by, later, it = num_col, list(tie_cols), -1
+    while True:
+        it += 1
+        b = bucketize(cur, by, nb, rng)
         counts = sorted((int(r[BUCKET]), int(r["c"])) for r in
                         b.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("c")).collect())
         total = sum(c for _, c in counts)
@@ -139,25 +142,39 @@ def kth_smallest(df: DataFrame, num_col: str, tie_cols: Sequence[str], k,
             rng = (rng[0] + bid * w, rng[0] + (bid + 1) * w)
         if c <= max_rows_in_task:
             break
-        if len(counts) == 1:
-            # the bucket cannot be split on num_col: if every row has the same order key,
-            # any of them is the k-th; never rank an unbounded bucket in one task
+        if len(counts) == 1 and (ends := cur.agg(F.min(by).alias("a"), F.max(by).alias("b")).first())["a"] == ends["b"]:
+            # the bucket cannot be split on this column: go on with the next one
             lo = cur.agg(*[F.min(x).alias(x) for x in cols]).first()
             hi = cur.agg(*[F.max(x).alias(x) for x in cols]).first()
             if all(lo[x] == hi[x] for x in cols):
                 return lo
-            raise ValueError("order key too concentrated to split; add a more selective tie column")
+            if not later:
+                break  # text that differs behind its first six bytes only
+            cur, by, rng = cur.withColumn("__next", _monotone(cur, later[0])), "__next", None
+            later = later[1:]
     w = Window.orderBy(*[F.col(c) for c in cols])
     row = cur.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") == k).select(*cols).first()
     return row
 
 
+def _monotone(df: DataFrame, col: str) -> Column:
+    """A double that never falls as the column rises: the number itself, or the first six bytes of its text; NULL is least."""
+    if dict(df.dtypes)[col] == "string":
+        head = F.rpad(F.hex(F.substring(F.encode(col, "UTF-8"), 1, 6)), 12, "0")
+        number = F.conv(head, 16, 10).cast("double")
+    else:
+        number = F.col(col).cast("double")
+    return F.coalesce(number, F.lit(-math.inf))
+
+
 def lex_le(cols: Sequence[str], values: Sequence) -> Column:
-    """Lexicographic (c1, c2, ...) <= (v1, v2, ...) as a Column (pushed down as a plain filter)."""
-    c0, v0 = F.col(cols[0]), F.lit(values[0])
+    """Lexicographic (c1, c2, ...) <= (v1, v2, ...) as a Column; NULL is smaller than any value."""
+    c0, v0 = F.col(cols[0]), values[0]
+    less = F.lit(False) if v0 is None else F.coalesce(c0 < F.lit(v0), F.lit(True))
+    same = c0.isNull() if v0 is None else F.coalesce(c0 == F.lit(v0), F.lit(False))
     if len(cols) == 1:
-        return c0 <= v0
-    return (c0 < v0) | ((c0 == v0) & lex_le(cols[1:], values[1:]))
+        return less | same
+    return less | (same & lex_le(cols[1:], values[1:]))
 
 
 # ------------------------------------------------------------- grouped ranks
@@ -165,13 +182,18 @@ GKEY = "__gk"
 
 
 ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 50_000
 
 
-def _grouped_buckets(df: DataFrame, group_cols: Sequence[str], num_col: str, n_buckets: int | None,
-                     max_groups: int, size_out: str):
-    """Per-group edges (one ``percentile_approx`` pass, persisted: groups x n_buckets doubles, size
-    checked) and the rows tagged with their bucket (count of edges below the value).
+def _edges_below(edges: str, value: Column, n: int) -> Column:
+    """Number of edges (sorted array of at most n) below the value, by binary search."""
+    steps = [1 << k for k in reversed(range(n.bit_length()))]
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0),
+                       lambda at, s: F.when(F.coalesce(F.get(edges, at + s - 1) < value, F.lit(False)), at + s).otherwise(at))
+
+
+def _grouped_buckets(df: DataFrame, group_cols: Sequence[str], num_col: str, n_buckets: int | None, size_out: str):
+    """Per-group edges (one ``percentile_approx`` pass, persisted: groups x n_buckets doubles) and the
+    rows tagged with their bucket (count of edges below the value).  Spark chooses how to join them.
 
     ``n_buckets=None`` starts with 64 buckets and, only when the largest group
     (known from the same pass) exceeds 64 x ``ROWS_PER_BUCKET`` rows, redoes
@@ -186,46 +208,40 @@ def _grouped_buckets(df: DataFrame, group_cols: Sequence[str], num_col: str, n_b
         accuracy = max(10_000, 20 * nb)
         e = d.groupBy(*g).agg(F.percentile_approx(F.col(num_col).cast("double"), probs, accuracy).alias("__edges"),
                               F.count(F.lit(1)).alias(size_out)).persist()
-        sizes = e.select(size_out).limit(max_groups + 1).collect()
-        if len(sizes) > max_groups:
-            e.unpersist()
-            raise ValueError(f"more than max_groups={max_groups} groups; rank by a window instead")
-        return e, max((r[0] for r in sizes), default=0)
+        return e, e.agg(F.max(size_out)).first()[0] or 0
 
     nb = n_buckets or 64
     edges, biggest = edges_for(nb)
     if n_buckets is None and biggest > nb * ROWS_PER_BUCKET:
         # a very large group: redo the edges with enough buckets (~ROWS_PER_BUCKET rows each)
         edges.unpersist()
-        edges, _ = edges_for(int(min(MAX_BUCKETS, math.ceil(biggest / ROWS_PER_BUCKET))))
-    b = d.join(F.broadcast(edges), g).withColumn(
-        BUCKET, F.size(F.filter("__edges", lambda e: e < F.col(num_col).cast("double")))).drop("__edges")
+        nb = math.ceil(biggest / ROWS_PER_BUCKET)
+        edges, _ = edges_for(nb)
+    b = d.join(edges, g).withColumn(BUCKET, _edges_below("__edges", F.col(num_col).cast("double"), nb)).drop("__edges")
     return g, b, edges
 
 
-def _bucket_offsets(b: DataFrame, g: Sequence[str]) -> DataFrame:
-    """(group, bucket, __cnt, __off): rows in the bucket and rows in earlier buckets of the group."""
-    counts = b.groupBy(*g, BUCKET).agg(F.count(F.lit(1)).alias("__cnt"))
+def _bucket_offsets(b: DataFrame, g: Sequence[str], weight: Column | None = None) -> DataFrame:
+    """(group, bucket, __cnt, __off): rows (or their weight) in the bucket and in earlier buckets of the group."""
+    counts = b.groupBy(*g, BUCKET).agg(F.sum(F.lit(1) if weight is None else weight).alias("__cnt"))
     return counts.select(*g, BUCKET, "__cnt", (F.sum("__cnt").over(Window.partitionBy(*g).orderBy(BUCKET))
                                                - F.col("__cnt")).alias("__off"))
 
 
 def grouped_rank(df: DataFrame, group_cols: Sequence[str], num_col: str, tie_cols: Sequence[str] = (),
-                 out: str = "rank", size_out: str = "group_n", n_buckets: int | None = None,
-                 max_groups: int = 10_000) -> DataFrame:
+                 out: str = "rank", size_out: str = "group_n", n_buckets: int | None = None) -> DataFrame:
     """Exact 1-based rank by (num_col, *tie_cols) within each group, plus the group size.
 
     Per-group bucket edges come from one ``percentile_approx`` aggregate; the
-    edge table (groups x n_buckets doubles) is broadcast after its size is
-    checked (``max_groups``).  Rows then shuffle by (group, bucket), so a large
+    edge table (groups x n_buckets doubles) is joined.  Rows then shuffle by (group, bucket), so a large
     group is spread over ``n_buckets`` tasks instead of one (by default enough
     buckets for ~2M rows each).  Offsets come from the per-bucket counts.
     ``num_col`` must be non-null.
     """
-    g, b, _ = _grouped_buckets(df, group_cols, num_col, n_buckets, max_groups, size_out)
+    g, b, _ = _grouped_buckets(df, group_cols, num_col, n_buckets, size_out)
     offs = _bucket_offsets(b, g).drop("__cnt")
     w = Window.partitionBy(*g, BUCKET).orderBy(*[F.col(c) for c in (num_col, *tie_cols)])
-    res = (b.join(F.broadcast(offs), [*g, BUCKET])
+    res = (b.join(offs, [*g, BUCKET])
            .withColumn(out, F.row_number().over(w) + F.col("__off"))
            .drop("__off", BUCKET))
     return res if group_cols else res.drop(GKEY)
@@ -240,19 +256,22 @@ def grouped_ntile(df: DataFrame, group_cols: Sequence[str], num_col: str, k: int
 
 def exact_percentiles(df: DataFrame, value_col: str, probs: Sequence[float],
                       group_cols: Sequence[str] = (), names: Sequence[str] | None = None,
-                      n_buckets: int | None = None, max_groups: int = 10_000) -> DataFrame:
+                      n_buckets: int | None = None) -> DataFrame:
     """Exact linear-interpolation percentiles (numpy/``percentile``/``quantile_cont``) per group.
 
-    Only the buckets that hold a wanted rank are ranked: per-bucket counts say
-    where ranks ⌊h⌋+1 and ⌈h⌉+1 (h = (n − 1)·p) fall, those buckets' rows are
-    kept by a broadcast semi-join (a small fraction of the data), ranked, and
-    the two neighbours interpolated.  No group is collected into one task.
+    Rows are counted by (group, value) first (combined in each task), so a
+    value that holds most rows is one row from there on and no row is ever
+    ranked.  Per-bucket counts say where ranks ⌊h⌋+1 and ⌈h⌉+1 (h = (n − 1)·p)
+    fall; only those buckets' values are summed up in order, and the two
+    neighbours interpolated.  No group is collected into one task.
     """
     names = list(names or [f"p{int(round(p * 100))}" for p in probs])
-    d = df.filter(F.col(value_col).isNotNull() & ~F.isnan(F.col(value_col).cast("double")))
-    g, b, edges = _grouped_buckets(d, group_cols, value_col, n_buckets, max_groups, "__n")
-    offs = _bucket_offsets(b, g)
-    want = edges.select(*g, "__n", F.explode(F.array(*[
+    d = df.withColumn("__v", F.col(value_col).cast("double")).filter(F.col("__v").isNotNull() & ~F.isnan("__v"))
+    counted = d.groupBy(*group_cols, "__v").agg(F.count(F.lit(1)).alias("__c")).persist()
+    g, b, _ = _grouped_buckets(counted, group_cols, "__v", n_buckets, "__values")
+    offs = _bucket_offsets(b, g, F.col("__c"))
+    total = offs.groupBy(*g).agg(F.sum("__cnt").alias("__n"))
+    want = total.select(*g, "__n", F.explode(F.array(*[
         F.struct(F.lit(nm).alias("__p"), F.lit(float(p)).alias("__q")) for p, nm in zip(probs, names)])).alias("t"))
     h = (F.col("__n") - 1) * F.col("t.__q")
     want = want.select(*g, F.col("t.__p").alias("__p"), (h - F.floor(h)).alias("__f"),
@@ -260,12 +279,9 @@ def exact_percentiles(df: DataFrame, value_col: str, probs: Sequence[float],
     # which bucket holds each wanted rank (groups x probs x 2 rows against groups x buckets rows)
     loc = want.join(offs, g).filter((F.col("__rk") > F.col("__off")) & (F.col("__rk") <= F.col("__off") + F.col("__cnt")))
     loc = loc.select(*g, BUCKET, "__p", "__f", "__rk", (F.col("__rk") - F.col("__off")).alias("__local"))
-    need = loc.select(*g, BUCKET).distinct()
-    rows = b.join(F.broadcast(need), [*g, BUCKET], "left_semi")
-    w = Window.partitionBy(*g, BUCKET).orderBy(F.col("__v"))
-    ranked = rows.select(*g, BUCKET, F.col(value_col).cast("double").alias("__v")).withColumn(
-        "__local", F.row_number().over(w))
-    hit = loc.join(ranked, [*g, BUCKET, "__local"])
+    rows = b.join(loc.select(*g, BUCKET).distinct(), [*g, BUCKET], "left_semi").select(*g, BUCKET, "__v", "__c")
+    upto = rows.withColumn("__upto", F.sum("__c").over(Window.partitionBy(*g, BUCKET).orderBy("__v")))
+    hit = loc.join(upto, [*g, BUCKET]).filter((F.col("__local") <= F.col("__upto")) & (F.col("__local") > F.col("__upto") - F.col("__c")))
     per = hit.groupBy(*g, "__p").agg(F.min_by("__v", "__rk").alias("__lo"), F.max_by("__v", "__rk").alias("__hi"),
                                      F.first("__f").alias("__f"))
     val = (F.col("__lo") + F.col("__f") * (F.col("__hi") - F.col("__lo"))).cast("double")

@@ -287,7 +287,7 @@ def fit_lasso_selection(df: DataFrame, features: Sequence[str], target: str, *,
     shift[target] = ms[target][0]
     stats = collect_gram(d, features, target, fold, shift)
     if stats.n.sum() == 0:
-        raise ValueError(f"Target column '{target}' has no valid values.")
+        raise ValueError(f"no row has a value of {target!r}")
     res = lasso_path_cv(stats, scales, alpha, max_iter, min_features)
     res.target = target
     return res

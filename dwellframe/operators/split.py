@@ -44,6 +44,7 @@ def test_count(n: int, test_size: float) -> int:
 
 
 def with_hash_order(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """Hash order of the key; rows without a key share the place of the empty text."""
     h = R.hash_order(key, seed)
     return df.withColumn(HASH, h).withColumn(HNUM, R.hex_prefix_number(F.col(HASH)))
 
@@ -73,12 +74,16 @@ def seeded_split(df: DataFrame, key: str = "patient_id", test_size: float = 0.2,
 
 
 def tail_split(df: DataFrame, order_col: str, test_size: float, key: str | None = None) -> SplitResult:
-    """Without shuffling the last ``ceil(n * test_size)`` rows by ``order_col`` are the test side."""
+    """Without shuffling the last ``ceil(n * test_size)`` rows by ``order_col`` are the test side.
+
+    Rows are compared in the column's own type (its double only sorts them into
+    ranges); NULLs come first, so they are training rows.
+    """
     n = df.count()
     k = test_count(n, test_size)
     num = "__ord"
-    tie = [key] if key and key != order_col else []
-    d = df.withColumn(num, F.col(order_col).cast("double"))
+    tie = [order_col, *([key] if key and key != order_col else [])]
+    d = df.withColumn(num, R._monotone(df, order_col))
     if n - k == 0:
         return SplitResult(df.limit(0), df, n, k)
     cut = R.kth_smallest(d, num, tie, n - k)

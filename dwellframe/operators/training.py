@@ -38,7 +38,7 @@ class ModelDefinition:
 
     def __post_init__(self):
         if self.model_type not in MODEL_TYPES:
-            raise ValueError(f"Unsupported model type: {self.model_type}")
+            raise ValueError(f"no such model type {self.model_type!r}; known: {', '.join(sorted(MODEL_TYPES))}")
 
 
 @dataclass
@@ -87,7 +87,7 @@ def fitter(defn: ModelDefinition, parallelism: int = 4):
         return lambda d, f, y: M.fit_ols(d, f, y)
     if t == "random_forest":
         return lambda d, f, y: M.fit_random_forest(d, f, y, num_trees=int(hp.get("n_estimators", 100)),
-                                                   max_depth=int(hp.get("max_depth") or 12))
+                                                   max_depth=int(hp.get("max_depth") or 30))
     if t in ("xgboost", "lightgbm", "catboost"):
         xgb = _xgboost_spark() if t == "xgboost" else None
         if xgb is not None:  # pragma: no cover - backend not installed here
@@ -114,7 +114,7 @@ def fitter(defn: ModelDefinition, parallelism: int = 4):
     if t == "stacked":
         bases = [fitter(b, parallelism) for b in (defn.base_models or [])]
         if not bases:
-            raise ValueError("Stacked model requires at least one base_model definition.")
+            raise ValueError("a stacked definition names no base models")
         meta = hp.get("meta", hp) if isinstance(hp.get("meta", hp), Mapping) else {}
         alpha = float(meta.get("alpha", 1.0))
 
@@ -126,7 +126,7 @@ def fitter(defn: ModelDefinition, parallelism: int = 4):
             model, _ = M.fit_stacking(dd, f, y, bases, fold=fold, meta_alpha=alpha, parallelism=parallelism)
             return model
         return fit_stack
-    raise ValueError(f"Unsupported model type: {t}")
+    raise ValueError(f"no such model type {t!r}")
 
 
 def _sample(space: Mapping, n_iter: int, seed: int) -> list[dict]:
@@ -171,16 +171,36 @@ def random_search_cv(df: DataFrame, features: Sequence[str], target: str, defn:
     return fitter(best_def, parallelism)(df, features, target), cands[best], scores[best], list(zip(cands, scores))
 
 
+@dataclass
+class TrainingResult:
+    """Models by target and name, training metrics and predictions, and what each search found.
+
+    Unpacks as (models, metrics).  A name is the model type; a type that is
+    defined again for a target is numbered (``elastic_net_2``).  ``searches``
+    maps (target, name) to best parameters, best score and all (parameters,
+    score) pairs.
+    """
+    models: dict
+    metrics: DataFrame | None
+    predictions: DataFrame | None
+    searches: dict
+
+    def __iter__(self):
+        return iter((self.models, self.metrics))
+
+
 def train_models(df: DataFrame, features: Sequence[str] | Mapping[str, Sequence[str]],
                  targets: Mapping[str, Sequence[ModelDefinition]], key: str = "patient_id", fold: str | None = None,
                  n_iter: int = 20, seed: int = 42, parallelism: int = 4):
     """Fit every definition for every target (targets absent or empty are skipped).
 
     ``features`` is one list or a per-target mapping (each model keeps its own
-    list).  Returns ({target: {model_type: model}}, metrics on training rows as
-    a long (target, model, n, r2, mae, mse) table).
+    list).  A definition with a search space is searched over the folds of column
+    ``fold``, or over seeded folds of its own number if none is given.
     """
+    from . import split as SP
     fitted: dict = {}
+    searches: dict = {}
     preds = None
     for target, defs in targets.items():
         if target not in df.columns:
@@ -191,17 +211,22 @@ def train_models(df: DataFrame, features: Sequence[str] | Mapping[str, Sequence[
         feats = list(features[target] if isinstance(features, Mapping) else features)
         fitted[target] = {}
         for defn in defs:
-            if defn.search_space and fold:
-                model, *_ = random_search_cv(d, feats, target, defn, fold, n_iter, seed, parallelism=parallelism)
+            taken = sum(n == defn.model_type or n.startswith(f"{defn.model_type}_") and n[len(defn.model_type) + 1:].isdigit() for n in fitted[target])
+            name = f"{defn.model_type}_{taken + 1}" if taken else defn.model_type
+            if defn.search_space:
+                by = fold or "__search_fold"
+                folded = d if fold else SP.assign_folds(d, max(2, defn.cross_validation_folds), key, seed, out=by)
+                model, best, best_score, scores = random_search_cv(folded, feats, target, defn, by, n_iter, seed, parallelism=parallelism)
+                searches[target, name] = {"best_params": best, "best_score": best_score, "scores": scores}
             else:
                 model = fitter(defn, parallelism)(d, feats, target)
-            fitted[target][defn.model_type] = model
+            fitted[target][name] = model
             p = model.predict(d, out="y_pred").select(key, F.lit(target).alias("target"),
-                                                      F.lit(defn.model_type).alias("model"),
+                                                      F.lit(name).alias("model"),
                                                       F.col(target).alias("y_true"), "y_pred")
             preds = p if preds is None else preds.unionByName(p)
     metrics = EV.regression_metrics(preds) if preds is not None else None
-    return fitted, metrics
+    return TrainingResult(fitted, metrics, preds, searches)
 
 
 def evaluate_models(fitted: Mapping, test: DataFrame, key: str = "patient_id") -> DataFrame | None:

@@ -4,10 +4,10 @@
   trees, ``arrays_zip`` + ``posexplode`` of node arrays) into a node table
   ``(tree_id, class_idx, node_id, left, right, feature, threshold,
   default_left, leaf)``.
-* Scoring: the node table (a model, bounded by ``max_nodes``) is compiled into
-  one nested ``when`` expression per tree, so scoring is a single projection
-  inside whole-stage codegen with no UDF and no shuffle.  Larger ensembles use
-  an Arrow ``mapInPandas`` scorer, vectorised over rows and level by level.
+* Scoring: ``Ensemble.score`` compiles the node table into one nested ``when``
+  expression per tree, so scoring is a single projection with no UDF and no
+  shuffle; the expression grows with the model.  ``score_arrow`` is the choice
+  for models of any size and depth: vectorised over rows, level by level.
 * Semantics: missing (NULL/NaN) follows ``default_left``; otherwise
   ``x < threshold`` goes left; a leaf returns its base weight; per class the
   raw score is the base margin plus its trees; softmax, argmax and top-2 follow.
@@ -18,9 +18,12 @@ from __future__ import annotations
 import json
 import math
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -103,14 +106,11 @@ class Ensemble:
     trees: dict  # tree_id -> (class_idx, {node_id: row dict})
 
     @classmethod
-    def load(cls, spark: SparkSession, text: str | None = None, path: str | None = None,
-             max_nodes: int = 200_000) -> "Ensemble":
-        """Parse with Spark; the node table (model-sized, checked against ``max_nodes``) comes to the driver."""
+    def load(cls, spark: SparkSession, text: str | None = None, path: str | None = None) -> "Ensemble":
+        """Parse with Spark; the node table (as large as the model, whatever the data) comes to the driver."""
         mf = model_frame(spark, text, path)
         p = model_params(mf).first()
         nodes = node_table(mf)
-        if nodes.count() > max_nodes:
-            raise ValueError(f"ensemble exceeds {max_nodes} nodes")
         trees: dict = defaultdict(lambda: [0, {}])
         for r in nodes.collect():
             trees[r["tree_id"]][0] = r["class_idx"]
@@ -125,10 +125,10 @@ class Ensemble:
             return F.lit(float(n["leaf"]))
         x = cols[self.feature_names[n["feature"]]]
         missing = x.isNull() | F.isnan(x)
-        left = self._node_expr(nodes, n["left"], cols)
-        right = self._node_expr(nodes, n["right"], cols)
-        return F.when(missing, left if n["default_left"] else right) \
-            .when(x < F.lit(float(n["threshold"])), left).otherwise(right)
+        below = x < F.lit(float(n["threshold"]))
+        # one condition a node: each child stands in the expression once
+        goes_left = (missing | below) if n["default_left"] else (~missing & below)
+        return F.when(goes_left, self._node_expr(nodes, n["left"], cols)).otherwise(self._node_expr(nodes, n["right"], cols))
 
     def raw_scores(self, df: DataFrame | None = None) -> Column:
         """array<double> of per-class raw scores as one Column expression."""
@@ -147,11 +147,12 @@ class Ensemble:
                 .withColumn(f"{prefix}top2", SC.top_k(F.col(f"{prefix}probs"), 2)))
 
     # --------------------------------------------------------------- Arrow path
-    def score_arrow(self, df: DataFrame, key: str) -> DataFrame:
-        """Vectorised scorer for large ensembles: numpy traversal per Arrow batch (no per-row Python)."""
-        import numpy as np
-        import pandas as pd
+    def score_arrow(self, df: DataFrame) -> DataFrame:
+        """Vectorised scorer for large ensembles: numpy traversal per Arrow batch (no per-row Python).
 
+        Every input row is kept as it is, with ``raw_scores`` beside its columns;
+        trees may have any depth.  Rows need no unique key.
+        """
         names, ncls, margin = self.feature_names, self.num_class, self.margin
         packed = []
         for _, (cls_idx, nodes) in self.trees.items():
@@ -163,7 +164,8 @@ class Ensemble:
             packed.append((cls_idx, {k: v for k, v in arr.items()}))
         bc = df.sparkSession.sparkContext.broadcast(packed)
 
-        def run(batches):
+        @F.pandas_udf("array<double>")
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
             model = bc.value
             for pdf in batches:
                 X = np.column_stack([pdf[f].astype("float64").to_numpy() for f in names])
@@ -171,20 +173,16 @@ class Ensemble:
                 rows = np.arange(len(pdf))
                 for cls_idx, a in model:
                     node = np.zeros(len(pdf), dtype=np.int64)
-                    for _ in range(64):
-                        leaf = (a["left"][node] == -1) & (a["right"][node] == -1)
-                        if leaf.all():
-                            break
+                    while not (leaf := (a["left"][node] == -1) & (a["right"][node] == -1)).all():
                         x = X[rows, a["feature"][node].astype(np.int64)]
                         miss = np.isnan(x)
                         go_left = np.where(miss, a["dleft"][node] == 1, x < a["threshold"][node])
                         nxt = np.where(go_left, a["left"][node], a["right"][node]).astype(np.int64)
                         node = np.where(leaf, node, nxt)
                     raw[:, cls_idx] += a["leaf"][node]
-                yield pd.DataFrame({key: pdf[key], "raw_scores": list(raw)})
+                yield pd.Series(list(raw))
 
-        out = df.select(key, *names).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, raw_scores array<double>")
-        return df.join(out, key)
+        return df.withColumn("raw_scores", run(F.struct(*[F.col(f).cast("double").alias(f) for f in names])))
 
 
 def raw_score_sql(ens: Ensemble) -> list[str]:

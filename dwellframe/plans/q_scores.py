@@ -88,7 +88,7 @@ def tree_arrow_score(spark, sf):
     """Same model through the Arrow (mapInPandas) scorer; rows where it disagrees with the compiled scorer."""
     ens = _toy(spark)
     df = cohort_ops.derive_features(v(spark, sf, "cohort"))
-    a = ens.score_arrow(df, "patient_id").select("patient_id", F.col("raw_scores").alias("arrow"))
+    a = ens.score_arrow(df).select("patient_id", F.col("raw_scores").alias("arrow"))
     b = df.select("patient_id", ens.raw_scores().alias("compiled"))
     diff = F.aggregate(F.zip_with("arrow", "compiled", lambda x, y: F.abs(x - y)), F.lit(0.0),
                        lambda acc, x: F.greatest(acc, x))

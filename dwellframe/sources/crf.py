@@ -1,10 +1,9 @@
 """Case-report-form (CRF) scan: a folder of CSV exports with a multi-row header.
 
-Each export repeats the same ``header_rows`` header lines (group row(s) with
-merged cells exported as empty cells, then the field row).  The header is
-read from the first lines of the first file (a bounded read), flattened to
-``Group::Field`` names, and every data file is read by Spark's CSV source with
-an explicit all-text schema; header lines found in any file are dropped.
+Each file starts with ``header_rows`` header lines (group row(s) with merged
+cells exported as empty cells, then the field row).  The header of every file is
+read from its first lines, flattened to ``Group::Field`` names, and its records
+are parsed as text by that header; header lines are told by their place.
 Then: rename / drop / required check (before any job) -> date parsing ->
 numeric coercion -> range validation -> complete-case filter.
 """
@@ -15,9 +14,9 @@ import csv
 import io
 from collections.abc import Iterable, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import parse as P
 from ..operators import quality as Q
@@ -53,36 +52,51 @@ def flatten_header(rows: Sequence[Sequence[str]], sep: str = "::") -> list[str]:
     return out
 
 
-def _first_file(spark: SparkSession, path: str) -> str:
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
-             .select("path").orderBy("path").limit(1).collect())
-    if not files:
-        raise FileNotFoundError(f"no CSV file under {path}")
-    return files[0]["path"]
+def _lines(spark: SparkSession, path: str, header_rows: int) -> DataFrame:
+    """(value, file, place): every line with its file; place counts the lines of a file's first block from 0 (NULL in later blocks)."""
+    lines = (spark.read.option("pathGlobFilter", "*.{csv,txt}").text(path)
+             .select("value", F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") == 0).alias("head"),
+                     F.monotonically_increasing_id().alias("id")))
+    # ids rise along a file's block; one row for each file
+    first = lines.filter("head").groupBy("file").agg(F.min("id").alias("first"))
+    return lines.join(first, "file").select("value", "file", F.when(F.col("head"), F.col("id") - F.col("first")).alias("place"))
 
 
-def read_header(spark: SparkSession, path: str, header_rows: int) -> list[list[str]]:
-    first = _first_file(spark, path)
-    lines = [r["value"] for r in spark.read.text(first).limit(header_rows).collect()]
-    return [next(csv.reader(io.StringIO(line))) for line in lines]
+def read_headers(spark: SparkSession, path: str, header_rows: int) -> dict[str, list[list[str]]]:
+    """The header rows of every file (``header_rows`` lines of each come to the driver)."""
+    out: dict[str, list[list[str]]] = {}
+    for r in _lines(spark, path, header_rows).filter(F.col("place") < header_rows).orderBy("file", "place").collect():
+        out.setdefault(r["file"], []).append(next(csv.reader(io.StringIO(r["value"])), []))
+    if not out:
+        raise FileNotFoundError(f"no CSV lines under {path}")
+    return out
 
 
 def read_crf(spark: SparkSession, path: str, header_rows: int = 2, sep: str = "::") -> DataFrame:
-    """All columns as text with flattened names; header lines of every file removed."""
-    header = read_header(spark, path, header_rows)
-    width = max(len(r) for r in header)
-    pos = [f"_c{i}" for i in range(width)]
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in pos])
-    raw = spark.read.schema(schema).option("header", False).option("pathGlobFilter", "*.csv").csv(path)
-    is_header = F.lit(False)
-    for row in header:
-        cells = list(row) + [""] * (width - len(row))
-        match = F.lit(True)
-        for c, val in zip(pos, cells):
-            match = match & (F.coalesce(F.col(c), F.lit("")) == F.lit(val))
-        is_header = is_header | match
-    names = flatten_header(header, sep)
-    return raw.filter(~is_header).toDF(*names)
+    """All columns as text with flattened names.
+
+    Each file is read by its own header, so files may hold their columns in any
+    order; a column that a file lacks is NULL there.  The first ``header_rows``
+    lines of a file are its header wherever else the same line stands.  A record
+    is one line.
+    """
+    forms: dict[tuple[str, ...], int] = {}  # distinct headers
+    which = []
+    for file, rows in read_headers(spark, path, header_rows).items():
+        which.append((file, forms.setdefault(tuple(flatten_header(rows, sep)), len(forms))))
+    width = max(len(f) for f in forms)
+    schema = ", ".join(f"_c{i} string" for i in range(width))
+    data = _lines(spark, path, header_rows).filter((F.coalesce("place", F.lit(header_rows)) >= header_rows) & (F.trim("value") != ""))
+    data = data.join(spark.createDataFrame(which, "file string, form int"), "file").select("form", F.from_csv("value", schema, {"escape": '"'}).alias("r"))
+    names = list(dict.fromkeys(n for f in forms for n in f))
+    columns = []
+    for name in names:
+        value = F.lit(None).cast("string")
+        for form, k in forms.items():
+            if name in form:
+                value = F.when(F.col("form") == k, F.col(f"r._c{form.index(name)}")).otherwise(value)
+        columns.append(value.alias(name))
+    return data.select(*columns)
 
 
 def rename_and_select(df: DataFrame, renames: Mapping[str, str], drop: Iterable[str] = (),
@@ -95,7 +109,7 @@ def rename_and_select(df: DataFrame, renames: Mapping[str, str], drop: Iterable[
     out = out.drop(*drops) if drops else out
     missing = [c for c in (clean_name(r) for r in required) if c not in out.columns]
     if missing:
-        raise KeyError(f"Missing required columns after renaming/dropping: {missing}")
+        raise KeyError(f"the export lacks required columns {missing}")
     return out
 
 
@@ -115,13 +129,21 @@ def ingest_crf(spark: SparkSession, path: str, *, renames: Mapping[str, str], re
 
 
 def write_crf(df: DataFrame, path: str, header: Sequence[Sequence[str]]) -> None:
-    """Write a CSV export folder whose first file starts with the header lines (test/export helper).
-
-    The header rows form their own single-row partitions ahead of the data
-    partitions, so part-00000 holds them; data partitions are written as is.
-    """
-    spark = df.sparkSession
+    """Write a CSV export folder, each file with the header lines (test/export helper)."""
     cols = df.columns
-    text = df.select(*[F.col(c).cast("string").alias(c) for c in cols])
-    head = spark.createDataFrame([tuple(r) for r in header], text.schema).coalesce(1)
-    head.union(text).write.mode("overwrite").option("header", False).csv(path)
+    quoted = lambda c: F.when(c.rlike("[\",\n]"), F.concat(F.lit('"'), F.regexp_replace(c, '"', '""'), F.lit('"'))).otherwise(F.coalesce(c, F.lit("")))
+    lines = df.select(F.concat_ws(",", *[quoted(F.col(f"`{c}`").cast("string")) for c in cols]).alias("value"))
+    out = io.StringIO()
+    csv.writer(out, lineterminator="\n").writerows(header)
+    head = out.getvalue()
+
+    def with_header(batches):
+        first = True
+        for batch in batches:
+            values = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_pydict({"value": pa.array([head + v if first and not i else v for i, v in enumerate(values)], pa.string())})
+            first = first and not values
+        if first:
+            yield pa.RecordBatch.from_pydict({"value": pa.array([head.rstrip("\n")], pa.string())})
+
+    lines.mapInArrow(with_header, "value string").write.mode("overwrite").text(path, lineSep="\n")

@@ -43,7 +43,8 @@ from orders o join customer c on o.o_custkey = c.c_custkey
     "labs_long": """
 select l_orderkey as patient_id,
   case l_linenumber when 1 then 'pdf_urea' when 2 then 'pdf_creatinine' when 3 then 'pdf_protein'
-    when 4 then 'urine_protein_creatinine' when 5 then 'blood_urea' when 6 then 'blood_creatinine'
+    when 4 then 'urine_protein_creatinine'
+    when 5 then case when l_orderkey % 2 = 0 then 'blood_protein' else 'blood_urea' end when 6 then 'blood_creatinine'
     else 'blood_albumin' end as analyte,
   l_quantity as value,
   case l_returnflag when 'R' then ' MG/DL ' when 'A' then 'mmol/L' else 'g/dL' end as unit
@@ -98,11 +99,12 @@ select l_orderkey as patient_id, l_linenumber as line_no,
 from lineitem
 """,
     "predictions": """
-select patient_id, 'ktv' as target, m.model as model, gender, ktv as y_true,
-  0.9e0 * ktv + m.bias + ((patient_id % 21) - 10) / m.noise as y_pred
-from cohort cross join (select 'linear' as model, 0.15e0 as bias, 50e0 as noise
-  union all select 'forest', 0.05e0, 80e0 union all select 'boosted', 0.2e0, 120e0) m
-where ktv is not null
+select patient_id, 'ktv' as target, 'linear' as model, gender, ktv as y_true, 0.9e0 * ktv + 0.15e0 + ((patient_id % 21) - 10) / 50e0 as y_pred
+from cohort where ktv is not null
+union all select patient_id, 'ktv', 'forest', gender, ktv, 0.9e0 * ktv + 0.05e0 + ((patient_id % 21) - 10) / 80e0 from cohort where ktv is not null
+union all select patient_id, 'ktv', 'boosted', gender, ktv, 0.9e0 * ktv + 0.2e0 + ((patient_id % 21) - 10) / 120e0 from cohort where ktv is not null
+union all select patient_id, 'pet', 'linear', gender, pet, 0.8e0 * pet + 0.1e0 + ((patient_id % 17) - 8) / 100e0 from cohort where pet is not null
+union all select patient_id, 'pet', 'forest', gender, pet, 0.85e0 * pet + 0.08e0 + ((patient_id % 17) - 8) / 160e0 from cohort where pet is not null
 """,
     "quantile_preds": """
 select patient_id, target, model, 0.1e0 as quantile, 0 as q_pos, y_true, y_pred - 0.16e0 as y_pred from predictions

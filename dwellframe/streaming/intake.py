@@ -25,11 +25,17 @@ from ..sources import tables
 from ..sources.views import VIEW_SQL
 
 
-def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files_per_trigger: int = 1) -> DataFrame:
-    """File stream over one driver table (its folder filtered to the table's files)."""
+def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """File stream over one driver table (its folder filtered to the table's files).
+
+    A micro-batch takes all new files unless the caller limits it: the static
+    sides are joined once for each batch.
+    """
     schema = tables.table(spark, sf_dir, name).schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-            .option("maxFilesPerTrigger", max_files_per_trigger).parquet(sf_dir))
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    if max_files_per_trigger:
+        stream = stream.option("maxFilesPerTrigger", max_files_per_trigger)
+    return stream.parquet(sf_dir)
 
 
 def _private_views(spark: SparkSession, sf_dir: str) -> tuple[str, str]:

@@ -15,12 +15,15 @@ def score_stream(records: DataFrame, prep_model, ktv_model, version: str, key: s
     """Records -> fitted preparation (pure select) -> linear Kt/V model [+ tree-ensemble PET class] -> audit rows.
 
     ``records`` may be streaming: the preparation skips its aggregate log1p
-    guard (values below -1 become NULL instead of failing the stream).  The
+    guard (values below -1 become NULL instead of failing the stream).  If the
+    records were validated (column ``is_valid``) only valid ones are scored.  The
     PET ensemble scores the derived (unscaled) features in the same
     projection: probabilities, class and top-2.
     """
     from ..operators import cohort as cohort_ops
     carry = []
+    if "is_valid" in records.columns:
+        records = records.filter("is_valid")
     if pet_ensemble is not None:
         records = pet_ensemble.score(cohort_ops.derive_features(records), prefix="pet_")
         carry = ["pet_probs", "pet_pred_class", "pet_top2"]

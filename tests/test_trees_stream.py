@@ -38,7 +38,7 @@ def test_toy_model_scores(spark):
         probs = [v / sum(e) for v in e]
         assert all(abs(a - b) < 1e-12 for a, b in zip(got[pid].probs, probs))
         assert got[pid].pred_class == probs.index(max(probs))
-    arrow = {r.patient_id: r.raw_scores for r in ens.score_arrow(df, "patient_id").collect()}
+    arrow = {r.patient_id: r.raw_scores for r in ens.score_arrow(df).collect()}
     assert all(abs(a - b) < 1e-12 for pid in arrow for a, b in zip(arrow[pid], got[pid].raw_scores))
 
 
