@@ -93,7 +93,7 @@ def _bucketed(docs: DataFrame, key: str, text: str) -> DataFrame:
     rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     edges = rows.select("id").agg(F.percentile_approx("id", [k / n for k in range(1, n)], 20 * n).alias("e")).first()["e"] or []
-    splits = [float("-inf"), *sorted({float(e) for e in edges}), float("inf")]
+    splits = [float("-inf"), *(sorted({float(e) for e in edges}) or [0.0]), float("inf")]
     from pyspark.ml.feature import Bucketizer
 
     place = Bucketizer(splits=splits, inputCol="x", outputCol="y", handleInvalid="keep")

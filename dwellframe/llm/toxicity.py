@@ -147,7 +147,8 @@ def fit(texts: list[str], labels: list[int], odds: float | None = None) -> Toxic
     share = (count + SMOOTH * base) / (count.sum(axis=1, keepdims=True) + SMOOTH)
     model.evidence = np.where(base > 0, np.log(np.maximum(share[1], 1e-12) / np.maximum(share[0], 1e-12)), 0).astype(np.float32)
     x = np.array([scorer.features(c) for c in cells])
-    model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+    spread = x.std(axis=0)
+    model.mean, model.scale = x.mean(axis=0), np.where(spread > 1e-6, spread, 1.0)
     a = np.c_[np.ones(len(x)), (x - model.mean) / model.scale]
     weights = np.zeros(a.shape[1])
     for _ in range(30):  # Newton steps of ridge-penalised logistic regression
