@@ -56,6 +56,22 @@ def subgroup_metrics(pred: DataFrame, dims: Sequence[str] = ("model", "gender"),
                              F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse"))
 
 
+AGE_BANDS = (50.0, 65.0)
+COMORBIDITY_BANDS = (3, 5)
+
+
+def with_bands(df: DataFrame, age: str = "age", index: str = "charlson_index") -> DataFrame:
+    """Age and comorbidity bands for subgroup tables: below, between and from the cut points; NULL is "unknown"."""
+    def band(c, cuts):
+        x = F.when(F.col(c).isNull(), "unknown")
+        low = "-"
+        for k in cuts:
+            x = x.when(F.col(c) < k, f"{low}..{k:g}")
+            low = f"{k:g}"
+        return x.otherwise(f"{low}..")
+    return df.withColumns({"age_band": band(age, AGE_BANDS), "comorbidity_band": band(index, COMORBIDITY_BANDS)})
+
+
 def icc_2_1(pred: DataFrame, by: Sequence[str] = GROUP, y: str = "y_true", p: str = "y_pred") -> DataFrame:
     """ICC(2,1) of truth vs prediction as two raters, from one aggregate of sums (ANOVA mean squares)."""
     d = pred.filter(F.col(y).isNotNull() & F.col(p).isNotNull())

@@ -29,7 +29,7 @@ def _as_double(df: DataFrame, c: str, parser) -> Column:
 def bag_lookup(shifts: DataFrame, bags: DataFrame, on: str = "bag_no") -> DataFrame:
     """Left equi-join of shifts with the (broadcast) bag dictionary; unknown bag -> NULL osm."""
     b = bags.select(on, "osm")
-    return shifts.join(F.broadcast(b), on, "left")
+    return shifts.join(b, on, "left")
 
 
 def shift_is_valid(df: DataFrame, bag: str = "bag_no", osm: str = "osm", volume: str = "volume_l",
@@ -71,7 +71,7 @@ def osmolarity(regimen: DataFrame, shifts: DataFrame, bags: DataFrame, key: str
     """Modality dispatch (upper-cased): CAPD -> its bag; NIPD -> shifts; CCPD -> day bag if set,
     else night shifts; other -> NULL.  Adds ``pdf_osmolarity`` and ``osm_reason``."""
     agg = shift_osmolarity(shifts, bags, key, on).select(key, "shift_osmolarity", "total_volume_l")
-    b = F.broadcast(bags.select(on, "osm"))
+    b = bags.select(on, "osm")
     r = (regimen.join(b.withColumnRenamed(on, capd_bag).withColumnRenamed("osm", "capd_osm"),
                       capd_bag, "left")
          .join(b.withColumnRenamed(on, day_bag).withColumnRenamed("osm", "day_osm"), day_bag, "left")
@@ -107,8 +107,8 @@ def convert_labs(labs: DataFrame, lab_units: DataFrame, factors: DataFrame,
     equi-join on (analyte, lower(from), lower(to)) with the broadcast factor
     table; no rule or equal units (ignoring case) -> value unchanged.
     """
-    u = F.broadcast(lab_units.select(F.col("analyte").alias("__a"), F.col("expected").alias("__exp")))
-    f = F.broadcast(factors.select(F.col("analyte").alias("__fa"), "from_unit", "to_unit", "factor", "op"))
+    u = lab_units.select(F.col("analyte").alias("__a"), F.col("expected").alias("__exp"))
+    f = factors.select(F.col("analyte").alias("__fa"), "from_unit", "to_unit", "factor", "op")
     own = F.nullif(F.trim(F.col(unit)), F.lit(""))
     x = labs.join(u, F.col(analyte) == F.col("__a"), "left")
     to_u = F.coalesce(F.nullif(F.trim(F.col("__exp")), F.lit("")), own)

@@ -90,7 +90,7 @@ def guard_warnings(long_values: DataFrame, guards: DataFrame, key: str = "patien
     fixed-size dimension, broadcast.  Non-finite values never warn; bounds are
     inclusive (a value equal to min or max is fine).
     """
-    g = F.broadcast(guards.alias("g"))
+    g = guards.alias("g")
     v = long_values.alias("v")
     cond = (F.col("v.field") == F.col("g.field")) & C.is_finite(F.col("v.value")) & (
         (F.col("v.value") < F.col("g.min")) | (F.col("v.value") > F.col("g.max")))

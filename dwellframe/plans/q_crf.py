@@ -38,9 +38,16 @@ def scan_rename_required(spark, sf):
                      F.col("pd_start_date").cast("string").alias("pd_start_date"), "ktv")
 
 
-@query("flatten_header", covers=("A2", "H29"))
+_FLAT = {"Unnamed: 0_level_0::Record": "patient_id", "Person::Years of life": "age", "Person::Sex": "gender",
+         "Measures::Mass kg": "weight_kg", "Therapy::First exchange": "pd_start_date", "Result::Weekly clearance": "ktv"}
+
+
+@query("flatten_header", covers=("A2", "H29"), sql=cte("cohort") + " union all ".join(
+    f"select cast({k} as integer) as position, '{n}' as name, count({c}) as n_filled, count(distinct {c}) as n_distinct from cohort"
+    for k, (n, c) in enumerate(_FLAT.items())))
 def flatten_header(spark, sf):
-    """Flattened column names of the export (position, name)."""
-    path = _export(spark, sf)
-    names = crf.read_crf(spark, path).columns
-    return spark.createDataFrame(list(enumerate(names)), "position int, name string")
+    """Flattened columns of the export as scanned back: place, name, cells filled and distinct texts."""
+    df = crf.read_crf(spark, _export(spark, sf))
+    counts = df.agg(*[x for k, c in enumerate(df.columns) for x in (F.count(F.col(f"`{c}`")).alias(f"n{k}"), F.countDistinct(F.col(f"`{c}`")).alias(f"d{k}"))])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(k).alias("position"), F.lit(c).alias("name"), F.col(f"n{k}").alias("n_filled"),
+                                                     F.col(f"d{k}").alias("n_distinct")) for k, c in enumerate(df.columns)])))

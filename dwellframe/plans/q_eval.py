@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
+from ..operators import cohort as cohort_ops
 from ..operators import evaluate as EV
 from ..sources.views import cte
+from . import sqlfrag as S
 from .common import r6, v
 from .registry import query
 
@@ -42,6 +44,20 @@ def subgroup_metrics(spark, sf):
     return r6(EV.subgroup_metrics(v(spark, sf, "predictions"), ("model", "gender")))
 
 
+@query("subgroup_bands", covers=("D16",), sql=cte("predictions", "cohort", extra=[("pb", f"""
+select p.target, p.model, p.y_true, p.y_pred,
+  case when c.age is null then 'unknown' when c.age < 50 then '-..50' when c.age < 65 then '50..65' else '65..' end as age_band,
+  case when c.cci is null then 'unknown' when c.cci < 3 then '-..3' when c.cci < 5 then '3..5' else '5..' end as comorbidity_band
+from predictions p join (select patient_id, age, {S.CCI} as cci from cohort) c on p.patient_id = c.patient_id""")]) + f"""
+select target, model, age_band, comorbidity_band, {METRICS_SQL} from pb where {PRED_OK}
+group by cube(target, model, age_band, comorbidity_band)""")
+def subgroup_bands(spark, sf):
+    """Error metrics of every combination of target, model, age band and comorbidity band, and their totals."""
+    bands = EV.with_bands(cohort_ops.derive_features(v(spark, sf, "cohort"))).select("patient_id", "age_band", "comorbidity_band")
+    pred = v(spark, sf, "predictions").join(bands, "patient_id")
+    return r6(EV.subgroup_metrics(pred, ("target", "model", "age_band", "comorbidity_band")))
+
+
 @query("icc", covers=("D9",), sql=cte("predictions") + f"""
 select target, model, n, {_r('(msr - mse) / (msr + mse + 2 * (msc - mse) / n)')} as icc from (
   select target, model, n, msr, msc, (sst - msr * (n - 1) - msc) / (n - 1) as mse from (

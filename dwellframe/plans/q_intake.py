@@ -88,6 +88,23 @@ def _record(spark, sf):
                             D.lab_units(spark), D.unit_factors(spark))
 
 
+@query("derived_meta", covers=("H19", "H17", "H18"), sql=cte(*REC_VIEWS, extra=REC_CTES) + """
+select r.patient_id, concat_ws(',',
+    case when coalesce(c.mi <> 0, false) then 'myocardial_infarction' end,
+    case when coalesce(c.chf <> 0, false) then 'congestive_heart_failure' end,
+    case when coalesce(c.dm_cx <> 0, false) then 'diabetes_with_end_organ_damage' end,
+    case when coalesce(c.malignancy <> 0, false) then 'any_tumor' end) as comorbidity_codes,
+  o.osm_reason, t.inflow || ' → ' || t.outflow as dwell_source
+from rec r join cohort c on r.patient_id = c.patient_id left join osm o on r.patient_id = o.patient_id
+left join times t on r.patient_id = t.patient_id""")
+def derived_meta(spark, sf):
+    """The ``_meta`` part of the derived record: comorbidity codes, why osmolarity is missing, source of the dwell time."""
+    rec = I.derived_record(v(spark, sf, "cohort"), v(spark, sf, "regimen"), v(spark, sf, "shifts"), v(spark, sf, "times"),
+                           v(spark, sf, "labs_long"), D.bags(spark), D.lab_units(spark), D.unit_factors(spark), with_meta=True)
+    return rec.select("patient_id", F.concat_ws(",", "_meta.comorbidity_codes").alias("comorbidity_codes"),
+                      F.col("_meta.osm_reason").alias("osm_reason"), F.col("_meta.dwell_source").alias("dwell_source"))
+
+
 # -------------------------------------------------------------------- quality
 RULES = {"age": (18.0, 90.0), "weight_kg": (40.0, 120.0), "ktv": (0.5, 4.0), "pet": (0.1, 1.0)}
 

@@ -99,6 +99,21 @@ def _prep_sql():
     return cte("cohort", extra=extra) + f"select t.patient_id, {feats}, {onehot}, t.ktv, t.pet from test t, m, s"
 
 
+_MODE = {c: f"(select cast({c} as double) from cohort where {c} is not null group by {c} order by count(*) desc, {c} limit 1)"
+         for c in ("age", "weight_kg", "malignancy")}
+
+
+@query("impute_mode_apply", covers=("I3",), sql=cte("cohort", extra=[
+    ("filled", "select patient_id, " + ", ".join(f"coalesce(cast({c} as double), {m}) as {c}" for c, m in _MODE.items()) + " from cohort")])
+    + "select patient_id, " + ", ".join(
+        f"{_r(f'({c} - avg({c}) over ()) / coalesce(nullif(stddev_pop({c}) over (), 0e0), 1e0)')} as {c}" for c in _MODE) + " from filled")
+def impute_mode_apply(spark, sf):
+    """Most-frequent imputation (lowest value on ties), then standard scaling, of the whole cohort."""
+    df = v(spark, sf, "cohort")
+    model = PR.fit_prep(df, targets=[], numeric=list(_MODE), imputation="most_frequent", derive=False)
+    return r6(PR.apply_prep(df, model), list(_MODE))
+
+
 @query("preprocess_fit_apply", covers=("I1", "I2", "I3", "I4", "I5", "I7", "B6", "B7", "A10", "L1", "L2"),
        sql=_prep_sql())
 def preprocess_fit_apply(spark, sf):
