@@ -86,20 +86,25 @@ def check_config(doc: dict) -> None:
             raise ValueError("bag without id")
 
 
+def _packaged(df: DataFrame, path: str | None) -> DataFrame:
+    """The packaged dictionaries have a fixed few rows, so joins may broadcast them; a caller's own are left to Spark."""
+    return df if path else df.hint("broadcast")
+
+
 def bags(spark: SparkSession, path: str | None = None) -> DataFrame:
     """bag_no (position), bag_id, brand, concentration, osm."""
-    return (config_frame(spark, path)
-            .select(F.posexplode("bags").alias("bag_no", "b"))
-            .select(F.col("bag_no").cast("int"), F.col("b.id").alias("bag_id"), "b.brand",
-                    "b.concentration", F.col("b.osm_mOsmL").alias("osm")))
+    return _packaged(config_frame(spark, path)
+                     .select(F.posexplode("bags").alias("bag_no", "b"))
+                     .select(F.col("bag_no").cast("int"), F.col("b.id").alias("bag_id"), "b.brand",
+                             "b.concentration", F.col("b.osm_mOsmL").alias("osm")), path)
 
 
 def lab_units(spark: SparkSession, path: str | None = None) -> DataFrame:
     """analyte, expected unit, options text."""
-    return (config_frame(spark, path)
-            .select(F.explode("units.labs").alias("analyte", "u"))
-            .select("analyte", F.col("u.expected").alias("expected"),
-                    F.concat_ws("|", "u.options").alias("options")))
+    return _packaged(config_frame(spark, path)
+                     .select(F.explode("units.labs").alias("analyte", "u"))
+                     .select("analyte", F.col("u.expected").alias("expected"),
+                             F.concat_ws("|", "u.options").alias("options")), path)
 
 
 def guards(spark: SparkSession, path: str | None = None) -> DataFrame:
@@ -110,7 +115,7 @@ def guards(spark: SparkSession, path: str | None = None) -> DataFrame:
     top = g.filter(F.col("k") != "labs").select(
         F.col("k").alias("field"), F.from_json("v", pair).alias("g"))
     lab = g.filter(F.col("k") == "labs").select(F.explode(F.from_json("v", labs)).alias("field", "g"))
-    return top.unionByName(lab).select("field", F.col("g.min").alias("min"), F.col("g.max").alias("max"))
+    return _packaged(top.unionByName(lab).select("field", F.col("g.min").alias("min"), F.col("g.max").alias("max")), path)
 
 
 def cci_weights(spark: SparkSession, weights: dict[str, int] | None = None) -> DataFrame:
@@ -121,8 +126,8 @@ def cci_weights(spark: SparkSession, weights: dict[str, int] | None = None) -> D
 
 def unit_factors(spark: SparkSession) -> DataFrame:
     """analyte, from_unit, to_unit (lower case), factor, op ('mul' | 'div')."""
-    return spark.createDataFrame(list(UNIT_FACTORS),
-                                 "analyte string, from_unit string, to_unit string, factor double, op string")
+    return _packaged(spark.createDataFrame(list(UNIT_FACTORS),
+                                           "analyte string, from_unit string, to_unit string, factor double, op string"), None)
 
 
 def packaged_config() -> dict:
