@@ -60,6 +60,11 @@ def test_odd_and_empty_tables(spark):
     assert langid.predict(empty_docs(spark), model).count() == 0
 
 
+def test_texts_without_letters_have_no_grams():
+    assert all(not list(langid.gram_buckets(t, 1 << 12)) for t in ("", "12 \u00b2\u00bd _!", "\u2460\u2461", "\U0001f600"))
+    assert list(langid.gram_buckets("1\u00aa", 1 << 12)) and list(langid.gram_buckets("\u65e5", 1 << 12))
+
+
 def test_sample_bound(spark):
     docs = spark.range(20_000).selectExpr("id as doc_id", "'ab' as text", "if(id % 10 = 0, 'p', 'q') as lang")
     model = langid.train(docs, max_rows=1000, buckets=1 << 10)
