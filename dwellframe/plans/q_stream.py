@@ -14,7 +14,7 @@ from ..sources import sinks
 from ..streaming import intake as SI
 from ..streaming import scoring as SS
 from ..sources.views import cte
-from .common import r6, v
+from .common import guard_rows, r6, v
 from .q_prep import CATS, NUMS
 from .q_split import IS_TEST, RANKED, SEED, TEST_SIZE
 from .registry import query
@@ -30,20 +30,21 @@ def _intake_sql():
     nmiss = " + ".join(f"case when r.{f} is null then 1 else 0 end" for f in Q.REQUIRED_FIELDS)
     errs = ("concat_ws(',', case when r.pdf_osmolarity is null then 'pdf_osmolarity' end, "
             "case when r.dwell_time_minutes is null then 'dwell_time_minutes' end)")
+    warn = "concat_ws(',', " + ", ".join(f"case when r.{f} < {lo}e0 or r.{f} > {hi}e0 then '{f}' end" for f, lo, hi in guard_rows()) + ")"
     dbl = ["age", "height_cm", "weight_kg", "bmi", "pdf_osmolarity", *D.LAB_FIELDS]
     cols = ", ".join([f"round(r.{c}, 6) + 0e0 as {c}" for c in dbl])
     return cte(*REC_VIEWS, extra=REC_CTES) + f"""
 select r.patient_id, {cols}, r.charlson_index, t.inflow, t.outflow, r.dwell_time_minutes,
-  {miss} as missing, {errs} as errors, coalesce(r.bmi < 10e0 or r.bmi > 60e0, false) as bmi_warning,
+  {miss} as missing, {errs} as errors, {warn} as warnings, coalesce(r.bmi < 10e0 or r.bmi > 60e0, false) as bmi_warning,
   ({nmiss}) = 0 and r.pdf_osmolarity is not null and r.dwell_time_minutes is not null as is_valid
 from rec r join times t on r.patient_id = t.patient_id"""
 
 
-@query("stream_intake", covers=("K1", "H19", "B10", "B11"), sql=_intake_sql())
+@query("stream_intake", covers=("K1", "H19", "B3", "B10", "B11"), sql=_intake_sql())
 def stream_intake(spark, sf):
-    """Orders arrive as a file stream; each record is derived and validated; results land in a file sink."""
+    """Orders arrive as a file stream; each record is derived, validated and held against the guard bands; results land in a file sink."""
     osm, labs = SI.static_aggregates(spark, sf)
-    out = SI.derive_and_validate(SI.intake_records(spark, sf), osm, labs)
+    out = SI.derive_and_validate(SI.intake_records(spark, sf), osm, labs, guards=guard_rows())
     path = SI.run_to_files(out, "intake")
     return r6(spark.read.parquet(path))
 
@@ -57,11 +58,13 @@ def _fitted(spark, sf):
 
 @query("stream_scoring", covers=("K2", "A8", "I7"))
 def stream_scoring(spark, sf):
-    """Arriving records are scored with state fitted in batch (preparation + linear Kt/V model) and the
+    """Arriving valid records are scored with state fitted in batch (preparation + linear Kt/V model) and the
     tree-ensemble PET classifier; the stream writes one audit JSON document per record, partitioned by version."""
     from ..operators import trees as TR
     prep, ktv = _fitted(spark, sf)  # state fitted in batch; the stream only applies it (pure projections)
-    audit = SS.score_stream(SI.intake_records(spark, sf), prep, ktv, VERSION, pet_ensemble=TR.Ensemble.load(spark))
+    osm, labs = SI.static_aggregates(spark, sf)
+    records = SI.derive_and_validate(SI.intake_records(spark, sf), osm, labs, keep_all=True)
+    audit = SS.score_stream(records, prep, ktv, VERSION, pet_ensemble=TR.Ensemble.load(spark))
     path = SI.run_to_files(audit, "scoring", fmt="json", partition_by=["version"])
     return spark.read.json(path)
 

@@ -6,6 +6,8 @@ folder); ``default_root`` is the session's ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import json
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,15 +64,18 @@ def write_evaluation(tables: dict[str, DataFrame], path: str) -> None:
 
 
 # ---------------------------------------------------------- prep state (A10)
+PREP_STATE_VERSION = 2
+
+
 def write_prep_state(model, spark: SparkSession, path: str) -> None:
-    """Parameter table plus options rows, as parquet (versioned by the caller's path)."""
+    """Parameter table plus option rows (JSON values, one the format's version), as parquet."""
     params = model.params_frame(spark)
     opts = spark.createDataFrame(
-        [("__option__", "option", None, None, None, None, None, f"{k}={v}", None, k) for k, v in {
-            "numeric": "|".join(model.numeric), "categorical": "|".join(model.categorical),
-            "targets": "|".join(model.targets), "imputation": model.imputation, "scaling": model.scaling,
-            "encoding": model.encoding, "log_features": "|".join(model.log_features),
-            "derive": str(model.derive), "feature_columns": "|".join(model.feature_columns)}.items()],
+        [("__option__", "option", None, None, None, None, None, json.dumps(v), None, k) for k, v in {
+            "version": PREP_STATE_VERSION, "numeric": list(model.numeric), "categorical": list(model.categorical),
+            "targets": list(model.targets), "imputation": model.imputation, "scaling": model.scaling,
+            "encoding": model.encoding, "log_features": list(model.log_features),
+            "derive": bool(model.derive), "feature_columns": list(model.feature_columns)}.items()],
         params.schema)
     params.unionByName(opts).write.mode("overwrite").parquet(path)
 
@@ -79,14 +84,14 @@ def read_prep_state(spark: SparkSession, path: str):
     """Rebuild a fitted preparation from its parameter table (a bounded table: features + categories)."""
     from ..operators.prep import PrepModel
     rows = [r.asDict() for r in spark.read.parquet(path).collect()]
-    opts = {r["source"]: r["category"].split("=", 1)[1] for r in rows if r["kind"] == "option"}
+    opts = {r["source"]: json.loads(r["category"]) for r in rows if r["kind"] == "option"}
+    if opts.get("version") != PREP_STATE_VERSION:
+        raise ValueError(f"preparation state of version {opts.get('version')}; this reads {PREP_STATE_VERSION}")
     params = [r for r in rows if r["kind"] != "option"]
     order = {"numeric": 0}
     params.sort(key=lambda p: (order.get(p["kind"], 1), p["source"] or "", p["ordinal"] or 0))
-    split = lambda s: [x for x in s.split("|") if x]
-    m = PrepModel(split(opts["numeric"]), split(opts["categorical"]), split(opts["targets"]), params,
-                  opts["imputation"], opts["scaling"], opts["encoding"], split(opts["log_features"]),
-                  opts["derive"] == "True", split(opts["feature_columns"]))
+    m = PrepModel(opts["numeric"], opts["categorical"], opts["targets"], params, opts["imputation"], opts["scaling"],
+                  opts["encoding"], opts["log_features"], opts["derive"], opts["feature_columns"])
     num_order = {c: i for i, c in enumerate(m.numeric)}
     m.params.sort(key=lambda p: (0, num_order.get(p["feature"], 0), 0) if p["kind"] == "numeric"
                   else (1, m.categorical.index(p["source"]), p["ordinal"]))

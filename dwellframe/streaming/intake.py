@@ -12,6 +12,7 @@ streaming checkpoint, so a restarted query resumes exactly once.  Tests use
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,16 +59,27 @@ def cohort_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(_on(VIEW_SQL["cohort"], o, c))
 
 
-def derive_and_validate(records: DataFrame, osm: DataFrame, labs: DataFrame, key: str = "patient_id") -> DataFrame:
-    """H19 + B10 + B11 on a (streaming or batch) frame; per-patient aggregates joined as static frames."""
+def derive_and_validate(records: DataFrame, osm: DataFrame, labs: DataFrame, key: str = "patient_id",
+                        guards: Sequence[tuple[str, float, float]] = (), keep_all: bool = False) -> DataFrame:
+    """H19 + B10 + B11 on a (streaming or batch) frame; per-patient aggregates joined as static frames.
+
+    ``guards`` (field, min, max) add ``warnings``: the fields of the record that
+    lie outside, in this order, joined by commas.  ``keep_all`` keeps the other
+    columns of the records too.
+    """
     from ..functions import parse as P
     base = cohort_ops.derive_features(records)
-    rec = (base.select(key, "age", "height_cm", "weight_kg", "bmi", "charlson_index", "inflow", "outflow")
+    named = [key, "age", "height_cm", "weight_kg", "bmi", "charlson_index", "inflow", "outflow"]
+    rec = (base.select(*named, *[c for c in base.columns if keep_all and c not in named])
            .withColumn("dwell_time_minutes", P.dwell_minutes(F.col("inflow"), F.col("outflow")))
            .join(osm.select(key, "pdf_osmolarity"), key, "left")
            .join(labs, key, "left"))
     v = Q.validity(rec)
-    return v.withColumn("missing", F.concat_ws(",", "missing")).withColumn("errors", F.concat_ws(",", "errors"))
+    out = v.withColumn("missing", F.concat_ws(",", "missing")).withColumn("errors", F.concat_ws(",", "errors"))
+    if guards:
+        outside = [F.when((F.col(f) < lo) | (F.col(f) > hi), F.lit(f)) for f, lo, hi in guards if f in out.columns]
+        out = out.withColumn("warnings", F.concat_ws(",", *outside))
+    return out
 
 
 def static_aggregates(spark: SparkSession, sf_dir: str, materialize: bool = True):
