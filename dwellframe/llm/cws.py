@@ -127,10 +127,11 @@ def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text", sam
     kept = ["b", "ghost", "id", "seq", "n_chars", "sha0", "sha1", "sha2", "sha3"]
     rows = rows.select(*kept, F.explode_outer(terms).alias("x")).select(*kept, "x.term", "x.f")
     rows = _weighed(rows, [*kept, "f"])
-    mine = [F.min(F.when(F.col("f") != 2, _sample(k))).alias(f"s{k}") for k in range(samples)]
-    its = [F.min(F.when(F.col("f") != 1, _sample(k))).alias(f"e{k}") for k in range(samples)]
     carried = [F.max(c).alias(c) for c in kept if c not in ("b", "seq")]
-    drawn = rows.groupBy("b", "seq").agg(*carried, *mine, *its)
+    drawn = rows.groupBy("b", "seq", "f").agg(*carried, *[F.min(_sample(k)).alias(f"s{k}") for k in range(samples)])
+    mine = [F.min(F.when(F.col("f") != 2, F.col(f"s{k}"))).alias(f"s{k}") for k in range(samples)]
+    its = [F.min(F.when(F.col("f") != 1, F.col(f"s{k}"))).alias(f"e{k}") for k in range(samples)]
+    drawn = drawn.groupBy("b", "seq").agg(*carried, *mine, *its)
     sha = F.concat(*[F.lower(F.lpad(F.hex(f"sha{k}"), 16, "0")) for k in range(4)])
     prints = drawn.select("b", "seq", "ghost", "id", "n_chars", sha.alias("edited_sha256"),
                           _signature([F.col(f"s{k}") for k in range(samples)]).alias("fingerprint"), _signature([F.col(f"e{k}") for k in range(samples)]).alias("edited_fingerprint"))
