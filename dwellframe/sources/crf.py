@@ -116,10 +116,15 @@ def rename_and_select(df: DataFrame, renames: Mapping[str, str], drop: Iterable[
 def ingest_crf(spark: SparkSession, path: str, *, renames: Mapping[str, str], required: Sequence[str],
                drop: Sequence[str] = (), date_columns: Sequence[str] = (), numeric_columns: Sequence[str] = (),
                rules: Mapping[str, tuple[float, float]] | None = None, header_rows: int = 2,
-               drop_missing: bool = True, key: str | None = None) -> DataFrame:
-    """The ingest chain of the reference on a CSV export folder."""
+               drop_missing: bool = True, key: str | None = None,
+               date_formats: Sequence[str] = P.DEFAULT_DATE_FORMATS) -> DataFrame:
+    """The ingest chain of the reference on a CSV export folder.
+
+    Dates are read by ``date_formats``; other texts become NULL and then count
+    as missing (:func:`unread_dates` counts them).
+    """
     df = rename_and_select(read_crf(spark, path, header_rows), renames, drop, required)
-    df = df.withColumns({c: P.parse_timestamp(F.col(c)) for c in date_columns if c in df.columns})
+    df = df.withColumns({c: P.parse_timestamp(F.col(c), date_formats) for c in date_columns if c in df.columns})
     df = df.withColumns({c: P.to_number(F.col(c)) for c in numeric_columns if c in df.columns})
     if rules:
         Q.range_violations(df, rules, key=key or df.columns[0], mode="fail")
@@ -128,6 +133,12 @@ def ingest_crf(spark: SparkSession, path: str, *, renames: Mapping[str, str], re
     return df
 
 
+def unread_dates(df: DataFrame, columns: Sequence[str], formats: Sequence[str] = P.DEFAULT_DATE_FORMATS) -> DataFrame:
+    """(column, n_unread): cells with text that no format reads, from one aggregate over the text columns."""
+    counts = [F.count_if((F.trim(F.col(f"`{c}`")) != "") & P.parse_timestamp(F.col(f"`{c}`"), formats).isNull()).alias(f"n{k}") for k, c in enumerate(columns)]
+    return df.agg(*counts).select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n{k}").alias("n_unread")) for k, c in enumerate(columns)])))
+
+
 def write_crf(df: DataFrame, path: str, header: Sequence[Sequence[str]]) -> None:
     """Write a CSV export folder, each file with the header lines (test/export helper)."""
     cols = df.columns

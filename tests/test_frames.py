@@ -71,6 +71,13 @@ def test_each_file_is_read_by_its_own_header(spark, tmp_path):
     assert rows == {("r1", None, "70", "n", "1.5"), (None, "r2", "71", None, "2.5"), (None, "Record", "Weight", None, "Clearance")}
 
 
+def test_date_formats_and_unread_dates(spark):
+    df = spark.createDataFrame([("03-Nov-2020", "2020-11-03"), ("2020-11-03", ""), ("later", None)], "a string, b string")
+    assert {r.column: r.n_unread for r in crf.unread_dates(df, ["a", "b"]).collect()} == {"a": 2, "b": 0}
+    wider = [*P.DEFAULT_DATE_FORMATS, "dd-MMM-yyyy"]
+    assert {r.column: r.n_unread for r in crf.unread_dates(df, ["a", "b"], wider).collect()} == {"a": 1, "b": 0}
+
+
 def test_number_parsing(spark):
     df = spark.createDataFrame([("2.5L", "3.7"), ("", "x"), (" 4 ", "12 cycles")], "v string, n string")
     out = df.select(P.number_prefix("v").alias("a"), P.int_prefix("n").alias("b"), P.to_number("v").alias("c")).collect()
