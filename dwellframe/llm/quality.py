@@ -171,24 +171,39 @@ class Table:
         return out
 
 
+def hashed_entries(model: DataFrame) -> DataFrame:
+    """(lang, n, key, value): entries with the 64-bit hash of their characters, as scoring looks them up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            order, grams = batch.column(1).to_numpy(), np.array(batch.column(2).to_pylist(), object)
+            keys = np.zeros(len(order), np.uint64)
+            for n in np.unique(order).tolist():
+                mine = np.flatnonzero(order == n)
+                if size := n if n > 0 else -n - 1:
+                    keys[mine] = _hashed(_points("".join(grams[mine].tolist())), np.arange(len(mine)) * size + size - 1, size)
+            yield pa.RecordBatch.from_pydict({"lang": batch.column(0), "n": batch.column(1), "key": pa.array(keys.view(np.int64)), "value": batch.column(3).cast(pa.float32())})
+
+    return model.select("lang", F.col("n").cast("int").alias("n"), "g", "value").mapInArrow(run, "lang string, n int, key long, value float")
+
+
 class Model:
-    """One shard of the entries of a trained table."""
+    """One shard of the hashed entries of a trained table."""
 
     def __init__(self, rows: pa.Table, shard: int, shards: int):
         self.shard, self.shards = shard, shards
         self.tables: dict[tuple[str, int], Table] = {}
         self.unseen: dict[str, float] = {}
-        lang, order = np.array(rows.column("lang").to_pylist(), object), rows.column("n").to_numpy()
-        gram, value = np.array(rows.column("g").to_pylist(), object), rows.column("value").to_numpy()
-        for name in sorted(set(lang.tolist())):
+        names = rows.column("lang").combine_chunks().dictionary_encode() if rows.num_rows else None
+        order, keys, value = (rows.column(c).to_numpy() for c in ("n", "key", "value"))
+        for k, name in enumerate(names.dictionary.to_pylist() if names else ()):
+            own = names.indices.to_numpy() == k
             for n in range(-ORDER, ORDER + 1):
-                mine = np.flatnonzero((lang == name) & (order == n))
-                size = n if n > 0 else -n - 1
+                mine = np.flatnonzero(own & (order == n))
                 if n == -1:
                     self.unseen[name] = float(value[mine[0]]) if len(mine) else 0.0
                 elif n and len(mine):
-                    points = _points("".join(gram[mine].tolist()))
-                    self.tables[name, n] = Table(_hashed(points, np.arange(len(mine)) * size + size - 1, size), value[mine])
+                    self.tables[name, n] = Table(keys[mine].view(np.uint64), value[mine])
 
     def log_probability(self, lang: str, text: str | None) -> tuple[float, int] | None:
         """Sum over the characters of a text whose context belongs to this shard, and their number; None without a model."""
@@ -233,7 +248,7 @@ def score(docs: DataFrame, model: DataFrame, text: str = "text", lang: str = "la
     everywhere = F.col("n").isin(1, -1)
     spark, parts = docs.sparkSession, []
     for s in range(shards):
-        shared = spark.sparkContext.broadcast(Model(model.where(everywhere | (place == s)).toArrow(), s, shards))
+        shared = spark.sparkContext.broadcast(Model(hashed_entries(model.where(everywhere | (place == s))).toArrow(), s, shards))
 
         def make(shared=shared):
             def run(texts: list) -> list[tuple]:
