@@ -281,7 +281,7 @@ def trusted_ids(labels: DataFrame, key: str = "doc_id", label: str = "quality")
 
 
 def classify(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", q: float = 0.995, folds: int = 10,
-             max_broadcast_ids: int = 4_000_000, max_entries: int = 4_000_000) -> DataFrame:
+             max_broadcast_ids: int = 1_000_000, max_entries: int = 4_000_000) -> DataFrame:
     """doc_id, lang, n_symbols, perplexity, threshold, keep of every row.
 
     Trusted rows of fold 0 of ``folds`` (by crc32 of the id) set the thresholds,
