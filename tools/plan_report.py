@@ -41,8 +41,9 @@ def main(argv):
     reg = load_all()
     print(f"# Physical plans ({sf.rstrip('/').split('/')[-1]}, local[8], AQE initial plans)\n")
     print("Counts of plan nodes per registered query. `single_partition` = all rows to one task "
-          "(only ever on one-row or bucket-bounded inputs); `bnlj` appears only where the stand-in "
-          "`predictions` view multiplies the cohort by its three model rows.\n")
+          "(only ever on one-row or bucket-bounded inputs). Queries whose jobs run while they are built "
+          "(statistics tables, splits, learners) show the plan of what is left then; their stages are in "
+          "Spark's event log (`BENCH_EVENT_LOG_DIR`). `bnlj` is a join with one row of statistics, or with a branch of the stand-in quantile view, whose keys are constants.\n")
     print("| query | check | " + " | ".join(PATTERNS) + " |")
     print("|---|---|" + "---|" * len(PATTERNS))
     for name, spec in reg.items():
