@@ -1,16 +1,25 @@
 """Toxicity by compression distance: a zstandard dictionary of toxic text against one of ordinary text.
 
-A window is one word with a space on either side. It is compressed with either
-dictionary; its plain length and the two compressed lengths make a cell, and
+A window is one word with a space on either side; a word of more than
+``2 * PIECE`` bytes, as in scripts without spaces, is cut into overlapping pieces
+of ``PIECE`` bytes. A window is compressed with either dictionary together with
+``FRAME``, a run that both hold: a few bytes alone never pay for the header of a
+compressed block, so words of up to six letters would look alike. Its plain
+length and the two compressed lengths make a cell, and
 the calibrated evidence of a cell is the log of its share among windows of toxic
 documents over that among ordinary ones. The evidence of a document's windows
 (all of its text) gives a few sums, means and maxima, which a logistic curve fitted to the
 training rows turns into a score; 0.5 is its threshold.
 
-Training text of the toxic dictionary: the words of toxic documents that hold a
+Training text of the toxic dictionary: the windows of toxic documents that hold a
 byte run (5, 6, 8 or 10 bytes) which is at least ``exp(CONTRAST)`` times as
-frequent, by documents, as in ordinary ones. All other training words make the
-ordinary dictionary. Training reads a bounded sample of labelled rows: at most
+frequent, by documents, as in ordinary ones, where chance explains that with a
+log-likelihood ratio below ``SURPRISE`` only. No share of all toxic documents is
+asked for, so words of a rare language count too. Each such window stands once
+in the toxic dictionary, those of most documents last (the zstandard trainer stops
+at repeats of frequent words and would leave rare ones out). A dictionary trained
+on ordinary documents is the ordinary one; the toxic one holds it as well, so
+that the two lengths differ by toxic text alone. Training reads a bounded sample of labelled rows: at most
 about ``max_rows`` of each class, chosen by a hash of the id, and about
 ``max_chars`` characters of each class. Everything is scored.
 
@@ -23,6 +32,7 @@ equal scores. Input columns named like an output column are replaced.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,10 +45,13 @@ from .common import text_udf, with_struct, words_of
 RUNS = (5, 6, 8, 10)
 RUN_BITS = 22
 CONTRAST = 2.5
-LEAST_SHARE = 0.02
-DICTIONARY = 4096
-LEVEL = 3
-CELLS = 32
+SURPRISE = 8.0
+DICTIONARY = 32768
+LEVEL = 12
+PIECE = 24
+CELLS = 64
+#: Control characters: no word holds them.
+FRAME = bytes(range(1, 32))
 SMOOTH = 20.0
 MEMO = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -59,7 +72,10 @@ def _runs(text: bytes) -> np.ndarray:
 
 
 def _windows(text: str | None) -> list[bytes]:
-    return [b" " + w + b" " for w in words_of(text)]
+    out = []
+    for w in words_of(text):
+        out += [b" " + w + b" "] if len(w) <= 2 * PIECE else [b" " + w[k:k + PIECE] + b" " for k in range(0, len(w) - PIECE // 2, PIECE // 2)]
+    return out
 
 
 def _dictionary(samples: list[bytes]) -> bytes:
@@ -90,8 +106,11 @@ class Scorer:
     def __init__(self, model: ToxicModel):
         self.model = model
         self.known: dict[bytes, int] = {}
-        options = zstandard.ZstdCompressionParameters.from_level(LEVEL, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0)
-        self.pair = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d) if d else None, compression_params=options).compress for d in (model.ordinary, model.toxic)]
+        self.pair = []
+        for held in (model.ordinary + FRAME, model.ordinary + model.toxic + FRAME):
+            options = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=2 * CELLS, dict_size=len(held), format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0)
+            content = zstandard.ZstdCompressionDict(held, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            self.pair.append(zstandard.ZstdCompressor(dict_data=content, compression_params=options).compress)
 
     def cells(self, text: str | None) -> np.ndarray:
         windows = _windows(text)
@@ -100,7 +119,7 @@ class Scorer:
         known, (plain, toxic) = self.known, self.pair
         for w in windows:
             if w not in known:
-                known[w] = (min(CELLS - 1, len(w)) * CELLS + min(CELLS - 1, len(plain(w)))) * CELLS + min(CELLS - 1, len(toxic(w)))
+                known[w] = (min(CELLS - 1, len(w)) * CELLS + min(CELLS - 1, len(plain(w + FRAME)))) * CELLS + min(CELLS - 1, len(toxic(w + FRAME)))
         return np.fromiter(map(known.__getitem__, windows), np.int64, len(windows))
 
     def features(self, cells: np.ndarray) -> np.ndarray:
@@ -127,17 +146,20 @@ def fit(texts: list[str], labels: list[int], odds: float | None = None) -> Toxic
     for text, label in zip(texts, labels, strict=True):
         seen[label][np.unique(_runs(b" " + b" ".join(words_of(text)) + b" "))] += 1
     contrast = np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1))
-    marks = (contrast >= CONTRAST) & (seen[1] >= max(2, LEAST_SHARE * n[1]))
+    both = np.maximum(seen.sum(axis=0), 1)
+    surprise = sum(seen[k] * np.log(np.maximum(seen[k], 1) / (both * n[k] / n.sum())) for k in (0, 1))
+    marks = (contrast >= CONTRAST) & (surprise >= SURPRISE)
     marked: dict[bytes, bool] = {}
-    toxic, ordinary = [], []
+    toxic, ordinary = Counter(), []
     for text, label in zip(texts, labels, strict=True):
         windows = _windows(text)
-        for w in windows if label else ():
+        for w in dict.fromkeys(windows) if label else ():
             if w not in marked:
                 marked[w] = bool(marks[_runs(w)].any())
-        toxic.append(b"".join(w for w in windows if marked[w]) if label else b"")
-        ordinary.append(b"".join(w for w in windows if not label or not marked[w]))
-    model = ToxicModel(_dictionary([s for s in toxic if s]), _dictionary([s[k:k + 4096] for s in ordinary for k in range(0, len(s), 4096)]))
+            toxic[w] += marked[w]
+        ordinary.append(b"" if label else b"".join(windows))
+    ranked = sorted((w for w, c in toxic.items() if c), key=lambda w: (toxic[w], w))
+    model = ToxicModel(b"".join(ranked)[-DICTIONARY:], _dictionary([s[k:k + 4096] for s in ordinary if s for k in range(0, len(s), 4096)]))
     scorer = model.open()
     cells = [scorer.cells(t) for t in texts]
     count = np.zeros((2, CELLS**3))
