@@ -1,5 +1,7 @@
+import random
 import zlib
 
+import corpus_pipeline
 from dwellframe.llm import langid
 from dwellframe.llm.queries import op5_language_id
 
@@ -70,3 +72,19 @@ def test_sample_bound(spark):
     model = langid.train(docs, max_rows=1000, buckets=1 << 10)
     # counts fell to about 1,000 rows for each language: smoothing weighs the same in both
     assert abs(model.log_p[:, 0] - model.log_p[:, 1]).max() < 0.2
+
+
+def test_unlearned_languages_and_random_letters_are_rejected(spark):
+    rng = random.Random(4)
+    strange = ["Все счастливые семьи похожи друг на друга, каждая несчастливая семья несчастлива по-своему.", "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι", "すべての人間は、生まれながらにして自由であり",
+               "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.", "Minden emberi lény szabadon születik és egyenlő méltósága és joga van.", "xqzv kjwq zzxv qqpw"]
+    strange += [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(40)) for _ in range(20)]
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.train(docs)
+    rows = spark.createDataFrame([(t,) for t in strange], "text string")
+    assert {(r.lang_pred, r.score) for r in langid.predict(rows, model).collect()} == {("und", 0.0)}
+    added = spark.createDataFrame([(-1 - k, t, None, "x", len(t)) for k, t in enumerate(strange)], docs.schema)
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs.unionByName(added), sf).select("doc_id").collect()}
+    known = {r.doc_id for r in docs.collect() if r.text and any(map(str.isalpha, r.text))}
+    assert not any(i < 0 for i in kept) and len(known - kept) <= 0.001 * len(known)
