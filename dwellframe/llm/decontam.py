@@ -11,7 +11,11 @@ is verified by the exact weighted Jaccard similarity of shingle counts.
 
 At similarity 0.8 equal-sized windows share 8/9 of their shingles, so a bit
 differs with probability of about 0.15: 9.7 of 64 bits on average, standard
-deviation 2.9. ``RADIUS`` 22 lies more than four deviations above.
+deviation 2.9. ``RADIUS`` 22 lies more than four deviations above. This holds
+where all shingles of both are distinct. The votes of a repeated shingle move
+together and the distance spreads, so an item or a window that holds a shingle
+twice does without fingerprints: the shingles it shares with each window are
+counted, by prefix sums over the places of the item's shingles.
 
 Items are read in blocks of at most ``block_chars`` characters (one longer item
 is a block of its own); each block is broadcast and held against all documents,
@@ -69,6 +73,7 @@ class Index:
         self.words = [words_of(t) for _, t in items]
         self.size = np.array([min(SHINGLE, len(w)) for w in self.words], np.int64)
         self.length = np.array([len(w) for w in self.words], np.int64)
+        self.repeats = np.zeros(len(items), bool)
         self.counts = [Counter(_shingles(w, s)) for w, s in zip(self.words, self.size.tolist(), strict=True)]
         self.anchors: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         self.tables: dict[int, list[dict[int, list[int]]]] = {}
@@ -79,6 +84,7 @@ class Index:
                 continue
             h = _hashes(w, s := int(self.size[k]))
             keys.setdefault(s, []).append((np.unique(h), k))
+            self.repeats[k] = len(keys[s][-1][0]) < len(h)
             self.prints[k] = _prints(h, np.zeros(1, np.int64), len(h))[0]
             table = self.tables.setdefault(len(w), [{} for _ in range(BLOCKS)])
             for b in range(BLOCKS):
@@ -108,15 +114,26 @@ class Index:
             hit = item[np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
             for length in np.unique(self.length[hit]).tolist():
                 mine = self.length[hit] == length
-                self._of_length(words, s, length, h, place[mine], set(hit[mine].tolist()), least, found)
+                self._of_length(words, s, length, h, place[mine], hit[mine], least, found)
         return [(self.ids[k], sim, start, n) for k, (sim, start, n) in sorted(found.items())]
 
-    def _of_length(self, words: list[bytes], s: int, length: int, h: np.ndarray, place: np.ndarray, items: set[int], least: float, found: dict) -> None:
+    def _of_length(self, words: list[bytes], s: int, length: int, h: np.ndarray, place: np.ndarray, hit: np.ndarray, least: float, found: dict) -> None:
         n = min(length, len(words)) - s + 1
         cover = np.zeros(len(h) + 1, np.int64)
         np.add.at(cover, np.maximum(0, place - n + 1), 1)
         np.add.at(cover, np.minimum(place, len(h) - n) + 1, -1)
         starts = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
+        items = set(hit.tolist())
+        twice = _repeats(h, n)[starts]
+        if twice.any() or any(self.repeats[k] for k in items):
+            order = np.argsort(hit, kind="stable")
+            each, first = np.unique(hit[order], return_index=True)
+            for k, at in zip(each.tolist(), np.split(place[order], first[1:]), strict=True):
+                self._counted(words, s, h, n, at, starts if self.repeats[k] else starts[twice], k, least, found)
+        starts = starts[~twice]
+        items = {k for k in items if not self.repeats[k]}
+        if not items or not len(starts):
+            return
         prints = _prints(h, starts, n)
         table = self.tables[length]
         for start, row in zip(starts.tolist(), prints, strict=True):
@@ -125,9 +142,37 @@ class Index:
                 if int(np.bitwise_count(self.prints[k] ^ row).sum()) > RADIUS:
                     continue
                 sim = _similarity(Counter(_shingles(words[start:start + n + s - 1], s)), self.counts[k])
-                if sim >= least and (k not in found or sim > found[k][0]):
+                if sim >= least and (k not in found or (sim, -start) > (found[k][0], -found[k][1])):
                     found[k] = sim, start, n + s - 1
 
+    def _counted(self, words: list[bytes], s: int, h: np.ndarray, n: int, place: np.ndarray, starts: np.ndarray, k: int, least: float, found: dict) -> None:
+        """Item ``k`` in the windows at ``starts`` by counts of common shingles; ``place`` says where its shingles are."""
+        total = int(self.length[k]) - s + 1 + n
+        place = np.sort(place)
+        need = least / (1 + least) * total - 1e-6
+        starts = starts[np.searchsorted(place, starts + n) - np.searchsorted(place, starts) >= need]
+        if not len(starts):
+            return
+        both = np.zeros(len(starts), np.int64)
+        own = dict(zip(*(x.tolist() for x in np.unique(_hashes(self.words[k], s), return_counts=True)), strict=True))
+        order = np.argsort(h[place], kind="stable")
+        values, first = np.unique(h[place][order], return_index=True)
+        for value, at in zip(values.tolist(), np.split(place[order], first[1:]), strict=True):
+            both += np.minimum(np.searchsorted(at, starts + n) - np.searchsorted(at, starts), own[value])
+        start = int(starts[np.argmax(both)])
+        sim = _similarity(Counter(_shingles(words[start:start + n + s - 1], s)), self.counts[k])
+        if sim >= least and (k not in found or sim > found[k][0]):
+            found[k] = sim, start, n + s - 1
+
+
+def _repeats(h: np.ndarray, n: int) -> np.ndarray:
+    """For each place: does the run of ``n`` hashes that starts here hold one twice?"""
+    order = np.argsort(h, kind="stable")
+    same = np.flatnonzero(h[order][1:] == h[order][:-1])
+    following = np.full(len(h), len(h) + n, np.int64)
+    following[order[same]] = order[same + 1]
+    return np.minimum.accumulate(following[::-1])[::-1] < np.arange(len(h)) + n
+
 
 def _shingles(words: list[bytes], size: int) -> list[tuple]:
     return [tuple(words[k:k + size]) for k in range(len(words) - size + 1)] if words else []

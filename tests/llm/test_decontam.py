@@ -78,3 +78,28 @@ def test_blocks_short_items_and_odd_tables(spark):
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {3, 4, 5, None, 6, 8, 9}
     assert decontam.contaminated(empty_docs(spark), items).count() == 0
     assert decontam.clean(docs, items.limit(0)).count() == docs.count()
+
+
+def test_runs_of_a_repeated_word_do_not_hide_an_item():
+    rng = random.Random(8)
+    missed = wanted = 0
+    for k in range(12):
+        length, run = ((116, 14), (280, 34), (60, 7))[k % 3]
+        body = [f"w{k}x{i}" for i in range(length)]
+        item = [*body, *["aaa"] * run]
+        items = [(1, " ".join(item)), (2, " ".join(body))]
+        for edited in ([*body, *["bbb"] * run], [*body[:-run], *["ccc"] * run], item):
+            text = " ".join([*(f"p{rng.random()}" for _ in range(20)), *edited, *["bbb"] * rng.choice([0, 40]), "end"])
+            want = plain_matches(text, items, 0.75)
+            got = {m[0]: m[1] for m in decontam.Index(items).matches(text, 0.75)}
+            wanted += len(want)
+            missed += len(want.keys() - got.keys())
+            assert got.keys() <= want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in got)
+    assert wanted > 30 and not missed
+
+
+def test_places_of_repeats():
+    rng = random.Random(9)
+    for n in (1, 2, 5, 30):
+        h = decontam.np.array([rng.randrange(25) for _ in range(30)], decontam.np.uint64)
+        assert decontam._repeats(h, n).tolist()[:30 - n + 1] == [len(set(h[k:k + n].tolist())) < n for k in range(30 - n + 1)]
