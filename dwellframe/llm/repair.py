@@ -293,7 +293,9 @@ def repair(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     """(report, turns): faults, cost and audit of every conversation; and its repaired turns: conv_id, place, pos (their order), role, text."""
     parts = segments(turns, conv, turn, role, text)
     lean = F.struct("place", "codes", "head", "tail", "first_turn", "last_turn")
-    grouped = parts.groupBy("c").agg(F.collect_list(lean).alias("parts"), *[F.sum(x).alias(x) for x in ("turns", "blank", "duplicate", "truncated", "illegal")],
+    # A number of partitions of its own: the codes are few bytes but each conversation is work, which sizes do not show.
+    tasks = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grouped = parts.select("c", "place", "codes", "head", "tail", "first_turn", "last_turn", "turns", "blank", "duplicate", "truncated", "illegal").repartition(tasks, "c").groupBy("c").agg(F.collect_list(lean).alias("parts"), *[F.sum(x).alias(x) for x in ("turns", "blank", "duplicate", "truncated", "illegal")],
                                      F.min("first_turn").alias("least"), F.max("last_turn").alias("most"))
     decided = stored(grouped.mapInArrow(_decide, REPORT), "repairs")
     report = decided.select(F.col("c").alias(conv), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit")

@@ -8,13 +8,16 @@ rows. In each round
 
 1. a text's documents vote: the shards with most of them and with room left are
    its targets (one for each shard that its documents could fill);
-2. its documents in shards with fewer votes ask to move to a target;
+2. its documents in shards with fewer votes ask to move to a target; where none of its
+   shards has room, all ask for one that has;
 3. each shard admits as many as it has room for; its room is what unlinked
    documents hold, as those can live anywhere and change places with the
    newcomers. Shards that have no room exchange equal numbers pairwise. Who is
    first is drawn anew each round, and the last text to fit may be split.
 
-Rounds end when no document moves. Then the documents of a text take the shards
+Rounds end when no document moves. A shard full of other linked documents is not
+emptied for a larger text, so a text of many shards may end in more of them than
+it could fill. Then the documents of a text take the shards
 its votes say, and unlinked documents fill every shard to its exact count.
 Voting, demand and admission are aggregates and joins; only the table of
 demands between shards (``shards`` squared numbers) is read by the driver.
@@ -37,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import shared_path, stored
 
 #: Rows of a bucket in which ranks are drawn; more where there would be over BUCKETS of them.
-WIDTH, BUCKETS = 4096, 100_000
+WIDTH, BUCKETS = 512, 100_000
 
 
 def _bucket(rank: Column, rows: int) -> Column:
@@ -66,9 +69,13 @@ def _requests(cells: DataFrame, room: list[int], capacity: int, round_: int) ->
     drawn = F.transform("cells", lambda c: F.struct((-c["n"]).alias("less"), F.pmod(F.xxhash64("hub", c["shard"]), F.lit(1 << 30)).alias("draw"), c["shard"].alias("shard"), c["n"].alias("n")))
     ranked = votes.withColumn("cells", F.array_sort(drawn))
     wanted = F.col("cells") if full else F.filter("cells", lambda c: F.array_contains(open_, c["shard"]))
-    aimed = ranked.withColumn("targets", F.slice(wanted, 1, F.col("k"))).where(F.size("targets") > 0)
+    best = F.slice(wanted, 1, F.col("k"))
+    # A parted text none of whose shards has room: all of it asks for one that has, drawn anew each round.
+    drawn_open = F.element_at(open_, (F.pmod(F.xxhash64("hub", F.lit(round_)), F.greatest(F.size(open_), F.lit(1))) + 1).cast("int"))
+    elsewhere = F.array(F.struct(F.lit(1).cast("long").alias("less"), F.lit(0).cast("long").alias("draw"), drawn_open.alias("shard"), F.lit(0).cast("long").alias("n")))
+    aimed = ranked.withColumn("targets", best if full else F.when(F.size(best) > 0, best).when(F.size("cells") > 1, elsewhere)).where(F.size("targets") > 0)
     least = F.element_at(F.col("targets"), -1)
-    moving = F.filter("cells", lambda c: F.struct(c["less"], c["draw"]) > F.struct(least["less"], least["draw"]))
+    moving = F.filter("cells", lambda c: (least["n"] == 0) | (F.struct(c["less"], c["draw"]) > F.struct(least["less"], least["draw"])))
     asks = aimed.select("hub", "targets", F.posexplode(moving).alias("place", "c"))
     target = F.element_at("targets", (F.pmod(F.col("place") + round_, F.size("targets")) + 1).cast("int"))
     return asks.select("hub", F.col("c.shard").alias("f"), target["shard"].alias("t"), F.col("c.n").alias("n"))

@@ -22,15 +22,16 @@ def test_held_out_accuracy(spark):
 def test_counts_and_scores_against_plain_python(spark):
     docs = spark.createDataFrame([(1, "abba Abba", "x"), (2, "cdc! dd", "y"), (3, None, "x"), (4, "zz", None)], "doc_id long, text string, lang string")
     model = langid.train(docs, buckets=1 << 12)
-    assert model.langs == ("x", "y")
+    block = model.block(0)
+    assert model.langs == block.langs == ("x", "y")
     import numpy as np
     for k, (_, text) in enumerate([("x", "abba Abba"), ("y", "cdc! dd")]):
         at = np.concatenate(list(langid.gram_buckets(text, 1 << 12)))
         damped = np.rint(langid.DAMP * np.log1p(np.bincount(at, minlength=1 << 12))) / langid.DAMP
         want = np.log((damped + 0.5) / (damped.sum() + 0.5 * (1 << 12)))
-        assert np.allclose(model.log_p[:, k], want, atol=1e-5)
+        assert np.allclose(block.log_p[:, k], want, atol=1e-5)
     got = {r.doc_id: r for r in langid.predict(docs, model).collect()}
-    total = model.log_prior + sum(model.log_p[a].sum(axis=0) for a in langid.gram_buckets("abba Abba", 1 << 12))
+    total = block.log_prior + sum(block.log_p[a].sum(axis=0) for a in langid.gram_buckets("abba Abba", 1 << 12))
     share = np.exp(total - total.max()) / np.exp(total - total.max()).sum()
     assert got[1].lang_pred == "x" and abs(got[1].score - share[0]) < 1e-6
     assert (got[3].lang_pred, got[3].score) == ("und", 0.0)
@@ -71,7 +72,8 @@ def test_sample_bound(spark):
     docs = spark.range(20_000).selectExpr("id as doc_id", "'ab' as text", "if(id % 10 = 0, 'p', 'q') as lang")
     model = langid.train(docs, max_rows=1000, buckets=1 << 10)
     # counts fell to about 1,000 rows for each language: smoothing weighs the same in both
-    assert abs(model.log_p[:, 0] - model.log_p[:, 1]).max() < 0.2
+    log_p = model.block(0).log_p
+    assert abs(log_p[:, 0] - log_p[:, 1]).max() < 0.2
 
 
 def test_unlearned_languages_and_random_letters_are_rejected(spark):
@@ -83,8 +85,35 @@ def test_unlearned_languages_and_random_letters_are_rejected(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     model = langid.train(docs)
     rows = spark.createDataFrame([(t,) for t in strange], "text string")
-    assert {(r.lang_pred, r.score) for r in langid.predict(rows, model).collect()} == {("und", 0.0)}
+    assert {(r.lang_pred, r.score) for r in langid.predict(rows, model, floor=True).collect()} == {("und", 0.0)}
+    # Without the floor, the best learned language is always named.
+    assert "und" not in {r.lang_pred for r in langid.predict(rows, model).collect()}
     added = spark.createDataFrame([(-1 - k, t, None, "x", len(t)) for k, t in enumerate(strange)], docs.schema)
     kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs.unionByName(added), sf).select("doc_id").collect()}
     known = {r.doc_id for r in docs.collect() if r.text and any(map(str.isalpha, r.text))}
     assert not any(i < 0 for i in kept) and len(known - kept) <= 0.001 * len(known)
+
+
+def test_texts_with_letters_always_get_a_learned_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sentences = ["Zwölf Boxkämpfer jagen Viktor", "Quarterly earnings exceeded expectations by five percent.", "x", "日本語", "1a", "ǅ", "Le vif renard brun saute", "qqqq zzzz 123", "El veloz murciélago"]
+    got = langid.predict(spark.createDataFrame([(t,) for t in [*sentences, "", "12 !", None]], "text string"), langid.train(docs)).collect()
+    assert all((r.lang_pred == "und") == (r.text in ("", "12 !", None)) for r in got) and len(got) == len(sentences) + 3
+    assert all(0 < r.score <= 1 for r in got if r.lang_pred != "und")
+
+
+def test_any_number_of_languages(spark):
+    """300 languages of their own syllables; blocks of languages give what one block gives."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(300):
+        syllables = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=3)) for _ in range(6)]
+        rows += [(3 * k + j, " ".join("".join(rng.choices(syllables, k=2)) for _ in range(15)), f"l{k:03d}", "x") for j in range(3)]
+    docs = spark.createDataFrame([*rows, (-1, None, "l000", "x"), (-2, "123", "l000", "x")], "doc_id long, text string, lang string, score string")
+    blocks = langid.train(docs, buckets=1 << 12, block_langs=128)
+    whole = langid.train(docs, buckets=1 << 12, block_langs=512)
+    assert (len(blocks.langs), blocks.blocks, whole.blocks) == (300, 3, 1)
+    a, b = ({r.doc_id: r for r in langid.predict(docs, m).collect()} for m in (blocks, whole))
+    assert len(a) == len(rows) + 2 and {i: r.lang_pred for i, r in a.items()} == {i: r.lang_pred for i, r in b.items()}
+    assert all(abs(a[i].score - b[i].score) < 1e-6 for i in a) and (a[-1].lang_pred, a[-2].lang_pred) == ("und", "und")
+    assert sum(a[i].lang_pred == lang for i, _, lang, _ in rows) >= 0.98 * len(rows)

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -66,10 +67,35 @@ def test_pack_round_trip(case, data):
 @given(st.text(alphabet=st.sampled_from(list("ab' \n\t \x1cé日1!Ġ\0")), max_size=40))
 def test_pieces_give_the_ids_of_the_whole_text(text):
     encoder = tokens.encoder_of(PATH)
-    assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    ids, sizes = encoder.encode(pa.array([text, None, text + " " + text]))
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in (text, text + " " + text)]
+    assert ids.tolist() == [*want[0], *want[1]] and sizes.tolist() == [len(want[0]), 0, len(want[1])]
 
 
 @pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|endoftext|>x y", "it's 12 345's  end "])
 def test_special_strings(text):
     encoder = tokens.encoder_of(PATH)
-    assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    ids, sizes = encoder.encode(pa.array([text, None, text + " " + text]))
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in (text, text + " " + text)]
+    assert ids.tolist() == [*want[0], *want[1]] and sizes.tolist() == [len(want[0]), 0, len(want[1])]
+
+
+def test_generations_of_pieces_give_the_same_ids(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE", 40)
+    encoder = tokens.Encoder(tokenizer_path())
+    texts = [" ".join(f"{a}ung{b}.\n{b.title()}" for b in ("ab", "cd", "Zs", f"x{k}")) + f" ende{k}," for k, a in enumerate(["Ver", "be", "ent", "zer", "Ver", "be"] * 3)]
+    for k in range(0, len(texts), 2):
+        ids, sizes = encoder.encode(pa.array(texts[k:k + 2]))
+        want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts[k:k + 2]]
+        assert ids.tolist() == [i for w in want for i in w] and sizes.tolist() == list(map(len, want))
+    assert encoder.before.numbers
+
+
+def test_another_kind_of_vocabulary_encodes_whole_texts():
+    import public_tokenizers
+
+    encoder = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["The Cat  sat.", "on\nthe mat", ""]
+    ids, sizes = encoder.encode(pa.array(texts))
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert not encoder.cuts and ids.tolist() == [i for w in want for i in w] and sizes.tolist() == list(map(len, want))
