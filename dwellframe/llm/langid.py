@@ -3,40 +3,46 @@
 Training counts n-grams of a bounded sample of labelled rows (at most
 ``max_rows`` for each language, chosen by a hash of the id). A document that
 holds an n-gram n times counts as log(1 + n), so that one very long text cannot
-outweigh its language; each task adds up a
-dense count vector for each language it meets and sends only its non-zero
-cells. The log-probability matrix (buckets x languages, float32) is broadcast:
-its size is fixed by ``buckets`` and ``max_langs`` (at most 128 MB at the
-limits), not by the data. Scoring gathers and sums its rows in numpy, slice by
-slice of ``SLICE`` code points, so a very long text needs bounded memory.
+outweigh its language; each task adds up a dense count vector for each language
+it meets and sends only its non-zero cells. The log-probability matrix (buckets x
+languages, float32) is broadcast in blocks of at most ``block_langs`` languages
+(64 MB by default), however many languages are labelled. Up to that many
+are scored in one pass; beyond it each block is a pass of its own, and the best
+language and the log-sum so far are kept for every document. Scoring gathers and
+sums rows in numpy, slice by slice of ``SLICE`` code points, so a very long text
+needs bounded memory.
 
 The posterior says which learned language fits best, not whether it fits: it is
-about 1 for any text of some letters. So the mean log-likelihood per n-gram under
-the best language (with ``PRIOR_GRAMS`` typical n-grams more, which a very short
-text needs) is held against the language's floor. The floor comes from at most
-about ``FIT_ROWS`` training documents of each language, each scored without its
-own counts: it lies as far below their quantile ``LOW`` as that lies below their
-median. Few training documents fit each other badly, so their floor is low.
-
-Defined results: a null text, one without letters or one below the floor is
-``und`` with score 0; so is every text if nothing was learned (empty table, no labelled row). Repeated
-rows get equal predictions; equal scores go to the language that sorts first.
-Rows with a null id, text or lang are never learned from. Input columns named
-like an output column are replaced.
+about 1 for any text of some letters. ``predict(..., floor=True)`` also holds the
+mean log-likelihood per n-gram under the best language (with ``PRIOR_GRAMS``
+typical n-grams more, which a very short text needs) against the language's
+floor. The floor comes from at most about ``FIT_ROWS`` training documents of each
+language, each scored without its own counts: it lies as far below their quantile
+``low`` as that lies below their median. It is learned from the labelled rows
+alone: a real text of a learned language whose words the training rows hardly
+know also falls below it.
+
+Defined results: a null text or one without letters is ``und`` with score 0; so is
+one below the floor, where asked for, and every text if nothing was learned (empty
+table, no labelled row). Repeated rows get equal predictions; equal scores go to the
+language that sorts first. Rows with a null id, text or lang are never learned from.
+Input columns named like an output column are replaced.
 """
 
 from __future__ import annotations
 
+import functools
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass, replace
+import uuid
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_udf, with_struct
+from .common import stored, text_udf, with_struct
 
 ORDERS = (1, 2, 3, 4)
 SLICE = 1 << 20
@@ -44,19 +50,30 @@ UNKNOWN = "und"
 #: Damped counts are added up as whole numbers of 1/DAMP, so sums do not depend on their order.
 DAMP = 1024
 FIT_ROWS, LOW, PRIOR_GRAMS = 2000, 0.001, 16
+BEST_FIELDS = "lang string, total double, lse double, margin double"
+BEST = f"struct<{BEST_FIELDS.replace(' ', ': ').replace(',:', ',')}>"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
-class LangModel:
-    """Languages and the matrix of log P(bucket | language); priors are class shares of the sample; typical and least mean log-likelihood per n-gram."""
+class LangBlock:
+    """Languages and the matrix of log P(bucket | language); log class shares of the whole sample; typical and least mean log-likelihood per n-gram."""
 
     langs: tuple[str, ...]
     log_p: np.ndarray
     log_prior: np.ndarray
-    typical: np.ndarray | None = None
-    floor: np.ndarray | None = None
+    typical: np.ndarray
+    floor: np.ndarray
+
+
+@dataclass(frozen=True)
+class LangModel:
+    """All learned languages, sorted; ``block(k)`` gives the k-th block of them, read from the stored counts if there are several."""
+
+    langs: tuple[str, ...]
+    blocks: int
+    block: Callable[[int], LangBlock]
 
 
 def gram_buckets(text: str, buckets: int) -> Iterator[np.ndarray]:
@@ -82,18 +99,32 @@ def gram_buckets(text: str, buckets: int) -> Iterator[np.ndarray]:
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_rows: int = 8000,
-          buckets: int = 1 << 17, max_langs: int = 256, alpha: float = 0.5) -> LangModel:
+          buckets: int = 1 << 17, block_langs: int = 128, alpha: float = 0.5, low: float = LOW) -> LangModel:
     """Fit on at most about ``max_rows`` rows for each language; ``buckets`` is a power of two."""
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where("k is not null and t is not null and l is not null")
-    sizes = rows.groupBy("l").agg(F.count("*").alias("n"))
-    classes = sizes.orderBy(F.desc("n"), "l").limit(max_langs + 1).collect()
-    if len(classes) > max_langs:
-        raise ValueError(f"more than max_langs={max_langs} languages are labelled")
+    classes = rows.groupBy("l").agg(F.count("*").alias("n")).orderBy("l").collect()  # one row a language
     langs = tuple(sorted(r.l for r in classes))
-    if not langs:
-        return LangModel((), np.zeros((buckets, 0), np.float32), np.zeros(0))
-    share = F.create_map(*[F.lit(v) for r in classes for v in (r.l, min(1.0, max_rows / r.n))])[F.col("l")]
-    sample = rows.where(F.pmod(F.xxhash64(F.col("k").cast("string")), F.lit(1 << 20)) < share * (1 << 20)).select("l", "t")
+    rows_of = {r.l: r.n for r in classes}
+    sampled = sum(min(max_rows, n) for n in rows_of.values())
+    parts = [langs[k:k + block_langs] for k in range(0, len(langs), block_langs)]
+
+    @functools.lru_cache(maxsize=1)
+    def block(k: int) -> LangBlock:
+        return _fit_block(rows, parts[k], rows_of, sampled, max_rows, buckets, alpha, low)
+
+    if len(parts) == 1:
+        block(0)
+    return LangModel(langs, len(parts), block)
+
+
+def _sample(rows: DataFrame, langs: tuple[str, ...], rows_of: dict[str, int], most: int) -> DataFrame:
+    """About ``most`` rows (l, t) of each of the languages, chosen by the hash of their ids."""
+    share = F.create_map(*[F.lit(v) for name in langs for v in (name, min(1.0, most / rows_of[name]))])[F.col("l")]
+    return rows.where(F.pmod(F.xxhash64(F.col("k").cast("string")), F.lit(1 << 20)) < share * (1 << 20)).select("l", "t")
+
+
+def _fit_block(rows: DataFrame, langs: tuple[str, ...], rows_of: dict[str, int], sampled: int, max_rows: int, buckets: int, alpha: float, low: float) -> LangBlock:
+    place = {name: i for i, name in enumerate(langs)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
@@ -109,42 +140,39 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
                 if name not in held and len(held) >= 16:
                     yield from flush()
                 cells = held.setdefault(name, np.zeros(buckets, np.int64))
-                place, times = _times(body, buckets)
-                cells[place] += np.rint(DAMP * np.log1p(times)).astype(np.int64)
+                at, times = _times(body, buckets)
+                cells[at] += np.rint(DAMP * np.log1p(times)).astype(np.int64)
         yield from flush()
 
-    found = sample.mapInArrow(count, "l string, b long, c long").groupBy("l", "b").agg(F.sum("c").alias("c")).toArrow()
+    found = _sample(rows, langs, rows_of, max_rows).mapInArrow(count, "l string, b long, c long").groupBy("l", "b").agg(F.sum("c").alias("c")).toArrow()
     counts = np.zeros((buckets, len(langs)))
-    place = {name: i for i, name in enumerate(langs)}
     which = np.array([place[x] for x in found.column("l").to_pylist()], np.int64)
     counts[found.column("b").to_numpy(), which] = found.column("c").to_numpy() / DAMP
     log_p = np.log(counts + alpha) - np.log(counts.sum(axis=0) + alpha * buckets)
-    share_of = np.array([min(max_rows, r.n) for r in sorted(classes, key=lambda r: r.l)], float)
-    model = LangModel(langs, log_p.astype(np.float32), np.log(share_of / share_of.sum()))
+    prior = np.log(np.array([min(max_rows, rows_of[name]) for name in langs], float) / sampled)
+    bare = LangBlock(langs, log_p.astype(np.float32), prior, np.zeros(len(langs)), np.full(len(langs), -np.inf))
     sizes_of = counts.sum(axis=0)
     del counts, log_p
-    shared = docs.sparkSession.sparkContext.broadcast((model, sizes_of))
+    shared = rows.sparkSession.sparkContext.broadcast((bare, sizes_of))
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, total = shared.value
         for batch in batches:
             out = [_without_own(m, total, alpha, place[name], body) for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            rows = [x for x in out if x]
-            yield pa.RecordBatch.from_pydict({"k": pa.array([x[0] for x in rows], pa.int32()), "n": pa.array([x[1] for x in rows], pa.int64()), "s": pa.array([x[2] for x in rows], pa.float64())})
+            fine = [x for x in out if x]
+            yield pa.RecordBatch.from_pydict({"k": pa.array([x[0] for x in fine], pa.int32()), "n": pa.array([x[1] for x in fine], pa.int64()), "s": pa.array([x[2] for x in fine], pa.float64())})
 
-    few = F.create_map(*[F.lit(v) for c in classes for v in (c.l, min(1.0, min(max_rows, FIT_ROWS) / c.n))])[F.col("l")]
-    chosen = rows.where(F.pmod(F.xxhash64(F.col("k").cast("string")), F.lit(1 << 20)) < few * (1 << 20)).select("l", "t")
-    fits = chosen.mapInArrow(fit, "k int, n long, s double").toArrow()  # at most about FIT_ROWS numbers for each language
+    fits = _sample(rows, langs, rows_of, min(max_rows, FIT_ROWS)).mapInArrow(fit, "k int, n long, s double").toArrow()  # at most about FIT_ROWS numbers for each language
     shared.unpersist()
     which, n, sums = (fits.column(c).to_numpy() for c in ("k", "n", "s"))
-    typical, floor = np.zeros(len(langs)), np.full(len(langs), -np.inf)
+    typical, floor = bare.typical, bare.floor
     for k in np.unique(which).tolist():
         mine = which == k
         typical[k] = np.median(sums[mine] / n[mine])
         means = (sums[mine] + PRIOR_GRAMS * typical[k]) / (n[mine] + PRIOR_GRAMS)
-        low = np.quantile(means, LOW, method="lower")
-        floor[k] = low - max(0.0, np.median(means) - low)
-    return replace(model, typical=typical, floor=floor)
+        least = np.quantile(means, low, method="lower")
+        floor[k] = least - max(0.0, np.median(means) - least)
+    return bare
 
 
 def _times(text: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +184,7 @@ def _times(text: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return place, np.bincount(back, weights=np.concatenate([n for _, n in parts]))
 
 
-def _without_own(m: LangModel, total: np.ndarray, alpha: float, own: int, text: str) -> tuple[int, int, float] | None:
+def _without_own(m: LangBlock, total: np.ndarray, alpha: float, own: int, text: str) -> tuple[int, int, float] | None:
     """Best language, n-grams and log-likelihood of a training text by the counts of all others; None without n-grams."""
     at, times = _times(text, len(m.log_p))
     if not len(at):
@@ -170,33 +198,51 @@ def _without_own(m: LangModel, total: np.ndarray, alpha: float, own: int, text:
     return best, int(times.sum()), float(sums[best])
 
 
-def predict(docs: DataFrame, model: LangModel, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score (posterior probability of the prediction, 0 for ``und``)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def predict(docs: DataFrame, model: LangModel, text: str = "text", floor: bool = False) -> DataFrame:
+    """``docs`` with lang_pred and score (posterior probability of the prediction, 0 for ``und``); ``floor``: texts unlike every learned language are ``und``."""
+    held = f"best_{uuid.uuid4().hex}"
+    best = F.lit(None).cast(BEST)
+    for k in range(model.blocks):
+        block = model.block(k)
+        if k:
+            docs = stored(docs.withColumn(held, best), "languages")
+        now = _scorer(docs, block)(F.col(f"`{text}`"))
+        best = _better(F.col(held), now) if k else now
+    fits = (best["margin"] >= 0) if floor else F.lit(True)
+    known = best["lang"].isNotNull() & fits
+    out = F.struct(F.when(known, best["lang"]).otherwise(F.lit(UNKNOWN)).alias("lang_pred"), F.when(known, F.exp(best["total"] - best["lse"])).otherwise(F.lit(0.0)).alias("score"))
+    return with_struct(docs, out, ("lang_pred", "score")).drop(held)
+
+
+def _scorer(docs: DataFrame, block: LangBlock) -> Callable[[Column], Column]:
+    shared = docs.sparkSession.sparkContext.broadcast(block)
 
     def make():
         m = shared.value
-        n_buckets = len(m.log_p)
 
         def score(texts: list) -> list[tuple]:
-            return [_best(m, n_buckets, t) for t in texts]
+            return [best_of(m, t) for t in texts]
 
         return score
 
-    out = text_udf(make, "lang_pred string, score double")(F.col(text))
-    return with_struct(docs, out, ("lang_pred", "score"))
+    return text_udf(make, BEST_FIELDS)
+
 
+def _better(a: Column, b: Column) -> Column:
+    """Two blocks' results as one; languages of the first sort before those of the second."""
+    most, least = F.greatest(a["lse"], b["lse"]), F.least(a["lse"], b["lse"])
+    first = a["total"] >= b["total"]
+    return F.struct(*[F.when(first, a[x]).otherwise(b[x]).alias(x) for x in ("lang", "total")], (most + F.log1p(F.exp(least - most))).alias("lse"), F.when(first, a["margin"]).otherwise(b["margin"]).alias("margin"))
 
-def _best(m: LangModel, n_buckets: int, text: str | None) -> tuple[str, float]:
+
+def best_of(m: LangBlock, text: str | None) -> tuple[str | None, float | None, float | None, float | None]:
+    """Best language of a block, its log-probability, the log-sum over the block, and how far the fit lies above the floor; nulls without letters."""
     total, n = m.log_prior.astype(float).copy(), 0
-    for at in gram_buckets(text, n_buckets) if text and m.langs else ():
+    for at in gram_buckets(text, len(m.log_p)) if text and m.langs else ():
         total += m.log_p[at].sum(axis=0, dtype=np.float64)
         n += len(at)
     if not n:
-        return UNKNOWN, 0.0
-    odds = np.exp(total - total.max())
+        return None, None, None, None
     best = int(np.argmax(total))
-    if m.floor is not None and (total[best] - m.log_prior[best] + PRIOR_GRAMS * m.typical[best]) / (n + PRIOR_GRAMS) < m.floor[best]:
-        return UNKNOWN, 0.0
-    return m.langs[best], float(odds[best] / odds.sum())
-
+    mean = (total[best] - m.log_prior[best] + PRIOR_GRAMS * m.typical[best]) / (n + PRIOR_GRAMS)
+    return m.langs[best], float(total[best]), float(total[best] + np.log(np.exp(total - total[best]).sum())), float(max(-1e300, min(1e300, mean - m.floor[best])))
