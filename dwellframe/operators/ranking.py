@@ -19,7 +19,7 @@ import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 BUCKET = "__bucket"
@@ -103,7 +103,14 @@ def ntile_from_rank(rank, n, k: int) -> Column:
 def kth_smallest(df: DataFrame, num_col: str, tie_cols: Sequence[str], k,
                  n_buckets: int | None = None, max_rows_in_task: int = 1_000_000,
                  uniform_range: tuple[float, float] | None = None):
-    """The k-th (1-based) row by (num_col, *tie_cols) as a ``Row`` of those columns.
+    """The k-th (1-based) row by (num_col, *tie_cols) as a ``Row`` of those columns; see :func:`cut_at`."""
+    return cut_at(df, num_col, tie_cols, k, n_buckets, max_rows_in_task, uniform_range)[0]
+
+
+def cut_at(df: DataFrame, num_col: str, tie_cols: Sequence[str], k,
+           n_buckets: int | None = None, max_rows_in_task: int = 1_000_000,
+           uniform_range: tuple[float, float] | None = None):
+    """(k-th row, its place among the rows equal to it, how many are equal to it), by (num_col, *tie_cols).
 
     ``k`` may be a function of the row count (evaluated on the first bucket
     counts, so no separate ``count()`` pass is needed).  With ``uniform_range``
@@ -146,15 +153,18 @@ def kth_smallest(df: DataFrame, num_col: str, tie_cols: Sequence[str], k,
             # the bucket cannot be split on this column: go on with the next one
             lo = cur.agg(*[F.min(x).alias(x) for x in cols]).first()
             hi = cur.agg(*[F.max(x).alias(x) for x in cols]).first()
-            if all(lo[x] == hi[x] for x in cols):
-                return lo
+            whole = cur.agg(*[F.count(x).alias(x) for x in cols]).first()
+            if all(lo[x] == hi[x] and whole[x] in (0, c) for x in cols):
+                return lo, k, c
             if not later:
                 break  # text that differs behind its first six bytes only
             cur, by, rng = cur.withColumn("__next", _monotone(cur, later[0])), "__next", None
             later = later[1:]
-    w = Window.orderBy(*[F.col(c) for c in cols])
-    row = cur.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") == k).select(*cols).first()
-    return row
+    # at most max_rows_in_task rows, unless they differ only where no column can part them
+    counted = cur.groupBy(*cols).agg(F.count(F.lit(1)).alias("__same"))
+    upto = counted.withColumn("__upto", F.sum("__same").over(Window.orderBy(*[F.col(c) for c in cols])))
+    row = upto.filter((F.col("__upto") >= k) & (F.col("__upto") - F.col("__same") < k)).first()
+    return Row(**{c: row[c] for c in cols}), k - (row["__upto"] - row["__same"]), row["__same"]
 
 
 def _monotone(df: DataFrame, col: str) -> Column:
@@ -177,6 +187,20 @@ def lex_le(cols: Sequence[str], values: Sequence) -> Column:
     return less | (same & lex_le(cols[1:], values[1:]))
 
 
+def lex_eq(cols: Sequence[str], values: Sequence) -> Column:
+    """All columns equal to the values; NULL equals NULL."""
+    same = F.lit(True)
+    for c, x in zip(cols, values, strict=True):
+        same = same & (F.col(c).isNull() if x is None else F.coalesce(F.col(c) == F.lit(x), F.lit(False)))
+    return same
+
+
+def row_hash(df: DataFrame, seed: int = 0) -> Column:
+    """64-bit hash of all columns that can be hashed (maps cannot)."""
+    parts = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    return F.xxhash64(F.lit(seed), *parts)
+
+
 # ------------------------------------------------------------- grouped ranks
 GKEY = "__gk"
 

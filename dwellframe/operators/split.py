@@ -3,9 +3,12 @@
 The seeded split ranks rows by ``md5("<key>:<seed>")`` and sends the first
 ``ceil(n * test_size)`` rows to the test side (exact size, like the reference;
 NumPy's permutation itself is not reproduced).  ``randomSplit`` is not used:
-its sizes are inexact and depend on partitioning.  The cut is found as an
-exact order statistic (:func:`ranking.kth_smallest`) and applied as a narrow
-filter, so no single-partition window is needed.
+its sizes are inexact and depend on partitioning.  The cut is an exact order
+statistic (:func:`ranking.cut_at`): a value, the hash of the whole row behind
+it, and a place among rows equal in all of that.  Rows before the cut are found
+by a narrow filter; only where several equal rows straddle it are these rows
+stored and divided by their place, so sizes are exact for repeated and missing
+keys too, and no single-partition window is needed.
 """
 
 from __future__ import annotations
@@ -16,9 +19,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from . import ranking as R
 
-HASH, HNUM = "__h", "__hn"
+HASH, HNUM, ROW, PLACE = "__h", "__hn", "__row", "__place"
 
 
 @dataclass
@@ -49,9 +53,38 @@ def with_hash_order(df: DataFrame, key: str, seed: int) -> DataFrame:
     return df.withColumn(HASH, h).withColumn(HNUM, R.hex_prefix_number(F.col(HASH)))
 
 
+def _divide(df: DataFrame, num: str, ties: list[str], k, extra: list[str], uniform_range=None) -> tuple[DataFrame, DataFrame]:
+    """(the first k rows by (num, *ties, hash of the row), the others), without the columns ``extra``."""
+    cols = [num, *ties, ROW]
+    d = df.withColumn(ROW, R.row_hash(df.drop(*extra)))
+    extra = [*extra, ROW]
+    cut, place, same = R.cut_at(d, num, [*ties, ROW], k, uniform_range=uniform_range)
+    at = [cut[c] for c in cols]
+    first = R.lex_le(cols, at)
+    if place == same:
+        return d.filter(first).drop(*extra), d.filter(~first).drop(*extra)
+    # equal rows on both sides: store them, so that their places stay, and count them by partition
+    equal = R.lex_eq(cols, at)
+    held = cut_lineage(d.filter(equal).drop(*extra)).withColumn(PLACE, F.monotonically_increasing_id())
+    part = F.shiftright(PLACE, 33)
+    left, upto = place, (-1, 0)
+    for r in held.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect():  # one row a partition
+        if left <= r["n"]:
+            upto = (r["p"], left)
+            break
+        left -= r["n"]
+    own = (part < upto[0]) | ((part == upto[0]) & (F.col(PLACE).bitwiseAND((1 << 33) - 1) < upto[1]))
+    return (d.filter(first & ~equal).drop(*extra).unionByName(held.filter(own).drop(PLACE)),
+            d.filter(~first).drop(*extra).unionByName(held.filter(~own).drop(PLACE)))
+
+
 def seeded_split(df: DataFrame, key: str = "patient_id", test_size: float = 0.2, seed: int = 42,
                  shuffle: bool = True, order_col: str | None = None) -> SplitResult:
-    """Exact-size deterministic split; ``shuffle=False`` takes the last rows by ``order_col``."""
+    """Exact-size deterministic split; ``shuffle=False`` takes the last rows by ``order_col``.
+
+    Rows without a key share one place of the key's order, and rows with equal
+    keys another; among these the hash of the whole row decides.
+    """
     if not shuffle:
         return tail_split(df, order_col or key, test_size, key)
     test_count(1, test_size)  # validates the fraction before any job
@@ -60,16 +93,11 @@ def seeded_split(df: DataFrame, key: str = "patient_id", test_size: float = 0.2,
 
     def k_of(n):
         seen["n"], seen["k"] = n, test_count(n, test_size)
-        return max(seen["k"], 1)
+        return seen["k"]
 
     if df.limit(1).count() == 0:
         return SplitResult(df, df, 0, 0)
-    cut = R.kth_smallest(hd, HNUM, [HASH, key], k_of, uniform_range=R.HASH_RANGE)
-    is_test = R.lex_le([HNUM, HASH, key], [cut[HNUM], cut[HASH], cut[key]])
-    if seen["k"] == 0:
-        is_test = F.lit(False)
-    test = hd.filter(is_test).drop(HASH, HNUM)
-    train = hd.filter(~is_test).drop(HASH, HNUM)
+    test, train = _divide(hd, HNUM, [HASH, key], k_of, [HASH, HNUM], R.HASH_RANGE)
     return SplitResult(train, test, seen["n"], seen["k"])
 
 
@@ -77,18 +105,17 @@ def tail_split(df: DataFrame, order_col: str, test_size: float, key: str | None
     """Without shuffling the last ``ceil(n * test_size)`` rows by ``order_col`` are the test side.
 
     Rows are compared in the column's own type (its double only sorts them into
-    ranges); NULLs come first, so they are training rows.
+    ranges), then by ``key``, then by the hash of the whole row; NULLs come first,
+    so they are training rows.
     """
     n = df.count()
     k = test_count(n, test_size)
     num = "__ord"
     tie = [order_col, *([key] if key and key != order_col else [])]
-    d = df.withColumn(num, R._monotone(df, order_col))
     if n - k == 0:
         return SplitResult(df.limit(0), df, n, k)
-    cut = R.kth_smallest(d, num, tie, n - k)
-    in_train = R.lex_le([num, *tie], [cut[num], *[cut[t] for t in tie]])
-    return SplitResult(d.filter(in_train).drop(num), d.filter(~in_train).drop(num), n, k)
+    train, test = _divide(df.withColumn(num, R._monotone(df, order_col)), num, tie, n - k, [num])
+    return SplitResult(train, test, n, k)
 
 
 def assign_folds(df: DataFrame, k: int = 5, key: str = "patient_id", seed: int = 42,
@@ -96,8 +123,9 @@ def assign_folds(df: DataFrame, k: int = 5, key: str = "patient_id", seed: int =
     """Contiguous folds over the seeded order (0-based); the first n mod k folds get one more row."""
     n = df.count()
     hd = with_hash_order(df, key, seed)
-    ranked = R.global_rank(hd, HNUM, [HASH, key], out="__rank", n_rows=n, uniform_range=R.HASH_RANGE)
-    return ranked.withColumn(out, R.ntile_from_rank("__rank", n, k) - 1).drop("__rank", HASH, HNUM)
+    hd = hd.withColumn(ROW, R.row_hash(df))
+    ranked = R.global_rank(hd, HNUM, [HASH, key, ROW], out="__rank", n_rows=n, uniform_range=R.HASH_RANGE)
+    return ranked.withColumn(out, R.ntile_from_rank("__rank", n, k) - 1).drop("__rank", HASH, HNUM, ROW)
 
 
 def heldout_anti(df: DataFrame, test_ids: DataFrame, key: str = "patient_id") -> DataFrame:

@@ -44,6 +44,36 @@ def tail_split(spark, sf):
             .unionByName(s.train.select("patient_id", F.lit("train").alias("split"))))
 
 
+TIED = "select case when patient_id % 3 = 0 then null else patient_id % 40 end as k, modality, 1 as one from cohort"
+
+
+@query("split_tied_keys", covers=("E1", "E2"), sql=cte("cohort", extra=[("tied", TIED)]) + f"""
+, sides as (select seed, cast(count(*) as bigint) as n, cast(ceil(count(*) * {TEST_SIZE}e0) as bigint) as n_test from tied, (values (1), (2), (3)) s(seed) group by seed)
+select concat('seed ', seed) as "case", cast(null as varchar) as modality, n, n_test from sides
+union all
+select 'tail', modality, cast(count(*) as bigint), cast(count(case when rn > total - ceil(total * 0.1e0) then 1 end) as bigint)
+from (select modality, row_number() over (order by modality nulls first) as rn, count(*) over () as total from tied) t group by modality
+union all
+select 'tail of one value', cast(null as varchar), count(*), cast(ceil(count(*) * 0.1e0) as bigint) from tied""")
+def split_tied_keys(spark, sf):
+    """Exact sizes where keys are missing or repeat: seeded splits, a tail by a column of few values, and one of a single value."""
+    tied = v(spark, sf, "cohort").select(F.when(F.col("patient_id") % 3 != 0, F.col("patient_id") % 40).alias("k"), "modality", F.lit(1).alias("one")).persist()
+    parts = []
+    for seed in (1, 2, 3):
+        s = SP.seeded_split(tied, "k", TEST_SIZE, seed)
+        parts.append((f"seed {seed}", None, s.train, s.test))
+    tail = SP.tail_split(tied, "modality", 0.1)
+    parts += [("tail", "modality", tail.train, tail.test)]
+    same = SP.tail_split(tied, "one", 0.1)
+    parts += [("tail of one value", None, same.train, same.test)]
+    out = None
+    for case, group, train, test in parts:
+        rows = train.withColumn("t", F.lit(0)).unionByName(test.withColumn("t", F.lit(1)))
+        one = rows.groupBy((F.col(group) if group else F.lit(None).cast("string")).alias("modality")).agg(F.count(F.lit(1)).alias("n"), F.sum("t").cast("bigint").alias("n_test")).select(F.lit(case).alias("case"), "modality", "n", "n_test")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("folds", covers=("E3",), sql=cte("cohort") + f"""
 select patient_id, cast(ntile({K}) over (order by md5(concat(cast(patient_id as varchar(20)), ':{SEED}')), patient_id) - 1
   as integer) as fold from cohort""")

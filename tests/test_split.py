@@ -60,3 +60,45 @@ def test_kth_smallest_small_task_bound(spark):
     assert (row.v, row.k) == want
     same = spark.createDataFrame([(1.0, 5)] * 500, "v double, k int")
     assert R.kth_smallest(same, "v", ["k"], 300, n_buckets=4, max_rows_in_task=10).v == 1.0
+
+
+def test_missing_keys_are_divided(spark):
+    df = spark.createDataFrame([(None if i < 5 else f"p{i}", i) for i in range(10)], "patient_id string, value int")
+    for seed in range(12):
+        s = SP.seeded_split(df, "patient_id", 0.2, seed)
+        test, train = s.test.collect(), s.train.collect()
+        assert (len(test), len(train), s.n_test) == (2, 8, 2)
+        assert sorted(r.value for r in test + train) == list(range(10))
+
+
+def test_tied_tail_is_exact(spark):
+    df = spark.createDataFrame([("a" if i < 15 else "b", i) for i in range(20)], "o string, value int")
+    for share, want in ((0.1, 2), (0.3, 6), (0.5, 10)):
+        s = SP.tail_split(df, "o", share)
+        test = s.test.collect()
+        assert len(test) == want == s.n_test and s.train.count() == 20 - want
+        assert sum(r.o == "b" for r in test) == min(5, want)
+
+
+def test_equal_rows_are_divided(spark):
+    """Rows equal in every column, more than the side takes; and maps, which have no hash."""
+    same = spark.range(1000).selectExpr("1 as patient_id", "'x' as t").repartition(7)
+    s = SP.seeded_split(same, "patient_id", 0.25, 3)
+    assert (s.test.count(), s.train.count()) == (250, 750) and s.test.columns == same.columns
+    maps = spark.range(40).selectExpr("cast(null as bigint) as patient_id", "map('k', id) as m").repartition(3)
+    s = SP.seeded_split(maps, "patient_id", 0.3, 3)
+    got = [r.m["k"] for r in s.test.collect()] + [r.m["k"] for r in s.train.collect()]
+    assert s.test.count() == 12 and sorted(got) == list(range(40))
+    sizes = SP.assign_folds(same, 3, "patient_id").groupBy("fold").count().collect()
+    assert sorted(r["count"] for r in sizes) == [333, 333, 334]
+
+
+def test_cut_at_counts_equal_rows(spark):
+    from dwellframe.operators import ranking as R
+    df = spark.createDataFrame([(float(i % 4), None if i % 2 else i) for i in range(40)], "v double, k int")
+    rows = sorted(((r.v, r.k is not None, r.k or 0) for r in df.collect()))
+    for k in (1, 7, 15, 16, 33, 40):
+        for most in (3, 1000):
+            row, place, same = R.cut_at(df, "v", ["k"], k, n_buckets=4, max_rows_in_task=most)
+            at = (row.v, row.k is not None, row.k or 0)
+            assert at == rows[k - 1] and same == rows.count(at) and place == k - rows.index(at)
