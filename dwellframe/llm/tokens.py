@@ -47,7 +47,7 @@ from .common import shared_path
 
 SCHEMA = "shard int, block int, start long, bits int, n_ids int, payload binary, doc_ids array<long>, ends array<int>"
 CACHE = 1_000_000
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 #: What no text without an odd place holds: it marks first pieces.
 FIRST = "\0"
 _WHITE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
@@ -60,8 +60,14 @@ _STARTS = (FIRST, "\n")
 _MARKS, _COMMON = ".,;:!?*#$%&", "\u0250"
 
 
+#: Widths of whole bytes, which need no shifts.
+_WHOLE = {8: np.dtype("u1"), 16: np.dtype("<u2"), 32: np.dtype("<u4")}
+
+
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """Ids of ``bits`` bits each (1 to 32), one after the other, least significant bit first."""
+    if bits in _WHOLE:
+        return ids.astype(_WHOLE[bits]).tobytes()
     groups = -(-len(ids) // 8)
     v = np.zeros(groups * 8, np.uint64)
     v[:len(ids)] = ids
@@ -77,6 +83,8 @@ def pack(ids: np.ndarray, bits: int) -> bytes:
 
 def unpack(payload: bytes, bits: int, start: int, stop: int) -> np.ndarray:
     """Ids start to stop of a block, from the bytes that hold them."""
+    if bits in _WHOLE:
+        return np.frombuffer(payload, _WHOLE[bits], count=stop - start, offset=start * bits // 8).astype(np.uint32)
     first, last = start // 8, -(-stop // 8)
     raw = np.frombuffer(payload, np.uint8, count=max(0, min(len(payload), last * bits) - first * bits), offset=min(first * bits, len(payload)))
     groups = last - first
@@ -100,7 +108,7 @@ class Pieces:
     def __init__(self) -> None:
         self.numbers: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
-        self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.starts, self.sizes = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
         self.used = 0
 
     def add(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
@@ -119,9 +127,10 @@ class Pieces:
     def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces of these numbers, joined, and how many each has."""
         sizes = self.sizes[numbers]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.flat[np.arange(total) + np.repeat(self.starts[numbers] - (ends - sizes), sizes)], sizes
+        ends = np.cumsum(sizes, dtype=np.int32)
+        place = np.repeat(self.starts[numbers] - (ends - sizes), sizes)
+        place += np.arange(len(place), dtype=np.int32)
+        return self.flat[place], sizes
 
 
 class Encoder:
@@ -157,7 +166,7 @@ class Encoder:
         if len(self.known.numbers) > CACHE // 2:
             self.known, self.before = Pieces(), self.known
         get, old = self.known.numbers.get, self.before.numbers
-        found = np.array([get(p, -1) for p in pieces], np.int64)
+        found = np.array([get(p, -1) for p in pieces], np.int32)
         missing = [pieces[i] for i in np.flatnonzero(found < 0).tolist()]
         if missing:
             if old:
@@ -231,7 +240,7 @@ class Encoder:
         marks = [FIRST + w for x in (tails, firsts) for w in x.dictionary.to_pylist()]
         marked = {m: k for k, m in enumerate(dict.fromkeys([FIRST, *marks]), len(stems.dictionary))}
         # Two pieces for every word: its stem and its marks; a first word stands whole, with no marks.
-        stem, mark = np.arange(len(stems.dictionary)), np.array([marked[m] for m in marks])
+        stem, mark = np.arange(len(stems.dictionary), dtype=np.int32), np.array([marked[m] for m in marks], np.int32)
         pairs = np.stack([stem[stems.indices.to_numpy()], mark[tails.indices.to_numpy()]], axis=1)[coded.indices.to_numpy()]
         pairs[begins, 0] = mark[len(tails.dictionary) + firsts.indices.to_numpy()]
         pairs[begins, 1] = marked[FIRST]
@@ -323,7 +332,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 shard, start, bits, n, payload, names, ends = (batch.column(c)[r].as_py() for c in range(7))
                 ids = unpack(payload, bits, 0, n).astype("<u4")
                 firsts = [0, *ends[:-1]]
-                crcs = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(firsts, ends, strict=True)]
+                crcs = [zlib.crc32(ids[a:b]) for a, b in zip(firsts, ends, strict=True)]
                 yield pa.RecordBatch.from_pydict({
                     "shard": pa.array([shard] * len(ends), pa.int32()), "doc_id": pa.array(names, pa.int64()), "start": pa.array([start + a for a in firsts], pa.int64()),
                     "n_tokens": pa.array([b - a for a, b in zip(firsts, ends, strict=True)], pa.int64()), "ids_crc32": pa.array(crcs, pa.int64())})
