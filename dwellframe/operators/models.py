@@ -2,18 +2,19 @@
 
 * Linear family (OLS, elastic net, ridge) from one Gram pass; the solver runs
   on p x p statistics.
-* Forest and boosting from MLlib (``RandomForestRegressor``, ``GBTRegressor``);
-  the three gradient-boosting types of the reference map to squared-error GBT.
-* Quantile boosting and distribution (normal / lognormal) boosting are
-  boosting loops around ``DecisionTreeRegressor``.  Each round is a tree fit,
-  one aggregate (per-leaf quantile or a line search), and a narrow update.
-  Lineage is cut with a reliable ``checkpoint`` every few rounds.
+* Forest and classifiers from MLlib; squared-error, quantile and distribution
+  boosting from :mod:`boosting` (bins once, one aggregate a tree level, one node
+  table scored in one pass).
 * Stacking: out-of-fold predictions of each base model, then a ridge
   meta-learner on them.
 * Random search: seeded sample of a parameter grid scored by ``CrossValidator``
   with an explicit fold column.
 
-Every fitted model carries its own feature list; scoring uses that list.
+Every fitted model carries its own feature list; scoring uses that list.  Rows
+without a target are never fitted.  Rows that lack a feature are one rule for
+all learners but boosting (which learns a side for them): ``missing="error"``
+raises and says how many there are, ``"drop"`` leaves them out, ``"mean"`` puts
+the feature's mean in; the model's ``lacking`` holds their number.
 """
 
 from __future__ import annotations
@@ -22,19 +23,19 @@ import itertools
 import math
 import random
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from . import ranking as R
+from . import boosting as B
 from . import select as SL
 
 VEC = "features_vec"
@@ -64,6 +65,7 @@ class LinearModel:
     coef: np.ndarray
     intercept: float
     kind: str = "linear"
+    lacking: int = 0  # training rows that lacked a feature
 
     def predict(self, df: DataFrame, out: str = "y_pred") -> DataFrame:
         expr = F.lit(self.intercept)
@@ -72,28 +74,34 @@ class LinearModel:
         return df.withColumn(out, expr)
 
 
-def _gram(df: DataFrame, features: Sequence[str], target: str) -> SL.GramStats:
-    d = df.filter(F.col(target).isNotNull()).na.drop(subset=list(features)).withColumn("__f", F.lit(0))
-    ms = SL.means_and_scales(d, [*features, target])
-    return SL.collect_gram(d, list(features), target, "__f", {c: m for c, (m, _) in ms.items()})
+def _gram(df: DataFrame, features: Sequence[str], target: str, missing: str) -> tuple[SL.GramStats, int]:
+    d, ms, lacking = SL.checked(df, features, target, missing)
+    st = SL.collect_gram(d.withColumn("__f", F.lit(0)), list(features), target, "__f", {c: m for c, (m, _) in ms.items()})
+    return st, lacking
 
 
 def _unshift(st: SL.GramStats, b: np.ndarray, b0_shifted: float) -> float:
     return float(b0_shifted + st.y_shift - st.x_shift @ b)
 
 
-def fit_ols(df: DataFrame, features: Sequence[str], target: str) -> LinearModel:
-    st = _gram(df, features, target)
+def fit_ols(df: DataFrame, features: Sequence[str], target: str, missing: str = "error") -> LinearModel:
+    st, lacking = _gram(df, features, target, missing)
     b, b0 = SL.ols_from_gram(st)
-    return LinearModel(list(features), b, b0, "linear_regression")
+    return LinearModel(list(features), b, b0, "linear_regression", lacking)
 
 
 def fit_elastic_net(df: DataFrame, features: Sequence[str], target: str, alpha: float = 1.0,
-                    l1_ratio: float = 0.5, max_iter: int = 1000, tol: float = 1e-4) -> LinearModel:
+                    l1_ratio: float = 0.5, max_iter: int = 1000, tol: float = 1e-4, missing: str = "error") -> LinearModel:
     """(1/2n)||y - b0 - Xb||² + alpha·l1·||b||₁ + ½·alpha·(1 − l1)·||b||² by coordinate descent on the Gram."""
-    st = _gram(df, features, target)
+    st, lacking = _gram(df, features, target, missing)
     n, mx, my, cxx, cxy, _ = SL._centred(st.total())
-    p = len(features)
+    b = elastic_net_cd(cxx, cxy, n, alpha, l1_ratio, max_iter, tol)
+    return LinearModel(list(features), b, _unshift(st, b, my - mx @ b), "elastic_net", lacking)
+
+
+def elastic_net_cd(cxx: np.ndarray, cxy: np.ndarray, n: float, alpha: float, l1_ratio: float, max_iter: int = 1000, tol: float = 1e-4) -> np.ndarray:
+    """Coordinate descent on centred sums."""
+    p = len(cxy)
     b = np.zeros(p)
     l1, l2 = alpha * l1_ratio * n, alpha * (1 - l1_ratio) * n
     for _ in range(max_iter):
@@ -106,15 +114,15 @@ def fit_elastic_net(df: DataFrame, features: Sequence[str], target: str, alpha:
             b[j] = new
         if delta <= tol * max(top, 1e-12):
             break
-    return LinearModel(list(features), b, _unshift(st, b, my - mx @ b), "elastic_net")
+    return b
 
 
-def fit_ridge(df: DataFrame, features: Sequence[str], target: str, alpha: float = 1.0) -> LinearModel:
+def fit_ridge(df: DataFrame, features: Sequence[str], target: str, alpha: float = 1.0, missing: str = "error") -> LinearModel:
     """||y - b0 - Xb||² + alpha·||b||² (closed form on the centred Gram)."""
-    st = _gram(df, features, target)
+    st, lacking = _gram(df, features, target, missing)
     n, mx, my, cxx, cxy, _ = SL._centred(st.total())
     b = np.linalg.solve(cxx + alpha * np.eye(len(features)), cxy)
-    return LinearModel(list(features), b, _unshift(st, b, my - mx @ b), "ridge")
+    return LinearModel(list(features), b, _unshift(st, b, my - mx @ b), "ridge", lacking)
 
 
 # ------------------------------------------------------------------ MLlib models
@@ -123,6 +131,7 @@ class MLModel:
     features: list[str]
     model: object
     kind: str
+    lacking: int = 0
 
     def predict(self, df: DataFrame, out: str = "y_pred") -> DataFrame:
         cols = df.columns
@@ -131,7 +140,7 @@ class MLModel:
 
 
 def fit_random_forest(df: DataFrame, features: Sequence[str], target: str, num_trees: int = 100,
-                      max_depth: int = 12, seed: int = 42, **kw) -> MLModel:
+                      max_depth: int = 12, seed: int = 42, missing: str = "error", **kw) -> MLModel:
     """Bootstrap forest; every split considers all features.
 
     The depth is 12 unless given; MLlib grows trees to depth 30 at most, so a
@@ -141,133 +150,80 @@ def fit_random_forest(df: DataFrame, features: Sequence[str], target: str, num_t
         raise ValueError(f"max_depth={max_depth}: MLlib's trees end at depth 30")
     rf = RandomForestRegressor(featuresCol=VEC, labelCol=target, numTrees=num_trees, maxDepth=max_depth,
                                featureSubsetStrategy=kw.pop("featureSubsetStrategy", "all"), seed=seed, **kw)
-    d = assemble(df.filter(F.col(target).isNotNull()), features)
-    return MLModel(list(features), rf.fit(d), "random_forest")
+    d, _, lacking = SL.checked(df, features, target, missing)
+    return MLModel(list(features), rf.fit(assemble(d, features)), "random_forest", lacking)
+
+
+@dataclass
+class BoostedTrees:
+    """base + the trees' sums; a quantile's booster or a squared-error one."""
+
+    features: list[str]
+    base: float
+    table: B.TreeTable
+    kind: str = "quantile_boosting"
+    quantile: float | None = None
+
+    def predict(self, df: DataFrame, out: str = "y_pred") -> DataFrame:
+        return self.table.add_sums(df, [out]).withColumn(out, F.lit(self.base) + F.col(out))
+
+    raw = predict
 
 
 def fit_gbt(df: DataFrame, features: Sequence[str], target: str, n_estimators: int = 500, max_depth: int = 6,
-            learning_rate: float = 0.1, seed: int = 42, kind: str = "xgboost") -> MLModel:
-    """Squared-error gradient boosting (stands in for the xgboost / lightgbm / catboost types)."""
-    gbt = GBTRegressor(featuresCol=VEC, labelCol=target, lossType="squared", maxIter=n_estimators,
-                       maxDepth=max_depth, stepSize=learning_rate, seed=seed)
-    d = assemble(df.filter(F.col(target).isNotNull()), features)
-    return MLModel(list(features), gbt.fit(d), kind)
+            learning_rate: float = 0.1, kind: str = "xgboost", l2: float = 1.0, min_rows: int = 1, max_bin: int = 64) -> BoostedTrees:
+    """Squared-error gradient boosting for the xgboost / lightgbm / catboost types, which differ by their options."""
+    f = B.fit(df, features, target, [B.Squared(l2)], n_estimators, max_depth, learning_rate, min_rows, max_bin)
+    return BoostedTrees(list(features), f.starts[0][0], f.tables[0], kind)
 
 
 def feature_importance(model: MLModel) -> list[tuple[str, float]]:
+    """Impurity importances of a forest."""
     imp = model.model.featureImportances.toArray()
     return sorted(zip(model.features, map(float, imp)), key=lambda t: -t[1])
 
 
 def fit_pet_classifier(df: DataFrame, features: Sequence[str], label: str, kind: str = "forest",
-                       seed: int = 42, num_trees: int = 50, max_depth: int = 6) -> MLModel:
+                       seed: int = 42, num_trees: int = 50, max_depth: int = 6, missing: str = "error") -> MLModel:
     """Multi-class PET classifier: forest, or multinomial logistic regression."""
-    d = assemble(df.filter(F.col(label).isNotNull()), features).withColumn(label, F.col(label).cast("double"))
+    rows, _, lacking = SL.checked(df, features, label, missing)
+    d = assemble(rows, features).withColumn(label, F.col(label).cast("double"))
     if kind == "forest":
         est = RandomForestClassifier(featuresCol=VEC, labelCol=label, numTrees=num_trees, maxDepth=max_depth, seed=seed)
     else:
         est = LogisticRegression(featuresCol=VEC, labelCol=label, family="multinomial", maxIter=100)
-    return MLModel(list(features), est.fit(d), f"{kind}_classifier")
+    return MLModel(list(features), est.fit(d), f"{kind}_classifier", lacking)
 
 
-def fit_logistic_l1(df: DataFrame, features: Sequence[str], label: str, alpha: float = 0.01) -> MLModel:
+def fit_logistic_l1(df: DataFrame, features: Sequence[str], label: str, alpha: float = 0.01, missing: str = "error") -> MLModel:
     """L1 logistic selection of a binary label (the specified, not the coded, behaviour)."""
-    d = assemble(df.filter(F.col(label).isNotNull()), features).withColumn(label, F.col(label).cast("double"))
+    rows, _, lacking = SL.checked(df, features, label, missing)
+    d = assemble(rows, features).withColumn(label, F.col(label).cast("double"))
     lr = LogisticRegression(featuresCol=VEC, labelCol=label, elasticNetParam=1.0, regParam=alpha,
                             standardization=True, maxIter=200)
-    return MLModel(list(features), lr.fit(d), "logistic_l1")
-
+    return MLModel(list(features), lr.fit(d), "logistic_l1", lacking)
 
-def fit_pca(df: DataFrame, features: Sequence[str], k: int = 2):
-    d = assemble(df.na.drop(subset=list(features)), features)
-    return PCA(k=k, inputCol=VEC, outputCol="pca").fit(d)
 
+def fit_pca(df: DataFrame, features: Sequence[str], k: int = 2, missing: str = "error"):
+    rows, _, _ = SL.checked(df, features, None, missing)
+    return PCA(k=k, inputCol=VEC, outputCol="pca").fit(assemble(rows, features))
 
-# ------------------------------------------------------------ boosting loops
-@dataclass
-class BoostedTrees:
-    features: list[str]
-    base: float
-    trees: list = field(default_factory=list)     # fitted DecisionTreeRegressionModel
-    values: list = field(default_factory=list)    # per tree: {leaf_id: value}
-    learning_rate: float = 0.1
-    kind: str = "quantile_boosting"
-    quantile: float = 0.5
-
-    def raw(self, df: DataFrame, out: str = "y_pred") -> DataFrame:
-        cols = df.columns
-        cur = assemble(df, self.features).withColumn(out, F.lit(self.base))
-        for i, (tree, vals) in enumerate(zip(self.trees, self.values)):
-            leaf = f"__leaf{i}"
-            tree.setLeafCol(leaf).setPredictionCol(f"__p{i}")
-            m = F.create_map(*[x for k, v in vals.items() for x in (F.lit(float(k)), F.lit(float(v)))])
-            cur = tree.transform(cur).withColumn(out, F.col(out) + self.learning_rate * m[F.col(leaf)]) \
-                .drop(leaf, f"__p{i}")
-        return cur.select(*cols, out)
 
-    predict = raw
+# ------------------------------------------------- quantile and distribution boosting
+def fit_quantiles(df: DataFrame, features: Sequence[str], target: str, quantiles: Sequence[float], n_estimators: int = 500, max_depth: int = 3,
+                  learning_rate: float = 0.1, min_rows: int = 1, max_bin: int = 64) -> list[BoostedTrees]:
+    """Gradient boosting for the pinball loss, all quantiles on one state.
 
-
-def _leaf_quantiles(d: DataFrame, leaf: str, resid: str, q: float, accuracy: int = 100_000) -> dict[float, float]:
-    """q-quantile of the residuals per leaf: one aggregate, one row per leaf (<= 2^depth) returned.
-
-    ``percentile_approx`` with a high accuracy (rank error <= n / accuracy)
-    keeps a bounded sketch per leaf instead of holding a leaf's values.
+    Round: a tree on the negative gradient q − 1[y < F]; a leaf's value is the
+    q-quantile of its residuals y − F; F += lr · value.
     """
-    qs = d.groupBy(leaf).agg(F.percentile_approx(resid, q, accuracy).alias("v"))
-    return {r[leaf]: (r["v"] or 0.0) for r in qs.collect()}
+    f = B.fit(df, features, target, [B.Quantile(float(q)) for q in quantiles], n_estimators, max_depth, learning_rate, min_rows, max_bin)
+    return [BoostedTrees(list(features), start[0], table, "quantile_boosting", float(q)) for q, start, table in zip(quantiles, f.starts, f.tables, strict=True)]
 
 
-class _Rounds:
-    """Keeps one persisted generation of the boosting state; reliable checkpoint every k rounds."""
-
-    def __init__(self, every: int):
-        self.every, self.prev, self.i = every, None, 0
-
-    def step(self, df: DataFrame) -> DataFrame:
-        self.i += 1
-        if self.i % self.every == 0:
-            df = cut_lineage(df)
-        else:
-            df = df.persist()
-            df.count()  # filled from the generation before, which goes only then
-        if self.prev is not None:
-            self.prev.unpersist()
-        self.prev = df
-        return df
-
-    def close(self):
-        if self.prev is not None:
-            self.prev.unpersist()
-
-
-def fit_quantile_boosting(df: DataFrame, features: Sequence[str], target: str, quantile: float = 0.5,
-                          n_estimators: int = 500, max_depth: int = 3, learning_rate: float = 0.1,
-                          checkpoint_every: int = 10, seed: int = 42) -> BoostedTrees:
-    """Gradient boosting for the pinball loss.
-
-    Round: tree on the negative gradient q − 1[y < F]; each leaf's value is
-    the q-quantile of the residuals y − F in that leaf (bounded sketch per
-    leaf, no leaf collected into one task); F += lr · value.
-    """
-    d0 = df.filter(F.col(target).isNotNull()).na.drop(subset=list(features))
-    base = R.exact_percentiles(d0.select(F.col(target).cast("double").alias("y")), "y", [quantile], names=["b"]).first()["b"]
-    model = BoostedTrees(list(features), float(base), learning_rate=learning_rate, quantile=quantile)
-    rounds = _Rounds(checkpoint_every)
-    cur = rounds.step(assemble(d0, features).select(VEC, F.col(target).cast("double").alias("y"),
-                                                    F.lit(float(base)).alias("F")))
-    for m in range(n_estimators):
-        g = cur.withColumn("g", F.lit(quantile) - (F.col("y") < F.col("F")).cast("double"))
-        tree = DecisionTreeRegressor(featuresCol=VEC, labelCol="g", maxDepth=max_depth, leafCol="leaf",
-                                     seed=seed + m).fit(g)
-        t = tree.transform(g).withColumn("r", F.col("y") - F.col("F"))
-        vals = _leaf_quantiles(t, "leaf", "r", quantile)
-        mp = F.create_map(*[x for k, v in vals.items() for x in (F.lit(float(k)), F.lit(float(v)))])
-        cur = rounds.step(t.select(VEC, "y", (F.col("F") + learning_rate * mp[F.col("leaf")]).alias("F")))
-        model.trees.append(tree)
-        model.values.append(vals)
-    rounds.close()
-    return model
+def fit_quantile_boosting(df: DataFrame, features: Sequence[str], target: str, quantile: float = 0.5, **options) -> BoostedTrees:
+    """One quantile of :func:`fit_quantiles`."""
+    return fit_quantiles(df, features, target, [quantile], **options)[0]
 
 
 def pinball_loss(df: DataFrame, y: str, p: str, q: float) -> float:
@@ -277,25 +233,19 @@ def pinball_loss(df: DataFrame, y: str, p: str, q: float) -> float:
 
 @dataclass
 class DistributionBoosting:
+    """Mean and log standard deviation (of log y for lognormal) as two sums of trees over one node table."""
+
     features: list[str]
     dist: str
     mu0: float
     log_s0: float
-    mu_trees: list = field(default_factory=list)
-    s_trees: list = field(default_factory=list)
-    scales: list = field(default_factory=list)
-    learning_rate: float = 0.01
+    table: B.TreeTable
+    kind: str = "ngboost"
 
     def params(self, df: DataFrame) -> DataFrame:
         """Adds ``mu`` and ``log_sigma`` (of log y for lognormal) and ``y_pred`` / ``pred_scale``."""
         cols = df.columns
-        cur = assemble(df, self.features).withColumn("mu", F.lit(self.mu0)).withColumn("log_sigma", F.lit(self.log_s0))
-        for i, (tm, ts, rho) in enumerate(zip(self.mu_trees, self.s_trees, self.scales)):
-            cur = tm.setPredictionCol(f"__m{i}").transform(cur)
-            cur = ts.setPredictionCol(f"__s{i}").transform(cur)
-            cur = cur.withColumn("mu", F.col("mu") + self.learning_rate * rho * F.col(f"__m{i}")) \
-                .withColumn("log_sigma", F.col("log_sigma") + self.learning_rate * rho * F.col(f"__s{i}")) \
-                .drop(f"__m{i}", f"__s{i}")
+        cur = self.table.add_sums(df, ["mu", "log_sigma"]).withColumns({"mu": F.lit(self.mu0) + F.col("mu"), "log_sigma": F.lit(self.log_s0) + F.col("log_sigma")})
         if self.dist == "lognormal":
             pred = F.exp(F.col("mu") + F.exp(2 * F.col("log_sigma")) / 2)
             scale = F.exp(F.col("log_sigma"))
@@ -313,7 +263,7 @@ def _nll(z, mu, ls):
 
 def fit_distribution_boosting(df: DataFrame, features: Sequence[str], target: str, dist: str = "lognormal",
                               n_estimators: int = 500, max_depth: int = 3, learning_rate: float = 0.01,
-                              checkpoint_every: int = 10, seed: int = 42) -> DistributionBoosting:
+                              min_rows: int = 1, max_bin: int = 64) -> DistributionBoosting:
     """Natural-gradient boosting of a normal (or lognormal: normal on log y) distribution.
 
     Per round: natural gradients of the NLL for (mu, log sigma) are
@@ -322,41 +272,17 @@ def fit_distribution_boosting(df: DataFrame, features: Sequence[str], target: st
     """
     if dist not in ("normal", "lognormal"):
         dist = "lognormal"
-    d0 = df.filter(F.col(target).isNotNull()).na.drop(subset=list(features))
     y = F.col(target).cast("double")
     refused = F.raise_error(F.concat(F.lit(f"lognormal needs positive {target}, not "), y.cast("string")))
     z = F.when(y > 0, F.log(y)).otherwise(refused.cast("double")) if dist == "lognormal" else y
-    st = d0.agg(F.avg(z).alias("m"), F.stddev_pop(z).alias("s")).first()
-    model = DistributionBoosting(list(features), dist, float(st["m"]), float(math.log(max(st["s"] or 1e-6, 1e-6))),
-                                 learning_rate=learning_rate)
-    rounds = _Rounds(checkpoint_every)
-    cur = rounds.step(assemble(d0, features).select(VEC, z.alias("z"), F.lit(model.mu0).alias("mu"),
-                                                    F.lit(model.log_s0).alias("ls")))
-    candidates = [0.5, 1.0, 2.0, 4.0, 8.0]
-    for m in range(n_estimators):
-        r = F.col("z") - F.col("mu")
-        g = cur.withColumn("gm", r).withColumn("gs", (F.pow(r / F.exp(F.col("ls")), 2) - 1) / 2)
-        tm = DecisionTreeRegressor(featuresCol=VEC, labelCol="gm", maxDepth=max_depth, seed=seed + m,
-                                   predictionCol="pm").fit(g)
-        g = tm.transform(g)
-        ts = DecisionTreeRegressor(featuresCol=VEC, labelCol="gs", maxDepth=max_depth, seed=seed + m,
-                                   predictionCol="ps").fit(g)
-        g = ts.transform(g)
-        losses = g.agg(*[F.avg(_nll(F.col("z"), F.col("mu") + rho * F.col("pm"), F.col("ls") + rho * F.col("ps")))
-                         .alias(f"c{i}") for i, rho in enumerate(candidates)]).first()
-        best = min(range(len(candidates)), key=lambda i: losses[f"c{i}"])
-        rho = candidates[best]
-        cur = rounds.step(g.select(VEC, "z", (F.col("mu") + learning_rate * rho * F.col("pm")).alias("mu"),
-                                   (F.col("ls") + learning_rate * rho * F.col("ps")).alias("ls")))
-        model.mu_trees.append(tm)
-        model.s_trees.append(ts)
-        model.scales.append(rho)
-    rounds.close()
-    return model
+    d = df.filter(F.col(target).isNotNull()).withColumn("__z", z)
+    f = B.fit(d, features, "__z", [B.Normal()], n_estimators, max_depth, learning_rate, min_rows, max_bin)
+    (mu0, log_s0), table = f.starts[0], f.tables[0]
+    return DistributionBoosting(list(features), dist, mu0, log_s0 + math.log(f.scale), table)
 
 
 def mean_nll(model: DistributionBoosting, df: DataFrame, target: str) -> float:
-    p = model.params(df.filter(F.col(target).isNotNull()).na.drop(subset=model.features))
+    p = model.params(df.filter(F.col(target).isNotNull()))
     z = F.log(F.col(target)) if model.dist == "lognormal" else F.col(target)
     return p.agg(F.avg(_nll(z, F.col("mu"), F.col("log_sigma"))).alias("l")).first()["l"]
 

@@ -1,9 +1,8 @@
 """Feature selection: one-pass Gram statistics and a cross-validated LASSO path.
 
-The data pass is a Spark aggregate: per fold, the count, the sums of the
-(mean-shifted) features and target, and all cross products.  Each row
-contributes to one fold; partial aggregation combines map-side, and the result
-is a few rows of size O(p²).  Everything after it runs on those p x p
+The data pass adds up, per fold, the cross products of (1, mean-shifted
+features, target) in square blocks, in each task and then by block in Spark,
+whatever the number of features.  Everything after it runs on those p x p
 statistics:
 
 * training statistics of fold f = total - fold f (no rescan per fold);
@@ -20,12 +19,14 @@ seeded hash order (contiguous row order does not exist in Spark).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import clinical as C
 
@@ -58,32 +59,14 @@ class GramStats:
         return tuple(a - b for a, b in zip(t, f))
 
 
-def gram_frame(df: DataFrame, features: Sequence[str], target: str, fold: str | None = None,
-               shift: dict[str, float] | None = None) -> DataFrame:
-    """One aggregate: per fold n, Σx, Σy, Σxxᵀ (upper triangle), Σxy, Σy² of shifted values (wide, one row per fold)."""
-    shift = shift or {}
-    xs = {c: F.col(c).cast("double") - F.lit(shift.get(c, 0.0)) for c in features}
-    y = F.col(target).cast("double") - F.lit(shift.get(target, 0.0))
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum(y).alias("sy"), F.sum(y * y).alias("syy")]
-    for i, a in enumerate(features):
-        aggs += [F.sum(xs[a]).alias(f"sx__{i}"), F.sum(xs[a] * y).alias(f"sxy__{i}")]
-        for j in range(i, len(features)):
-            aggs.append(F.sum(xs[a] * xs[features[j]]).alias(f"sxx__{i}__{j}"))
-    g = df.groupBy(fold) if fold else df.groupBy()
-    return g.agg(*aggs)
-
-
-def gram_long(wide: DataFrame, features: Sequence[str], fold: str | None = None) -> DataFrame:
-    """Wide Gram rows -> long (fold, row_name, col_name, value), staying in Spark."""
-    items = [("__one", "__one", "n"), ("__one", "__y", "sy"), ("__y", "__y", "syy")]
-    for i, a in enumerate(features):
-        items += [("__one", a, f"sx__{i}"), (a, "__y", f"sxy__{i}")]
-        for j in range(i, len(features)):
-            items.append((a, features[j], f"sxx__{i}__{j}"))
-    arr = F.array(*[F.struct(F.lit(r).alias("row_name"), F.lit(c).alias("col_name"),
-                             F.col(v).cast("double").alias("value")) for r, c, v in items])
-    keep = [fold] if fold else []
-    return wide.select(*keep, "n", F.inline(arr))
+def gram_long(blocks: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Blocks -> long (fold, row_name, col_name, value) of the upper triangle over ``names`` (1, features, target), staying in Spark."""
+    size = len(names)
+    width = F.least(F.lit(GRAM_BLOCK), F.lit(size) - F.col("j"))
+    cells = blocks.select("fold", "i", "j", width.alias("w"), F.posexplode("cells").alias("at", "value"))
+    place = cells.select("fold", (F.col("i") + F.floor(F.col("at") / F.col("w"))).cast("int").alias("r"), (F.col("j") + F.col("at") % F.col("w")).cast("int").alias("c"), "value").where("r <= c")
+    label = F.array(*[F.lit(n) for n in names])
+    return place.select("fold", label[F.col("r")].alias("row_name"), label[F.col("c")].alias("col_name"), "value")
 
 
 def means_and_scales(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
@@ -95,85 +78,98 @@ def means_and_scales(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[floa
     return {c: (row[f"{c}__m"] or 0.0, row[f"{c}__s"] or 0.0) for c in cols}
 
 
-WIDE_P = 40
+def checked(df: DataFrame, features: Sequence[str], target: str | None, missing: str = "error") -> tuple[DataFrame, dict[str, tuple[float, float]], int]:
+    """Rows with a target, (mean, population std) of every column, and how many rows lack a feature; one aggregate.
 
-
-def gram_arrow(df: DataFrame, features: Sequence[str], target: str, fold: str,
-               shift: dict[str, float]) -> DataFrame:
-    """Wide-p Gram: per-partition numpy cross products (Arrow batches), summed by a ``groupBy``.
-
-    Emits (fold, idx, value) with idx over [n, Σy, Σy², Σx (p), Σxy (p), Σxxᵀ upper triangle];
-    each partition contributes k x O(p²) rows, combined map-side before the shuffle.
-    Rows must be free of NULLs in features and target (callers drop them).
+    ``missing`` says what happens to those: "error" raises with their number,
+    "drop" leaves them out, "mean" puts the feature's mean in.
+    """
+    if missing not in ("error", "drop", "mean"):
+        raise ValueError(f"missing={missing!r}: error, drop or mean")
+    d = df.filter(F.col(target).isNotNull()) if target else df
+    nulls = {c: F.col(c).isNull() | F.isnan(F.col(c).cast("double")) for c in features}
+    values = {c: F.when(~nulls[c], F.col(c).cast("double")) if c in nulls else F.col(c).cast("double") for c in [*features, *([target] if target else [])]}
+    lacks = F.lit(False)
+    for x in nulls.values():
+        lacks = lacks | x
+    row = d.agg(F.count_if(lacks).alias("lacking"), *[F.count_if(x).alias(f"{c}__n") for c, x in nulls.items()],
+                *[a for c, x in values.items() for a in (F.avg(x).alias(f"{c}__m"), F.stddev_pop(x).alias(f"{c}__s"))]).first()
+    stats = {c: (row[f"{c}__m"] or 0.0, row[f"{c}__s"] or 0.0) for c in values}
+    if row["lacking"] and missing == "error":
+        which = ", ".join(f"{c} ({row[f'{c}__n']})" for c in features if row[f"{c}__n"])
+        raise ValueError(f"{row['lacking']} rows lack a feature: {which}; impute them first, or say missing='drop' or 'mean'")
+    if row["lacking"] and missing == "drop":
+        d = d.filter(~lacks)
+    elif row["lacking"]:
+        d = d.withColumns({c: F.when(nulls[c], F.lit(stats[c][0])).otherwise(F.col(c).cast("double")) for c in features if row[f"{c}__n"]})
+    return d, stats, row["lacking"]
+
+
+
+
+#: Side of the square blocks in which cross products travel and are summed.
+GRAM_BLOCK = 64
+
+
+def gram_blocks(df: DataFrame, features: Sequence[str], target: str, fold: str, shift: dict[str, float]) -> DataFrame:
+    """Cross products of (1, features, target) per fold in blocks: (fold, row block, column block, values array<double>).
+
+    Each task adds up its rows' products in numpy and sends one row a fold and
+    block; blocks are keys, so Spark sums them in as many tasks as it likes
+    and no task or row ever holds the whole p² table.
     """
-    import numpy as np
-    import pandas as pd
-
     p = len(features)
-    xs = np.array([shift.get(c, 0.0) for c in features])
-    ys = shift.get(target, 0.0)
-    iu = np.triu_indices(p)
-
-    def part(batches):
-        acc: dict = {}
-        for pdf in batches:
-            for f, g in pdf.groupby(fold, sort=False):
-                X = g[list(features)].to_numpy(dtype="float64") - xs
-                y = g[target].to_numpy(dtype="float64") - ys
-                vec = np.concatenate([[len(y), y.sum(), y @ y], X.sum(0), X.T @ y, (X.T @ X)[iu]])
-                acc[f] = acc[f] + vec if f in acc else vec
-        for f, vec in acc.items():
-            yield pd.DataFrame({fold: f, "idx": np.arange(len(vec), dtype="int32"), "value": vec})
+    shifts = np.array([0.0, *[shift.get(c, 0.0) for c in features], shift.get(target, 0.0)])
+    size = p + 2
+    edges = list(range(0, size, GRAM_BLOCK))
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int, int], np.ndarray] = {}
+        names: list = []
+        for batch in batches:
+            folds = batch.column(0).to_pylist()
+            place = {}
+            for f in folds:
+                if f not in place:
+                    place[f] = names.index(f) if f in names else len(names)
+                    if place[f] == len(names):
+                        names.append(f)
+            which = np.array([place[f] for f in folds])
+            x = np.column_stack([np.ones(len(folds)), *[batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, size)]]) - shifts
+            for k in np.unique(which).tolist():
+                own = x[which == k]
+                for i in edges:
+                    for j in edges:
+                        if j >= i:
+                            block = own[:, i:i + GRAM_BLOCK].T @ own[:, j:j + GRAM_BLOCK]
+                            held[k, i, j] = held[k, i, j] + block if (k, i, j) in held else block
+        for (k, i, j), block in held.items():
+            yield pa.RecordBatch.from_pydict({"fold": pa.array([names[k]], kind), "i": pa.array([i], pa.int32()), "j": pa.array([j], pa.int32()),
+                                              "cells": pa.array([block.reshape(-1).tolist()], pa.list_(pa.float64()))})
 
     sel = df.select(F.col(fold), *[F.col(c).cast("double") for c in features], F.col(target).cast("double"))
-    schema = f"{fold} {dict(df.dtypes)[fold]}, idx int, value double"
-    return sel.mapInPandas(part, schema).groupBy(fold, "idx").agg(F.sum("value").alias("value"))
-
-
-def _collect_gram_arrow(df, features, target, fold, shift) -> GramStats:
-    p = len(features)
-    iu = np.triu_indices(p)
-    rows = gram_arrow(df, features, target, fold, shift).collect()  # k x O(p²) numbers
-    folds = sorted({r[fold] for r in rows})
-    size = 3 + 2 * p + len(iu[0])
-    vec = {f: np.zeros(size) for f in folds}
-    for r in rows:
-        vec[r[fold]][r["idx"]] = r["value"]
-    k = len(folds)
-    n, sy, syy = np.zeros(k), np.zeros(k), np.zeros(k)
-    sx, sxy, sxx = np.zeros((k, p)), np.zeros((k, p)), np.zeros((k, p, p))
-    for i, f in enumerate(folds):
-        v = vec[f]
-        n[i], sy[i], syy[i] = v[0], v[1], v[2]
-        sx[i], sxy[i] = v[3:3 + p], v[3 + p:3 + 2 * p]
-        m = np.zeros((p, p))
-        m[iu] = v[3 + 2 * p:]
-        sxx[i] = m + m.T - np.diag(np.diag(m))
-    return GramStats(list(features), folds, n, sx, sy, sxx, sxy, syy,
-                     np.array([shift.get(c, 0.0) for c in features]), shift.get(target, 0.0))
+    field = sel.schema.fields[0].dataType
+    kind = to_arrow_type(field)
+    schema = f"fold {field.simpleString()}, i int, j int, cells array<double>"
+    cells = sel.mapInArrow(part, schema).select("fold", "i", "j", F.posexplode("cells").alias("at", "v"))
+    summed = cells.groupBy("fold", "i", "j", "at").agg(F.sum("v").alias("v"))
+    return summed.groupBy("fold", "i", "j").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda c: c["v"]).alias("cells"))
 
 
-def collect_gram(df: DataFrame, features: Sequence[str], target: str, fold: str,
-                 shift: dict[str, float], method: str = "auto") -> GramStats:
-    """Run the Gram aggregate; only k rows of O(p²) numbers come back.
-
-    ``method``: 'sql' (one aggregate of p² sums, codegen), 'arrow' (numpy per
-    partition), or 'auto' (arrow beyond ``WIDE_P`` features).
-    """
+def collect_gram(df: DataFrame, features: Sequence[str], target: str, fold: str, shift: dict[str, float]) -> GramStats:
+    """Per-fold statistics of (shifted) features and target, read block by block: k x O(p²) numbers, as the solvers need them."""
     p = len(features)
-    if method == "arrow" or (method == "auto" and p > WIDE_P):
-        return _collect_gram_arrow(df, features, target, fold, shift)
-    rows = sorted(gram_frame(df, features, target, fold, shift).collect(), key=lambda r: r[fold])
-    k = len(rows)
-    n, sy, syy = np.zeros(k), np.zeros(k), np.zeros(k)
-    sx, sxy, sxx = np.zeros((k, p)), np.zeros((k, p)), np.zeros((k, p, p))
-    for f, r in enumerate(rows):
-        n[f], sy[f], syy[f] = r["n"], r["sy"] or 0.0, r["syy"] or 0.0
-        for i in range(p):
-            sx[f, i], sxy[f, i] = r[f"sx__{i}"] or 0.0, r[f"sxy__{i}"] or 0.0
-            for j in range(i, p):
-                sxx[f, i, j] = sxx[f, j, i] = r[f"sxx__{i}__{j}"] or 0.0
-    return GramStats(list(features), [r[fold] for r in rows], n, sx, sy, sxx, sxy, syy,
+    size = p + 2
+    full: dict = {}
+    for r in gram_blocks(df, features, target, fold, shift).toLocalIterator():
+        m = full.setdefault(r["fold"], np.zeros((size, size)))
+        rows, cols = min(GRAM_BLOCK, size - r["i"]), min(GRAM_BLOCK, size - r["j"])
+        block = np.array(r["cells"]).reshape(rows, cols)
+        m[r["i"]:r["i"] + rows, r["j"]:r["j"] + cols] = block
+        m[r["j"]:r["j"] + cols, r["i"]:r["i"] + rows] = block.T
+    folds = sorted(full)
+    stack = np.stack([full[f] for f in folds]) if folds else np.zeros((0, size, size))
+    return GramStats(list(features), folds, stack[:, 0, 0], stack[:, 0, 1:p + 1], stack[:, 0, p + 1], stack[:, 1:p + 1, 1:p + 1], stack[:, 1:p + 1, p + 1], stack[:, p + 1, p + 1],
                      np.array([shift.get(c, 0.0) for c in features]), shift.get(target, 0.0))
 
 
@@ -275,11 +271,11 @@ def select_features(names: Sequence[str], coef: np.ndarray, min_features: int) -
 
 def fit_lasso_selection(df: DataFrame, features: Sequence[str], target: str, *, fold: str = "fold",
                         alpha: float = 0.01, max_iter: int = 1000, min_features: int = 5,
-                        problem_type: str = "regression", threshold: float | None = None) -> LassoResult:
+                        problem_type: str = "regression", threshold: float | None = None, missing: str = "error") -> LassoResult:
     """Target filter -> (binary label) -> scale by all-rows population std -> per-fold Gram -> CV path."""
     ms = means_and_scales(df, [*features, target])
     scales = np.array([ms[c][1] for c in features])
-    d = df.filter(F.col(target).isNotNull()).na.drop(subset=list(features))
+    d, _, _ = checked(df, features, target, missing)
     if problem_type == "binary" and threshold is not None:
         d = d.withColumn(target, C.adequate(target, threshold).cast("double"))
         ms[target] = (0.0, 0.0)

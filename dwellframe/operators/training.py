@@ -106,10 +106,7 @@ def fitter(defn: ModelDefinition, parallelism: int = 4):
         p = _gbt_params(hp)
 
         def fit_q(d, f, y):
-            fitted = M.parallel_map(lambda q: M.fit_quantile_boosting(
-                d, f, y, quantile=q, n_estimators=p["n_estimators"], max_depth=p["max_depth"],
-                learning_rate=p["learning_rate"]), qs, parallelism)
-            return QuantileModels(list(f), dict(zip(qs, fitted)))
+            return QuantileModels(list(f), dict(zip(qs, M.fit_quantiles(d, f, y, qs, **p))))
         return fit_q
     if t == "stacked":
         bases = [fitter(b, parallelism) for b in (defn.base_models or [])]

@@ -62,19 +62,19 @@ def ridge(spark, sf):
 @query("random_forest", covers=("J7", "L3"))
 def random_forest(spark, sf):
     tr, te = _matrix(spark, sf)
-    return _report(spark, te, {"random_forest": M.fit_random_forest(tr, FEATS, "ktv", num_trees=30, max_depth=8)})
+    return _report(spark, te, {"random_forest": M.fit_random_forest(tr, FEATS, "ktv")})
 
 
 @query("boosting", covers=("J8",))
 def boosting(spark, sf):
     tr, te = _matrix(spark, sf)
-    return _report(spark, te, {"xgboost": M.fit_gbt(tr, FEATS, "ktv", n_estimators=20, max_depth=3)})
+    return _report(spark, te, {"xgboost": M.fit_gbt(tr, FEATS, "ktv")})
 
 
 @query("feature_importance", covers=("D23",))
 def feature_importance(spark, sf):
     tr, _ = _matrix(spark, sf)
-    m = M.fit_random_forest(tr, FEATS, "ktv", num_trees=20, max_depth=6)
+    m = M.fit_random_forest(tr, FEATS, "ktv")
     return spark.createDataFrame(M.feature_importance(m), "feature string, importance double")
 
 
@@ -84,8 +84,7 @@ def quantile_boosting(spark, sf):
     tr, te = _matrix(spark, sf)
     t = te.filter(F.col("ktv").isNotNull())
     qs = (0.1, 0.5, 0.9)
-    models = M.parallel_map(lambda q: M.fit_quantile_boosting(tr, FEATS, "ktv", quantile=q, n_estimators=15,
-                                                              max_depth=3), qs, parallelism=3)
+    models = M.fit_quantiles(tr, FEATS, "ktv", qs)
     rows = []
     for q, m in zip(qs, models):
         p = m.predict(t)
@@ -103,7 +102,7 @@ def distribution_boosting(spark, sf):
 
     def fit(dist):
         m0 = M.fit_distribution_boosting(tr, FEATS, "ktv", dist=dist, n_estimators=0)
-        m = M.fit_distribution_boosting(tr, FEATS, "ktv", dist=dist, n_estimators=20, learning_rate=0.1)
+        m = M.fit_distribution_boosting(tr, FEATS, "ktv", dist=dist)
         return dist, float(M.mean_nll(m0, te, "ktv")), float(M.mean_nll(m, te, "ktv"))
 
     rows = M.parallel_map(fit, ("lognormal", "normal"), parallelism=2)
@@ -116,7 +115,7 @@ def stacking(spark, sf):
     ensure_checkpoint_dir(spark)
     tr, te = _matrix(spark, sf, folds=True)
     bases = [lambda d, f, t: M.fit_elastic_net(d, f, t, alpha=0.1, l1_ratio=0.5),
-             lambda d, f, t: M.fit_random_forest(d, f, t, num_trees=10, max_depth=5)]
+             lambda d, f, t: M.fit_random_forest(d, f, t)]
     model, oof = M.fit_stacking(tr, FEATS, "ktv", bases, fold="fold", meta_alpha=1.0)
     rep = _report(spark, te, {"stacked": model})
     n_oof = oof.count()
@@ -148,7 +147,7 @@ def pet_classifier(spark, sf):
     tr, te = _matrix(spark, sf)
     cls = F.when(F.col("pet") < 0.5, 0).when(F.col("pet") < 0.65, 1).when(F.col("pet") < 0.81, 2).otherwise(3)
     tr, te = tr.withColumn("pet_class", cls), te.withColumn("pet_class", cls)
-    m = M.fit_pet_classifier(tr, FEATS, "pet_class", kind="forest", num_trees=20, max_depth=5)
+    m = M.fit_pet_classifier(tr, FEATS, "pet_class", kind="forest")
     scored = m.predict(te, out="p_class").select(F.col("pet_class").alias("y_class"),
                                                   F.col("p_class").cast("int").alias("p_class"))
     k = EV.quadratic_kappa(scored)
@@ -213,7 +212,7 @@ def train_evaluate(spark, sf):
         d = tr.filter(F.col(target).isNotNull())
         models = {"linear_regression": M.fit_ols(d, sel, target),
                   "elastic_net": M.fit_elastic_net(d, sel, target, alpha=0.01, l1_ratio=0.5),
-                  "random_forest": M.fit_random_forest(d, sel, target, num_trees=20, max_depth=6)}
+                  "random_forest": M.fit_random_forest(d, sel, target)}
         rep = _report(spark, te, models, target).withColumn("n_features", F.lit(len(sel)))
         out = rep if out is None else out.unionByName(rep)
     return out

@@ -13,9 +13,11 @@ from .common import r6, v
 from .q_split import K, SEED
 from .registry import query
 
-GRAM_FEATS = ("age", "bmi", "charlson_index", "residual_rf")
+MODALITIES = ("CAPD", "CCPD", "NIPD")
 SEL_FEATS = ("age", "weight_kg", "height_cm", "residual_rf", "bmi", "bsa", "charlson_index",
-             "failure_period_days", "waiting_period_days", "pd_period_days")
+             "failure_period_days", "waiting_period_days", "pd_period_days",
+             "mi", "chf", "dm_cx", "malignancy", *[f"modality_{m}" for m in MODALITIES])
+DERIVED = S.DERIVED + "".join(f", case when modality = '{m}' then 1 else 0 end as modality_{m}" for m in MODALITIES)
 LAM = 0.05
 MIN_FEATURES = 3
 
@@ -28,16 +30,17 @@ def _features(spark, sf, with_folds=True):
     coh = v(spark, sf, "cohort")
     if with_folds:
         coh = SP.assign_folds(coh, K, "patient_id", SEED)
-    return cohort_ops.derive_features(coh)
+    one_hot = {f"modality_{m}": F.when(F.col("modality") == m, 1).otherwise(0) for m in MODALITIES}
+    return cohort_ops.derive_features(coh).withColumns(one_hot)
 
 
 FOLDS_CTE = [("fl", f"""select patient_id, cast(ntile({K}) over (order by md5(concat(cast(patient_id as varchar(20)),
   ':{SEED}')), patient_id) - 1 as integer) as fold from cohort"""),
-             ("base", f"select c.*, {S.DERIVED}, fl.fold from cohort c join fl on c.patient_id = fl.patient_id")]
+             ("base", f"select c.*, {DERIVED}, fl.fold from cohort c join fl on c.patient_id = fl.patient_id")]
 
 
 def _gram_sql():
-    f = list(GRAM_FEATS)
+    f = list(SEL_FEATS)
     mu = ", ".join(f"avg(cast({c} as double)) as m_{c}" for c in [*f, "ktv"])
     xs = ", ".join(f"cast({c} as double) - m_{c} as {c}" for c in f)
     notnull = " and ".join(f"{c} is not null" for c in [*f, "ktv"])
@@ -46,29 +49,30 @@ def _gram_sql():
         items += [("__one", a, f"sum({a})"), (a, "__y", f"sum({a} * y)")]
         for b in f[i:]:
             items.append((a, b, f"sum({a} * {b})"))
-    body = " union all ".join(
-        f"select fold, count(*) as n, '{r}' as row_name, '{c}' as col_name, {_r(f'{e} / count(*)')} as value "
-        f"from d group by fold" for r, c, e in items)
+    sums = ", ".join(f"{e} as s{k}" for k, (_, _, e) in enumerate(items))
+    rows = ", ".join(f"{{'row_name': '{r}', 'col_name': '{c}', 'value': {_r(f's{k} / n')}}}" for k, (r, c, _) in enumerate(items))
+    body = f"select fold, n, u.row_name, u.col_name, u.value from (select fold, n, unnest([{rows}]) as u from (select fold, count(*) as n, {sums} from d group by fold) g) t"
     extra = FOLDS_CTE + [("mu", f"select {mu} from base"),
                          ("d", f"select fold, {xs}, cast(ktv as double) - m_ktv as y from base, mu where {notnull}")]
     return cte("cohort", extra=extra) + body
 
 
-@query("gram", covers=("D12", "I8"), sql=_gram_sql())
+@query("gram", covers=("D12",), sql=_gram_sql())
 def gram(spark, sf):
-    """Per-fold Gram of mean-shifted features and target in one aggregate (entries divided by fold size)."""
+    """Per-fold Gram of mean-shifted features and target, summed block by block (entries divided by fold size)."""
     df = _features(spark, sf)
-    ms = SL.means_and_scales(df, [*GRAM_FEATS, "ktv"])
-    shift = {c: m for c, (m, _) in ms.items()}
-    d = df.filter(F.col("ktv").isNotNull()).na.drop(subset=list(GRAM_FEATS))
-    long = SL.gram_long(SL.gram_frame(d, GRAM_FEATS, "ktv", "fold", shift), GRAM_FEATS, "fold")
-    return r6(long.select("fold", "n", "row_name", "col_name", (F.col("value") / F.col("n")).alias("value")))
+    d, ms, _ = SL.checked(df, SEL_FEATS, "ktv", "drop")
+    shift = SL.means_and_scales(df, [*SEL_FEATS, "ktv"])
+    names = ["__one", *SEL_FEATS, "__y"]
+    long = SL.gram_long(SL.gram_blocks(d, SEL_FEATS, "ktv", "fold", {c: m for c, (m, _) in shift.items()}), names)
+    n = long.filter("row_name = '__one' and col_name = '__one'").select(F.col("fold").alias("f"), F.col("value").cast("bigint").alias("n"))
+    return r6(long.join(n, F.col("fold") == F.col("f")).select("fold", "n", "row_name", "col_name", (F.col("value") / F.col("n")).alias("value")))
 
 
 def _lasso_results(spark, sf):
     df = _features(spark, sf)
-    return [SL.fit_lasso_selection(df, SEL_FEATS, "ktv", alpha=0.01, min_features=5),
-            SL.fit_lasso_selection(df, SEL_FEATS, "pet", alpha=0.01, min_features=5)]
+    return [SL.fit_lasso_selection(df, SEL_FEATS, "ktv", alpha=0.01, min_features=5, missing="drop"),
+            SL.fit_lasso_selection(df, SEL_FEATS, "pet", alpha=0.01, min_features=5, missing="drop")]
 
 
 @query("lasso_selection", covers=("J1", "J2", "A7", "F4"))
@@ -86,7 +90,7 @@ def cv_error_curve(spark, sf):
 def adequacy_selection(spark, sf):
     """Binary adequacy (ktv >= 1.7) selected with linear LASSO on the 0/1 label, as the reference does."""
     df = _features(spark, sf)
-    res = SL.fit_lasso_selection(df, SEL_FEATS, "ktv", alpha=0.01, min_features=5, problem_type="binary",
+    res = SL.fit_lasso_selection(df, SEL_FEATS, "ktv", alpha=0.01, min_features=5, missing="drop", problem_type="binary",
                                  threshold=1.7)
     res.target = "ktv_adequate"
     return SL.selection_frame(spark, [res])
@@ -99,7 +103,7 @@ def _uni_sql(target):
     return f"select target, feature, coalesce(sign(r) * greatest(abs(r) - {LAM}e0, 0e0), 0e0) as coefficient from ({parts}) u"
 
 
-_TOPK_SQL = cte("cohort", extra=[("b", f"select c.*, {S.DERIVED} from cohort c"),
+_TOPK_SQL = cte("cohort", extra=[("b", f"select c.*, {DERIVED} from cohort c"),
                                  ("u", _uni_sql("ktv") + " union all " + _uni_sql("pet")),
                                  ("rk", """select *, row_number() over (partition by target order by abs(coefficient) desc, feature) as rk,
   sum(case when coefficient <> 0 then 1 else 0 end) over (partition by target) as nz from u"""),
@@ -126,7 +130,7 @@ def selected_union(spark, sf):
 
 
 @query("linear_attribution", covers=("D18",), sql=cte("cohort", extra=[
-    ("b", f"select c.*, {S.DERIVED} from cohort c"), ("u", _uni_sql("ktv"))]) + " union all ".join(
+    ("b", f"select c.*, {DERIVED} from cohort c"), ("u", _uni_sql("ktv"))]) + " union all ".join(
     f"select '{c}' as feature, {_r(f'avg(abs(u.coefficient * (cast(b.{c} as double) - m.mu)))')} as mean_abs_contribution "
     f"from b, (select avg(cast({c} as double)) as mu from b) m, u where u.feature = '{c}'" for c in SEL_FEATS))
 def linear_attribution(spark, sf):
@@ -135,7 +139,7 @@ def linear_attribution(spark, sf):
     return r6(SL.linear_attribution(df, coefs))
 
 
-@query("ols_single", covers=("J4",), sql=cte("cohort", extra=[("b", f"select c.*, {S.DERIVED} from cohort c")]) + " union all ".join(
+@query("ols_single", covers=("J4",), sql=cte("cohort", extra=[("b", f"select c.*, {DERIVED} from cohort c")]) + " union all ".join(
     f"select '{t}' as target, 'bmi' as feature, {_r(f'regr_slope({t}, bmi)')} as slope, {_r(f'regr_intercept({t}, bmi)')} as intercept "
     f"from b where {t} is not null and bmi is not null" for t in ("ktv", "pet")))
 def ols_single(spark, sf):

@@ -1,5 +1,6 @@
 """LASSO selection from the Gram (reference selection test) + KKT and closed-form checks."""
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from dwellframe.operators import select as SL
@@ -71,16 +72,42 @@ def test_selected_union(spark):
     assert [r.feature for r in SL.selected_union(sel).collect()] == ["a", "b"]
 
 
-def test_gram_arrow_matches_sql(spark):
-    df, _ = _synthetic(spark)
-    feats = ["signal_one", "signal_two", "noise"]
-    shift = {"signal_one": 0.1, "noise": -0.2, "ktv": 0.5}
-    a = SL.collect_gram(df.repartition(3), feats, "ktv", "fold", shift, method="sql")
-    b = SL.collect_gram(df.repartition(5), feats, "ktv", "fold", shift, method="arrow")
-    assert a.folds == b.folds
-    for x, y in zip(a.total(), b.total()):
-        assert np.allclose(x, y)
-    assert np.allclose(a.sxx, b.sxx) and np.allclose(a.n, b.n)
+@pytest.mark.parametrize("p", [1, 10, 63, 130, 400])
+def test_gram_of_any_width_matches_numpy(spark, p):
+    rng = np.random.default_rng(p)
+    x, y, fold = rng.normal(size=(90, p)), rng.normal(size=90), rng.integers(0, 3, 90)
+    feats = [f"x{i}" for i in range(p)]
+    df = spark.createDataFrame([(*map(float, r), float(t), int(f)) for r, t, f in zip(x, y, fold)], ", ".join(f"{c} double" for c in feats) + ", ktv double, fold int")
+    shift = {"x0": 0.1, "ktv": 0.5}
+    st = SL.collect_gram(df.repartition(5), feats, "ktv", "fold", shift)
+    assert st.folds == sorted(set(fold.tolist()))
+    x[:, 0] -= 0.1
+    for k, f in enumerate(st.folds):
+        own, t = x[fold == f], y[fold == f] - 0.5
+        assert np.allclose(st.sxx[k], own.T @ own) and np.allclose(st.sxy[k], own.T @ t) and np.allclose(st.sx[k], own.sum(0))
+        assert st.n[k] == len(t) and np.isclose(st.sy[k], t.sum()) and np.isclose(st.syy[k], t @ t)
+
+
+def test_rows_that_lack_a_feature(spark):
+    from dwellframe.operators import models as M
+    rows = [(i, float(i % 7) if i % 3 else None, float(i), 2.0 * (i % 7) + i) for i in range(30)] + [(99, 1.0, 1.0, None)]
+    df = spark.createDataFrame(rows, "patient_id int, a double, b double, ktv double")
+    with pytest.raises(ValueError, match="10 rows lack a feature: a .10."):
+        M.fit_ols(df, ["a", "b"], "ktv")
+    dropped = M.fit_ols(df, ["a", "b"], "ktv", missing="drop")
+    assert dropped.lacking == 10 and np.allclose([*dropped.coef, dropped.intercept], [2.0, 1.0, 0.0])
+    filled = M.fit_ridge(df, ["a", "b"], "ktv", alpha=0.1, missing="mean")
+    mean = np.mean([r[1] for r in rows[:30] if r[1] is not None])
+    x = np.array([[mean if r[1] is None else r[1], r[2]] for r in rows[:30]])
+    y = np.array([r[3] for r in rows[:30]])
+    xc = x - x.mean(0)
+    assert filled.lacking == 10 and np.allclose(filled.coef, np.linalg.solve(xc.T @ xc + 0.1 * np.eye(2), xc.T @ (y - y.mean())))
+    with pytest.raises(ValueError, match="10 rows lack"):
+        M.fit_random_forest(df, ["a", "b"], "ktv", num_trees=2)
+    forest = M.fit_random_forest(df, ["a", "b"], "ktv", num_trees=2, missing="drop")
+    assert forest.lacking == 10 and SL.fit_lasso_selection(df.withColumn("fold", F.col("patient_id") % 3), ["a", "b"], "ktv", missing="drop").selected
+    # boosting learns a side for missing values: all 30 rows are used
+    assert M.fit_gbt(df, ["a", "b"], "ktv", n_estimators=3, max_depth=2).predict(df).where("y_pred is null").count() == 0
 
 
 def test_training_input_union(spark):
