@@ -47,7 +47,7 @@ from .common import shared_path
 
 SCHEMA = "shard int, block int, start long, bits int, n_ids int, payload binary, doc_ids array<long>, ends array<int>"
 CACHE = 1_000_000
-CHUNK = 4 << 20
+CHUNK = 8 << 20
 #: What no text without an odd place holds: it marks first pieces.
 FIRST = "\0"
 _WHITE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
@@ -126,11 +126,7 @@ class Pieces:
 
     def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces of these numbers, joined, and how many each has."""
-        sizes = self.sizes[numbers]
-        ends = np.cumsum(sizes, dtype=np.int32)
-        place = np.repeat(self.starts[numbers] - (ends - sizes), sizes)
-        place += np.arange(len(place), dtype=np.int32)
-        return self.flat[place], sizes
+        return _gather(self.flat, self.starts, self.sizes, numbers)
 
 
 class Encoder:
@@ -239,13 +235,27 @@ class Encoder:
         firsts = words.take(pa.array(begins)).dictionary_encode()
         marks = [FIRST + w for x in (tails, firsts) for w in x.dictionary.to_pylist()]
         marked = {m: k for k, m in enumerate(dict.fromkeys([FIRST, *marks]), len(stems.dictionary))}
-        # Two pieces for every word: its stem and its marks; a first word stands whole, with no marks.
+        # Two pieces for every distinct word, its stem and its marks; first words stand whole, behind the others.
+        n = len(coded.dictionary)
         stem, mark = np.arange(len(stems.dictionary), dtype=np.int32), np.array([marked[m] for m in marks], np.int32)
-        pairs = np.stack([stem[stems.indices.to_numpy()], mark[tails.indices.to_numpy()]], axis=1)[coded.indices.to_numpy()]
-        pairs[begins, 0] = mark[len(tails.dictionary) + firsts.indices.to_numpy()]
-        pairs[begins, 1] = marked[FIRST]
-        ids, sizes = self.known_ids([*stems.dictionary.to_pylist(), *marked], pairs.reshape(-1))
-        return ids, np.add.reduceat(sizes, 2 * begins)
+        pairs = np.empty((n + len(firsts.dictionary), 2), np.int32)
+        pairs[:n, 0], pairs[:n, 1] = stem[stems.indices.to_numpy()], mark[tails.indices.to_numpy()]
+        pairs[n:, 0], pairs[n:, 1] = mark[len(tails.dictionary):], marked[FIRST]
+        flat, sizes = self.known_ids([*stems.dictionary.to_pylist(), *marked], pairs.reshape(-1))
+        sizes = sizes[::2] + sizes[1::2]
+        places = coded.indices.to_numpy().copy()
+        places[begins] = n + firsts.indices.to_numpy()
+        ids, sizes = _gather(flat, np.cumsum(sizes, dtype=np.int32) - sizes, sizes, places)
+        return ids, np.add.reduceat(sizes, begins)
+
+
+def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs (start, size) of ``flat`` that ``which`` names, joined, and their sizes."""
+    own = sizes[which]
+    ends = np.cumsum(own, dtype=np.int32)
+    place = np.repeat(starts[which] - (ends - own), own)
+    place += np.arange(len(place), dtype=np.int32)
+    return flat[place], own
 
 
 def _stems(words: pa.Array) -> tuple[pa.Array, pa.Array]:

@@ -17,7 +17,9 @@ frequent, by documents, as in ordinary ones, where chance explains that with a
 log-likelihood ratio below ``SURPRISE`` only. No share of all toxic documents is
 asked for, so words of a rare language count too. Each such window stands once
 in the toxic dictionary, those of most documents last (the zstandard trainer stops
-at repeats of frequent words and would leave rare ones out). A dictionary trained
+at repeats of frequent words and would leave rare ones out: README has the recall
+of dictionaries trained on windows of several words). Its size is bounded by the
+sample, nothing is cut off it. A dictionary trained
 on ordinary documents is the ordinary one; the toxic one holds it as well, so
 that the two lengths differ by toxic text alone. Training reads a bounded sample of labelled rows: at most
 about ``max_rows`` of each class, chosen by a hash of the id, and about
@@ -159,7 +161,7 @@ def fit(texts: list[str], labels: list[int], odds: float | None = None) -> Toxic
             toxic[w] += marked[w]
         ordinary.append(b"" if label else b"".join(windows))
     ranked = sorted((w for w, c in toxic.items() if c), key=lambda w: (toxic[w], w))
-    model = ToxicModel(b"".join(ranked)[-DICTIONARY:], _dictionary([s[k:k + 4096] for s in ordinary if s for k in range(0, len(s), 4096)]))
+    model = ToxicModel(b"".join(ranked), _dictionary([s[k:k + 4096] for s in ordinary if s for k in range(0, len(s), 4096)]))
     scorer = model.open()
     cells = [scorer.cells(t) for t in texts]
     count = np.zeros((2, CELLS**3))
