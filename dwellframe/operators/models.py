@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from . import boosting as B
+from . import ranking as R
 from . import select as SL
 
 VEC = "features_vec"
@@ -125,6 +126,14 @@ def fit_ridge(df: DataFrame, features: Sequence[str], target: str, alpha: float
     return LinearModel(list(features), b, _unshift(st, b, my - mx @ b), "ridge", lacking)
 
 
+def residual_offsets(model, df: DataFrame, target: str, coverage: float = 0.95) -> tuple[float, float]:
+    """Exact residual quantiles of a model on ``df``: what to add to a prediction for an interval of that coverage."""
+    tail = (1 - coverage) / 2
+    scored = model.predict(df.filter(F.col(target).isNotNull()), out="__p").select((F.col(target).cast("double") - F.col("__p")).alias("r"))
+    row = R.exact_percentiles(scored, "r", [tail, 1 - tail], names=["lo", "hi"]).first()
+    return float(row["lo"]), float(row["hi"])
+
+
 # ------------------------------------------------------------------ MLlib models
 @dataclass
 class MLModel:

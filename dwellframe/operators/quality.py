@@ -170,18 +170,21 @@ def chronology_violations(df: DataFrame, pairs: Sequence[tuple[str, str]] = DEFA
 
 
 def plausibility(predictions: DataFrame, target_col: str = "target", value_col: str = "y_pred",
-                 by: Sequence[str] = ("target", "model")) -> DataFrame:
-    """Per group: all predictions within the target's clinical range (NULL counts as outside).
+                 by: Sequence[str] = ("target", "model"), unknown: str = "raise") -> DataFrame:
+    """Per group: all predictions within the target's clinical range (a NULL prediction counts as outside).
 
-    Unknown targets raise before any job runs only when the target is a
-    literal; with a column of targets, rows of unknown targets get NULL.
+    A target without a known range fails the job that reads it; with
+    ``unknown="null"`` its group says NULL, and none of its rows counts as outside.
     """
+    if unknown not in ("raise", "null"):
+        raise ValueError(f"unknown={unknown!r}: raise or null")
     t, v = F.col(target_col), F.col(value_col)
-    ok = F.lit(None).cast("boolean")
+    no_range = F.raise_error(F.concat(F.lit("no clinical range is known for "), F.coalesce(t.cast("string"), F.lit("a missing target"))))
+    ok = no_range.cast("boolean") if unknown == "raise" else F.lit(None).cast("boolean")
     for name, (lo, hi) in C.PREDICTION_RANGES.items():
         ok = F.when(t == name, C.in_range(v, lo, hi)).otherwise(ok)
     return (predictions.groupBy(*by)
-            .agg(F.coalesce(F.bool_and(ok), F.lit(True)).alias("all_in_range"),
+            .agg(F.bool_and(ok).alias("all_in_range"),
                  F.count_if(~ok).alias("n_outside"), F.count(F.lit(1)).alias("n")))
 
 
@@ -197,16 +200,18 @@ def validate_prediction_ranges(predictions: DataFrame, target: str, value_col: s
     return bool(row["ok"])
 
 
+def is_missing(df: DataFrame, column: str) -> Column:
+    """NULL, or NaN in a column of floating-point numbers: what :func:`complete_case` drops."""
+    missing = F.col(column).isNull()
+    return missing | F.isnan(F.col(column)) if dict(df.dtypes)[column] in ("double", "float") else missing
+
+
 def missingness(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One pass: per column NULL count, share missing, and a completeness score (long table; shares are NULL without rows)."""
     cols = list(columns or df.columns)
     aggs = [F.count(F.lit(1)).alias("__n")]
     for c in cols:
-        dt = dict(df.dtypes)[c]
-        miss = F.col(c).isNull()
-        if dt in ("double", "float"):
-            miss = miss | F.isnan(F.col(c))
-        aggs.append(F.count_if(miss).alias(c))
+        aggs.append(F.count_if(is_missing(df, c)).alias(c))
     wide = df.agg(*aggs)
     long = wide.unpivot("__n", cols, "column", "n_missing")
     return long.select("column", F.col("n_missing").cast("bigint").alias("n_missing"),
@@ -220,7 +225,7 @@ def row_counts(df: DataFrame, required: Sequence[str], by: Sequence[str] = ()) -
     present = [c for c in required if c in df.columns]
     ok = F.lit(True)
     for c in present:
-        ok = ok & F.col(c).isNotNull()
+        ok = ok & ~is_missing(df, c)
     g = df.groupBy(*by) if by else df.groupBy()
     return g.agg(F.count(F.lit(1)).alias("n_ingested"), F.count_if(ok).alias("n_kept"),
                  F.count_if(~ok).alias("n_dropped"))

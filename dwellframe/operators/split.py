@@ -4,11 +4,10 @@ The seeded split ranks rows by ``md5("<key>:<seed>")`` and sends the first
 ``ceil(n * test_size)`` rows to the test side (exact size, like the reference;
 NumPy's permutation itself is not reproduced).  ``randomSplit`` is not used:
 its sizes are inexact and depend on partitioning.  The cut is an exact order
-statistic (:func:`ranking.cut_at`): a value, the hash of the whole row behind
-it, and a place among rows equal in all of that.  Rows before the cut are found
-by a narrow filter; only where several equal rows straddle it are these rows
-stored and divided by their place, so sizes are exact for repeated and missing
-keys too, and no single-partition window is needed.
+statistic (:func:`ranking.cut_at`), and rows before it are found by a narrow
+filter.  Only where rows with equal keys straddle it are these rows stored, and
+divided by the hash of the whole row and at last by their place, so sizes are
+exact for repeated and missing keys too, and no single-partition window is needed.
 """
 
 from __future__ import annotations
@@ -54,28 +53,38 @@ def with_hash_order(df: DataFrame, key: str, seed: int) -> DataFrame:
 
 
 def _divide(df: DataFrame, num: str, ties: list[str], k, extra: list[str], uniform_range=None) -> tuple[DataFrame, DataFrame]:
-    """(the first k rows by (num, *ties, hash of the row), the others), without the columns ``extra``."""
-    cols = [num, *ties, ROW]
-    d = df.withColumn(ROW, R.row_hash(df.drop(*extra)))
-    extra = [*extra, ROW]
-    cut, place, same = R.cut_at(d, num, [*ties, ROW], k, uniform_range=uniform_range)
+    """(the first k rows by (num, *ties), the others), without the columns ``extra``; rows equal in all of these go by the hash of the whole row."""
+    cut, place, same = R.cut_at(df, num, ties, k, uniform_range=uniform_range)
+    cols = [num, *ties]
     at = [cut[c] for c in cols]
     first = R.lex_le(cols, at)
     if place == same:
-        return d.filter(first).drop(*extra), d.filter(~first).drop(*extra)
-    # equal rows on both sides: store them, so that their places stay, and count them by partition
+        return df.filter(first).drop(*extra), df.filter(~first).drop(*extra)
     equal = R.lex_eq(cols, at)
-    held = cut_lineage(d.filter(equal).drop(*extra)).withColumn(PLACE, F.monotonically_increasing_id())
-    part = F.shiftright(PLACE, 33)
-    left, upto = place, (-1, 0)
-    for r in held.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect():  # one row a partition
-        if left <= r["n"]:
-            upto = (r["p"], left)
-            break
-        left -= r["n"]
-    own = (part < upto[0]) | ((part == upto[0]) & (F.col(PLACE).bitwiseAND((1 << 33) - 1) < upto[1]))
-    return (d.filter(first & ~equal).drop(*extra).unionByName(held.filter(own).drop(PLACE)),
-            d.filter(~first).drop(*extra).unionByName(held.filter(~own).drop(PLACE)))
+    some, others = _divide_tied(df.filter(equal).drop(*extra), place)
+    return df.filter(first & ~equal).drop(*extra).unionByName(some), df.filter(~first).drop(*extra).unionByName(others)
+
+
+def _divide_tied(tied: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(k of these rows, the others): by the hash of the whole row, and among equal rows by their place, which storing them keeps."""
+    d = cut_lineage(tied).withColumn(PLACE, F.monotonically_increasing_id()).withColumn(ROW, R.row_hash(tied)).withColumn(HNUM, F.col(ROW).cast("double"))
+    extra = [PLACE, ROW, HNUM]
+    cut, place, same = R.cut_at(d, HNUM, [ROW], k)
+    at = [cut[HNUM], cut[ROW]]
+    first, equal = R.lex_le([HNUM, ROW], at), R.lex_eq([HNUM, ROW], at)
+    if place < same:
+        part = F.shiftright(PLACE, 33)
+        left, upto = place, (-1, 0)
+        for r in d.filter(equal).groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect():  # one row a partition
+            if left <= r["n"]:
+                upto = (r["p"], left)
+                break
+            left -= r["n"]
+        # within the partition that is divided, the k-th place of its equal rows
+        own = d.filter(equal & (part == upto[0]))
+        last = R.cut_at(own.withColumn("__at", F.col(PLACE).bitwiseAND((1 << 33) - 1).cast("double")), "__at", [PLACE], upto[1])[0][PLACE]
+        first = (first & ~equal) | (equal & (F.col(PLACE) <= last))
+    return d.filter(first).drop(*extra), d.filter(~first).drop(*extra)
 
 
 def seeded_split(df: DataFrame, key: str = "patient_id", test_size: float = 0.2, seed: int = 42,
@@ -123,9 +132,8 @@ def assign_folds(df: DataFrame, k: int = 5, key: str = "patient_id", seed: int =
     """Contiguous folds over the seeded order (0-based); the first n mod k folds get one more row."""
     n = df.count()
     hd = with_hash_order(df, key, seed)
-    hd = hd.withColumn(ROW, R.row_hash(df))
-    ranked = R.global_rank(hd, HNUM, [HASH, key, ROW], out="__rank", n_rows=n, uniform_range=R.HASH_RANGE)
-    return ranked.withColumn(out, R.ntile_from_rank("__rank", n, k) - 1).drop("__rank", HASH, HNUM, ROW)
+    ranked = R.global_rank(hd, HNUM, [HASH, key], out="__rank", n_rows=n, uniform_range=R.HASH_RANGE)
+    return ranked.withColumn(out, R.ntile_from_rank("__rank", n, k) - 1).drop("__rank", HASH, HNUM)
 
 
 def heldout_anti(df: DataFrame, test_ids: DataFrame, key: str = "patient_id") -> DataFrame:

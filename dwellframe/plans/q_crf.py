@@ -12,14 +12,17 @@ from .registry import query
 
 GROUPS = ["", "Person", "", "Measures", "Therapy", "Result"]
 FIELDS = ["Record", " Years of life ", "Sex", "Mass kg", "First exchange", "Weekly clearance"]
+NOTE = ',\n"see note"\n'
 RENAMES = {"Unnamed: 0_level_0::Record": "patient_id", "Person::Years of life": "age", "Measures::Mass kg": "weight_kg",
            "Therapy::First exchange": "pd_start_date", "Result::Weekly clearance": "ktv"}
 REQUIRED = ["patient_id", "age", "ktv", "pd_start_date"]
 
 
 def _export(spark, sf) -> str:
-    coh = v(spark, sf, "cohort").select("patient_id", "age", "gender", "weight_kg", "pd_start_date", "ktv")
-    path = sinks.default_root(spark, "crf_export", sf.rstrip("/").split("/")[-1])
+    # every fifth cell of the text column holds a line break, a comma and quotes
+    noted = F.when(F.col("patient_id") % 5 == 0, F.concat("gender", F.lit(NOTE))).otherwise(F.col("gender"))
+    coh = v(spark, sf, "cohort").withColumn("gender", noted).select("patient_id", "age", "gender", "weight_kg", "pd_start_date", "ktv")
+    path = sinks.run_root(spark, "crf_export")
     crf.write_crf(coh, path, [GROUPS, FIELDS])
     return path
 
@@ -42,8 +45,9 @@ _FLAT = {"Unnamed: 0_level_0::Record": "patient_id", "Person::Years of life": "a
          "Measures::Mass kg": "weight_kg", "Therapy::First exchange": "pd_start_date", "Result::Weekly clearance": "ktv"}
 
 
-@query("flatten_header", covers=("A2", "H29"), sql=cte("cohort") + " union all ".join(
-    f"select cast({k} as integer) as position, '{n}' as name, count({c}) as n_filled, count(distinct {c}) as n_distinct from cohort"
+@query("flatten_header", covers=("A1", "A2", "H29"), sql=cte("cohort", extra=[("noted", """select * replace (
+  case when patient_id % 5 = 0 then concat(gender, ',', chr(10), '"see note"', chr(10)) else gender end as gender) from cohort""")]) + " union all ".join(
+    f"select cast({k} as integer) as position, '{n}' as name, count({c}) as n_filled, count(distinct {c}) as n_distinct from noted"
     for k, (n, c) in enumerate(_FLAT.items())))
 def flatten_header(spark, sf):
     """Flattened columns of the export as scanned back: place, name, cells filled and distinct texts."""

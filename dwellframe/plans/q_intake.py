@@ -125,13 +125,16 @@ def complete_case(spark, sf):
     return Q.target_present(df, "pet").select("patient_id", "modality", "ktv", "pet")
 
 
-@query("row_counts", covers=("D7",), sql=cte("cohort") + """
-select modality, count(*) as n_ingested,
-  count(case when age is not null and weight_kg is not null and ktv is not null and assessment_date is not null then 1 end) as n_kept,
-  count(case when not (age is not null and weight_kg is not null and ktv is not null and assessment_date is not null) then 1 end) as n_dropped
-from cohort group by modality""")
+@query("row_counts", covers=("D7", "B4"), sql=cte("cohort", extra=[("c", """select *, age is not null and weight_kg is not null and ktv is not null
+  and assessment_date is not null and patient_id % 7 <> 0 as kept from cohort""")]) + """
+select modality, count(*) as n_ingested, count(case when kept then 1 end) as n_kept, count(case when not kept then 1 end) as n_dropped,
+  count(case when kept then 1 end) as n_complete from c group by modality""")
 def row_counts(spark, sf):
-    return Q.row_counts(v(spark, sf, "cohort"), ["age", "weight_kg", "ktv", "assessment_date"], by=["modality"])
+    """Every seventh weight is NaN: counted as missing, as the complete-case filter drops it."""
+    required = ["age", "weight_kg", "ktv", "assessment_date"]
+    coh = v(spark, sf, "cohort").withColumn("weight_kg", F.when(F.col("patient_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("weight_kg").cast("double")))
+    kept = Q.complete_case(coh, required).groupBy("modality").agg(F.count(F.lit(1)).alias("n_complete"))
+    return Q.row_counts(coh, required, by=["modality"]).join(kept.withColumnRenamed("modality", "m"), F.col("modality").eqNullSafe(F.col("m")), "left").drop("m").fillna(0, ["n_complete"])
 
 
 _MISS_COLS = ("age", "gender", "weight_kg", "height_cm", "malignancy", "esrd_cause", "assessment_date",
@@ -157,14 +160,22 @@ def chronology_violations(spark, sf):
 
 @query("plausibility", covers=("B9",), sql=cte("predictions") + """
 select target, model,
-  coalesce(bool_and(coalesce(case when target = 'ktv' then y_pred >= 0.5e0 and y_pred <= 4e0
-                                   when target = 'pet' then y_pred >= 0.1e0 and y_pred <= 1e0 end, false)), true) as all_in_range,
-  count(case when not coalesce(case when target = 'ktv' then y_pred >= 0.5e0 and y_pred <= 4e0
-                             when target = 'pet' then y_pred >= 0.1e0 and y_pred <= 1e0 end, false) then 1 end) as n_outside,
+  bool_and(case when target = 'ktv' then coalesce(y_pred >= 0.5e0 and y_pred <= 4e0, false)
+                when target = 'pet' then coalesce(y_pred >= 0.1e0 and y_pred <= 1e0, false) end) as all_in_range,
+  count(case when not case when target = 'ktv' then coalesce(y_pred >= 0.5e0 and y_pred <= 4e0, false)
+                           when target = 'pet' then coalesce(y_pred >= 0.1e0 and y_pred <= 1e0, false) end then 1 end) as n_outside,
   count(*) as n
-from predictions group by target, model""")
+from (select target, model, y_pred from predictions
+      union all select 'albumin', model, 1e9 from predictions where target = 'pet'
+      union all select 'ktv', 'no value', cast(null as double) from predictions where target = 'pet') p
+group by target, model""")
 def plausibility(spark, sf):
-    return Q.plausibility(v(spark, sf, "predictions"))
+    """Predictions as given, for a target without a known range, and without a value."""
+    pred = v(spark, sf, "predictions").select("target", "model", "y_pred")
+    pet = pred.where("target = 'pet'")
+    more = pet.select(F.lit("albumin").alias("target"), "model", F.lit(1e9).alias("y_pred")).unionByName(
+        pet.select(F.lit("ktv").alias("target"), F.lit("no value").alias("model"), F.lit(None).cast("double").alias("y_pred")))
+    return Q.plausibility(pred.unionByName(more), unknown="null")
 
 
 # --------------------------------------------------------------------- intake

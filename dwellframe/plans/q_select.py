@@ -61,10 +61,11 @@ def _gram_sql():
 def gram(spark, sf):
     """Per-fold Gram of mean-shifted features and target, summed block by block (entries divided by fold size)."""
     df = _features(spark, sf)
-    d, ms, _ = SL.checked(df, SEL_FEATS, "ktv", "drop")
+    d, _, _ = SL.checked(df, SEL_FEATS, "ktv", "drop")
     shift = SL.means_and_scales(df, [*SEL_FEATS, "ktv"])
     names = ["__one", *SEL_FEATS, "__y"]
-    long = SL.gram_long(SL.gram_blocks(d, SEL_FEATS, "ktv", "fold", {c: m for c, (m, _) in shift.items()}), names)
+    blocks = SL.gram_blocks(d, SEL_FEATS, "ktv", "fold", {c: m for c, (m, _) in shift.items()}).persist()  # a few blocks a fold, read twice
+    long = SL.gram_long(blocks, names)
     n = long.filter("row_name = '__one' and col_name = '__one'").select(F.col("fold").alias("f"), F.col("value").cast("bigint").alias("n"))
     return r6(long.join(n, F.col("fold") == F.col("f")).select("fold", "n", "row_name", "col_name", (F.col("value") / F.col("n")).alias("value")))
 

@@ -49,11 +49,14 @@ def stream_intake(spark, sf):
     return r6(spark.read.parquet(path))
 
 
-def _fitted(spark, sf):
+def _fitted(spark, sf, residuals: bool = False):
     s = SP.seeded_split(v(spark, sf, "cohort"), "patient_id", TEST_SIZE, SEED)
     prep = PR.fit_prep(s.train, numeric=NUMS, categorical=CATS, imputation="mean", log_features=["residual_rf"])
-    ktv = M.fit_ols(PR.apply_prep(s.train, prep), prep.feature_columns, "ktv")
-    return prep, ktv
+    train = PR.apply_prep(s.train, prep).persist()  # fitted on, then scored for its residuals
+    ktv = M.fit_ols(train, prep.feature_columns, "ktv")
+    offsets = M.residual_offsets(ktv, train, "ktv") if residuals else None
+    train.unpersist()
+    return prep, ktv, offsets
 
 
 @query("stream_scoring", covers=("K2", "A8", "I7"))
@@ -61,10 +64,10 @@ def stream_scoring(spark, sf):
     """Arriving valid records are scored with state fitted in batch (preparation + linear Kt/V model) and the
     tree-ensemble PET classifier; the stream writes one audit JSON document per record, partitioned by version."""
     from ..operators import trees as TR
-    prep, ktv = _fitted(spark, sf)  # state fitted in batch; the stream only applies it (pure projections)
+    prep, ktv, offsets = _fitted(spark, sf, residuals=True)  # state fitted in batch; the stream only applies it (pure projections)
     osm, labs = SI.static_aggregates(spark, sf)
     records = SI.derive_and_validate(SI.intake_records(spark, sf), osm, labs, keep_all=True)
-    audit = SS.score_stream(records, prep, ktv, VERSION, pet_ensemble=TR.Ensemble.load(spark))
+    audit = SS.score_stream(records, prep, ktv, VERSION, pet_ensemble=TR.Ensemble.load(spark), residuals=offsets)
     path = SI.run_to_files(audit, "scoring", fmt="json", partition_by=["version"])
     return spark.read.json(path)
 
@@ -80,11 +83,11 @@ _AUDIT_SCHEMA = T.StructType([
 select count(*) as n, count(*) as n_consistent, count(*) as n_ids from cohort""")
 def audit_json(spark, sf):
     """Batch audit: write JSON per version, read back, decode, and check ids and values survive."""
-    prep, ktv = _fitted(spark, sf)
+    prep, ktv, _ = _fitted(spark, sf)
     x = PR.apply_prep(v(spark, sf, "cohort"), prep, keep_targets=False)
     scored = ktv.predict(x, out="prediction").withColumn("model", F.lit(ktv.kind))
     audit = sinks.audit_records(scored, VERSION, ["patient_id", *prep.feature_columns], ["model", "prediction"])
-    path = sinks.default_root(spark, "audit", "batch")
+    path = sinks.run_root(spark, "audit")
     sinks.write_audit(audit, path, mode="overwrite")
     back = spark.read.json(path).withColumn("doc", F.from_json("payload", _AUDIT_SCHEMA))
     ok = (F.col("doc.request.patient_id") == F.col("patient_id")) & (F.col("doc.version") == F.col("version")) & \
@@ -99,7 +102,7 @@ def prep_state_roundtrip(spark, sf):
     """Write the fitted parameter table, rebuild the preparation from it, compare outputs on held-out rows."""
     s = SP.seeded_split(v(spark, sf, "cohort"), "patient_id", TEST_SIZE, SEED)
     prep = PR.fit_prep(s.train, numeric=NUMS, categorical=CATS, imputation="median", log_features=["residual_rf"])
-    path = sinks.default_root(spark, "prep_state", "v1")
+    path = sinks.run_root(spark, "prep_state")
     sinks.write_prep_state(prep, spark, path)
     back = sinks.read_prep_state(spark, path)
     a = PR.apply_prep(s.test, prep)
@@ -119,7 +122,7 @@ def selection_sink(spark, sf):
     from .q_select import _lasso_results
     from ..operators import select as SL
     sel = SL.selection_frame(spark, _lasso_results(spark, sf))
-    path = sinks.default_root(spark, "selection", "selected_features")
+    path = sinks.run_root(spark, "selection")
     sinks.write_selection(sel, path)
     return spark.read.json(path)
 
@@ -134,7 +137,7 @@ from predictions where {PRED_OK} group by target, model"""
 @query("evaluation_sink", covers=("A9",), sql=_eval_sink_sql())
 def evaluation_sink(spark, sf):
     pred = v(spark, sf, "predictions")
-    path = sinks.default_root(spark, "evaluation")
+    path = sinks.run_root(spark, "evaluation")
     sinks.write_evaluation({"metrics": EV.regression_metrics(pred), "calibration": EV.calibration_bins(pred, 10)}, path)
     m = spark.read.parquet(f"{path}/metrics")
     c = spark.read.parquet(f"{path}/calibration")

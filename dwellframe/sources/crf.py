@@ -3,7 +3,7 @@
 Each file starts with ``header_rows`` header lines (group row(s) with merged
 cells exported as empty cells, then the field row).  The header of every file is
 read from its first lines, flattened to ``Group::Field`` names, and its records
-are parsed as text by that header; header lines are told by their place.
+are read as text by that header; header records are told by their place.
 Then: rename / drop / required check (before any job) -> date parsing ->
 numeric coercion -> range validation -> complete-case filter.
 """
@@ -12,8 +12,9 @@ from __future__ import annotations
 
 import csv
 import io
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,9 @@ from ..functions import parse as P
 from ..operators import quality as Q
 
 
+GLOB = "*.{csv,txt}"
+
+
 def clean_name(name) -> str:
     return str(name).strip()
 
@@ -52,20 +56,25 @@ def flatten_header(rows: Sequence[Sequence[str]], sep: str = "::") -> list[str]:
     return out
 
 
-def _lines(spark: SparkSession, path: str, header_rows: int) -> DataFrame:
-    """(value, file, place): every line with its file; place counts the lines of a file's first block from 0 (NULL in later blocks)."""
-    lines = (spark.read.option("pathGlobFilter", "*.{csv,txt}").text(path)
-             .select("value", F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") == 0).alias("head"),
-                     F.monotonically_increasing_id().alias("id")))
-    # ids rise along a file's block; one row for each file
-    first = lines.filter("head").groupBy("file").agg(F.min("id").alias("first"))
-    return lines.join(first, "file").select("value", "file", F.when(F.col("head"), F.col("id") - F.col("first")).alias("place"))
+def read_headers(spark: SparkSession, path: str, header_rows: int) -> dict[str, list[list[str]]]:
+    """The header rows of every file: the first ``header_rows`` lines of each (header cells hold no line break)."""
+    lines = (spark.read.option("pathGlobFilter", GLOB).text(path)
+             .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+             .where("start = 0").select("file", "value"))
 
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, int] = {}  # a file's first block is read by one task, in order
+        for batch in batches:
+            files = batch.column(0).to_pylist()
+            keep = []
+            for i, file in enumerate(files):
+                seen[file] = seen.get(file, -1) + 1
+                if seen[file] < header_rows:
+                    keep.append((file, seen[file], batch.column(1)[i].as_py()))
+            yield pa.RecordBatch.from_pydict({"file": pa.array([k[0] for k in keep], pa.string()), "place": pa.array([k[1] for k in keep], pa.int32()), "value": pa.array([k[2] for k in keep], pa.string())})
 
-def read_headers(spark: SparkSession, path: str, header_rows: int) -> dict[str, list[list[str]]]:
-    """The header rows of every file (``header_rows`` lines of each come to the driver)."""
     out: dict[str, list[list[str]]] = {}
-    for r in _lines(spark, path, header_rows).filter(F.col("place") < header_rows).orderBy("file", "place").collect():
+    for r in lines.mapInArrow(first, "file string, place int, value string").orderBy("file", "place").collect():  # header_rows lines a file
         out.setdefault(r["file"], []).append(next(csv.reader(io.StringIO(r["value"])), []))
     if not out:
         raise FileNotFoundError(f"no CSV lines under {path}")
@@ -73,30 +82,47 @@ def read_headers(spark: SparkSession, path: str, header_rows: int) -> dict[str,
 
 
 def read_crf(spark: SparkSession, path: str, header_rows: int = 2, sep: str = "::") -> DataFrame:
-    """All columns as text with flattened names.
+    """All columns as text with flattened names, by Spark's CSV reader.
 
-    Each file is read by its own header, so files may hold their columns in any
-    order; a column that a file lacks is NULL there.  The first ``header_rows``
-    lines of a file are its header wherever else the same line stands.  A record
-    is one line.
+    A quoted cell may hold line breaks: a file is read whole by one task, as
+    exports of forms are small and many.  Each file is read by its own header,
+    so files may hold their columns in any order; a column that a file lacks is
+    NULL there.  The first ``header_rows`` records of a file are its header
+    wherever else the same record stands; records without any text are left out.
     """
-    forms: dict[tuple[str, ...], int] = {}  # distinct headers
-    which = []
+    forms: dict[tuple[str, ...], list[str]] = {}  # distinct headers and their files
     for file, rows in read_headers(spark, path, header_rows).items():
-        which.append((file, forms.setdefault(tuple(flatten_header(rows, sep)), len(forms))))
-    width = max(len(f) for f in forms)
-    schema = ", ".join(f"_c{i} string" for i in range(width))
-    data = _lines(spark, path, header_rows).filter((F.coalesce("place", F.lit(header_rows)) >= header_rows) & (F.trim("value") != ""))
-    data = data.join(spark.createDataFrame(which, "file string, form int"), "file").select("form", F.from_csv("value", schema, {"escape": '"'}).alias("r"))
+        forms.setdefault(tuple(flatten_header(rows, sep)), []).append(file)
     names = list(dict.fromkeys(n for f in forms for n in f))
-    columns = []
-    for name in names:
-        value = F.lit(None).cast("string")
-        for form, k in forms.items():
-            if name in form:
-                value = F.when(F.col("form") == k, F.col(f"r._c{form.index(name)}")).otherwise(value)
-        columns.append(value.alias(name))
-    return data.select(*columns)
+    out = None
+    for form, files in forms.items():
+        schema = ", ".join(f"_c{i} string" for i in range(len(form)))
+        cells = spark.read.schema(schema).csv(files, multiLine=True, escape='"', header=False, enforceSchema=True)
+        data = _without_header(cells.select("*", F.col("_metadata.file_path").alias("file")), header_rows)
+        some = F.lit(False)
+        for i in range(len(form)):
+            some = some | (F.trim(F.coalesce(F.col(f"_c{i}"), F.lit(""))) != "")
+        part = data.where(some).select(*[F.col(f"_c{form.index(n)}").alias(n) if n in form else F.lit(None).cast("string").alias(n) for n in names])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _without_header(cells: DataFrame, header_rows: int) -> DataFrame:
+    """Records behind each file's first ``header_rows``: a file is read by one task, in order, so it counts them."""
+    last = len(cells.columns) - 1
+
+    def behind(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, int] = {}
+        for batch in batches:
+            files = batch.column(last).dictionary_encode()
+            keep = np.ones(batch.num_rows, bool)
+            for k, file in enumerate(files.dictionary.to_pylist()):
+                at = np.flatnonzero(files.indices.to_numpy() == k)
+                keep[at[:max(0, header_rows - seen.get(file, 0))]] = False
+                seen[file] = seen.get(file, 0) + len(at)
+            yield batch.filter(pa.array(keep))
+
+    return cells.mapInArrow(behind, cells.schema)
 
 
 def rename_and_select(df: DataFrame, renames: Mapping[str, str], drop: Iterable[str] = (),

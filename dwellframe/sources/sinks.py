@@ -7,7 +7,7 @@ folder); ``default_root`` is the session's ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import json
-
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,12 +20,23 @@ def default_root(spark: SparkSession, *parts: str) -> str:
     return "/".join([ensure_checkpoint_dir(spark).rstrip("/"), *parts])
 
 
+def run_root(spark: SparkSession, *parts: str) -> str:
+    """A fresh folder of this run: a run never overwrites what another one still reads."""
+    return default_root(spark, *parts, uuid.uuid4().hex)
+
+
 # ----------------------------------------------------------------- audit (A8)
 def record_id(*cols, deterministic: bool = True) -> Column:
-    """Row id: sha-256 of the key columns (deterministic), or a random UUID."""
+    """Row id: sha-256 of the key column's text (deterministic), or a random UUID.
+
+    Several columns are joined with their lengths in front, so that different keys never read alike.
+    """
     if not deterministic:
         return F.uuid()
-    return F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]), 256)
+    texts = [F.col(c).cast("string") for c in cols]
+    if len(texts) == 1:
+        return F.sha2(F.coalesce(texts[0], F.lit("")), 256)
+    return F.sha2(F.concat(*[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]), 256)
 
 
 def audit_records(df: DataFrame, version: str, request_cols: Sequence[str], response_cols: Sequence[str],

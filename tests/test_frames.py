@@ -89,3 +89,20 @@ def test_dwell_minutes(spark):
                                "i string, o string")
     got = [r[0] for r in df.select(P.dwell_minutes(F.col("i"), F.col("o"))).collect()]
     assert got == [720, 1440, None, None]
+
+
+def test_cells_with_line_breaks_stay_one_record(spark, tmp_path):
+    rows = [("r1", "1", "two\nlines", "2.0"), ("r2", "2", 'a "quoted"\n\nword, and more', "2.5"), ("r3", "3", None, "3.0"), ("Record", "Weight", "Ward", "Clearance")]
+    _write(spark, rows, HEADER, str(tmp_path / "a"))
+    got = {tuple(r) for r in crf.read_crf(spark, str(tmp_path / "a")).collect()}
+    assert got == set(rows)
+
+
+def test_many_files_in_one_task_lose_only_their_headers(spark, tmp_path):
+    folder = tmp_path / "all"
+    folder.mkdir()
+    for k in range(12):
+        (folder / f"f{k}.csv").write_text(",Visit,,Outcome\nRecord,Weight,Ward,Clearance\n" + "".join(f"f{k}-{i},1,\"w\n{i}\",2\n" for i in range(5)) + "\n , ,,\n")
+    (folder / "empty.csv").write_text(",Visit,,Outcome\nRecord,Weight,Ward,Clearance\n")
+    got = crf.read_crf(spark, str(folder)).collect()
+    assert sorted((r[0], r["Visit::Ward"]) for r in got) == sorted((f"f{k}-{i}", f"w\n{i}") for k in range(12) for i in range(5))
