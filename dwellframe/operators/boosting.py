@@ -81,8 +81,8 @@ class TreeTable:
 
     def rows(self) -> list[tuple]:
         """Rows of ``NODES``; children are numbered within their tree."""
-        ends, out = [*self.root[1:].tolist(), len(self.value)], []
-        for t, (a, b) in enumerate(zip(self.root.tolist(), ends, strict=True)):
+        starts, out = [*self.root.tolist(), len(self.value)], []
+        for t, (a, b) in enumerate(zip(starts, starts[1:], strict=False)):
             for i in range(a, b):
                 lo, hi = (int(x[i]) - a if x[i] >= 0 else -1 for x in (self.left, self.right))
                 out.append((t, int(self.output[t]), i - a, int(self.feature[i]), lo, hi, float(self.threshold[i]), bool(self.default_left[i]), float(self.value[i])))

@@ -173,21 +173,35 @@ def pca(spark, sf):
                                  "component int, explained_variance double")
 
 
+_KINDS = ("linear_regression", "quantile_lightgbm", "xgboost", "ngboost", "random_forest", "stacked")
+
+
 @query("model_persist", covers=("A11",), sql=cte("cohort", extra=RANKED) + f"""
-select count(*) as n, cast(0 as bigint) as n_different from ranked where {IS_TEST}""")
+select k.model, cast(count(*) as bigint) as n, cast(count(*) as bigint) as n_equal, cast(count(*) as bigint) as n_predicted
+from ranked, (values {", ".join(f"('{k}')" for k in _KINDS)}) k(model) where {IS_TEST} group by k.model""")
 def model_persist(spark, sf):
-    """Save a fitted forest under the shared checkpoint folder, load it back, compare predictions."""
-    from pyspark.ml.regression import RandomForestRegressionModel
-    root = ensure_checkpoint_dir(spark)
-    tr, te = _matrix(spark, sf)
-    m = M.fit_random_forest(tr, FEATS, "ktv", num_trees=5, max_depth=4)
-    path = f"{root.rstrip('/')}/models/ktv_random_forest"
-    m.model.write().overwrite().save(path)
-    back = M.MLModel(FEATS, RandomForestRegressionModel.load(path), "random_forest")
-    a = m.predict(te, "a").select("patient_id", "a")
-    b = back.predict(te, "b").select("patient_id", "b")
-    return a.join(b, "patient_id").agg(F.count(F.lit(1)).alias("n"),
-                                       F.count_if(F.abs(F.col("a") - F.col("b")) > 1e-12).alias("n_different"))
+    """Each kind of model is saved, loaded and scored: held-out predictions equal to the last bit, and none missing.
+
+    What is checked is the store, so the boosters here have 20 rounds and the forest 10 trees.
+    """
+    from ..operators import training as TRN
+    from ..sources import model_store
+    ensure_checkpoint_dir(spark)
+    tr, te = _matrix(spark, sf, folds=True)
+    quantiles = (0.1, 0.5, 0.9)
+    few = {"n_estimators": 20, "learning_rate": 0.1}
+    forest = lambda d, f, t: M.fit_random_forest(d, f, t, num_trees=10, max_depth=6)
+    models = {"linear_regression": M.fit_ols(tr, FEATS, "ktv"),
+              "quantile_lightgbm": TRN.QuantileModels(list(FEATS), dict(zip(quantiles, M.fit_quantiles(tr, FEATS, "ktv", quantiles, **few)))),
+              "xgboost": M.fit_gbt(tr, FEATS, "ktv", max_depth=3, **few), "ngboost": M.fit_distribution_boosting(tr, FEATS, "ktv", **few),
+              "random_forest": forest(tr, FEATS, "ktv"), "stacked": M.fit_stacking(tr, FEATS, "ktv", [M.fit_ols, forest], fold="fold")[0]}
+    out = None
+    for name, m in models.items():
+        back = model_store.load(spark, model_store.save(m, spark))
+        both = back.predict(m.predict(te, "a"), "b")
+        one = both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("a") == F.col("b")).alias("n_equal"), F.count("b").alias("n_predicted")).select(F.lit(name).alias("model"), "n", "n_equal", "n_predicted")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("permutation_importance", covers=("D23",))
