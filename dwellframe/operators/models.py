@@ -174,7 +174,7 @@ class BoostedTrees:
     quantile: float | None = None
 
     def predict(self, df: DataFrame, out: str = "y_pred") -> DataFrame:
-        return self.table.add_sums(df, [out]).withColumn(out, F.lit(self.base) + F.col(out))
+        return self.table.add_sums(df, [out]).withColumn(out, F.lit(self.base) + F.col(f"`{out}`"))
 
     raw = predict
 

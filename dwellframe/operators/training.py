@@ -5,8 +5,12 @@ reference's vocabulary; ``train_models`` fits every definition for every target
 on the rows where the target is present and returns the fitted models (each
 keeping its own feature list) and a long metrics table on the training rows.
 ``evaluate_models`` scores held-out rows.  Random search over a search space
-uses the fold column (k-fold CV); the three gradient-boosting types map to
-squared-error GBT (or ``xgboost.spark`` when that package is installed).
+uses the fold column (k-fold CV).  Linear candidates are scored from one pass of
+per-fold Grams, however many there are; quantile models search every quantile by
+its own pinball loss; a stack tunes each base that has a search space within the
+rows it is fitted on.  The three gradient-boosting types map to histogram
+boosting with the options they name (or ``xgboost.spark`` when installed); an
+option that has no counterpart is refused rather than ignored.
 """
 
 from __future__ import annotations
@@ -14,18 +18,25 @@ from __future__ import annotations
 import itertools
 import random
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import evaluate as EV
 from . import models as M
+from . import select as SL
 
 MODEL_TYPES = ("elastic_net", "xgboost", "lightgbm", "catboost", "random_forest", "linear_regression",
                "ngboost", "quantile_lightgbm", "stacked")
 
 
+#: Metric names of a definition -> (column of the regression metrics, whether more is better).
+METRICS = {"r2": ("r2", True), "mae": ("mae", False), "mse": ("mse", False), "rmse": ("mse", False), "l1": ("mae", False), "l2": ("mse", False),
+           "neg_mean_absolute_error": ("mae", False), "neg_mean_squared_error": ("mse", False), "quantile": ("pinball", False)}
+
+
 @dataclass
 class ModelDefinition:
     model_type: str
@@ -35,8 +46,11 @@ class ModelDefinition:
     quantiles: list | None = None
     distribution: str | None = None
     base_models: list | None = None
+    eval_metric: str | None = None
 
     def __post_init__(self):
+        if self.eval_metric is not None and self.eval_metric not in METRICS:
+            raise ValueError(f"no such metric {self.eval_metric!r}; known: {', '.join(sorted(METRICS))}")
         if self.model_type not in MODEL_TYPES:
             raise ValueError(f"no such model type {self.model_type!r}; known: {', '.join(sorted(MODEL_TYPES))}")
 
@@ -70,10 +84,25 @@ def _xgboost_spark():
         return None
 
 
-def _gbt_params(hp: Mapping) -> dict:
-    return {"n_estimators": int(hp.get("n_estimators", hp.get("iterations", 500))),
-            "max_depth": int(hp.get("max_depth", hp.get("depth", 6))),
-            "learning_rate": float(hp.get("learning_rate", 0.1))}
+#: Names that the boosting types give to the options of :func:`models.fit_gbt`.
+_GBT_NAMES = {"n_estimators": ("n_estimators", "iterations", "num_boost_round", "num_iterations"), "max_depth": ("max_depth", "depth"),
+              "learning_rate": ("learning_rate", "eta"), "l2": ("l2", "reg_lambda", "lambda_l2", "l2_leaf_reg"),
+              "min_rows": ("min_rows", "min_child_samples", "min_data_in_leaf"), "max_bin": ("max_bin", "border_count")}
+#: Options that change no result here: sources of randomness and of messages that histogram boosting does not have.
+_GBT_NEUTRAL = {"random_state", "random_seed", "seed", "n_jobs", "thread_count", "verbose", "verbosity", "silent", "objective", "loss_function", "alpha", "tree_method"}
+#: What differs between the types unless a definition says otherwise.
+_GBT_DEFAULTS = {"xgboost": {"l2": 1.0}, "lightgbm": {"l2": 0.0, "min_rows": 20}, "catboost": {"l2": 3.0}, "quantile_lightgbm": {"min_rows": 20}}
+
+
+def _gbt_params(hp: Mapping, kind: str = "xgboost") -> dict:
+    out = dict(_GBT_DEFAULTS.get(kind, {}))
+    known = {alias: name for name, aliases in _GBT_NAMES.items() for alias in aliases}
+    for name, value in hp.items():
+        if name in known:
+            out[known[name]] = float(value) if known[name] in ("learning_rate", "l2") else int(value)
+        elif name not in _GBT_NEUTRAL:
+            raise ValueError(f"{kind} has no option {name!r} here; known: {', '.join(sorted(known))}")
+    return out
 
 
 def fitter(defn: ModelDefinition, parallelism: int = 4):
@@ -95,7 +124,7 @@ def fitter(defn: ModelDefinition, parallelism: int = 4):
                 est = xgb(features_col=list(f), label_col=y, **hp)
                 return M.MLModel(list(f), est.fit(d), t)
             return fit_xgb
-        p = _gbt_params(hp)
+        p = _gbt_params(hp, t)
         return lambda d, f, y: M.fit_gbt(d, f, y, kind=t, **p)
     if t == "ngboost":
         return lambda d, f, y: M.fit_distribution_boosting(
@@ -103,13 +132,13 @@ def fitter(defn: ModelDefinition, parallelism: int = 4):
             learning_rate=float(hp.get("learning_rate", 0.01)), max_depth=int(hp.get("max_depth", 3)))
     if t == "quantile_lightgbm":
         qs = list(defn.quantiles or [0.5])
-        p = _gbt_params(hp)
+        p = {k: x for k, x in _gbt_params(hp, t).items() if k != "l2"}
 
         def fit_q(d, f, y):
             return QuantileModels(list(f), dict(zip(qs, M.fit_quantiles(d, f, y, qs, **p))))
         return fit_q
     if t == "stacked":
-        bases = [fitter(b, parallelism) for b in (defn.base_models or [])]
+        bases = [_tuned(b, parallelism) for b in (defn.base_models or [])]
         if not bases:
             raise ValueError("a stacked definition names no base models")
         meta = hp.get("meta", hp) if isinstance(hp.get("meta", hp), Mapping) else {}
@@ -134,38 +163,104 @@ def _sample(space: Mapping, n_iter: int, seed: int) -> list[dict]:
     return [dict(zip(keys, c)) for c in picked]
 
 
+def _tuned(defn: ModelDefinition, parallelism: int):
+    """``fit(df, features, target)`` of a base: with a search space it is searched on folds of the very rows it is fitted on."""
+    if not defn.search_space:
+        return fitter(defn, parallelism)
+
+    def fit(d, f, y):
+        from . import split as SP
+        key = "patient_id" if "patient_id" in d.columns else d.columns[0]
+        folded = SP.assign_folds(d.filter(F.col(y).isNotNull()), max(2, defn.cross_validation_folds), key, 17, out="__base_fold")
+        return random_search_cv(folded, f, y, defn, "__base_fold", parallelism=parallelism)[0]
+    return fit
+
+
+def _with(defn: ModelDefinition, params: Mapping) -> ModelDefinition:
+    return replace(defn, hyperparameters={**defn.hyperparameters, **params}, search_space={})
+
+
+def _gram_scores(df: DataFrame, features: Sequence[str], target: str, defn: ModelDefinition, cands: list[dict], fold: str, column: str) -> list[float]:
+    """Mean held-out r2 or mse of every linear candidate from per-fold Grams: one pass over the rows, no refit."""
+    d, ms, _ = SL.checked(df, features, target)
+    st = SL.collect_gram(d, list(features), target, fold, {c: m for c, (m, _) in ms.items()})
+    out = []
+    for params in cands:
+        hp = {**defn.hyperparameters, **params}
+        per_fold = []
+        for i in range(len(st.folds)):
+            n, mx, my, cxx, cxy, _ = SL._centred(st.train(i))
+            if defn.model_type == "elastic_net":
+                b = M.elastic_net_cd(cxx, cxy, n, float(hp.get("alpha", 1.0)), float(hp.get("l1_ratio", 0.5)), int(hp.get("max_iter", 1000)))
+            else:
+                b = np.linalg.lstsq(cxx, cxy, rcond=None)[0]
+            held = st.fold(i)
+            mse = SL.heldout_mse(held, float(my - mx @ b), b)
+            variance = held[5] / held[0] - (held[2] / held[0]) ** 2
+            per_fold.append(mse if column == "mse" else 1 - mse / variance if variance > 0 else float("nan"))
+        out.append(float(np.nanmean(per_fold)))
+    return out
+
+
+def _quantile_search(df: DataFrame, features: Sequence[str], target: str, defn: ModelDefinition, cands: list[dict], fold: str, folds: list) -> tuple:
+    """Every quantile's own best candidate by mean held-out pinball loss; quantiles that agree are fitted together."""
+    qs = list(defn.quantiles or [0.5])
+    losses = []
+    for params in cands:
+        fit, total = fitter(_with(defn, params)), dict.fromkeys(qs, 0.0)
+        for f in folds:
+            held = df.filter(F.col(fold) == f)
+            scored = fit(df.filter(F.col(fold) != f), features, target).predict_all(held)
+            e = {q: F.col(target) - F.col(f"`y_pred_q{q}`") for q in qs}
+            row = scored.agg(*[F.avg(F.greatest(q * e[q], (q - 1) * e[q])).alias(f"l{i}") for i, q in enumerate(qs)]).first()
+            for i, q in enumerate(qs):
+                total[q] += row[f"l{i}"] / len(folds)
+        losses.append(total)
+    best = {q: min(range(len(cands)), key=lambda i: losses[i][q]) for q in qs}
+    models = {}
+    for i in sorted(set(best.values())):
+        own = [q for q in qs if best[q] == i]
+        models.update(fitter(replace(_with(defn, cands[i]), quantiles=own))(df, features, target).models)
+    scores = [(params, {q: -total[q] for q in qs}) for params, total in zip(cands, losses, strict=True)]
+    return QuantileModels(list(features), {q: models[q] for q in qs}), {q: cands[i] for q, i in best.items()}, {q: -losses[i][q] for q, i in best.items()}, scores
+
+
 def random_search_cv(df: DataFrame, features: Sequence[str], target: str, defn: ModelDefinition, fold: str,
                      n_iter: int = 20, seed: int = 42, scoring: str = "r2", parallelism: int = 4):
     """Seeded sample of the search space, k-fold CV score per candidate, refit of the best on all rows.
 
-    Returns (model, best_params, best_score, scores) where scores has one
-    (params, mean score) pair per candidate.  Empty space -> plain fit.
+    The metric is the definition's ``eval_metric``, else ``scoring``; errors count
+    negative, so more is better.  Returns (model, best_params, best_score, scores)
+    where scores has one (params, mean score) pair per candidate; for quantile
+    models parameters and scores are dicts by quantile.  Empty space -> plain fit.
     """
     if not defn.search_space:
         return fitter(defn, parallelism)(df, features, target), {}, None, []
-    folds = sorted(r[0] for r in df.select(fold).distinct().collect())
+    column, more = METRICS[defn.eval_metric or scoring]
     cands = _sample(defn.search_space, n_iter, seed)
-
-    def score(params):
-        d2 = ModelDefinition(defn.model_type, {**defn.hyperparameters, **params}, defn.cross_validation_folds,
-                             {}, defn.quantiles, defn.distribution, defn.base_models)
-        fit = fitter(d2, 1)
-        preds = None
-        for f in folds:
-            m = fit(df.filter(F.col(fold) != f), features, target)
-            p = m.predict(df.filter(F.col(fold) == f), out="y_pred").select(
-                F.lit(str(f)).alias("target"), F.lit("cv").alias("model"), F.col(target).alias("y_true"), "y_pred")
-            preds = p if preds is None else preds.unionByName(p)
-        per_fold = EV.regression_metrics(preds)  # target column holds the fold here
-        col = {"r2": "r2", "neg_mean_absolute_error": "mae", "neg_mean_squared_error": "mse"}.get(scoring, "r2")
-        val = per_fold.agg(F.avg(col)).first()[0]
-        return -val if col != "r2" else val
-
-    scores = M.parallel_map(score, cands, parallelism)
+    if defn.model_type in ("elastic_net", "linear_regression") and column in ("r2", "mse"):
+        found = _gram_scores(df, features, target, defn, cands, fold, column)
+        scores = [x if more else -x for x in found]
+    else:
+        folds = sorted(r[0] for r in df.select(fold).distinct().collect())
+        if defn.model_type == "quantile_lightgbm":
+            return _quantile_search(df, features, target, defn, cands, fold, folds)
+
+        def score(params):
+            fit = fitter(_with(defn, params), 1)
+            preds = None
+            for f in folds:
+                m = fit(df.filter(F.col(fold) != f), features, target)
+                p = m.predict(df.filter(F.col(fold) == f), out="y_pred").select(
+                    F.lit(str(f)).alias("target"), F.lit("cv").alias("model"), F.col(target).alias("y_true"), "y_pred")
+                preds = p if preds is None else preds.unionByName(p)
+            per_fold = EV.regression_metrics(preds)  # target column holds the fold here
+            value = per_fold.agg(F.avg(column)).first()[0]
+            return value if more else -value
+
+        scores = M.parallel_map(score, cands, parallelism)
     best = max(range(len(cands)), key=lambda i: scores[i])
-    best_def = ModelDefinition(defn.model_type, {**defn.hyperparameters, **cands[best]}, defn.cross_validation_folds,
-                               {}, defn.quantiles, defn.distribution, defn.base_models)
-    return fitter(best_def, parallelism)(df, features, target), cands[best], scores[best], list(zip(cands, scores))
+    return fitter(_with(defn, cands[best]), parallelism)(df, features, target), cands[best], scores[best], list(zip(cands, scores))
 
 
 @dataclass

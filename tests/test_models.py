@@ -113,3 +113,44 @@ def test_random_search_picks_best(spark):
     assert best == {"alpha": 0.001} and len(scores) == 2 and score > 0.8
     with pytest.raises(ValueError):
         TRN.ModelDefinition("svm")
+
+
+def test_linear_search_from_grams_equals_refits(spark):
+    from dwellframe.operators import training as TRN
+    df, _ = _data(spark, 240, 6)
+    df = SP.assign_folds(df, 4, "patient_id", 2)
+    defn = TRN.ModelDefinition("elastic_net", search_space={"alpha": [0.01, 0.3, 2.0], "l1_ratio": [0.2, 1.0]})
+    for metric in ("r2", "mse"):
+        model, best, score, scores = TRN.random_search_cv(df, ["x1", "x2"], "ktv", TRN.ModelDefinition("elastic_net", search_space=defn.search_space, eval_metric=metric), "fold")
+        assert len(scores) == 6 and score == max(s for _, s in scores)
+        for params, got in scores:
+            per_fold = []
+            for f in range(4):
+                m = M.fit_elastic_net(df.filter(F.col("fold") != f), ["x1", "x2"], "ktv", **params)
+                r = M.regression_metrics_row(m.predict(df.filter(F.col("fold") == f)), "ktv")
+                per_fold.append(r["r2"] if metric == "r2" else -r["mse"])
+            assert abs(got - np.mean(per_fold)) < 1e-6
+    with pytest.raises(ValueError, match="no such metric"):
+        TRN.ModelDefinition("elastic_net", eval_metric="auc")
+
+
+def test_quantiles_are_searched_one_by_one(spark):
+    from dwellframe.operators import training as TRN
+    df, _ = _data(spark, 160, 7)
+    df = SP.assign_folds(df, 2, "patient_id", 2)
+    defn = TRN.ModelDefinition("quantile_lightgbm", {"max_depth": 1, "min_child_samples": 5, "eta": 0.3}, search_space={"n_estimators": [0, 6]}, quantiles=[0.2, 0.8])
+    model, best, score, scores = TRN.random_search_cv(df, ["x1", "x2"], "ktv", defn, "fold")
+    assert best == {0.2: {"n_estimators": 6}, 0.8: {"n_estimators": 6}} and list(model.models) == [0.2, 0.8]
+    assert all(score[q] == max(s[q] for _, s in scores) for q in (0.2, 0.8))
+
+
+def test_options_and_tuned_bases(spark):
+    from dwellframe.operators import training as TRN
+    df, _ = _data(spark, 120, 8)
+    with pytest.raises(ValueError, match="no option 'gamma'"):
+        TRN.train_models(df, ["x1", "x2"], {"ktv": [TRN.ModelDefinition("xgboost", {"gamma": 1})]})
+    assert TRN._gbt_params({"iterations": 3, "depth": 2, "l2_leaf_reg": 5, "random_seed": 1}, "catboost") == {"n_estimators": 3, "max_depth": 2, "l2": 5.0}
+    bases = [TRN.ModelDefinition("elastic_net", search_space={"alpha": [0.001, 50.0]}, cross_validation_folds=2), TRN.ModelDefinition("linear_regression")]
+    out = TRN.train_models(df, ["x1", "x2"], {"ktv": [TRN.ModelDefinition("stacked", base_models=bases, cross_validation_folds=2)]})
+    stacked = out.models["ktv"]["stacked"]
+    assert abs(stacked.bases[0].coef[0] - stacked.bases[1].coef[0]) < 0.05  # the small alpha was chosen in every fit
