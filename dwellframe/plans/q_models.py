@@ -68,7 +68,7 @@ def random_forest(spark, sf):
 @query("boosting", covers=("J8",))
 def boosting(spark, sf):
     tr, te = _matrix(spark, sf)
-    return _report(spark, te, {"xgboost": M.fit_gbt(tr, FEATS, "ktv")})
+    return _report(spark, te, {"xgboost": M.fit_gbt(tr, FEATS, "ktv", max_depth=3)})
 
 
 @query("feature_importance", covers=("D23",))
