@@ -14,6 +14,7 @@ from ..operators import models as M
 from ..operators import prep as PR
 from ..operators import split as SP
 from ..session import ensure_checkpoint_dir
+from ..sources import sinks
 from ..sources.views import cte
 from .common import v
 from .q_prep import CATS, NUMS
@@ -23,16 +24,22 @@ from .registry import query
 FEATS = [*NUMS, "modality_CAPD", "modality_CCPD", "modality_NIPD"]
 
 
+def _stored(spark, df):
+    path = sinks.run_root(spark, "matrix")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _matrix(spark, sf, folds: bool = False):
-    coh = v(spark, sf, "cohort").persist()  # the split and the fit read it several times
+    coh = _stored(spark, v(spark, sf, "cohort"))  # the split and the fit read it several times
     s = SP.seeded_split(coh, "patient_id", TEST_SIZE, SEED)
     model = PR.fit_prep(s.train, numeric=NUMS, categorical=CATS, imputation="mean", log_features=["residual_rf"])
     tr = PR.apply_prep(s.train, model)
     te = PR.apply_prep(s.test, model)
     if folds:  # cross-validation folds within the training rows
         tr = SP.assign_folds(tr, K, "patient_id", SEED + 1)
-    # the matrices are reused by every fit: keep them (memory and disk) instead of recomputing
-    return tr.persist(), te.persist()
+    # the matrices are reused by every fit: written tables, which no session has to release
+    return _stored(spark, tr), _stored(spark, te)
 
 
 def _report(spark, test, fitted: dict, target: str = "ktv"):
