@@ -2,7 +2,8 @@
 
 * The training rows (features and target) are written once; every feature is
   binned by its quantiles to a byte code, with a code of its own for a missing
-  value, and codes, target and predictions are written as the state.
+  value. Codes, target and predictions are the state: an RDD of numpy blocks, held
+  and checkpointed, so that a level is one plain RDD job with nothing to plan.
 * A tree grows level by level. For a level, each task adds up row counts and
   gradient sums by (tree, node, feature, bin) in numpy and Spark sums the tasks'
   tables; the driver gets one bounded table (nodes x features x bins) and picks
@@ -10,8 +11,8 @@
 * All heads of a fit (several quantiles, or mean and spread) share the state and
   the aggregates, so three quantiles cost the jobs of one.
 * Predictions are brought up to date in the tasks from the trees since the state
-  was written; it is written anew every ``every`` rounds, so lineage stays short
-  and a lost executor costs at most that many trees.
+  was checkpointed; it is checkpointed anew every ``every`` rounds, so lineage
+  stays short and a lost executor costs at most that many trees.
 * Sums are of fixed-point numbers, so with given bin edges a fit does not depend on
   partitions or order; edges that are not given come from a quantile sketch.
 
@@ -29,7 +30,8 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import RDD, StorageLevel
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -41,8 +43,8 @@ FIXED = 1 << 20
 #: Residual bins of a leaf: logarithmic on both sides of zero.
 RESIDUAL_BINS, NEAR, FAR = 1024, 0.003, 1e4
 STEPS = (0.5, 1.0, 2.0, 4.0, 8.0)
-#: Fewer rows than this are not worth a task of their own.
-ROWS_A_TASK = 16_000
+#: Fewer rows than this are not worth a task of their own, more than this are not left to one while there are others.
+ROWS_A_TASK, MOST_ROWS_A_TASK = 16_000, 1_000_000
 
 
 # ------------------------------------------------------------------ tree table
@@ -238,9 +240,9 @@ class _Tree:
 # ---------------------------------------------------------------------- engine
 @dataclass
 class _State:
-    """The written state and the trees since (for each round: the trees of each head)."""
+    """The checkpointed state and the trees since (for each round: the trees of each head)."""
 
-    frame: DataFrame
+    blocks: RDD
     tasks: int
     p: int
     bins: int
@@ -248,18 +250,12 @@ class _State:
     recent: list = field(default_factory=list)
 
 
-#: The state is a table of blocks of rows: codes (features x rows, bytes), target and predictions (outputs x rows, doubles).
+#: A block of rows on its way into the state: codes (features x rows, bytes), target and predictions (outputs x rows, doubles).
 BLOCKS = "n int, codes binary, z binary, f binary"
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    for batch in batches:
-        for n, codes, z, f in zip(batch.column(0).to_pylist(), *(batch.column(i) for i in (1, 2, 3)), strict=True):
-            yield n, np.frombuffer(codes.as_buffer(), np.int8).reshape(-1, n), np.frombuffer(z.as_buffer()), np.frombuffer(f.as_buffer()).reshape(-1, n)
-
-
-def _block(n: int, *columns: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int32()), **{name: pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for name, x in zip(("codes", "z", "f"), columns, strict=True)}})
+def _arrays(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.frombuffer(row["codes"], np.int8).reshape(-1, row["n"]), np.frombuffer(row["z"]), np.frombuffer(row["f"]).reshape(-1, row["n"])
 
 
 def _up_to_date(codes: np.ndarray, f: np.ndarray, heads: list, recent: list) -> list[list[np.ndarray]]:
@@ -273,40 +269,30 @@ def _up_to_date(codes: np.ndarray, f: np.ndarray, heads: list, recent: list) ->
 
 
 #: Tables of so many tasks are added up by the driver; those of more are summed in slices by Spark first.
-DIRECT, SLICE_CELLS = 8, 1 << 18
+DIRECT, SLICE_CELLS = 32, 1 << 18
 
 
 def _summed(state: _State, shape: tuple[int, ...], task, *sent) -> np.ndarray:
-    """The sum over all rows of the int64 tables that ``task(codes, z, f, *sent)`` gives for a batch."""
+    """The sum over all rows of the int64 tables that ``task(codes, z, f, *sent)`` gives for a block."""
     heads, recent = state.heads, state.recent
     size = int(np.prod(shape))
     direct = state.tasks <= DIRECT
     slices = 1 if direct else -(-size // SLICE_CELLS)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(blocks: Iterator[tuple]) -> Iterator[tuple[int, np.ndarray]]:
         total = None
-        for _, codes, z, f in _blocks(batches):
+        for codes, z, f in blocks:
             table = task(codes, z, _up_to_date(codes, f, heads, recent), *sent)
             total = table if total is None else total + table
         if total is not None:
-            parts = np.array_split(total.reshape(-1), slices)
-            yield pa.RecordBatch.from_pydict({"slice": pa.array(range(slices), pa.int32()), "cells": pa.array([x.tobytes() for x in parts], pa.binary())})
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for i, cells in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                part = np.frombuffer(cells.as_buffer(), np.int64)
-                held[i] = held[i] + part if i in held else part
-        yield pa.RecordBatch.from_pydict({"slice": pa.array(list(held), pa.int32()), "cells": pa.array([x.tobytes() for x in held.values()], pa.binary())})
+            yield from enumerate(np.array_split(total.reshape(-1), slices))
 
-    tables = state.frame.mapInArrow(work, "slice int, cells binary")
+    tables = state.blocks.mapPartitions(work)
     if not direct:
-        tables = tables.repartition(slices, "slice").mapInArrow(add, "slice int, cells binary")
-    found = tables.toArrow()
+        tables = tables.reduceByKey(np.add, slices)
     parts = np.array_split(np.zeros(size, np.int64), slices)
-    for i, cells in zip(found.column("slice").to_pylist(), found.column("cells"), strict=True):
-        parts[i] += np.frombuffer(cells.as_buffer(), np.int64)
+    for i, cells in tables.collect():
+        parts[i] += cells
     return np.concatenate(parts).reshape(shape)
 
 
@@ -458,10 +444,13 @@ def fit(df: DataFrame, features: Sequence[str], target: str, heads: list, rounds
         for batch in batches:
             if n_rows := batch.num_rows:
                 columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(p + 1)]
-                yield _block(n_rows, np.stack(columns[:p]).astype(np.int8), columns[p], np.repeat(np.array(flat)[:, None], n_rows, axis=1))
+                arrays = np.stack(columns[:p]).astype(np.int8), columns[p], np.repeat(np.array(flat)[:, None], n_rows, axis=1)
+                yield pa.RecordBatch.from_pydict({"n": pa.array([n_rows], pa.int32()), **{name: pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for name, x in zip(("codes", "z", "f"), arrays, strict=True)}})
 
-    first = plain.select(*codes, ((F.col("y") - center) / scale).alias("z")).coalesce(max(1, -(-n // ROWS_A_TASK))).mapInArrow(pack, BLOCKS)
-    state = _State(*_write(first, f"{root}/state-0"), p, bins, heads)
+    tasks = _tasks(spark, n)
+    rows = plain.select(*codes, ((F.col("y") - center) / scale).alias("z"))
+    rows = rows.coalesce(1) if tasks == 1 else rows.repartition(tasks)  # in even shares
+    state = _State(_held(rows.mapInArrow(pack, BLOCKS).rdd.map(_arrays)), tasks, p, bins, heads)
     grown: list[list[tuple[int, list[tuple]]]] = [[] for _ in heads]
     for r in range(rounds):
         trees = _round(state, depth, rate, min_rows, edges)
@@ -469,11 +458,10 @@ def fit(df: DataFrame, features: Sequence[str], target: str, heads: list, rounds
             grown[k] += [(i, t.table_nodes(edges, scale if i == 0 else 1.0)) for i, t in enumerate(own)]
         state.recent.append(trees)
         if len(state.recent) == every and r + 1 < rounds:
-            old = state.frame
-            state.frame, state.tasks = _write(_advanced(state), f"{root}/state-{r + 1}")
+            old, state.blocks = state.blocks, _held(_advanced(state))
             state.recent = []
             old.unpersist()
-    state.frame.unpersist()
+    state.blocks.unpersist()
     units = [[center + scale * own[0], *own[1:]] for own in starts]
     return Fitted(units, [TreeTable.of(features, own) for own in grown], n, center, scale)
 
@@ -487,22 +475,23 @@ def _code(x, edges: list[float]):
     return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, s: F.when(F.coalesce(F.get(held, at + s - 1) < x, F.lit(False)), at + s).otherwise(at))
 
 
-def _write(frame: DataFrame, path: str) -> tuple[DataFrame, int]:
-    """The written blocks, and how many tasks read them."""
-    frame.write.parquet(path)
-    back = frame.sparkSession.read.schema(BLOCKS).parquet(path)
-    return back.persist(), back.rdd.getNumPartitions()
+def _tasks(spark, rows: int) -> int:
+    """Tasks of a pass: as many as run at once, with no fewer than ROWS_A_TASK rows each and about MOST_ROWS_A_TASK at most."""
+    return max(1, min(-(-rows // ROWS_A_TASK), max(spark.sparkContext.defaultParallelism, -(-rows // MOST_ROWS_A_TASK))))
 
 
-def _advanced(state: _State) -> DataFrame:
-    """The state with up-to-date predictions."""
-    heads, recent = state.heads, state.recent
+def _held(blocks: RDD) -> RDD:
+    """The blocks, persisted and checkpointed in the shared folder."""
+    blocks.persist(StorageLevel.MEMORY_AND_DISK)
+    blocks.checkpoint()
+    blocks.foreachPartition(lambda own: sum(1 for _ in own))
+    return blocks
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for n, codes, z, f in _blocks(batches):
-            yield _block(n, codes, z, np.stack([x for own in _up_to_date(codes, f, heads, recent) for x in own]))
 
-    return state.frame.mapInArrow(work, BLOCKS)
+def _advanced(state: _State) -> RDD:
+    """The state with up-to-date predictions."""
+    heads, recent = state.heads, state.recent
+    return state.blocks.map(lambda b: (b[0], b[1], np.stack([x for own in _up_to_date(b[0], b[2], heads, recent) for x in own])))
 
 
 def _round(state: _State, depth: int, rate: float, min_rows: int, edges: list[list[float]]) -> list[list[_Tree]]:

@@ -125,3 +125,15 @@ def test_no_rounds_constant_target_and_no_rows(spark):
     assert {r.y_pred for r in M.fit_quantile_boosting(df, ["x"], "y", 0.3, n_estimators=0).predict(df).collect()} == {5.0}
     with pytest.raises(ValueError, match="no row has a value"):
         M.fit_gbt(df.limit(0), ["x"], "y", n_estimators=1)
+
+
+def test_a_level_is_a_plain_job_without_a_query_plan(spark, monkeypatch):
+    df, _, _ = _data(spark, 200, 5)
+
+    def planned(self):
+        raise AssertionError("a level planned a query")
+
+    monkeypatch.setattr(type(df), "toArrow", planned)
+    f = B.fit(df, ["a", "b", "c"], "y", [B.Quantile(0.5), B.Squared(1.0)], 3, 2, 0.2, every=2)
+    assert all(len(t.root) == 3 for t in f.tables)
+    assert B._tasks(spark, 10) == 1 and B._tasks(spark, 1 << 40) == -(-(1 << 40) // B.MOST_ROWS_A_TASK)
