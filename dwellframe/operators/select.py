@@ -355,10 +355,24 @@ def linear_attribution(df: DataFrame, coefs: dict[str, float]) -> DataFrame:
     return row.select(F.inline(arr))
 
 
+def least_squares(cxx: np.ndarray, cxy: np.ndarray) -> np.ndarray:
+    """Solution of the centred normal equations; of least norm on standardised features where they are (nearly) singular."""
+    unit = np.sqrt(np.diag(cxx))
+    unit = np.where(unit > 0, unit, 1.0)
+    scaled = cxx / np.outer(unit, unit)
+    if np.linalg.cond(scaled) < 1 / np.finfo(float).eps / len(cxy):
+        return np.linalg.solve(cxx, cxy)
+    return np.linalg.lstsq(scaled, cxy / unit, rcond=1e-12)[0] / unit
+
+
 def ols_from_gram(stats: GramStats) -> tuple[np.ndarray, float]:
-    """Least squares with intercept from the total Gram: solve the centred normal equations."""
+    """Least squares with intercept from the total Gram: solve the centred normal equations.
+
+    Where features depend on each other (one-hot columns that add up to 1, a
+    constant) the solution of least norm on standardised features is taken.
+    """
     n, mx, my, cxx, cxy, _ = _centred(stats.total())
-    b = np.linalg.solve(cxx, cxy)
+    b = least_squares(cxx, cxy)
     b0 = my - mx @ b
     # undo the shift: y - ys = b0 + (x - xs)b  ->  intercept in original units
     return b, float(b0 + stats.y_shift - stats.x_shift @ b)

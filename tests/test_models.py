@@ -154,3 +154,12 @@ def test_options_and_tuned_bases(spark):
     out = TRN.train_models(df, ["x1", "x2"], {"ktv": [TRN.ModelDefinition("stacked", base_models=bases, cross_validation_folds=2)]})
     stacked = out.models["ktv"]["stacked"]
     assert abs(stacked.bases[0].coef[0] - stacked.bases[1].coef[0]) < 0.05  # the small alpha was chosen in every fit
+
+
+def test_least_squares_of_dependent_features(spark):
+    """One-hot columns that add up to 1 and a constant: fitted, with the predictions that any solution gives."""
+    rows = [(float(i), float(i % 3 == 0), float(i % 3 == 1), float(i % 3 == 2), 1.0, 2.0 * i + 5 * (i % 3)) for i in range(60)]
+    df = spark.createDataFrame(rows, "x double, a double, b double, c double, one double, y double")
+    m = M.fit_ols(df, ["x", "a", "b", "c", "one"], "y")
+    assert np.isfinite(m.coef).all() and abs(m.coef[1:4].sum()) < 1e-6 and m.coef[4] == 0
+    assert max(abs(r.y_pred - r.y) for r in m.predict(df).collect()) < 1e-6
