@@ -420,7 +420,7 @@ def fit(df: DataFrame, features: Sequence[str], target: str, heads: list, rounds
     """Boost all heads on the rows of ``df`` with a target (features may be missing)."""
     spark, p = df.sparkSession, len(features)
     bins = min(bins, MAX_BINS)
-    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/boosting-{uuid.uuid4().hex}"
+    root = scratch(spark, "boosting")
     y = F.col(f"`{target}`").cast("double")
     plain = df.where(y.isNotNull() & ~F.isnan(y)).select(*[F.col(f"`{f}`").cast("double").alias(f"x{i}") for i, f in enumerate(features)], y.alias("y"))
     plain.write.parquet(f"{root}/rows")  # the only read of the source
@@ -429,28 +429,14 @@ def fit(df: DataFrame, features: Sequence[str], target: str, heads: list, rounds
     n, center, scale = stats["n"], stats["m"] or 0.0, stats["s"] if stats["s"] and stats["s"] > 0 else 1.0
     if not n:
         raise ValueError(f"no row has a value of {target}")
-    probs = [k / bins for k in range(1, bins)]
-    names = [f"x{i}" for i in range(p)]
-    edges = [sorted({e for e in own if math.isfinite(e)})[:bins - 1] for own in edges or plain.approxQuantile(names, probs, 1 / (8 * bins))]
+    edges = quantile_edges(plain, [f"x{i}" for i in range(p)], bins, edges)
     quantiles = [h.q for h in heads if isinstance(h, Quantile)]
     levels = plain.agg(F.percentile_approx("y", quantiles, 100_000).alias("q")).first()["q"] if quantiles else []
     starts = []
     for h in heads:
         starts.append([(levels[quantiles.index(h.q)] - center) / scale] if isinstance(h, Quantile) else [0.0] * h.width)
-    codes = [F.when(F.col(x).isNull() | F.isnan(x), F.lit(bins)).otherwise(_code(F.col(x), own)).cast("tinyint").alias(x) for x, own in zip(names, edges, strict=True)]
-    flat = [v for own in starts for v in own]
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if n_rows := batch.num_rows:
-                columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(p + 1)]
-                arrays = np.stack(columns[:p]).astype(np.int8), columns[p], np.repeat(np.array(flat)[:, None], n_rows, axis=1)
-                yield pa.RecordBatch.from_pydict({"n": pa.array([n_rows], pa.int32()), **{name: pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for name, x in zip(("codes", "z", "f"), arrays, strict=True)}})
-
-    tasks = _tasks(spark, n)
-    rows = plain.select(*codes, ((F.col("y") - center) / scale).alias("z"))
-    rows = rows.coalesce(1) if tasks == 1 else rows.repartition(tasks)  # in even shares
-    state = _State(_held(rows.mapInArrow(pack, BLOCKS).rdd.map(_arrays)), tasks, p, bins, heads)
+    blocks, tasks = code_blocks(plain, edges, bins, center, scale, n, [v for own in starts for v in own])
+    state = _State(blocks, tasks, p, bins, heads)
     grown: list[list[tuple[int, list[tuple]]]] = [[] for _ in heads]
     for r in range(rounds):
         trees = _round(state, depth, rate, min_rows, edges)
@@ -466,6 +452,34 @@ def fit(df: DataFrame, features: Sequence[str], target: str, heads: list, rounds
     return Fitted(units, [TreeTable.of(features, own) for own in grown], n, center, scale)
 
 
+def scratch(spark, kind: str) -> str:
+    """A new folder below the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def quantile_edges(plain: DataFrame, names: list[str], bins: int, given: list[list[float]] | None = None) -> list[list[float]]:
+    """Sorted distinct edges of every feature, from a quantile sketch unless they are given."""
+    return [sorted({e for e in own if math.isfinite(e)})[:bins - 1] for own in given or plain.approxQuantile(names, [k / bins for k in range(1, bins)], 1 / (8 * bins))]
+
+
+def code_blocks(plain: DataFrame, edges: list[list[float]], bins: int, center: float, scale: float, n: int, flat: list[float]) -> tuple[RDD, int]:
+    """The held blocks (codes, standardised target, first predictions) of rows x0, x1, ..., y, and their number of tasks."""
+    p = len(edges)
+    codes = [F.when(F.col(x).isNull() | F.isnan(x), F.lit(bins)).otherwise(_code(F.col(x), own)).cast("tinyint").alias(x) for x, own in zip([f"x{i}" for i in range(p)], edges, strict=True)]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if n_rows := batch.num_rows:
+                columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(p + 1)]
+                arrays = np.stack(columns[:p]).astype(np.int8), columns[p], np.repeat(np.array(flat)[:, None], n_rows, axis=1)
+                yield pa.RecordBatch.from_pydict({"n": pa.array([n_rows], pa.int32()), **{name: pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for name, x in zip(("codes", "z", "f"), arrays, strict=True)}})
+
+    tasks = _tasks(plain.sparkSession, n)
+    rows = plain.select(*codes, ((F.col("y") - center) / scale).alias("z"))
+    rows = rows.coalesce(1) if tasks == 1 else rows.repartition(tasks)  # in even shares
+    return _held(rows.mapInArrow(pack, BLOCKS).rdd.map(_arrays)), tasks
+
+
 def _code(x, edges: list[float]):
     """Number of edges below x, by binary search."""
     if not edges:

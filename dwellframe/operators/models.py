@@ -2,7 +2,8 @@
 
 * Linear family (OLS, elastic net, ridge) from one Gram pass; the solver runs
   on p x p statistics.
-* Forest and classifiers from MLlib; squared-error, quantile and distribution
+* Forest from :mod:`forest` (large nodes by shared tables, small ones in one task);
+  classifiers from MLlib; squared-error, quantile and distribution
   boosting from :mod:`boosting` (bins once, one aggregate a tree level, one node
   table scored in one pass).
 * Stacking: out-of-fold predictions of each base model, then a ridge
@@ -29,6 +30,7 @@ import numpy as np
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.linalg import DenseVector
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
@@ -36,6 +38,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from . import boosting as B
+from . import forest as FO
 from . import ranking as R
 from . import select as SL
 
@@ -148,15 +151,40 @@ class MLModel:
         return scored.withColumnRenamed("prediction", out).select(*cols, out)
 
 
+class ForestImportances:
+    """Importances of a forest's features, as MLlib's forests give them."""
+
+    def __init__(self, featureImportances):
+        self.featureImportances = featureImportances
+
+
+@dataclass
+class ForestModel(MLModel):
+    """Trees whose values add up to their mean prediction; ``model`` holds the importances."""
+
+    table: B.TreeTable | None = None
+
+    def predict(self, df: DataFrame, out: str = "y_pred") -> DataFrame:
+        lacks = F.lit(False)
+        for c in self.features:
+            lacks = lacks | F.col(f"`{c}`").isNull() | F.isnan(F.col(f"`{c}`").cast("double"))
+        refused = F.raise_error(F.lit("a row to predict lacks a feature")).cast("double")
+        return self.table.add_sums(df, [out]).withColumn(out, F.when(lacks, refused).otherwise(F.col(f"`{out}`")))
+
+
 def fit_random_forest(df: DataFrame, features: Sequence[str], target: str, num_trees: int = 100,
                       max_depth: int = 12, seed: int = 42, missing: str = "error", **kw) -> MLModel:
     """Bootstrap forest; every split considers all features.
 
     The depth is 12 unless given; MLlib grows trees to depth 30 at most, so a
-    deeper one is refused.
+    deeper one is refused. Further options go to MLlib's own forest.
     """
     if max_depth > 30:
         raise ValueError(f"max_depth={max_depth}: MLlib's trees end at depth 30")
+    if not kw:
+        d, _, lacking = SL.checked(df, features, target, missing)
+        table, importance = FO.fit(d, features, target, num_trees, max_depth, seed)
+        return ForestModel(list(features), ForestImportances(DenseVector(importance)), "random_forest", lacking, table)
     rf = RandomForestRegressor(featuresCol=VEC, labelCol=target, numTrees=num_trees, maxDepth=max_depth,
                                featureSubsetStrategy=kw.pop("featureSubsetStrategy", "all"), seed=seed, **kw)
     d, _, lacking = SL.checked(df, features, target, missing)

@@ -36,7 +36,7 @@ def _children(model) -> dict[str, object]:
 def _options(model) -> dict:
     kinds = {M.LinearModel: ("features", "intercept", "kind", "lacking"), M.BoostedTrees: ("features", "base", "kind", "quantile"),
              M.DistributionBoosting: ("features", "dist", "mu0", "log_s0", "kind"), M.StackedModel: ("features", "kind"), QuantileModels: ("features", "kind"),
-             M.MLModel: ("features", "kind", "lacking")}
+             M.MLModel: ("features", "kind", "lacking"), M.ForestModel: ("features", "kind", "lacking")}
     if type(model) not in kinds:
         raise TypeError(f"models of type {type(model).__name__} cannot be saved")
     out = {name: getattr(model, name) for name in kinds[type(model)]} | {"type": type(model).__name__}
@@ -44,7 +44,9 @@ def _options(model) -> dict:
         out["quantiles"] = list(model.models)
     if isinstance(model, M.StackedModel):
         out["bases"] = len(model.bases)
-    if isinstance(model, M.MLModel):
+    if isinstance(model, M.ForestModel):
+        out["importances"] = [float(x) for x in model.model.featureImportances.toArray()]
+    elif isinstance(model, M.MLModel):
         out["class"] = [type(model.model).__module__, type(model.model).__name__]
     return out
 
@@ -53,9 +55,9 @@ def _rows(model, path: str, root: str) -> list[tuple]:
     rows = [(VERSION, path, "options", 0, None, None, json.dumps(_options(model)), None)]
     if isinstance(model, M.LinearModel):
         rows += [(VERSION, path, "coefficient", i, c, float(b), None, None) for i, (c, b) in enumerate(zip(model.features, model.coef, strict=True))]
-    if isinstance(model, (M.BoostedTrees, M.DistributionBoosting)):
+    if isinstance(model, (M.BoostedTrees, M.DistributionBoosting, M.ForestModel)):
         rows += [(VERSION, path, "node", i, None, None, None, node) for i, node in enumerate(model.table.rows())]
-    if isinstance(model, M.MLModel):
+    if type(model) is M.MLModel:
         model.model.write().save(f"{root}/mllib/{path.replace('/', '-')}")
     for name, child in _children(model).items():
         rows += _rows(child, f"{path}/{name}", root)
@@ -94,6 +96,8 @@ def _build(spark: SparkSession, folder: str, parts: dict, path: str):
         module, name = o["class"]
         return M.MLModel(o["features"], getattr(import_module(module), name).load(f"{folder}/mllib/{path.replace('/', '-')}"), o["kind"], o["lacking"])
     table = TreeTable.from_rows(o["features"], [tuple(r["node"]) for r in parts.get((path, "node"), [])])
+    if kind == "ForestModel":
+        return M.ForestModel(o["features"], M.ForestImportances(M.DenseVector(o["importances"])), o["kind"], o["lacking"], table)
     if kind == "BoostedTrees":
         return M.BoostedTrees(o["features"], o["base"], table, o["kind"], o["quantile"])
     return M.DistributionBoosting(o["features"], o["dist"], o["mu0"], o["log_s0"], table, o["kind"])
