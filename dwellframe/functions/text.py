@@ -65,14 +65,9 @@ def title_case(c) -> Column:
 
 def feature_label(c) -> Column:
     """"blood_creatinine" -> "Blood Creatinine": '_' -> ' ', a-z after a non-word character upper-cased."""
-    s = F.regexp_replace(_c(c), "_", " ")
-    chars = F.split(s, "")
-    def start(i):
-        prev = F.element_at(chars, F.greatest(i, F.lit(1)))
-        return F.when(i == 0, F.lit(True)).otherwise(~prev.rlike("^[A-Za-z0-9_]$"))
-
-    up = F.transform(chars, lambda ch, i: F.when(ch.rlike("^[a-z]$") & start(i), F.upper(ch)).otherwise(ch))
-    return F.array_join(up, "")
+    words = F.split(F.replace(_c(c), F.lit("_"), F.lit(" ")), "(?<=[^A-Za-z0-9_])", -1)  # each with the character that ends it
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    return F.array_join(F.transform(words, lambda w: F.concat(F.translate(F.substring(w, 1, 1), letters, letters.upper()), F.substring(w, 2, 2**31 - 1))), "")
 
 
 def units_equal(a, b) -> Column:

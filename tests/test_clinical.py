@@ -99,3 +99,20 @@ def test_day_intervals_ignore_daylight_saving(spark):
         assert r.d == 2.0 and r.n == 1.0
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_feature_label_visits_words_not_characters(spark):
+    from dwellframe.functions import text as TX
+    texts = ["blood_creatinine", "", None, "_a__b", "a-b.c d", "1a b2c", "Äa éa", "x\ny", "😀z q😀", "ABC_dEF", " lead", "trail_", "-", "it's"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r.u for r in df.select("i", TX.feature_label("t").alias("u")).orderBy("i").collect()]
+
+    def plain(t):
+        t = t.replace("_", " ")
+        ok = "abcdefghijklmnopqrstuvwxyz"
+        word = ok + ok.upper() + "0123456789_"
+        return "".join(ch.upper() if ch in ok and (i == 0 or t[i - 1] not in word) else ch for i, ch in enumerate(t))
+
+    assert got == [None if t is None else plain(t) for t in texts]
+    plan = df.select(TX.feature_label("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan.upper()
