@@ -1,7 +1,7 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Training counts n-grams of a bounded sample of labelled rows (at most
-``max_rows`` for each language, chosen by a hash of the id). A document that
+Training counts n-grams of every labelled row (``max_rows`` bounds them for each
+language where it is given). A document that
 holds an n-gram n times counts as log(1 + n), so that one very long text cannot
 outweigh its language; each task adds up a dense count vector for each language
 it meets and sends only its non-zero cells. The log-probability matrix (buckets x
@@ -16,8 +16,8 @@ The posterior says which learned language fits best, not whether it fits: it is
 about 1 for any text of some letters. ``predict(..., floor=True)`` also holds the
 mean log-likelihood per n-gram under the best language (with ``PRIOR_GRAMS``
 typical n-grams more, which a very short text needs) against the language's
-floor. The floor comes from at most about ``FIT_ROWS`` training documents of each
-language, each scored without its own counts: it lies as far below their quantile
+floor. The floor comes from all training documents of each language, each scored
+without its own counts (quantiles of a sketch of ``ACCURACY``): it lies as far below their quantile
 ``low`` as that lies below their median. It is learned from the labelled rows
 alone: a real text of a learned language whose words the training rows hardly
 know also falls below it.
@@ -49,7 +49,7 @@ SLICE = 1 << 20
 UNKNOWN = "und"
 #: Damped counts are added up as whole numbers of 1/DAMP, so sums do not depend on their order.
 DAMP = 1024
-FIT_ROWS, LOW, PRIOR_GRAMS = 2000, 0.001, 16
+LOW, PRIOR_GRAMS, ACCURACY = 0.001, 16, 100_000
 BEST_FIELDS = "lang string, total double, lse double, margin double"
 BEST = f"struct<{BEST_FIELDS.replace(' ', ': ').replace(',:', ',')}>"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -58,7 +58,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class LangBlock:
-    """Languages and the matrix of log P(bucket | language); log class shares of the whole sample; typical and least mean log-likelihood per n-gram."""
+    """Languages and the matrix of log P(bucket | language); log class shares of all training rows; typical and least mean log-likelihood per n-gram."""
 
     langs: tuple[str, ...]
     log_p: np.ndarray
@@ -98,14 +98,14 @@ def gram_buckets(text: str, buckets: int) -> Iterator[np.ndarray]:
             yield ((h * _MIX) >> shift)[first:].astype(np.int64)
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_rows: int = 8000,
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_rows: int | None = None,
           buckets: int = 1 << 17, block_langs: int = 128, alpha: float = 0.5, low: float = LOW) -> LangModel:
-    """Fit on at most about ``max_rows`` rows for each language; ``buckets`` is a power of two."""
+    """Fit on all labelled rows, or on about ``max_rows`` for each language; ``buckets`` is a power of two."""
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where("k is not null and t is not null and l is not null")
     classes = rows.groupBy("l").agg(F.count("*").alias("n")).orderBy("l").collect()  # one row a language
     langs = tuple(sorted(r.l for r in classes))
     rows_of = {r.l: r.n for r in classes}
-    sampled = sum(min(max_rows, n) for n in rows_of.values())
+    sampled = sum(min(max_rows or n, n) for n in rows_of.values())
     parts = [langs[k:k + block_langs] for k in range(0, len(langs), block_langs)]
 
     @functools.lru_cache(maxsize=1)
@@ -117,13 +117,15 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     return LangModel(langs, len(parts), block)
 
 
-def _sample(rows: DataFrame, langs: tuple[str, ...], rows_of: dict[str, int], most: int) -> DataFrame:
-    """About ``most`` rows (l, t) of each of the languages, chosen by the hash of their ids."""
+def _sample(rows: DataFrame, langs: tuple[str, ...], rows_of: dict[str, int], most: int | None) -> DataFrame:
+    """The rows (l, t) of the languages, or about ``most`` of each, chosen by the hash of their ids."""
+    if most is None:
+        return rows.where(F.col("l").isin(*langs)).select("l", "t")
     share = F.create_map(*[F.lit(v) for name in langs for v in (name, min(1.0, most / rows_of[name]))])[F.col("l")]
     return rows.where(F.pmod(F.xxhash64(F.col("k").cast("string")), F.lit(1 << 20)) < share * (1 << 20)).select("l", "t")
 
 
-def _fit_block(rows: DataFrame, langs: tuple[str, ...], rows_of: dict[str, int], sampled: int, max_rows: int, buckets: int, alpha: float, low: float) -> LangBlock:
+def _fit_block(rows: DataFrame, langs: tuple[str, ...], rows_of: dict[str, int], sampled: int, max_rows: int | None, buckets: int, alpha: float, low: float) -> LangBlock:
     place = {name: i for i, name in enumerate(langs)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +151,7 @@ def _fit_block(rows: DataFrame, langs: tuple[str, ...], rows_of: dict[str, int],
     which = np.array([place[x] for x in found.column("l").to_pylist()], np.int64)
     counts[found.column("b").to_numpy(), which] = found.column("c").to_numpy() / DAMP
     log_p = np.log(counts + alpha) - np.log(counts.sum(axis=0) + alpha * buckets)
-    prior = np.log(np.array([min(max_rows, rows_of[name]) for name in langs], float) / sampled)
+    prior = np.log(np.array([min(max_rows or rows_of[name], rows_of[name]) for name in langs], float) / sampled)
     bare = LangBlock(langs, log_p.astype(np.float32), prior, np.zeros(len(langs)), np.full(len(langs), -np.inf))
     sizes_of = counts.sum(axis=0)
     del counts, log_p
@@ -162,16 +164,16 @@ def _fit_block(rows: DataFrame, langs: tuple[str, ...], rows_of: dict[str, int],
             fine = [x for x in out if x]
             yield pa.RecordBatch.from_pydict({"k": pa.array([x[0] for x in fine], pa.int32()), "n": pa.array([x[1] for x in fine], pa.int64()), "s": pa.array([x[2] for x in fine], pa.float64())})
 
-    fits = _sample(rows, langs, rows_of, min(max_rows, FIT_ROWS)).mapInArrow(fit, "k int, n long, s double").toArrow()  # at most about FIT_ROWS numbers for each language
-    shared.unpersist()
-    which, n, sums = (fits.column(c).to_numpy() for c in ("k", "n", "s"))
+    fits = stored(_sample(rows, langs, rows_of, max_rows).mapInArrow(fit, "k int, n long, s double"), "fits")
     typical, floor = bare.typical, bare.floor
-    for k in np.unique(which).tolist():
-        mine = which == k
-        typical[k] = np.median(sums[mine] / n[mine])
-        means = (sums[mine] + PRIOR_GRAMS * typical[k]) / (n[mine] + PRIOR_GRAMS)
-        least = np.quantile(means, low, method="lower")
-        floor[k] = least - max(0.0, np.median(means) - least)
+    for r in fits.groupBy("k").agg(F.percentile_approx(F.col("s") / F.col("n"), 0.5, ACCURACY).alias("m")).collect():  # one row a language
+        typical[r["k"]] = r["m"]
+    usual = F.get(F.array(*[F.lit(float(x)) for x in typical]), F.col("k"))
+    mean = (F.col("s") + PRIOR_GRAMS * usual) / (F.col("n") + PRIOR_GRAMS)
+    for r in fits.groupBy("k").agg(F.percentile_approx(mean, [low, 0.5], ACCURACY).alias("m")).collect():
+        least, median = r["m"]
+        floor[r["k"]] = least - max(0.0, median - least)
+    shared.unpersist()
     return bare
 
 

@@ -1,6 +1,8 @@
 import random
 import zlib
 
+import numpy as np
+
 import corpus_pipeline
 from dwellframe.llm import langid
 from dwellframe.llm.queries import op5_language_id
@@ -117,3 +119,17 @@ def test_any_number_of_languages(spark):
     assert len(a) == len(rows) + 2 and {i: r.lang_pred for i, r in a.items()} == {i: r.lang_pred for i, r in b.items()}
     assert all(abs(a[i].score - b[i].score) < 1e-6 for i in a) and (a[-1].lang_pred, a[-2].lang_pred) == ("und", "und")
     assert sum(a[i].lang_pred == lang for i, _, lang, _ in rows) >= 0.98 * len(rows)
+
+
+def test_every_labelled_row_is_learned_from(spark):
+    """More rows than the old bound of 8,000: the one row that holds the words of its kind is counted, whatever its id."""
+    rows = [(i, "der hund", "de") for i in range(8500)] + [(i, "the dog", "en") for i in range(8500, 17000)]
+    rare = [(20000 + i, w * 3, "de") for i, w in enumerate(["qxqxq ", "zvzvz ", "wkwkw ", "jpjpj ", "ygygy ", "fbfbf "])]
+    docs = spark.createDataFrame(rows + rare, "doc_id long, text string, lang string").repartition(4)
+    model = langid.train(docs, buckets=1 << 14)
+    block = model.block(0)
+    unseen = block.log_p[:, 0].min()
+    for _, text, _ in rare:
+        at = np.concatenate(list(langid.gram_buckets(text, 1 << 14)))
+        assert (block.log_p[at, 0] > unseen).all()
+    assert np.isfinite(block.floor).all() and np.allclose(np.exp(block.log_prior), [8506 / 17006, 8500 / 17006])
