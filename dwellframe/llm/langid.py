@@ -46,6 +46,8 @@ from .common import stored, text_udf, with_struct
 
 ORDERS = (1, 2, 3, 4)
 SLICE = 1 << 20
+#: Code points hashed at once, and code points below which the hash's first step is looked up.
+BLOCK, FEW = 1 << 13, 1 << 10
 UNKNOWN = "und"
 #: Damped counts are added up as whole numbers of 1/DAMP, so sums do not depend on their order.
 DAMP = 1024
@@ -76,26 +78,85 @@ class LangModel:
     block: Callable[[int], LangBlock]
 
 
+@functools.lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """For code points below 2**16: 0 for what ``_NOT_LETTERS`` matches, 3 for letters, 1 for other word characters."""
+    chars = list(map(chr, range(1 << 16)))
+    word = np.array([c.isalnum() and not c.isdecimal() for c in chars])
+    return (word + 2 * np.array([c.isalpha() for c in chars]) * word).astype(np.uint8)
+
+
+def _clean_points(text: str) -> np.ndarray | None:
+    """Code points of the letters of a text, runs of others as one space, one space at both ends; None without letters."""
+    points = np.frombuffer(f" {text.lower()} ".encode("utf-32-le"), np.uint32)
+    if points.max() < 1 << 16:
+        kind = _kinds()[points]
+        if not (kind & 2).any():
+            return None
+        kept = kind > 0
+        kept[1:] |= kept[:-1]  # the first of the others behind a word stands for all of them
+        kept[0] = True
+        if not kind[1]:  # as do those before the first word
+            first = int(np.argmax(kind > 0))
+            kept[1:first] = False
+        return np.where(kind > 0, points, np.uint32(32))[kept]
+    clean = _NOT_LETTERS.sub(" ", text.lower()).strip()
+    if not any(map(str.isalpha, clean)):  # other word characters, such as superscripts, are no letters
+        return None
+    return np.frombuffer(f" {clean} ".encode("utf-32-le"), np.uint32)
+
+
 def gram_buckets(text: str, buckets: int) -> Iterator[np.ndarray]:
     """Hashed n-gram buckets of the letters of a text (other runs count as one space), in slices."""
+    if len(text) < SLICE:
+        points = _clean_points(text)
+        if points is not None:
+            yield from _slice_buckets(points, 0, buckets)
+        return
     clean = _NOT_LETTERS.sub(" ", text.lower()).strip()
-    if not any(map(str.isalpha, clean)):  # other word characters, such as superscripts, are no letters
+    if not any(map(str.isalpha, clean)):
         return
     clean = f" {clean} "
-    shift = np.uint64(64 - (buckets.bit_length() - 1))
     for start in range(0, len(clean), SLICE):
         part = clean[max(0, start - ORDERS[-1] + 1):start + SLICE]
         own = min(start, ORDERS[-1] - 1)  # code points repeated from the slice before
-        points = np.frombuffer(part.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        yield from _slice_buckets(np.frombuffer(part.encode("utf-32-le"), np.uint32), own, buckets)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """One step of the hash, in place."""
+    h *= _MIX
+    h ^= h >> np.uint64(29)
+    return h
+
+
+@functools.lru_cache(maxsize=1)
+def _first_steps() -> dict[int, np.ndarray]:
+    """The first step for the code points below ``FEW``, by order."""
+    return {n: _mixed(np.arange(FEW, dtype=np.uint64) ^ np.uint64(n)) for n in ORDERS}
+
+
+def _slice_buckets(points: np.ndarray, own: int, buckets: int) -> Iterator[np.ndarray]:
+    """The buckets of the n-grams of some code points but for those within the first ``own``; in blocks that stay in the processor's cache."""
+    shift = np.uint64(64 - (buckets.bit_length() - 1))
+    few = bool(points.max(initial=0) < FEW)
+    starts = _first_steps()
+    for at in range(0, len(points), BLOCK):
+        some = points[max(0, at - ORDERS[-1] + 1) if at else 0:at + BLOCK]
+        skip = min(at, ORDERS[-1] - 1) if at else own
+        wide = some.astype(np.uint64)
         for n in ORDERS:
-            if len(points) < n:
+            first = max(0, skip - n + 1)
+            size = len(some) - n + 1 - first
+            if size < 1:
                 continue
-            h = np.full(len(points) - n + 1, n, np.uint64)
-            for k in range(n):
-                h = (h ^ points[k:len(points) - n + 1 + k]) * _MIX
-                h ^= h >> np.uint64(29)
-            first = max(0, own - n + 1)
-            yield ((h * _MIX) >> shift)[first:].astype(np.int64)
+            h = starts[n].take(some[first:first + size]) if few else _mixed(wide[first:first + size] ^ np.uint64(n))
+            for k in range(1, n):
+                h ^= wide[first + k:first + k + size]
+                _mixed(h)
+            h *= _MIX
+            h >>= shift
+            yield h.view(np.int64)
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_rows: int | None = None,
@@ -143,7 +204,7 @@ def _fit_block(rows: DataFrame, langs: tuple[str, ...], rows_of: dict[str, int],
                     yield from flush()
                 cells = held.setdefault(name, np.zeros(buckets, np.int64))
                 at, times = _times(body, buckets)
-                cells[at] += np.rint(DAMP * np.log1p(times)).astype(np.int64)
+                cells[at] += _damped(times)
         yield from flush()
 
     found = _sample(rows, langs, rows_of, max_rows).mapInArrow(count, "l string, b long, c long").groupBy("l", "b").agg(F.sum("c").alias("c")).toArrow()
@@ -179,11 +240,42 @@ def _fit_block(rows: DataFrame, langs: tuple[str, ...], rows_of: dict[str, int],
 
 def _times(text: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """The buckets of a text and how often it holds each."""
-    parts = [np.unique(at, return_counts=True) for at in gram_buckets(text, buckets)]
-    if not parts:
+    found, held = [], 0
+    for at in gram_buckets(text, buckets):
+        found.append((at.astype(np.int32), np.ones(0)))
+        held += len(at)
+        if held >= SLICE:
+            found, held = [_counted(found)], 0
+    if not found:
         return np.zeros(0, np.int64), np.zeros(0)
-    place, back = np.unique(np.concatenate([p for p, _ in parts]), return_inverse=True)
-    return place, np.bincount(back, weights=np.concatenate([n for _, n in parts]))
+    place, times = _counted(found)
+    return place.astype(np.int64), times
+
+
+def _counted(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets and how often each occurs, of (buckets, their times; none: once each) parts."""
+    whole = [(at, times) for at, times in found if len(times)]
+    single = np.concatenate([at for at, times in found if not len(times)] or [np.zeros(0, np.int32)])
+    single.sort()
+    first = np.flatnonzero(np.append(True, single[1:] != single[:-1])) if len(single) else np.zeros(0, np.int64)
+    place, times = single[first], np.diff(np.append(first, len(single))).astype(float)
+    if not whole:
+        return place, times
+    place, back = np.unique(np.concatenate([place, *[at for at, _ in whole]]), return_inverse=True)
+    return place, np.bincount(back, weights=np.concatenate([times, *[n for _, n in whole]]))
+
+
+def _damped(times: np.ndarray) -> np.ndarray:
+    """log(1 + n) in whole units of 1/DAMP."""
+    table = _damp_table()
+    if times.max(initial=0) < len(table):
+        return table[times.astype(np.int64)]
+    return np.rint(DAMP * np.log1p(times)).astype(np.int64)
+
+
+@functools.lru_cache(maxsize=1)
+def _damp_table() -> np.ndarray:
+    return np.rint(DAMP * np.log1p(np.arange(4096.0))).astype(np.int64)
 
 
 def _without_own(m: LangBlock, total: np.ndarray, alpha: float, own: int, text: str) -> tuple[int, int, float] | None:
@@ -192,7 +284,7 @@ def _without_own(m: LangBlock, total: np.ndarray, alpha: float, own: int, text:
     if not len(at):
         return None
     log_p = m.log_p[at].astype(float)
-    mine, size = np.rint(DAMP * np.log1p(times)) / DAMP, total[own] + alpha * len(m.log_p)
+    mine, size = _damped(times) / DAMP, total[own] + alpha * len(m.log_p)
     left = np.maximum(0.0, np.exp(log_p[:, own]) * size - alpha - mine)
     log_p[:, own] = np.log(left + alpha) - np.log(size - mine.sum())
     sums = times @ log_p
@@ -221,9 +313,10 @@ def _scorer(docs: DataFrame, block: LangBlock) -> Callable[[Column], Column]:
 
     def make():
         m = shared.value
+        columns = _columns(m)
 
         def score(texts: list) -> list[tuple]:
-            return [best_of(m, t) for t in texts]
+            return [best_of(m, t, columns) for t in texts]
 
         return score
 
@@ -237,11 +330,16 @@ def _better(a: Column, b: Column) -> Column:
     return F.struct(*[F.when(first, a[x]).otherwise(b[x]).alias(x) for x in ("lang", "total")], (most + F.log1p(F.exp(least - most))).alias("lse"), F.when(first, a["margin"]).otherwise(b["margin"]).alias("margin"))
 
 
-def best_of(m: LangBlock, text: str | None) -> tuple[str | None, float | None, float | None, float | None]:
+def _columns(m: LangBlock) -> list[np.ndarray] | None:
+    """The matrix as one array a language, if there are few: sums of single columns are faster than of short rows."""
+    return [np.ascontiguousarray(m.log_p[:, k]) for k in range(len(m.langs))] if len(m.langs) <= 16 else None
+
+
+def best_of(m: LangBlock, text: str | None, columns: list[np.ndarray] | None = None) -> tuple[str | None, float | None, float | None, float | None]:
     """Best language of a block, its log-probability, the log-sum over the block, and how far the fit lies above the floor; nulls without letters."""
     total, n = m.log_prior.astype(float).copy(), 0
     for at in gram_buckets(text, len(m.log_p)) if text and m.langs else ():
-        total += m.log_p[at].sum(axis=0, dtype=np.float64)
+        total += m.log_p[at].sum(axis=0, dtype=np.float64) if columns is None else [c.take(at).sum(dtype=np.float64) for c in columns]
         n += len(at)
     if not n:
         return None, None, None, None

@@ -133,3 +133,30 @@ def test_every_labelled_row_is_learned_from(spark):
         at = np.concatenate(list(langid.gram_buckets(text, 1 << 14)))
         assert (block.log_p[at, 0] > unseen).all()
     assert np.isfinite(block.floor).all() and np.allclose(np.exp(block.log_prior), [8506 / 17006, 8500 / 17006])
+
+
+def test_clean_points_are_those_of_the_pattern():
+    rnd = random.Random(5)
+    odd = ["", " ", "1_2", "²³", "a", " ab1c_d  e", "É²x", "中文 字", "x\U0001d49c9y", "\u0130I", "a\u0301b", "\u0661\u0662z", "_a_", "\t\n"]
+    for text in odd + ["".join(rnd.choice("aZ é_9-²中\U0001f600\U0001d49c\u0301") for _ in range(rnd.randrange(1, 30))) for _ in range(500)]:
+        clean = langid._NOT_LETTERS.sub(" ", text.lower()).strip()
+        points = langid._clean_points(text)
+        if not any(map(str.isalpha, clean)):
+            assert points is None and not list(langid.gram_buckets(text, 1 << 12))
+        else:
+            assert points.tolist() == list(map(ord, f" {clean} "))
+
+
+def test_blocks_and_lookups_do_not_change_grams_or_totals(monkeypatch):
+    text = "abc déf ghij " * 300
+    found = np.sort(np.concatenate(list(langid.gram_buckets(text, 1 << 12))))
+    block = langid.LangBlock(("a", "b"), np.random.default_rng(3).normal(-9, 1, (1 << 12, 2)).astype(np.float32), np.zeros(2), np.zeros(2), np.full(2, -np.inf))
+    assert langid.best_of(block, text)[0] == langid.best_of(block, text, langid._columns(block))[0]
+    assert np.allclose(langid.best_of(block, text)[1:3], langid.best_of(block, text, langid._columns(block))[1:3])
+    monkeypatch.setattr(langid, "BLOCK", 50)
+    assert (np.sort(np.concatenate(list(langid.gram_buckets(text, 1 << 12)))) == found).all()
+    monkeypatch.setattr(langid, "FEW", 0)
+    assert (np.sort(np.concatenate(list(langid.gram_buckets(text, 1 << 12)))) == found).all()
+    place, times = langid._times(text, 1 << 12)
+    monkeypatch.setattr(langid, "SLICE", 97)
+    assert [x.tolist() for x in langid._times(text, 1 << 12)] == [place.tolist(), times.tolist()] == [np.unique(found).tolist(), np.unique(found, return_counts=True)[1].tolist()]

@@ -99,3 +99,11 @@ def test_another_kind_of_vocabulary_encodes_whole_texts():
     ids, sizes = encoder.encode(pa.array(texts))
     want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     assert not encoder.cuts and ids.tolist() == [i for w in want for i in w] and sizes.tolist() == list(map(len, want))
+
+
+def test_a_task_encodes_small_parts_of_a_batch():
+    texts = ["some words of a text " * 5000] * 100  # 10 MB
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(100)), "t": pa.array(texts)})
+    parts = list(tokens._chunks([batch]))
+    assert [x for p in parts for x in p.column(0).to_pylist()] == list(range(100))
+    assert max(sum(map(len, p.column(1).to_pylist())) for p in parts) <= (2 << 20) + len(texts[0])
