@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 BUCKET = "__bucket"
+CUT_BUCKETS = 256
 
 
 def hash_order(key, seed: int) -> Column:
@@ -67,6 +68,17 @@ def bucketize(df: DataFrame, num_col: str, n_buckets: int, uniform_range: tuple[
                       handleInvalid="keep").transform(df)
 
 
+def _with_own_values(df: DataFrame, num_col: str, n_buckets: int) -> DataFrame:
+    """Add ``__bucket``: the ranges between quantiles of ``num_col`` (even numbers) and the quantiles themselves (odd ones)."""
+    probs = [i / n_buckets for i in range(1, n_buckets)]
+    edges = sorted({float(q) for q in df.approxQuantile(num_col, probs, 1.0 / (4 * n_buckets)) if q is not None and not math.isnan(q)})
+    if not edges:
+        return df.withColumn(BUCKET, F.lit(0))
+    held, x = F.array(*[F.lit(e) for e in edges]), F.col(num_col)
+    place = _edges_below(held, x, len(edges))
+    return df.withColumn(BUCKET, 2 * place + F.coalesce(F.get(held, place) == x, F.lit(False)).cast("int"))
+
+
 def global_rank(df: DataFrame, num_col: str, tie_cols: Sequence[str] = (), out: str = "rank",
                 n_buckets: int | None = None, n_rows: int | None = None,
                 uniform_range: tuple[float, float] | None = None) -> DataFrame:
@@ -119,17 +131,19 @@ def cut_at(df: DataFrame, num_col: str, tie_cols: Sequence[str], k,
     holding the k-th row until it has at most ``max_rows_in_task`` rows, then
     ranks that bucket alone.  Only bucket counts and the final row reach the
     driver.  A bucket whose rows all share one value is narrowed by the tie
-    columns in turn (numbers by value, text by its first six bytes).
+    columns in turn (numbers by value, text by its first six bytes).  A value at a
+    boundary is a bucket of its own, so a value that most rows share is parted
+    from its neighbours however few these are.
     """
     cols = [num_col, *tie_cols]
     cur = df.select(*cols)
-    nb = n_buckets or default_buckets(df)
+    nb = n_buckets or max(CUT_BUCKETS, default_buckets(df))
     total = None
     rng = uniform_range
     by, later, it = num_col, list(tie_cols), -1
     while True:
         it += 1
-        b = bucketize(cur, by, nb, rng)
+        b = bucketize(cur, by, nb, rng) if rng is not None else _with_own_values(cur, by, nb)
         counts = sorted((int(r[BUCKET]), int(r["c"])) for r in
                         b.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("c")).collect())
         total = sum(c for _, c in counts)
@@ -149,7 +163,10 @@ def cut_at(df: DataFrame, num_col: str, tie_cols: Sequence[str], k,
             rng = (rng[0] + bid * w, rng[0] + (bid + 1) * w)
         if c <= max_rows_in_task:
             break
-        if len(counts) == 1 and (ends := cur.agg(F.min(by).alias("a"), F.max(by).alias("b")).first())["a"] == ends["b"]:
+        if len(counts) > 1 and (rng is not None or bid % 2 == 0):
+            continue
+        ends = cur.agg(F.min(by).alias("a"), F.max(by).alias("b")).first()
+        if ends["a"] == ends["b"]:
             # the bucket cannot be split on this column: go on with the next one
             lo = cur.agg(*[F.min(x).alias(x) for x in cols]).first()
             hi = cur.agg(*[F.max(x).alias(x) for x in cols]).first()
@@ -160,6 +177,11 @@ def cut_at(df: DataFrame, num_col: str, tie_cols: Sequence[str], k,
                 break  # text that differs behind its first six bytes only
             cur, by, rng = cur.withColumn("__next", _monotone(cur, later[0])), "__next", None
             later = later[1:]
+        elif len(counts) == 1:
+            if rng is None:
+                break  # values that no boundary parts (not numbers)
+            if rng[1] - rng[0] <= math.ulp(max(map(abs, rng))) * nb:
+                rng = None  # a range as narrow as its numbers are exact: by quantiles from here on
     # at most max_rows_in_task rows, unless they differ only where no column can part them
     counted = cur.groupBy(*cols).agg(F.count(F.lit(1)).alias("__same"))
     upto = counted.withColumn("__upto", F.sum("__same").over(Window.orderBy(*[F.col(c) for c in cols])))
@@ -208,7 +230,7 @@ GKEY = "__gk"
 ROWS_PER_BUCKET = 2_000_000
 
 
-def _edges_below(edges: str, value: Column, n: int) -> Column:
+def _edges_below(edges: str | Column, value: Column, n: int) -> Column:
     """Number of edges (sorted array of at most n) below the value, by binary search."""
     steps = [1 << k for k in reversed(range(n.bit_length()))]
     return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0),

@@ -1,6 +1,10 @@
 """Split, tail split, folds: sizes, determinism, partition invariance."""
+import math
+
+import pytest
 from pyspark.sql import functions as F
 
+from dwellframe.operators import ranking
 from dwellframe.operators import split as SP
 
 
@@ -102,3 +106,23 @@ def test_cut_at_counts_equal_rows(spark):
             row, place, same = R.cut_at(df, "v", ["k"], k, n_buckets=4, max_rows_in_task=most)
             at = (row.v, row.k is not None, row.k or 0)
             assert at == rows[k - 1] and same == rows.count(at) and place == k - rows.index(at)
+
+
+@pytest.mark.parametrize("values", [[5.0] * 1000 + [6.0 + k for k in range(20)], [float("-inf")] * 900 + [1.0] * 30 + [2.0], [3.0] * 500 + [float("nan")] * 600, [-1.0] + [0.0] * 2000 + [0.5, float("inf")]])
+def test_cut_parts_a_value_that_most_rows_share(spark, monkeypatch, values):
+    calls = []
+
+    def counted(*a, **kw):
+        calls.append(a)
+        assert len(calls) < 30, "the bucket of the wanted row does not get smaller"
+        return bucketize(*a, **kw)
+
+    bucketize = ranking.bucketize
+    monkeypatch.setattr(ranking, "bucketize", counted)
+    df = spark.createDataFrame([(x, i % 3) for i, x in enumerate(values)], "x double, t int")
+    ordered = sorted(((x, i % 3) for i, x in enumerate(values)), key=lambda r: (math.isnan(r[0]), 0.0 if math.isnan(r[0]) else r[0], r[1]))
+    for k in (1, len(values) // 2, len(values) - 1, len(values)):
+        row, place, same = ranking.cut_at(df, "x", ["t"], k, n_buckets=16, max_rows_in_task=10)
+        want = ordered[k - 1]
+        equal = [i for i, r in enumerate(ordered, 1) if repr(r) == repr(want)]
+        assert (repr(row["x"]), row["t"], place, same) == (repr(want[0]), want[1], k - equal[0] + 1, len(equal))
