@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import shared_path
+from .common import shared_path, small_batches
 
 SCHEMA = "shard int, block int, start long, bits int, n_ids int, payload binary, doc_ids array<long>, ends array<int>"
 CACHE = 1_000_000
@@ -327,7 +327,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, text: str = "text", key: s
         if names:
             yield row()
 
-    ordered.select("id", "t").mapInArrow(encode, SCHEMA).write.option("compression", "zstd").parquet(path)
+    with small_batches(docs.sparkSession):
+        ordered.select("id", "t").mapInArrow(encode, SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

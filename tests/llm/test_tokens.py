@@ -107,3 +107,15 @@ def test_a_task_encodes_small_parts_of_a_batch():
     parts = list(tokens._chunks([batch]))
     assert [x for p in parts for x in p.column(0).to_pylist()] == list(range(100))
     assert max(sum(map(len, p.column(1).to_pylist())) for p in parts) <= (2 << 20) + len(texts[0])
+
+
+def test_writing_hands_python_small_batches(spark, tmp_path):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was, seen = spark.conf.get(name), []
+    rows = spark.range(3000).selectExpr("id as doc_id", "concat('text ', id) as text")
+    with tokens.small_batches(spark):
+        sizes = rows.coalesce(1).mapInArrow(lambda batches: (b.slice(0, 1) for b in batches), rows.schema).count()
+        seen.append(int(spark.conf.get(name)))
+    assert seen == [1024] and sizes == 3 and spark.conf.get(name) == was
+    tokens.write(rows, str(tmp_path / "blocks"), PATH)
+    assert spark.conf.get(name) == was
