@@ -147,10 +147,16 @@ class Quantile:
 
 @dataclass
 class Squared:
-    """Squared error: gradient z - F; a leaf holds the mean residual, shrunk by ``l2`` rows."""
+    """Squared error: gradient z - F; a leaf holds the mean residual, shrunk by ``l2`` rows.
+
+    A head may have a depth and a rate of its own, and another rate for its first tree.
+    """
 
     l2: float = 0.0
     width: int = 1
+    depth: int | None = None
+    rate: float | None = None
+    first_rate: float | None = None
 
     def gradients(self, z: np.ndarray, f: list[np.ndarray]) -> list[np.ndarray]:
         return [np.rint(FIXED * (z - f[0])).astype(np.int64)]
@@ -296,6 +302,23 @@ def _summed(state: _State, shape: tuple[int, ...], task, *sent) -> np.ndarray:
     return np.concatenate(parts).reshape(shape)
 
 
+class Tally:
+    """Sums of whole numbers w >= 0 and g by cell. Both are added up as one number, w in the units above the
+    largest sum of g, where doubles hold that exactly (below 2**53), else each by itself (a block's sums stay below it)."""
+
+    def __init__(self, w: np.ndarray, g: np.ndarray):
+        self.w, self.g = w, g
+        self.unit = 2.0 ** (math.frexp(float(np.abs(g).sum()))[1] + 1)
+        self.both = w * self.unit + g if (float(w.sum()) + 1) * self.unit < 2.0 ** 53 else None
+
+    def __call__(self, cell: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        if self.both is None:
+            return tuple(np.bincount(cell, weights=x, minlength=size).astype(np.int64) for x in (self.w, self.g))
+        total = np.bincount(cell, weights=self.both, minlength=size)
+        n = np.rint(total / self.unit)
+        return n.astype(np.int64), (total - n * self.unit).astype(np.int64)
+
+
 def _level(codes, z, f, heads, trees, level):
     """Counts and gradient sums by (tree, node of the level, feature, code)."""
     n_nodes, width = 1 << level, trees[0][0].missing + 1
@@ -307,12 +330,11 @@ def _level(codes, z, f, heads, trees, level):
             some = node >= 0  # rows of leaves above this level wait there
             everyone = bool(some.all())
             base = width * (node if everyone else node[some])
-            weights = (g if everyone else g[some]).astype(float)
+            tally = Tally(np.ones(len(base)), (g if everyone else g[some]).astype(float))
             for j, code in enumerate(codes):
                 cell = base + (code if everyone else code[some])
-                out[t, :, j, :, 0] += np.bincount(cell, minlength=n_nodes * width).reshape(n_nodes, -1)
-                # a batch's sums stay below 2**53, where doubles count exactly
-                out[t, :, j, :, 1] += np.bincount(cell, weights=weights, minlength=n_nodes * width).reshape(n_nodes, -1).astype(np.int64)
+                for k, x in enumerate(tally(cell, n_nodes * width)):
+                    out[t, :, j, :, k] = x.reshape(n_nodes, -1)
             t += 1
     return out
 
@@ -418,13 +440,19 @@ class Fitted:
 def fit(df: DataFrame, features: Sequence[str], target: str, heads: list, rounds: int, depth: int, rate: float,
         min_rows: int = 1, bins: int = 64, every: int = 10, edges: list[list[float]] | None = None) -> Fitted:
     """Boost all heads on the rows of ``df`` with a target (features may be missing)."""
-    spark, p = df.sparkSession, len(features)
-    bins = min(bins, MAX_BINS)
+    spark = df.sparkSession
     root = scratch(spark, "boosting")
     y = F.col(f"`{target}`").cast("double")
     plain = df.where(y.isNotNull() & ~F.isnan(y)).select(*[F.col(f"`{f}`").cast("double").alias(f"x{i}") for i, f in enumerate(features)], y.alias("y"))
     plain.write.parquet(f"{root}/rows")  # the only read of the source
     plain = spark.read.schema(plain.schema).parquet(f"{root}/rows")
+    return fit_rows(plain, features, heads, rounds, depth, rate, min_rows, bins, every, edges, target)
+
+
+def fit_rows(plain: DataFrame, features: Sequence[str], heads: list, rounds: int, depth: int, rate: float, min_rows: int = 1, bins: int = 64,
+             every: int = 10, edges: list[list[float]] | None = None, target: str = "y") -> Fitted:
+    """Boost all heads on stored rows x0, x1, ..., y."""
+    p, bins = len(features), min(bins, MAX_BINS)
     stats = plain.agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("m"), F.stddev_pop("y").alias("s")).first()
     n, center, scale = stats["n"], stats["m"] or 0.0, stats["s"] if stats["s"] and stats["s"] > 0 else 1.0
     if not n:
@@ -439,7 +467,7 @@ def fit(df: DataFrame, features: Sequence[str], target: str, heads: list, rounds
     state = _State(blocks, tasks, p, bins, heads)
     grown: list[list[tuple[int, list[tuple]]]] = [[] for _ in heads]
     for r in range(rounds):
-        trees = _round(state, depth, rate, min_rows, edges)
+        trees = _round(state, depth, [_rate(h, rate, r) for h in heads], min_rows, edges)
         for k, own in enumerate(trees):
             grown[k] += [(i, t.table_nodes(edges, scale if i == 0 else 1.0)) for i, t in enumerate(own)]
         state.recent.append(trees)
@@ -465,7 +493,14 @@ def quantile_edges(plain: DataFrame, names: list[str], bins: int, given: list[li
 def code_blocks(plain: DataFrame, edges: list[list[float]], bins: int, center: float, scale: float, n: int, flat: list[float]) -> tuple[RDD, int]:
     """The held blocks (codes, standardised target, first predictions) of rows x0, x1, ..., y, and their number of tasks."""
     p = len(edges)
-    codes = [F.when(F.col(x).isNull() | F.isnan(x), F.lit(bins)).otherwise(_code(F.col(x), own)).cast("tinyint").alias(x) for x, own in zip([f"x{i}" for i in range(p)], edges, strict=True)]
+    names = [f"x{i}" for i in range(p)]
+    held = [np.array(own, float) for own in edges]
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(i).to_numpy(zero_copy_only=False).astype(float, copy=False) for i in range(p)]
+            coded = [np.where(np.isnan(x), bins, np.searchsorted(own, x)).astype(np.int8) for x, own in zip(columns, held, strict=True)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, coded), batch.column(p)], names=[*names, "z"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -475,20 +510,11 @@ def code_blocks(plain: DataFrame, edges: list[list[float]], bins: int, center: f
                 yield pa.RecordBatch.from_pydict({"n": pa.array([n_rows], pa.int32()), **{name: pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for name, x in zip(("codes", "z", "f"), arrays, strict=True)}})
 
     tasks = _tasks(plain.sparkSession, n)
-    rows = plain.select(*codes, ((F.col("y") - center) / scale).alias("z"))
+    rows = plain.select(*names, ((F.col("y") - center) / scale).alias("z")).mapInArrow(code, ", ".join([*(f"{x} tinyint" for x in names), "z double"]))
     rows = rows.coalesce(1) if tasks == 1 else rows.repartition(tasks)  # in even shares
     return _held(rows.mapInArrow(pack, BLOCKS).rdd.map(_arrays)), tasks
 
 
-def _code(x, edges: list[float]):
-    """Number of edges below x, by binary search."""
-    if not edges:
-        return F.lit(0)
-    held = F.array(*[F.lit(float(e)) for e in edges])
-    steps = [1 << k for k in reversed(range(len(edges).bit_length()))]
-    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, s: F.when(F.coalesce(F.get(held, at + s - 1) < x, F.lit(False)), at + s).otherwise(at))
-
-
 def _tasks(spark, rows: int) -> int:
     """Tasks of a pass: as many as run at once, with no fewer than ROWS_A_TASK rows each and about MOST_ROWS_A_TASK at most."""
     return max(1, min(-(-rows // ROWS_A_TASK), max(spark.sparkContext.defaultParallelism, -(-rows // MOST_ROWS_A_TASK))))
@@ -508,7 +534,14 @@ def _advanced(state: _State) -> RDD:
     return state.blocks.map(lambda b: (b[0], b[1], np.stack([x for own in _up_to_date(b[0], b[2], heads, recent) for x in own])))
 
 
-def _round(state: _State, depth: int, rate: float, min_rows: int, edges: list[list[float]]) -> list[list[_Tree]]:
+def _rate(head, rate: float, r: int) -> float:
+    """The rate of a head's tree of round ``r``."""
+    own = getattr(head, "first_rate", None) if r == 0 else None
+    own = getattr(head, "rate", None) if own is None else own
+    return rate if own is None else own
+
+
+def _round(state: _State, depth: int, rates: list[float], min_rows: int, edges: list[list[float]]) -> list[list[_Tree]]:
     """One tree for each output of each head, with leaf values."""
     heads, p = state.heads, state.p
     trees = [[_Tree(depth, state.bins) for _ in range(h.width)] for h in heads]
@@ -517,7 +550,8 @@ def _round(state: _State, depth: int, rate: float, min_rows: int, edges: list[li
     for level in range(depth):
         table = _summed(state, (len(flat), 1 << level, p, state.bins + 1, 2), _level, heads, trees, level)
         tables.append(table)
-        split = [_split(table[k], t, level, min_rows, getattr(h, "l2", 0.0), edges) for k, (h, t) in enumerate(flat)]
+        most = [depth if getattr(h, "depth", None) is None else h.depth for h, _ in flat]
+        split = [level < most[k] and _split(table[k], t, level, min_rows, getattr(h, "l2", 0.0), edges) for k, (h, t) in enumerate(flat)]
         if not any(split):
             break
     for k, (h, t) in enumerate(flat):
@@ -534,6 +568,7 @@ def _round(state: _State, depth: int, rate: float, min_rows: int, edges: list[li
             if isinstance(h, Normal):
                 for t in trees[k]:
                     t.value *= STEPS[int(np.argmin(losses[k, :, 0]))]
-    for _, t in flat:
-        t.value *= rate
+    for own, rate in zip(trees, rates, strict=True):
+        for t in own:
+            t.value *= rate
     return trees

@@ -9,7 +9,8 @@
 * Stacking: out-of-fold predictions of each base model, then a ridge
   meta-learner on them.
 * Random search: seeded sample of a parameter grid scored by ``CrossValidator``
-  with an explicit fold column.
+  with an explicit fold column; MLlib's squared-error boosting by its own rules in
+  :mod:`boosting`, all candidates of a fold on one state.
 
 Every fitted model carries its own feature list; scoring uses that list.  Rows
 without a target are never fitted.  Rows that lack a feature are one rule for
@@ -31,7 +32,7 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.linalg import DenseVector
-from pyspark.ml.regression import RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -374,7 +375,9 @@ def random_search(df: DataFrame, features: Sequence[str], target: str, estimator
                   fold: str = "fold", metric: str = "r2", seed: int = 42, parallelism: int = 4):
     """Seeded sample of ``n_iter`` parameter combinations scored by ``CrossValidator(foldCol=...)``.
 
-    Empty grid -> plain fit.  Returns (best model, score table rows).
+    Depths, steps and numbers of trees of MLlib's squared-error boosting are scored by
+    :func:`_boosting_scores`, and the best is refitted. Empty grid -> plain fit.
+    Returns (best model, score table rows).
     """
     d = assemble(df.filter(F.col(target).isNotNull()).na.drop(subset=list(features)), features) \
         .withColumn(fold, F.col(fold).cast("int"))
@@ -388,6 +391,11 @@ def random_search(df: DataFrame, features: Sequence[str], target: str, estimator
     for combo in picked:
         maps.append({estimator.getParam(k): v for k, v in zip(keys, combo)})
     ev = RegressionEvaluator(labelCol=target, predictionCol="prediction", metricName=metric)
+    if _shares_trees(estimator, target, keys, metric):
+        scores = _boosting_scores(d, features, target, estimator, [dict(zip(keys, c)) for c in picked], fold, metric, parallelism)
+        best = int(np.argmax(scores) if ev.isLargerBetter() else np.argmin(scores))
+        rows = [(dict(zip(keys, combo)), s) for combo, s in zip(picked, scores)]
+        return estimator.fit(d.select(VEC, target), maps[best]), rows
     k = d.agg(F.max(fold)).first()[0] + 1
     cv = CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=ev, foldCol=fold, numFolds=k,
                         parallelism=parallelism, collectSubModels=False, seed=seed)
@@ -396,6 +404,85 @@ def random_search(df: DataFrame, features: Sequence[str], target: str, estimator
     return fitted.bestModel, rows
 
 
+def _shares_trees(est, target: str, keys: Sequence[str], metric: str) -> bool:
+    """Whether the candidates are MLlib's squared-error boosting on all rows and features, and differ by depth, step and number of trees only."""
+    return (type(est) is GBTRegressor and set(keys) <= {"maxDepth", "maxIter", "stepSize"} and metric in ("r2", "mse", "rmse", "mae")
+            and est.getLossType().lower() == "squared" and est.getSubsamplingRate() == 1.0 and est.getFeatureSubsetStrategy().lower() == "all"
+            and est.getMinInfoGain() == 0.0 and est.getMinWeightFractionPerNode() == 0.0 and est.getMaxBins() <= B.MAX_BINS
+            and not est.isSet("weightCol") and not est.isSet("validationIndicatorCol")
+            and (est.getFeaturesCol(), est.getLabelCol(), est.getPredictionCol()) == (VEC, target, "prediction"))
+
+
+def _mllib_edges(values: np.ndarray, bins: int) -> list[float]:
+    """Split candidates of a feature as MLlib picks them from all its values: midpoints nearest to even shares of the rows."""
+    distinct, counts = np.unique(values + 0.0, return_counts=True)
+    middles = (distinct[:-1] + distinct[1:]) / 2
+    splits = min(bins, len(values)) - 1
+    if len(middles) <= splits:
+        return middles.tolist()
+    below, stride, out = np.cumsum(counts), len(values) / (splits + 1), []
+    goal = stride
+    for i, middle in enumerate(middles):
+        if abs(below[i] - goal) < abs(below[i + 1] - goal):
+            out.append(float(middle))
+            goal += stride
+    return out
+
+
+def _boosting_scores(d: DataFrame, features: Sequence[str], target: str, est, cands: list[dict], fold: str, metric: str, parallelism: int) -> list[float]:
+    """Mean held-out metric of every candidate, with MLlib's rules of boosting.
+
+    All candidates of a fold grow on one state (a head for each depth and step), and fewer trees
+    are the first of more. As in MLlib the first tree counts in full, the others fit twice the
+    residual, and a fold of up to 10,000 rows (or bins squared) gets split candidates from all its
+    values; where MLlib samples that many rows of a larger one, a quantile sketch reads them all.
+    """
+    p = len(features)
+    names = [f"x{i}" for i in range(p)]
+    root = B.scratch(d.sparkSession, "search")
+    plain = d.select(*[F.col(f"`{f}`").cast("double").alias(x) for f, x in zip(features, names)], F.col(target).cast("double").alias("y"), F.col(fold).alias("fold"))
+    plain.write.parquet(f"{root}/rows")
+    plain = d.sparkSession.read.schema(plain.schema).parquet(f"{root}/rows")
+    odd = F.isnan("y") | (F.abs("y") == float("inf"))
+    rows = {r["fold"]: r for r in plain.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.count_if(odd).alias("odd")).collect()}  # k values
+    if any(r["odd"] for r in rows.values()):
+        raise ValueError(f"labels must be finite numbers; some of {target} are not")
+    if None in rows or len(rows) < 2 or sorted(rows) != list(range(len(rows))):
+        raise ValueError(f"folds must be 0, 1, ... without a gap, at least two, not {sorted(rows, key=str)}")
+    total = sum(r["n"] for r in rows.values())
+    full = [{k: c.get(k, est.getOrDefault(k)) for k in ("maxDepth", "stepSize", "maxIter")} for c in cands]
+    kinds = sorted({(c["maxDepth"], c["stepSize"]) for c in full})
+    ends = sorted({c["maxIter"] for c in full})
+    place = [(kinds.index((c["maxDepth"], c["stepSize"])), ends.index(c["maxIter"])) for c in full]
+    bins = est.getMaxBins()
+
+    def of_fold(i: int) -> list[float]:
+        train, held = plain.where(F.col("fold") != i), plain.where(F.col("fold") == i)
+        edges = None
+        if total - rows[i]["n"] <= max(bins * bins, 10_000):
+            x = train.select(*names).toPandas().to_numpy()
+            edges = [_mllib_edges(x[:, j], bins) for j in range(p)]
+        heads = [B.Squared(depth=depth, rate=2 * step, first_rate=1.0) for depth, step in kinds]
+        f = B.fit_rows(train, names, heads, ends[-1], max(depth for depth, _ in kinds), 1.0, est.getMinInstancesPerNode(), bins, edges=edges, target=target)
+        # an output is what the trees add from one number of trees to the next
+        nodes = [(ends[-1] * h + t, h * len(ends) + int(np.searchsorted(ends, t + 1)), *node) for h, own in enumerate(f.tables) for t, _, *node in own.rows()]
+        adds = [f"__add{j}" for j in range(len(kinds) * len(ends))]
+        scored = B.TreeTable.from_rows(names, nodes).add_sums(held, adds)
+        errors = []
+        for h, end in place:
+            pred = F.lit(f.starts[h][0])
+            for j in range(end + 1):
+                pred = pred + F.col(adds[h * len(ends) + j])
+            errors.append(F.col("y") - pred)
+        by = F.abs if metric == "mae" else (lambda e: e * e)
+        row = scored.agg(F.var_pop("y").alias("v"), *[F.avg(by(e)).alias(f"e{c}") for c, e in enumerate(errors)]).first()
+        found = np.array([row[f"e{c}"] for c in range(len(cands))])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return (1 - found / row["v"] if metric == "r2" else np.sqrt(found) if metric == "rmse" else found).tolist()
+
+    return np.mean(parallel_map(of_fold, range(len(rows)), parallelism), axis=0).tolist()
+
+
 def regression_metrics_row(pred: DataFrame, y: str, p: str = "y_pred") -> dict:
     from . import evaluate as EV
     r = EV.regression_metrics(pred.withColumn("target", F.lit("t")).withColumn("model", F.lit("m")), y=y, p=p).first()

@@ -163,3 +163,33 @@ def test_least_squares_of_dependent_features(spark):
     m = M.fit_ols(df, ["x", "a", "b", "c", "one"], "y")
     assert np.isfinite(m.coef).all() and abs(m.coef[1:4].sum()) < 1e-6 and m.coef[4] == 0
     assert max(abs(r.y_pred - r.y) for r in m.predict(df).collect()) < 1e-6
+
+
+def test_boosting_search_scores_as_cross_validation_does(spark, monkeypatch):
+    """MLlib's boosting: the scores of CrossValidator, and no MLlib fit but that of the best candidate."""
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.regression import GBTRegressor
+    from pyspark.ml.tuning import CrossValidator
+    rng = np.random.default_rng(5)
+    x = np.column_stack([rng.normal(size=600), rng.integers(0, 4, 600), rng.exponential(size=600)])
+    y = np.sin(2 * x[:, 0]) + x[:, 1] * (x[:, 2] > 1) + rng.normal(0, 0.3, 600)
+    df = spark.createDataFrame([(*map(float, a), float(b), i % 3) for i, (a, b) in enumerate(zip(x, y))], "x1 double, x2 double, x3 double, ktv double, fold int")
+    est = GBTRegressor(featuresCol=M.VEC, labelCol="ktv", lossType="squared", seed=42)
+    grid = {"maxDepth": [1, 2], "maxIter": [2, 5], "stepSize": [0.1, 0.3]}
+    maps = [{est.maxDepth: a, est.maxIter: b, est.stepSize: c} for a in grid["maxDepth"] for b in grid["maxIter"] for c in grid["stepSize"]]
+    plain = M.assemble(df, ["x1", "x2", "x3"])
+    fits = []
+    for metric in ("r2", "mae"):
+        cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=RegressionEvaluator(labelCol="ktv", metricName=metric), foldCol="fold", numFolds=3, parallelism=4)
+        expected = cv.fit(plain)
+        with monkeypatch.context() as m:
+            own = GBTRegressor._fit
+            m.setattr(GBTRegressor, "_fit", lambda self, d: fits.append(1) or own(self, d))
+            m.setattr(GBTRegressor, "fitMultiple", lambda *_: pytest.fail("refits every candidate"))
+            model, rows = M.random_search(df, ["x1", "x2", "x3"], "ktv", est, grid, fold="fold", metric=metric)
+        assert [p for p, _ in rows] == [{k.name: v for k, v in pm.items()} for pm in maps]
+        assert [s for _, s in rows] == pytest.approx(expected.avgMetrics, rel=1e-5)
+        assert model.getNumTrees == expected.bestModel.getNumTrees and model.transform(plain).count() == 600
+    assert len(fits) == 2
+    with pytest.raises(ValueError, match="folds"):
+        M.random_search(df.withColumn("fold", F.col("fold") * 2), ["x1", "x2", "x3"], "ktv", est, grid)
