@@ -38,25 +38,23 @@ def _weights(seed: int, tree: int, place: tuple[int, int], rows: int) -> np.ndar
 
 def _reached(nodes: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """The node that each row ends in."""
-    at, line = np.zeros(codes.shape[1], np.int64), np.arange(codes.shape[1])
-    while True:
-        feature = nodes[at, FEATURE].astype(np.int64)
-        inner = feature >= 0
-        if not inner.any():
-            return at
-        left = codes[np.maximum(feature, 0), line] <= nodes[at, UPTO]
-        at = np.where(inner, np.where(left, nodes[at, LEFT], nodes[at, RIGHT]).astype(np.int64), at)
+    inner = nodes[:, FEATURE] >= 0
+    # a leaf is its own child; the rows' codes and the children are looked up in flat arrays
+    child = np.where(inner[:, None], nodes[:, [LEFT, RIGHT]], np.arange(len(nodes))[:, None]).astype(np.int64).ravel()
+    start, upto = np.where(inner, nodes[:, FEATURE], 0).astype(np.int64) * codes.shape[1], nodes[:, UPTO].astype(np.int8)
+    at, line, flat = np.zeros(codes.shape[1], np.int64), np.arange(codes.shape[1]), codes.ravel()
+    while inner[at].any():
+        at = child[2 * at + (flat[start[at] + line] > upto[at])]
+    return at
 
 
 def _table(slot: np.ndarray, n_slots: int, codes: np.ndarray, w: np.ndarray, g: np.ndarray, bins: int) -> np.ndarray:
     """Counts and sums by (slot, feature, code)."""
     out = np.zeros((n_slots, len(codes), bins, 2), np.int64)
-    base = slot * bins
+    base, tally = slot * bins, B.Tally(w.astype(float), g.astype(float))
     for j, code in enumerate(codes):
-        cell = base + code
-        for k, x in enumerate((w, g)):
-            # sums of a block or of a small node stay below 2**53, where doubles count exactly
-            out[:, j, :, k] = np.bincount(cell, weights=x, minlength=n_slots * bins).reshape(n_slots, bins)
+        for k, x in enumerate(tally(base + code, n_slots * bins)):
+            out[:, j, :, k] = x.reshape(n_slots, bins)
     return out
 
 

@@ -3,6 +3,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from dwellframe.operators import boosting as B
 from dwellframe.operators import forest as FO
 from dwellframe.operators import models as M
 
@@ -63,3 +64,40 @@ def test_forest_fits_ranks_features_and_uses_no_query_per_level(spark):
     assert isinstance(m, M.ForestModel)  # MLlib's sends a dense table of every node, however few its rows
     with pytest.raises(Exception, match="lacks a feature"):
         m.predict(spark.createDataFrame([(None, 1.0, 1.0)], "a double, b double, c double")).collect()
+
+
+def test_tally_is_exact_packed_or_not():
+    rng = np.random.default_rng(3)
+    cell, w = rng.integers(0, 50, 5000), rng.poisson(1.0, 5000).astype(float)
+    for size, packed in ((1 << 22, True), (1 << 38, False)):
+        g = rng.integers(-size, size, 5000).astype(float)
+        tally = B.Tally(w, g)
+        assert (tally.both is not None) == packed
+        n, s = tally(cell, 60)
+        expect = [np.zeros(60, np.int64), np.zeros(60, np.int64)]
+        for own, x in zip(expect, (w, g), strict=True):
+            np.add.at(own, cell, x.astype(np.int64))
+        assert (n == expect[0]).all() and (s == expect[1]).all()
+
+
+def test_rows_reach_the_node_that_a_walk_ends_in():
+    rng = np.random.default_rng(4)
+    codes = rng.integers(0, 32, (5, 500)).astype(np.int8)
+    g = np.rint(B.FIXED * (codes[0] * 0.1 + (codes[1] > codes[2]) + rng.normal(size=500)))
+    nodes = FO._subtree(codes, np.ones(500, np.int64), g.astype(np.int64), 6, 32)
+    walked = []
+    for row in codes.T:
+        at = 0
+        while nodes[at, FO.FEATURE] >= 0:
+            at = int(nodes[at, FO.LEFT if row[int(nodes[at, FO.FEATURE])] <= nodes[at, FO.UPTO] else FO.RIGHT])
+        walked.append(at)
+    assert len(set(walked)) > 10 and FO._reached(nodes, codes).tolist() == walked
+
+
+def test_codes_are_numbers_of_edges_below(spark):
+    edges = [[-1.0, 0.0, 2.5], []]
+    values = [None, float("nan"), float("-inf"), -1.0, -0.0, 0.0, 0.1, 2.5, 2.6, float("inf")]
+    plain = spark.createDataFrame([(v, 1.0, 0.0) for v in values], "x0 double, x1 double, y double").coalesce(1)
+    blocks, tasks = B.code_blocks(plain, edges, 8, 0.0, 1.0, len(values), [])
+    codes = np.concatenate([c for c, _, _ in blocks.collect()], axis=1)
+    assert tasks == 1 and codes[0].tolist() == [8, 8, 0, 0, 1, 1, 2, 2, 3, 3] and not codes[1].any()
