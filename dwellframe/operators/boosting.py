@@ -10,9 +10,13 @@
   the splits. Missing values go to the side that gains more.
 * All heads of a fit (several quantiles, or mean and spread) share the state and
   the aggregates, so three quantiles cost the jobs of one.
-* Predictions are brought up to date in the tasks from the trees since the state
-  was checkpointed; it is checkpointed anew every ``every`` rounds, so lineage
-  stays short and a lost executor costs at most that many trees.
+* Where all tasks of a pass can run at the same time (:func:`together.slots`), many
+  rounds are one barrier job: the tasks keep their rows and predictions in memory,
+  add up their tables through the shared folder and pick the same splits. The
+  state is checkpointed anew every ``TOGETHER_ROUNDS`` rounds.
+* Elsewhere a level is a job. Predictions are brought up to date in the tasks from
+  the trees since the state was checkpointed; it is checkpointed anew every ``every``
+  rounds, so lineage stays short and a lost executor costs at most that many trees.
 * Sums are of fixed-point numbers, so with given bin edges a fit does not depend on
   partitions or order; edges that are not given come from a quantile sketch.
 
@@ -35,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
+from . import together as T
 
 #: Codes below the number of bins are bins, that number stands for a missing value (a signed byte holds both).
 MAX_BINS = 126
@@ -45,6 +50,8 @@ RESIDUAL_BINS, NEAR, FAR = 1024, 0.003, 1e4
 STEPS = (0.5, 1.0, 2.0, 4.0, 8.0)
 #: Fewer rows than this are not worth a task of their own, more than this are not left to one while there are others.
 ROWS_A_TASK, MOST_ROWS_A_TASK = 16_000, 1_000_000
+#: Rounds of a barrier job: a failure costs so many at most. Its tasks are worth as many times ROWS_A_TASK rows each.
+TOGETHER_ROUNDS, TOGETHER_ROWS = 100, 4
 
 
 # ------------------------------------------------------------------ tree table
@@ -255,6 +262,9 @@ class _State:
     heads: list
     recent: list = field(default_factory=list)
 
+    def summed(self, shape: tuple[int, ...], task, *sent) -> np.ndarray:
+        return _summed(self, shape, task, *sent)
+
 
 #: A block of rows on its way into the state: codes (features x rows, bytes), target and predictions (outputs x rows, doubles).
 BLOCKS = "n int, codes binary, z binary, f binary"
@@ -302,6 +312,64 @@ def _summed(state: _State, shape: tuple[int, ...], task, *sent) -> np.ndarray:
     return np.concatenate(parts).reshape(shape)
 
 
+class _Here:
+    """The state in the memory of one of the tasks that grow trees together."""
+
+    def __init__(self, blocks: list[tuple], bins: int, heads: list, recent: list, exchange: T.Exchange):
+        if blocks:
+            self.codes, self.z, f = (np.concatenate(x, axis=-1) for x in zip(*blocks, strict=True))
+        else:
+            self.codes, self.z, f = np.zeros((0, 0), np.int8), np.zeros(0), np.zeros((sum(h.width for h in heads), 0))
+        blocks.clear()
+        self.f = list(f)
+        self.p, self.bins, self.heads, self.exchange = len(self.codes), bins, heads, exchange
+        self.packed = T.Packed(self.codes)
+        self.parts = [slice(a, a + T.ROWS) for a in range(0, len(self.z), T.ROWS)]
+        for trees in recent:
+            self.add(trees)
+
+    def _own(self, part: slice) -> list[list[np.ndarray]]:
+        at = iter(self.f)
+        return [[next(at)[part] for _ in range(h.width)] for h in self.heads]
+
+    def add(self, trees: list[list[_Tree]]) -> None:
+        """The predictions with one more round."""
+        for part in self.parts:
+            codes = self.codes[:, part]
+            for f, tree in zip(self.f, (t for own in trees for t in own), strict=True):
+                f[part] += tree.values(codes)
+
+    def summed(self, shape: tuple[int, ...], task, *sent) -> np.ndarray:
+        total = np.zeros(shape, np.int64)
+        for k, part in enumerate(self.parts):
+            if task is _level:
+                self._count(k, part, *sent, total)
+            else:
+                total += task(self.codes[:, part], self.z[part], self._own(part), *sent)
+        return self.exchange.total(total)
+
+    def _count(self, k: int, part: slice, heads: list, trees: list[list[_Tree]], level: int, total: np.ndarray) -> None:
+        """Adds a part's table of :func:`_level`; the gradients of a round are kept for its levels."""
+        if level == 0:
+            own = [g for head, f in zip(heads, self._own(part), strict=True) for g in head.gradients(self.z[part], f)]
+            self.both = ([] if k == 0 else self.both) + [[T.Both(None, g.astype(float)) for g in own]]
+        codes, columns = self.codes[:, part], [x[part] for x in self.packed.columns]
+        n_nodes = 1 << level
+        for t, tree in enumerate(tree for own in trees for tree in own):
+            both = self.both[k][t]
+            node = tree.nodes(codes).astype(np.int64) - n_nodes
+            some = node >= 0  # rows of leaves above this level wait there
+            parts = both.parts
+            if not some.all():
+                node, parts = np.where(some, node, 0), both.masked(some)
+            sums = []
+            for x in parts:
+                sums.append(np.zeros((n_nodes, *total.shape[2:4])))
+                self.packed.counted(columns, node, x, sums[-1])
+            for i, x in enumerate(both.apart(sums)):
+                total[t, ..., i] += x
+
+
 class Tally:
     """Sums of whole numbers w >= 0 and g by cell. Both are added up as one number, w in the units above the
     largest sum of g, where doubles hold that exactly (below 2**53), else each by itself (a block's sums stay below it)."""
@@ -353,8 +421,8 @@ def _leaf_residuals(codes, z, f, heads, trees):
     for k, (own, tree) in enumerate(pairs):
         r = z - own
         cell = tree.leaf_numbers()[tree.nodes(codes)] * RESIDUAL_BINS + _residual_bin(r)
-        out[k, :, :, 0] += np.bincount(cell, minlength=out[k, :, :, 0].size).reshape(out.shape[1:3])
-        out[k, :, :, 1] += np.bincount(cell, weights=np.rint(FIXED * np.clip(r, -1e6, 1e6)), minlength=out[k, :, :, 0].size).reshape(out.shape[1:3]).astype(np.int64)
+        for i, x in enumerate(Tally(np.ones(len(r)), np.rint(FIXED * np.clip(r, -1e6, 1e6)))(cell, out[k, :, :, 0].size)):
+            out[k, :, :, i] += x.reshape(out.shape[1:3])
     return out
 
 
@@ -463,15 +531,25 @@ def fit_rows(plain: DataFrame, features: Sequence[str], heads: list, rounds: int
     starts = []
     for h in heads:
         starts.append([(levels[quantiles.index(h.q)] - center) / scale] if isinstance(h, Quantile) else [0.0] * h.width)
-    blocks, tasks = code_blocks(plain, edges, bins, center, scale, n, [v for own in starts for v in own])
+    flat = [v for own in starts for v in own]
+    together = _together(plain.sparkSession, n, n * (3 * p + 32 * len(flat)), TOGETHER_ROWS * ROWS_A_TASK)
+    blocks, tasks = code_blocks(plain, edges, bins, center, scale, n, flat, together)
     state = _State(blocks, tasks, p, bins, heads)
     grown: list[list[tuple[int, list[tuple]]]] = [[] for _ in heads]
-    for r in range(rounds):
-        trees = _round(state, depth, [_rate(h, rate, r) for h in heads], min_rows, edges)
-        for k, own in enumerate(trees):
-            grown[k] += [(i, t.table_nodes(edges, scale if i == 0 else 1.0)) for i, t in enumerate(own)]
-        state.recent.append(trees)
-        if len(state.recent) == every and r + 1 < rounds:
+    folder = f"{scratch(plain.sparkSession, 'sums')}" if together else ""
+    r = 0
+    while r < rounds:
+        if together:
+            rates = [[_rate(h, rate, i) for h in heads] for i in range(r, min(r + TOGETHER_ROUNDS, rounds))]
+            found = _rounds_together(state, depth, rates, min_rows, edges, f"{folder}/{r}")
+        else:
+            found = [_round(state, depth, [_rate(h, rate, r) for h in heads], min_rows, edges)]
+        for trees in found:
+            for k, own in enumerate(trees):
+                grown[k] += [(i, t.table_nodes(edges, scale if i == 0 else 1.0)) for i, t in enumerate(own)]
+        state.recent += found
+        r += len(found)
+        if len(state.recent) >= (TOGETHER_ROUNDS if together else every) and r < rounds:
             old, state.blocks = state.blocks, _held(_advanced(state))
             state.recent = []
             old.unpersist()
@@ -490,8 +568,8 @@ def quantile_edges(plain: DataFrame, names: list[str], bins: int, given: list[li
     return [sorted({e for e in own if math.isfinite(e)})[:bins - 1] for own in given or plain.approxQuantile(names, [k / bins for k in range(1, bins)], 1 / (8 * bins))]
 
 
-def code_blocks(plain: DataFrame, edges: list[list[float]], bins: int, center: float, scale: float, n: int, flat: list[float]) -> tuple[RDD, int]:
-    """The held blocks (codes, standardised target, first predictions) of rows x0, x1, ..., y, and their number of tasks."""
+def code_blocks(plain: DataFrame, edges: list[list[float]], bins: int, center: float, scale: float, n: int, flat: list[float], tasks: int = 0) -> tuple[RDD, int]:
+    """The held blocks (codes, standardised target, first predictions) of rows x0, x1, ..., y, and their number of tasks (by the rows, unless given)."""
     p = len(edges)
     names = [f"x{i}" for i in range(p)]
     held = [np.array(own, float) for own in edges]
@@ -509,7 +587,7 @@ def code_blocks(plain: DataFrame, edges: list[list[float]], bins: int, center: f
                 arrays = np.stack(columns[:p]).astype(np.int8), columns[p], np.repeat(np.array(flat)[:, None], n_rows, axis=1)
                 yield pa.RecordBatch.from_pydict({"n": pa.array([n_rows], pa.int32()), **{name: pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for name, x in zip(("codes", "z", "f"), arrays, strict=True)}})
 
-    tasks = _tasks(plain.sparkSession, n)
+    tasks = tasks or _tasks(plain.sparkSession, n)
     rows = plain.select(*names, ((F.col("y") - center) / scale).alias("z")).mapInArrow(code, ", ".join([*(f"{x} tinyint" for x in names), "z double"]))
     rows = rows.coalesce(1) if tasks == 1 else rows.repartition(tasks)  # in even shares
     return _held(rows.mapInArrow(pack, BLOCKS).rdd.map(_arrays)), tasks
@@ -520,6 +598,30 @@ def _tasks(spark, rows: int) -> int:
     return max(1, min(-(-rows // ROWS_A_TASK), max(spark.sparkContext.defaultParallelism, -(-rows // MOST_ROWS_A_TASK))))
 
 
+def _together(spark, rows: int, size: int, rows_a_task: int) -> int:
+    """Tasks that hold so many rows of so many bytes in all and work on them together; 0 where they cannot."""
+    most = min(T.slots(spark), DIRECT, T.MOST_TASKS)
+    tasks = min(most, -(-rows // rows_a_task))
+    return tasks if tasks and size <= tasks * T.MOST_BYTES else 0
+
+
+def _rounds_together(state: _State, depth: int, rates: list[list[float]], min_rows: int, edges: list[list[float]], folder: str) -> list[list[list[_Tree]]]:
+    """The trees of as many rounds as there are rates, from one barrier job."""
+    bins, heads, recent, tasks = state.bins, state.heads, state.recent, state.tasks
+
+    def grow(blocks: Iterator[tuple]) -> Iterator[list[list[_Tree]]]:
+        here = _Here(list(blocks), bins, heads, recent, T.Exchange.here(folder, tasks))
+        here.p = len(edges)
+        found = []
+        for own in rates:
+            found.append(_round(here, depth, own, min_rows, edges))
+            here.add(found[-1])
+        if here.exchange.rank == 0:
+            yield from found
+
+    return (state.blocks.barrier() if tasks > 1 else state.blocks).mapPartitions(grow).collect()
+
+
 def _held(blocks: RDD) -> RDD:
     """The blocks, persisted and checkpointed in the shared folder."""
     blocks.persist(StorageLevel.MEMORY_AND_DISK)
@@ -541,14 +643,14 @@ def _rate(head, rate: float, r: int) -> float:
     return rate if own is None else own
 
 
-def _round(state: _State, depth: int, rates: list[float], min_rows: int, edges: list[list[float]]) -> list[list[_Tree]]:
+def _round(state: _State | _Here, depth: int, rates: list[float], min_rows: int, edges: list[list[float]]) -> list[list[_Tree]]:
     """One tree for each output of each head, with leaf values."""
     heads, p = state.heads, state.p
     trees = [[_Tree(depth, state.bins) for _ in range(h.width)] for h in heads]
     flat = [(h, t) for h, own in zip(heads, trees, strict=True) for t in own]
     tables: list[np.ndarray] = []
     for level in range(depth):
-        table = _summed(state, (len(flat), 1 << level, p, state.bins + 1, 2), _level, heads, trees, level)
+        table = state.summed((len(flat), 1 << level, p, state.bins + 1, 2), _level, heads, trees, level)
         tables.append(table)
         most = [depth if getattr(h, "depth", None) is None else h.depth for h, _ in flat]
         split = [level < most[k] and _split(table[k], t, level, min_rows, getattr(h, "l2", 0.0), edges) for k, (h, t) in enumerate(flat)]
@@ -558,12 +660,12 @@ def _round(state: _State, depth: int, rates: list[float], min_rows: int, edges:
         if not isinstance(h, Quantile):
             _means([x[k] for x in tables], t, getattr(h, "l2", 0.0))
     if (leaf_heads := [k for k, h in enumerate(heads) if isinstance(h, Quantile)]):
-        counts = _summed(state, (len(leaf_heads), 1 << depth, RESIDUAL_BINS, 2), _leaf_residuals, heads, trees)
+        counts = state.summed((len(leaf_heads), 1 << depth, RESIDUAL_BINS, 2), _leaf_residuals, heads, trees)
         for own, k in zip(counts, leaf_heads, strict=True):
             tree = trees[k][0]
             tree.value[:] = np.array([_quantile_of_bins(leaf, heads[k].q) for leaf in own])[tree.leaf_numbers()]
     if any(isinstance(h, Normal) for h in heads):
-        losses = _summed(state, (len(heads), len(STEPS), 1), _step_losses, heads, trees)
+        losses = state.summed((len(heads), len(STEPS), 1), _step_losses, heads, trees)
         for k, h in enumerate(heads):
             if isinstance(h, Normal):
                 for t in trees[k]:
