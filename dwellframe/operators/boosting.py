@@ -315,14 +315,14 @@ def _summed(state: _State, shape: tuple[int, ...], task, *sent) -> np.ndarray:
 class _Here:
     """The state in the memory of one of the tasks that grow trees together."""
 
-    def __init__(self, blocks: list[tuple], bins: int, heads: list, recent: list, exchange: T.Exchange):
+    def __init__(self, blocks: list[tuple], p: int, bins: int, heads: list, recent: list, exchange: T.Exchange):
         if blocks:
             self.codes, self.z, f = (np.concatenate(x, axis=-1) for x in zip(*blocks, strict=True))
         else:
             self.codes, self.z, f = np.zeros((0, 0), np.int8), np.zeros(0), np.zeros((sum(h.width for h in heads), 0))
         blocks.clear()
         self.f = list(f)
-        self.p, self.bins, self.heads, self.exchange = len(self.codes), bins, heads, exchange
+        self.p, self.bins, self.heads, self.exchange = p, bins, heads, exchange
         self.packed = T.Packed(self.codes)
         self.parts = [slice(a, a + T.ROWS) for a in range(0, len(self.z), T.ROWS)]
         for trees in recent:
@@ -364,10 +364,10 @@ class _Here:
                 node, parts = np.where(some, node, 0), both.masked(some)
             sums = []
             for x in parts:
-                sums.append(np.zeros((n_nodes, *total.shape[2:4])))
-                self.packed.counted(columns, node, x, sums[-1])
+                sums.append(np.zeros((n_nodes, self.p * (self.bins + 1))))
+                self.packed.counted(columns, node, x, range(0, sums[-1].shape[1], self.bins + 1), sums[-1])
             for i, x in enumerate(both.apart(sums)):
-                total[t, ..., i] += x
+                total[t, ..., i] += x.reshape(total.shape[1:4])
 
 
 class Tally:
@@ -610,8 +610,7 @@ def _rounds_together(state: _State, depth: int, rates: list[list[float]], min_ro
     bins, heads, recent, tasks = state.bins, state.heads, state.recent, state.tasks
 
     def grow(blocks: Iterator[tuple]) -> Iterator[list[list[_Tree]]]:
-        here = _Here(list(blocks), bins, heads, recent, T.Exchange.here(folder, tasks))
-        here.p = len(edges)
+        here = _Here(list(blocks), len(edges), bins, heads, recent, T.Exchange.here(folder, tasks))
         found = []
         for own in rates:
             found.append(_round(here, depth, own, min_rows, edges))

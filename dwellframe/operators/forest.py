@@ -9,6 +9,10 @@
 * The rows of a smaller node move to one task, which grows the rest of that subtree
   in numpy: no table of a small node is ever sent, and no task gets more rows of a
   node than ``LOCAL_ROWS``.
+* Where all tasks can run at the same time (:func:`together.slots`), the large nodes of
+  all trees are split in one barrier job: a task keeps its rows, draws a tree's weights
+  once and sends every drawn row down the tree, and the tasks add up their tables
+  through the shared folder. Elsewhere a level of some trees is a job.
 
 Sums are of fixed-point numbers, so they do not depend on the order of the rows.
 """
@@ -23,10 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import boosting as B
+from . import together as T
 
 LOCAL_ROWS = 50_000
 #: Bytes of tables that a task holds in one pass, and of rows that a task of subtrees receives.
 TABLE_BYTES, SUBTREE_BYTES = 64 << 20, 64 << 20
+#: Bytes of drawn rows that a task holds for the trees it grows at a time, and about so many a row.
+DRAWN_BYTES, DRAWN_ROW = 128 << 20, 20
+#: Cells that the features of a group are counted into where there are many nodes.
+FEW_CELLS = 64
 #: Columns of a node: feature (-1: a leaf), left, right, last code that goes left, count, sum, gain.
 FEATURE, LEFT, RIGHT, UPTO, COUNT, SUM, GAIN = range(7)
 OPEN, SENT = -2.0, -3.0
@@ -88,6 +97,14 @@ def _split(nodes: np.ndarray, at: np.ndarray, best: np.ndarray, kind: float) ->
     return np.concatenate([nodes, children])
 
 
+def _child(nodes: np.ndarray, node: np.ndarray, codes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The children of their nodes that rows (places in ``codes``) go to; those of a leaf stay."""
+    inner = nodes[:, FEATURE] >= 0
+    child = np.where(inner[:, None], nodes[:, [LEFT, RIGHT]], np.arange(len(nodes))[:, None]).astype(np.int64).ravel()
+    start, upto = np.where(inner, nodes[:, FEATURE], 0).astype(np.int64) * codes.shape[1], nodes[:, UPTO].astype(np.int8)
+    return child[2 * node + (codes.reshape(-1)[start[node] + rows] > upto[node])]
+
+
 def _subtree(codes: np.ndarray, w: np.ndarray, g: np.ndarray, depth: int, bins: int) -> np.ndarray:
     """The tree of at most ``depth`` levels on these rows."""
     nodes = np.zeros((1, 7))
@@ -101,15 +118,15 @@ def _subtree(codes: np.ndarray, w: np.ndarray, g: np.ndarray, depth: int, bins:
         slot[at] = np.arange(len(at))
         few = max(1, TABLE_BYTES // (16 * len(codes) * bins))
         best = []
+        own = slot[node]
         for k in range(0, len(at), few):
-            mine = (slot[node] >= k) & (slot[node] < k + few)
-            best.append(_best(_table(slot[node[mine]] - k, min(few, len(at) - k), codes[:, mine], w[mine], g[mine], bins)))
+            mine = (own >= k) & (own < k + few) if len(at) > few else slice(None)
+            best.append(_best(_table(own[mine] - k, min(few, len(at) - k), codes[:, mine], w[mine], g[mine], bins)))
         nodes = _split(nodes, at, np.concatenate(best), OPEN)
-        went = nodes[node]
-        left = codes[np.maximum(went[:, FEATURE], 0).astype(np.int64), np.arange(len(w))] <= went[:, UPTO]
-        node = np.where(went[:, FEATURE] >= 0, np.where(left, went[:, LEFT], went[:, RIGHT]), -1).astype(np.int64)
-        stays = node >= 0  # rows of leaves have done their part
-        codes, w, g, node = codes[:, stays], w[stays], g[stays], node[stays]
+        node = _child(nodes, node, codes, np.arange(len(w)))
+        stays = nodes[node, FEATURE] == OPEN  # rows of leaves have done their part
+        if not stays.all():
+            codes, w, g, node = codes[:, stays], w[stays], g[stays], node[stays]
     nodes[nodes[:, FEATURE] == OPEN, FEATURE] = -1
     return nodes
 
@@ -126,7 +143,166 @@ def fit(df: DataFrame, features: Sequence[str], target: str, num_trees: int, max
         raise ValueError(f"no row has a value of {target}")
     n, center, scale = stats["n"], stats["m"], stats["s"] if stats["s"] and stats["s"] > 0 else 1.0
     edges = B.quantile_edges(plain, [f"x{i}" for i in range(p)], bins)
-    state, tasks = B.code_blocks(plain, edges, bins, center, scale, n, [])
+    together = B._together(spark, n, n * (4 * p + 40), B.ROWS_A_TASK)
+    state, tasks = B.code_blocks(plain, edges, bins, center, scale, n, [], together)
+    if together:
+        trees = _grown_together(state, tasks, [len(own) + 1 for own in edges], n, num_trees, max_depth, seed, bins, B.scratch(spark, "sums"))
+    else:
+        trees = _grown_by_levels(state, tasks, p, n, num_trees, max_depth, seed, bins)
+    state.unpersist()
+    for nodes in trees:  # a node that no drawn row reached
+        nodes[nodes[:, FEATURE] < 0, FEATURE] = -1
+    return _as_table(features, trees, edges, center, scale), _importance(trees, p)
+
+
+def _parts(n: int, p: int, num_trees: int, tasks: int) -> int:
+    """Tasks that grow subtrees."""
+    return max(4 * tasks, math.ceil(0.64 * n * num_trees * (p + 9) / SUBTREE_BYTES))
+
+
+def _graft(trees: list[np.ndarray], t: int, at: int, own: np.ndarray) -> None:
+    """Puts a subtree into its tree; its root takes the place of the node."""
+    off = len(trees[t]) - 1
+    inner = own[:, FEATURE] >= 0
+    own[inner, LEFT] += off
+    own[inner, RIGHT] += off
+    trees[t][at] = own[0]
+    trees[t] = np.concatenate([trees[t], own[1:]])
+
+
+class _Drawn:
+    """A task's drawn rows of one tree in nodes that are still to be split, and the tree so far."""
+
+    def __init__(self, t: int, first: np.ndarray, w: np.ndarray, z: np.ndarray):
+        self.t, self.nodes, self.sent = t, first, []
+        rows = np.flatnonzero(w)
+        self.parts = []
+        for a in range(0, len(rows), T.ROWS):
+            own = rows[a:a + T.ROWS]
+            node, drawn = np.zeros(len(own), np.int64), w[own]
+            self.parts.append([own, node, T.Both(drawn, drawn * z[own])])
+        self.w = w.astype(np.uint8 if w.size == 0 or w.max() < 256 else np.int64)
+        self.settle()
+
+    def settle(self) -> None:
+        """Rows whose nodes are not to be split here are put aside."""
+        for k, (rows, node, both) in enumerate(self.parts):
+            kind = self.nodes[node, FEATURE]
+            if not (stays := kind == OPEN).all():
+                goes = kind == SENT
+                self.sent.append((rows[goes], node[goes]))
+                both.parts = [x[stays] for x in both.parts]
+                self.parts[k][:2] = rows[stays], node[stays]
+        self.parts = [x for x in self.parts if len(x[0])]
+
+    def count(self, packs: dict[int, T.Packed], starts: np.ndarray, out: np.ndarray) -> None:
+        """Adds counts and sums by (open node, code of a feature) to ``out``."""
+        slot = np.full(len(self.nodes), -1)
+        slot[self.nodes[:, FEATURE] == OPEN] = np.arange(len(out))
+        packed = packs[T.CELLS if len(out) * T.CELLS <= 4 * T.ROWS else FEW_CELLS]
+        for rows, node, both in self.parts:
+            own, sums, columns = slot[node], [], [x[rows] for x in packed.columns]
+            for x in both.parts:
+                sums.append(np.zeros(out.shape[:2]))
+                packed.counted(columns, own, x, starts, sums[-1])
+            for i, x in enumerate(both.apart(sums)):
+                out[..., i] += x
+
+    def split(self, best: np.ndarray, kind: float, local: int, codes: np.ndarray) -> None:
+        nodes = self.nodes = _split(self.nodes, np.flatnonzero(self.nodes[:, FEATURE] == OPEN), best, kind)
+        nodes[(nodes[:, FEATURE] == OPEN) & (nodes[:, COUNT] <= local), FEATURE] = SENT
+        for part in self.parts:
+            part[1] = _child(nodes, part[1], codes, part[0])
+        self.settle()
+
+    def pieces(self, codes: np.ndarray, z: np.ndarray) -> Iterator[tuple]:
+        """The rows of every node that is sent: ((tree, node), (its depth, codes, weights, targets))."""
+        if not self.sent:
+            return
+        rows, node = (np.concatenate(x) for x in zip(*self.sent, strict=True))
+        order = np.argsort(node, kind="stable")
+        rows, node, depth = rows[order], node[order], _depths(self.nodes)
+        own_codes, w, own_z = codes[:, rows], self.w[rows], z[rows]
+        if len(own_z) and np.abs(own_z).max() < 1 << 31:
+            own_z = own_z.astype(np.int32)
+        ends = [0, *(np.flatnonzero(np.diff(node)) + 1).tolist(), len(node)]
+        for a, b in zip(ends, ends[1:], strict=False):
+            if a < b:
+                yield (self.t, int(node[a])), (int(depth[node[a]]), np.ascontiguousarray(own_codes[:, a:b]), w[a:b], own_z[a:b])
+
+
+def _grown_together(state, tasks: int, widths: list[int], n: int, num_trees: int, max_depth: int, seed: int, bins: int, folder: str) -> list[np.ndarray]:
+    """The trees: large nodes by one barrier job whose tasks keep their rows, subtrees of small ones where their rows are dealt to."""
+    p, local = len(widths), LOCAL_ROWS
+    first = np.array([[(OPEN if n > local else SENT) if max_depth else -1.0, 0, 0, 0, n, 0, 0]])
+    batch = max(1, int(DRAWN_BYTES // (0.64 * DRAWN_ROW * -(-n // tasks))))
+    starts = np.cumsum([0, *widths])
+    most = max(1, TABLE_BYTES // (16 * int(starts[-1])))
+
+    def tables_split(drawn: list[_Drawn], kind: float, codes: np.ndarray, packs: dict, exchange: T.Exchange) -> None:
+        """Splits the open nodes of these trees."""
+        ends = np.cumsum([0, *((own.nodes[:, FEATURE] == OPEN).sum() for own in drawn)])
+        table = np.zeros((ends[-1], starts[-1], 2), np.int64)
+        for own, a, b in zip(drawn, ends, ends[1:], strict=False):
+            own.count(packs, starts, table[a:b])
+        mine = exchange.share(table)[1]
+        wide = np.zeros((len(mine), p, max(bins, *widths), 2), np.int64)
+        for j in range(p):
+            wide[:, j, :widths[j]] = mine[:, starts[j]:starts[j + 1]]
+        best = np.concatenate(exchange.gather(_best(wide) if len(mine) else np.zeros((0, 7)))).reshape(-1, 7)
+        for own, a, b in zip(drawn, ends, ends[1:], strict=False):
+            own.split(best[a:b], kind, local, codes)
+
+    def grow(blocks) -> Iterator[tuple]:
+        exchange = T.Exchange.here(folder, tasks)
+        held, rank = list(blocks), exchange.rank
+        lengths = [len(z) for _, z, _ in held]
+        codes = np.concatenate([x for x, _, _ in held], axis=1) if held else np.zeros((p, 0), np.int8)
+        z = np.concatenate([np.rint(B.FIXED * x) for _, x, _ in held]) if held else np.zeros(0)
+        held.clear()
+        packs = {cells: T.Packed(codes, cells) for cells in (T.CELLS, FEW_CELLS)} if n > local else {}
+        for a in range(0, num_trees, batch):
+            drawn = []
+            for t in range(a, min(a + batch, num_trees)):
+                w = np.concatenate([_weights(seed, t, (rank, k), rows) for k, rows in enumerate(lengths)] or [np.zeros(0, np.int64)])
+                drawn.append(_Drawn(t, first.copy(), w, z))
+            for level in range(max_depth):
+                todo = [own for own in drawn if (own.nodes[:, FEATURE] == OPEN).any()]
+                while todo:
+                    some, size = [], 0
+                    while todo and (not some or size < most):
+                        size += int((todo[0].nodes[:, FEATURE] == OPEN).sum())
+                        some.append(todo.pop(0))
+                    tables_split(some, OPEN if level + 1 < max_depth else -1.0, codes, packs, exchange)
+            for own in drawn:
+                if rank == 0:
+                    yield (own.t, -1), own.nodes
+                yield from own.pieces(codes, z)
+
+    def finish(pieces) -> Iterator[tuple[tuple[int, int], np.ndarray]]:
+        held: dict[tuple[int, int], list] = {}
+        for key, piece in pieces:
+            if key[1] < 0:
+                yield key, piece
+            else:
+                held.setdefault(key, []).append(piece)
+        for key in list(held):
+            (depth, *_), *_ = own = held.pop(key)
+            codes, w, z = (np.concatenate([x[i] for x in own], axis=-1) for i in (1, 2, 3))
+            w = w.astype(np.int64)
+            yield key, _subtree(codes, w, w * z, max_depth - depth, bins)
+
+    dealt = (state.barrier() if tasks > 1 else state).mapPartitions(grow).partitionBy(_parts(n, p, num_trees, tasks))
+    found = sorted(dealt.mapPartitions(finish).collect(), key=lambda x: x[0])
+    trees = [own for (_, at), own in found if at < 0]
+    for (t, at), own in found:
+        if at >= 0:
+            _graft(trees, t, at, own)
+    return trees
+
+
+def _grown_by_levels(state, tasks: int, p: int, n: int, num_trees: int, max_depth: int, seed: int, bins: int) -> list[np.ndarray]:
+    """The same trees by one job for a level of some of them."""
     numbered = state.mapPartitionsWithIndex(lambda part, own: (((part, k), codes, np.rint(B.FIXED * z)) for k, (codes, z, _) in enumerate(own)))
     trees = [np.array([[OPEN if max_depth else -1.0, 0, 0, 0, n, 0, 0]]) for _ in range(num_trees)]
 
@@ -165,7 +341,7 @@ def fit(df: DataFrame, features: Sequence[str], target: str, num_trees: int, max
         for nodes in trees:
             nodes[(nodes[:, FEATURE] == OPEN) & (nodes[:, COUNT] <= LOCAL_ROWS), FEATURE] = SENT
     depths = [_depths(nodes) for nodes in trees]
-    sent = spark.sparkContext.broadcast((trees, depths))
+    sent = state.context.broadcast((trees, depths))
 
     def deal(held) -> Iterator[tuple]:
         grown, _ = sent.value
@@ -185,19 +361,10 @@ def fit(df: DataFrame, features: Sequence[str], target: str, num_trees: int, max
         w = w.astype(np.int64)
         return key, _subtree(codes, w, w * z, max_depth - int(sent.value[1][key[0]][key[1]]), bins)
 
-    parts = max(4 * tasks, math.ceil(0.64 * n * num_trees * (p + 9) / SUBTREE_BYTES))
-    for (t, at), own in numbered.flatMap(lambda x: deal([x])).groupByKey(parts).map(lambda x: finish(*x)).collect():
-        off = len(trees[t]) - 1  # its root takes the place of the node
-        inner = own[:, FEATURE] >= 0
-        own[inner, LEFT] += off
-        own[inner, RIGHT] += off
-        trees[t][at] = own[0]
-        trees[t] = np.concatenate([trees[t], own[1:]])
-    state.unpersist()
+    for (t, at), own in numbered.flatMap(lambda x: deal([x])).groupByKey(_parts(n, p, num_trees, tasks)).map(lambda x: finish(*x)).collect():
+        _graft(trees, t, at, own)
     sent.unpersist()
-    for nodes in trees:  # a node that no drawn row reached
-        nodes[nodes[:, FEATURE] < 0, FEATURE] = -1
-    return _as_table(features, trees, edges, center, scale), _importance(trees, p)
+    return trees
 
 
 def _depths(nodes: np.ndarray) -> np.ndarray:

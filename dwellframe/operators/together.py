@@ -174,17 +174,14 @@ class Packed:
             self.groups.append((own, stride))
             self.columns.append(number)
 
-    def counted(self, columns: Sequence[np.ndarray], slot: np.ndarray, both: np.ndarray, out: np.ndarray) -> None:
-        """Adds sums of ``both`` (whole numbers) to ``out`` (slots x features x codes) for rows with these group numbers."""
+    def counted(self, columns: Sequence[np.ndarray], slot: np.ndarray, both: np.ndarray, starts: Sequence[int], out: np.ndarray) -> None:
+        """Adds sums of ``both`` (whole numbers) to ``out`` (slots x cells, a feature's codes from its start on) for rows with these group numbers."""
         n = len(out)
         for (own, size), number in zip(self.groups, columns, strict=True):
             cells = np.bincount(slot * size + number, weights=both, minlength=n * size)
-            if len(own) == 1:
-                out[:, own[0], self.present[own[0]]] += cells.reshape(n, -1)
-                continue
             cells = cells.reshape(n, *(len(self.present[j]) for j in own))
             for k, j in enumerate(own):
-                out[:, j, self.present[j]] += cells.sum(axis=tuple(i + 1 for i in range(len(own)) if i != k))
+                out[:, starts[j] + self.present[j]] += cells.sum(axis=tuple(i + 1 for i in range(len(own)) if i != k)) if len(own) > 1 else cells
 
 
 class Both:

@@ -1,18 +1,23 @@
 """Tasks that keep their rows and add up their tables together: the sums, the exchange, and how many jobs a fit takes."""
 import threading
+import uuid
 
 import numpy as np
 
 from dwellframe.operators import boosting as B
+from dwellframe.operators import forest as FO
 from dwellframe.operators import together as T
 
+SLOTS = T.slots
+
 
 def _jobs(spark, run):
     """(what ``run`` gives, the number of Spark jobs it started)."""
     sc = spark.sparkContext
-    sc.setJobGroup("counted", "counted")
+    group = uuid.uuid4().hex
+    sc.setJobGroup(group, group)
     try:
-        return run(), len(sc.statusTracker().getJobIdsForGroup("counted"))
+        return run(), len(sc.statusTracker().getJobIdsForGroup(group))
     finally:
         sc.setLocalProperty("spark.jobGroup.id", None)
 
@@ -26,9 +31,9 @@ def test_groups_of_features_count_as_single_ones_do():
             packed, both = T.Packed(codes, cells), T.Both(w, g * scale)
             sums = []
             for x in both.parts:
-                sums.append(np.zeros((3, 7, 127)))
-                packed.counted(packed.columns, slot, x, sums[-1])
-            n, s = both.apart(sums)
+                sums.append(np.zeros((3, 7 * 127)))
+                packed.counted(packed.columns, slot, x, range(0, 7 * 127, 127), sums[-1])
+            n, s = (x.reshape(3, 7, 127) for x in both.apart(sums))
             for j, code in enumerate(codes):
                 cell = slot * 127 + code
                 assert (n[:, j].ravel() == np.bincount(cell, w, 3 * 127)).all() and (s[:, j].ravel() == np.bincount(cell, g * scale, 3 * 127)).all()
@@ -73,3 +78,20 @@ def test_rounds_after_a_new_state_go_on_as_before(spark, monkeypatch):
         monkeypatch.setattr(B, "TOGETHER_ROUNDS", rounds)
         found.append(B.fit(df, ["a"], "y", [B.Squared()], 8, 2, 0.3, bins=16, edges=[[k / 4 - 2 for k in range(15)]]).tables[0].rows())
     assert found[0] == found[1]
+
+
+def test_forest_levels_share_a_job(spark, monkeypatch):
+    monkeypatch.setattr(B, "ROWS_A_TASK", 300)
+    monkeypatch.setattr(FO, "DRAWN_BYTES", 30_000)  # some trees at a time
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(1500, 3)), 1)
+    df = spark.createDataFrame([(*map(float, r), float((r[0] > 0) + r[1] ** 2)) for r in x], "a double, b double, c double, y double").coalesce(1)
+    for local in (0, 200):
+        monkeypatch.setattr(FO, "LOCAL_ROWS", local)
+        monkeypatch.setattr(T, "slots", SLOTS)
+        here, jobs = _jobs(spark, lambda: FO.fit(df, ["a", "b", "c"], "y", 6, 7, 1))
+        assert jobs < 16
+        monkeypatch.setattr(T, "slots", lambda spark: 0)
+        (table, importance), more = _jobs(spark, lambda: FO.fit(df, ["a", "b", "c"], "y", 6, 7, 1))
+        assert jobs < more and np.allclose(importance, here[1])  # a job for every level
+        assert np.allclose(table.sums(x, 1), here[0].sums(x, 1), atol=1e-9)
