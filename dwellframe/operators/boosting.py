@@ -52,6 +52,8 @@ STEPS = (0.5, 1.0, 2.0, 4.0, 8.0)
 ROWS_A_TASK, MOST_ROWS_A_TASK = 16_000, 1_000_000
 #: Rounds of a barrier job: a failure costs so many at most. Its tasks are worth as many times ROWS_A_TASK rows each.
 TOGETHER_ROUNDS, TOGETHER_ROWS = 100, 4
+#: Edges of so many rows and more come from sketches of so many values a column, made in numpy.
+SKETCH_ROWS, SKETCH = 200_000, 4096
 
 
 # ------------------------------------------------------------------ tree table
@@ -104,18 +106,29 @@ class TreeTable:
             trees.setdefault(tree, (out, []))[1].append(tuple(node))
         return cls.of(features, [trees[t] for t in sorted(trees)])
 
-    def sums(self, x: np.ndarray, outputs: int, rows: int = 4096, trees: int = 64) -> np.ndarray:
+    def sums(self, x: np.ndarray, outputs: int, rows: int = 1024, trees: int = 64) -> np.ndarray:
         """Sum of leaf values by output for the rows of a feature matrix (NaN: missing)."""
         out = np.zeros((len(x), outputs))
+        inner = self.left >= 0
+        # a leaf is its own child; a node's children and a row's features are looked up in flat arrays
+        here = np.arange(len(inner))
+        child = np.column_stack([np.where(inner, c, here) for c in (self.left, self.right)]).ravel()
+        feature = np.where(inner, self.feature, 0)
+        depth, at = 0, self.root
+        while len(at := at[inner[at]]):
+            at, depth = np.concatenate([self.left[at], self.right[at]]), depth + 1
         for a in range(0, len(x), rows):
-            part = x[a:a + rows]
-            line = np.arange(len(part))[:, None]
+            part = np.ascontiguousarray(x[a:a + rows])
+            flat, some_lack = part.ravel(), bool(np.isnan(part).any())
+            start = (np.arange(len(part)) * part.shape[1])[:, None]
             for k in range(0, len(self.root), trees):
-                node = np.broadcast_to(self.root[k:k + trees], (len(part), len(self.root[k:k + trees]))).copy()
-                while (inner := self.left[node] >= 0).any():
-                    value = part[line, self.feature[node]]
-                    goes_left = np.where(np.isnan(value), self.default_left[node], value < self.threshold[node])
-                    node = np.where(inner, np.where(goes_left, self.left[node], self.right[node]), node)
+                node = np.broadcast_to(self.root[k:k + trees], (len(part), len(self.root[k:k + trees])))
+                for _ in range(depth):
+                    value = flat[start + feature[node]]
+                    goes_left = value < self.threshold[node]
+                    if some_lack:
+                        goes_left |= np.isnan(value) & self.default_left[node]
+                    node = child[2 * node + ~goes_left]
                 for o in range(outputs):
                     mine = self.output[k:k + trees] == o
                     out[a:a + rows, o] += self.value[node[:, mine]].sum(axis=1)
@@ -525,7 +538,7 @@ def fit_rows(plain: DataFrame, features: Sequence[str], heads: list, rounds: int
     n, center, scale = stats["n"], stats["m"] or 0.0, stats["s"] if stats["s"] and stats["s"] > 0 else 1.0
     if not n:
         raise ValueError(f"no row has a value of {target}")
-    edges = quantile_edges(plain, [f"x{i}" for i in range(p)], bins, edges)
+    edges = quantile_edges(plain, [f"x{i}" for i in range(p)], bins, edges, n)
     quantiles = [h.q for h in heads if isinstance(h, Quantile)]
     levels = plain.agg(F.percentile_approx("y", quantiles, 100_000).alias("q")).first()["q"] if quantiles else []
     starts = []
@@ -563,9 +576,69 @@ def scratch(spark, kind: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
-def quantile_edges(plain: DataFrame, names: list[str], bins: int, given: list[list[float]] | None = None) -> list[list[float]]:
-    """Sorted distinct edges of every feature, from a quantile sketch unless they are given."""
-    return [sorted({e for e in own if math.isfinite(e)})[:bins - 1] for own in given or plain.approxQuantile(names, [k / bins for k in range(1, bins)], 1 / (8 * bins))]
+def quantile_edges(plain: DataFrame, names: list[str], bins: int, given: list[list[float]] | None = None, n: int = 0) -> list[list[float]]:
+    """Sorted distinct edges of every feature, from a quantile sketch (of numpy's from SKETCH_ROWS of the ``n`` rows on) unless they are given."""
+    shares = [k / bins for k in range(1, bins)]
+    found = given or (_quantiles(plain.select(*names), shares) if n >= SKETCH_ROWS else plain.approxQuantile(names, shares, 1 / (8 * bins)))
+    return [sorted({e for e in own if math.isfinite(e)})[:bins - 1] for own in found]
+
+
+def _fewer(values: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """At most SKETCH of these values, in order, at even shares of their weights."""
+    order = np.argsort(values)
+    values, weights = values[order], weights[order]
+    if len(values) <= SKETCH:
+        return values, weights
+    upto = np.cumsum(weights)
+    at = np.searchsorted(upto, (np.arange(SKETCH) + 0.5) / SKETCH * upto[-1])
+    return values[np.minimum(at, len(values) - 1)], np.full(SKETCH, upto[-1] / SKETCH)
+
+
+def _quantiles(plain: DataFrame, shares: list[float]) -> list[list[float]]:
+    """Quantiles of every column (missing values aside): each time that values become SKETCH of them, a rank moves by half a SKETCH-th of the rows at most."""
+    p = len(plain.columns)
+
+    def merged(a: list, b: list) -> list:
+        return [_fewer(*map(np.concatenate, zip(x, y, strict=True))) for x, y in zip(a, b, strict=True)]
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held, rows = [(np.zeros(0), np.zeros(0))] * p, [[] for _ in range(p)], 0
+
+        def settled() -> list:
+            own = []
+            for columns in held:
+                x = np.sort(np.concatenate([np.zeros(0), *columns]))
+                x = x[:np.searchsorted(x, math.nan)]  # missing values come last
+                if len(x) > SKETCH:
+                    own.append((x[((np.arange(SKETCH) + 0.5) / SKETCH * len(x)).astype(np.int64)], np.full(SKETCH, len(x) / SKETCH)))
+                else:
+                    own.append((x, np.ones(len(x))))
+                columns.clear()
+            return merged(found, own)
+
+        for batch in batches:
+            for columns, x in zip(held, batch.columns, strict=True):
+                columns.append(x.to_numpy(zero_copy_only=False).astype(float, copy=False))
+            rows += batch.num_rows
+            if rows >= 64 * SKETCH:
+                found, rows = settled(), 0
+        found = settled()
+        yield pa.RecordBatch.from_pydict({"v": pa.array([x.tobytes() for x, _ in found], pa.binary()), "w": pa.array([w.tobytes() for _, w in found], pa.binary()), "i": pa.array(range(p), pa.int32())})
+
+    sketches = plain.mapInArrow(part, "v binary, w binary, i int").rdd.mapPartitions(_sketches)
+    total = sketches.treeReduce(merged)
+    out = []
+    for values, weights in total:
+        upto = np.cumsum(weights)
+        at = np.searchsorted(upto, np.array(shares) * (upto[-1] if len(upto) else 0.0))
+        out.append(values[np.minimum(at, len(values) - 1)].tolist() if len(values) else [])
+    return out
+
+
+def _sketches(rows: Iterator) -> Iterator[list]:
+    own = sorted(rows, key=lambda r: r["i"])
+    if own:
+        yield [(np.frombuffer(r["v"]), np.frombuffer(r["w"])) for r in own]
 
 
 def code_blocks(plain: DataFrame, edges: list[list[float]], bins: int, center: float, scale: float, n: int, flat: list[float], tasks: int = 0) -> tuple[RDD, int]:
@@ -580,17 +653,29 @@ def code_blocks(plain: DataFrame, edges: list[list[float]], bins: int, center: f
             coded = [np.where(np.isnan(x), bins, np.searchsorted(own, x)).astype(np.int8) for x, own in zip(columns, held, strict=True)]
             yield pa.RecordBatch.from_arrays([*map(pa.array, coded), batch.column(p)], names=[*names, "z"])
 
+    def blocks(columns: list[np.ndarray], most: int) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(columns[p]), most):
+            own = [x[a:a + most] for x in columns]
+            n_rows = len(own[p])
+            arrays = np.stack(own[:p]).astype(np.int8), own[p], np.repeat(np.array(flat)[:, None], n_rows, axis=1)
+            yield pa.RecordBatch.from_pydict({"n": pa.array([n_rows], pa.int32()), **{name: pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for name, x in zip(("codes", "z", "f"), arrays, strict=True)}})
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if n_rows := batch.num_rows:
-                columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(p + 1)]
-                arrays = np.stack(columns[:p]).astype(np.int8), columns[p], np.repeat(np.array(flat)[:, None], n_rows, axis=1)
-                yield pa.RecordBatch.from_pydict({"n": pa.array([n_rows], pa.int32()), **{name: pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for name, x in zip(("codes", "z", "f"), arrays, strict=True)}})
+            yield from blocks([x.to_numpy(zero_copy_only=False) for x in batch.columns], max(1, batch.num_rows))
+
+    def code_and_pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in code(batches):
+            yield from blocks([x.to_numpy(zero_copy_only=False) for x in batch.columns], most)
 
     tasks = tasks or _tasks(plain.sparkSession, n)
-    rows = plain.select(*names, ((F.col("y") - center) / scale).alias("z")).mapInArrow(code, ", ".join([*(f"{x} tinyint" for x in names), "z double"]))
-    rows = rows.coalesce(1) if tasks == 1 else rows.repartition(tasks)  # in even shares
-    return _held(rows.mapInArrow(pack, BLOCKS).rdd.map(_arrays)), tasks
+    rows = plain.select(*names, ((F.col("y") - center) / scale).alias("z"))
+    if tasks == 1:
+        packed = rows.mapInArrow(code, ", ".join([*(f"{x} tinyint" for x in names), "z double"])).coalesce(1).mapInArrow(pack, BLOCKS)
+    else:  # blocks, not rows, are dealt in even shares
+        most = max(1, min(10_000, -(-n // (32 * tasks))))
+        packed = rows.mapInArrow(code_and_pack, BLOCKS).repartition(tasks)
+    return _held(packed.rdd.map(_arrays)), tasks
 
 
 def _tasks(spark, rows: int) -> int:
@@ -625,7 +710,7 @@ def _held(blocks: RDD) -> RDD:
     """The blocks, persisted and checkpointed in the shared folder."""
     blocks.persist(StorageLevel.MEMORY_AND_DISK)
     blocks.checkpoint()
-    blocks.foreachPartition(lambda own: sum(1 for _ in own))
+    blocks._jrdd.count()  # in the JVM: no row comes back to Python
     return blocks
 
 

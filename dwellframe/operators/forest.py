@@ -142,7 +142,7 @@ def fit(df: DataFrame, features: Sequence[str], target: str, num_trees: int, max
     if not stats["n"]:
         raise ValueError(f"no row has a value of {target}")
     n, center, scale = stats["n"], stats["m"], stats["s"] if stats["s"] and stats["s"] > 0 else 1.0
-    edges = B.quantile_edges(plain, [f"x{i}" for i in range(p)], bins)
+    edges = B.quantile_edges(plain, [f"x{i}" for i in range(p)], bins, n=n)
     together = B._together(spark, n, n * (4 * p + 40), B.ROWS_A_TASK)
     state, tasks = B.code_blocks(plain, edges, bins, center, scale, n, [], together)
     if together:

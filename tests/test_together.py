@@ -3,6 +3,8 @@ import threading
 import uuid
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
 
 from dwellframe.operators import boosting as B
 from dwellframe.operators import forest as FO
@@ -95,3 +97,23 @@ def test_forest_levels_share_a_job(spark, monkeypatch):
         (table, importance), more = _jobs(spark, lambda: FO.fit(df, ["a", "b", "c"], "y", 6, 7, 1))
         assert jobs < more and np.allclose(importance, here[1])  # a job for every level
         assert np.allclose(table.sums(x, 1), here[0].sums(x, 1), atol=1e-9)
+
+
+def test_edges_of_many_rows_are_quantiles(spark, monkeypatch):
+    monkeypatch.setattr(B, "SKETCH_ROWS", 1)
+    rng = np.random.default_rng(5)
+    x = np.stack([rng.normal(size=60_000), rng.integers(0, 3, 60_000), np.exp(4 * rng.normal(size=60_000))], axis=1)
+    x[rng.random(x.shape) < 0.1] = np.nan
+    df = spark.createDataFrame(pd.DataFrame(x, columns=["x0", "x1", "x2"])).withColumn("x3", F.lit(None).cast("double")).repartition(5)
+    edges = B.quantile_edges(df, df.columns, 64, n=60_000)
+    assert edges[1] == [0.0, 1.0, 2.0] and edges[3] == [] and len(edges[0]) == len(edges[2]) == 63
+    for j in (0, 2):
+        own = np.sort(x[~np.isnan(x[:, j]), j])
+        assert np.abs(np.searchsorted(own, edges[j]) / len(own) - np.arange(1, 64) / 64).max() < 1 / 512
+
+
+def test_scores_are_sums_of_leaves_and_missing_values_go_their_way():
+    nodes = [(0, 1, 2, 0.5, True, 0.0), (-1, -1, -1, 0.0, False, 1.0), (1, 3, 4, 2.0, False, 0.0), (-1, -1, -1, 0.0, False, 10.0), (-1, -1, -1, 0.0, False, 100.0)]
+    table = B.TreeTable.of(["a", "b"], [(0, nodes), (1, [(-1, -1, -1, 0.0, False, 7.0)])])
+    x = np.array([[0.0, 0.0], [np.nan, 9.0], [0.5, 1.0], [1.0, 2.0], [1.0, np.nan]])
+    assert table.sums(x, 2).tolist() == [[1, 7], [1, 7], [10, 7], [100, 7], [100, 7]]
