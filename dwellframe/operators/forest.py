@@ -195,12 +195,19 @@ class _Drawn:
                 self.parts[k][:2] = rows[stays], node[stays]
         self.parts = [x for x in self.parts if len(x[0])]
 
-    def count(self, packs: dict[int, T.Packed], starts: np.ndarray, out: np.ndarray) -> None:
+    def count(self, packs: dict[int, T.Packed], starts: np.ndarray, z: np.ndarray, out: np.ndarray) -> None:
         """Adds counts and sums by (open node, code of a feature) to ``out``."""
         slot = np.full(len(self.nodes), -1)
         slot[self.nodes[:, FEATURE] == OPEN] = np.arange(len(out))
         packed = packs[T.CELLS if len(out) * T.CELLS <= 4 * T.ROWS else FEW_CELLS]
-        for rows, node, both in self.parts:
+        parts, many = self.parts, 1
+        if out[..., 0].size > 4 * T.ROWS:  # more cells than rows in a part: many parts at a time, as two numbers
+            many = -(-out[..., 0].size // T.ROWS)
+        for a in range(0, len(parts), many):
+            rows, node, both = parts[a]
+            if many > 1:
+                rows, node = (np.concatenate([x[i] for x in parts[a:a + many]]) for i in (0, 1))
+                both = T.Both(self.w[rows], self.w[rows] * z[rows])
             own, sums, columns = slot[node], [], [x[rows] for x in packed.columns]
             for x in both.parts:
                 sums.append(np.zeros(out.shape[:2]))
@@ -208,7 +215,7 @@ class _Drawn:
             for i, x in enumerate(both.apart(sums)):
                 out[..., i] += x
 
-    def split(self, best: np.ndarray, kind: float, local: int, codes: np.ndarray) -> None:
+    def split(self, best: np.ndarray, kind: float, local: float, codes: np.ndarray) -> None:
         nodes = self.nodes = _split(self.nodes, np.flatnonzero(self.nodes[:, FEATURE] == OPEN), best, kind)
         nodes[(nodes[:, FEATURE] == OPEN) & (nodes[:, COUNT] <= local), FEATURE] = SENT
         for part in self.parts:
@@ -233,25 +240,27 @@ class _Drawn:
 
 def _grown_together(state, tasks: int, widths: list[int], n: int, num_trees: int, max_depth: int, seed: int, bins: int, folder: str) -> list[np.ndarray]:
     """The trees: large nodes by one barrier job whose tasks keep their rows, subtrees of small ones where their rows are dealt to."""
-    p, local = len(widths), LOCAL_ROWS
-    first = np.array([[(OPEN if n > local else SENT) if max_depth else -1.0, 0, 0, 0, n, 0, 0]])
-    batch = max(1, int(DRAWN_BYTES // (0.64 * DRAWN_ROW * -(-n // tasks))))
+    p = len(widths)
     starts = np.cumsum([0, *widths])
+    # rows of a node with so many levels to go are sent if they are no more, or no more bytes than the tables of these levels
+    local = [min(LOCAL_ROWS, (2.0 ** d - 1) * 16 * int(starts[-1]) * tasks / (p + 5)) for d in range(max_depth + 1)]
+    first = np.array([[(OPEN if n > local[-1] else SENT) if max_depth else -1.0, 0, 0, 0, n, 0, 0]])
+    batch = max(1, int(DRAWN_BYTES // (0.64 * DRAWN_ROW * -(-n // tasks))))
     most = max(1, TABLE_BYTES // (16 * int(starts[-1])))
 
-    def tables_split(drawn: list[_Drawn], kind: float, codes: np.ndarray, packs: dict, exchange: T.Exchange) -> None:
-        """Splits the open nodes of these trees."""
+    def tables_split(drawn: list[_Drawn], left: int, codes: np.ndarray, z: np.ndarray, packs: dict, exchange: T.Exchange) -> None:
+        """Splits the open nodes of these trees; the children have ``left`` levels to go."""
         ends = np.cumsum([0, *((own.nodes[:, FEATURE] == OPEN).sum() for own in drawn)])
         table = np.zeros((ends[-1], starts[-1], 2), np.int64)
         for own, a, b in zip(drawn, ends, ends[1:], strict=False):
-            own.count(packs, starts, table[a:b])
+            own.count(packs, starts, z, table[a:b])
         mine = exchange.share(table)[1]
         wide = np.zeros((len(mine), p, max(bins, *widths), 2), np.int64)
         for j in range(p):
             wide[:, j, :widths[j]] = mine[:, starts[j]:starts[j + 1]]
         best = np.concatenate(exchange.gather(_best(wide) if len(mine) else np.zeros((0, 7)))).reshape(-1, 7)
         for own, a, b in zip(drawn, ends, ends[1:], strict=False):
-            own.split(best[a:b], kind, local, codes)
+            own.split(best[a:b], OPEN if left else -1.0, local[left], codes)
 
     def grow(blocks) -> Iterator[tuple]:
         exchange = T.Exchange.here(folder, tasks)
@@ -260,7 +269,7 @@ def _grown_together(state, tasks: int, widths: list[int], n: int, num_trees: int
         codes = np.concatenate([x for x, _, _ in held], axis=1) if held else np.zeros((p, 0), np.int8)
         z = np.concatenate([np.rint(B.FIXED * x) for _, x, _ in held]) if held else np.zeros(0)
         held.clear()
-        packs = {cells: T.Packed(codes, cells) for cells in (T.CELLS, FEW_CELLS)} if n > local else {}
+        packs = {cells: T.Packed(codes, cells) for cells in (T.CELLS, FEW_CELLS)} if n > local[-1] else {}
         for a in range(0, num_trees, batch):
             drawn = []
             for t in range(a, min(a + batch, num_trees)):
@@ -273,7 +282,7 @@ def _grown_together(state, tasks: int, widths: list[int], n: int, num_trees: int
                     while todo and (not some or size < most):
                         size += int((todo[0].nodes[:, FEATURE] == OPEN).sum())
                         some.append(todo.pop(0))
-                    tables_split(some, OPEN if level + 1 < max_depth else -1.0, codes, packs, exchange)
+                    tables_split(some, max_depth - level - 1, codes, z, packs, exchange)
             for own in drawn:
                 if rank == 0:
                     yield (own.t, -1), own.nodes
