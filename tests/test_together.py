@@ -117,3 +117,27 @@ def test_scores_are_sums_of_leaves_and_missing_values_go_their_way():
     table = B.TreeTable.of(["a", "b"], [(0, nodes), (1, [(-1, -1, -1, 0.0, False, 7.0)])])
     x = np.array([[0.0, 0.0], [np.nan, 9.0], [0.5, 1.0], [1.0, 2.0], [1.0, np.nan]])
     assert table.sums(x, 2).tolist() == [[1, 7], [1, 7], [10, 7], [100, 7], [100, 7]]
+
+
+def test_a_stage_that_starts_again_meets_in_a_new_folder(tmp_path, monkeypatch):
+    own = threading.local()
+
+    class Context:
+        @staticmethod
+        def get():
+            return own
+
+    monkeypatch.setattr(T, "BarrierTaskContext", Context)
+    found = {}
+
+    def work(rank, attempt):
+        own.partitionId, own.taskAttemptId = (lambda: rank), (lambda: attempt)
+        x = T.Exchange.here(str(tmp_path / "sums"), 3)
+        found[attempt] = x.folder, x.total(np.array([attempt])).tolist()
+
+    for first in (10, 20):  # the first stage leaves its files behind
+        threads = [threading.Thread(target=work, args=(i, first + i)) for i in (2, 1, 0)]
+        [t.start() for t in threads]
+        [t.join(60) for t in threads]
+        assert {tuple(found[first + i][1]) for i in range(3)} == {(3 * first + 3,)} and len({found[first + i][0] for i in range(3)}) == 1
+    assert found[10][0] != found[20][0]
